@@ -147,7 +147,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    buckets = groups = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    groups = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 2 * groups
     rows = docs.select(F.col(id_col).cast("long").alias("__row_id"), F.col(text_col).cast("string").alias("__row_text"))
     long_enough = rows.where(F.col("__row_id").isNotNull() & (F.octet_length("__row_text") >= 2 * width - 1))
     sent = long_enough.mapInArrow(_hash_windows(width, buckets, groups), _SENT)
