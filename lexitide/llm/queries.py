@@ -8,13 +8,25 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexitide.llm import html_text, packing, sharding, simhash, substring_dedup, topk
+from lexitide.llm import html_text, packing, sharding, simhash, substring_dedup, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _remainder(doc_id: str = "doc_id") -> F.Column:
+    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; labels of every fifth (by checksum) are never seen."""
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.train(*toxicity.sample(docs, _table(spark, sf_dir, "labels").where(_remainder() != 0)))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", (_remainder() == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "spans")
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that stay of every document once 13-word passages of documents with a smaller id are removed."""
     cut = substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"), width=13)
@@ -53,6 +65,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_toxicity": op2_toxicity,
     "op3_substring_dedup": op3_substring_dedup,
     "op5_simhash": op5_simhash,
     "op6_sharding": op6_sharding,
