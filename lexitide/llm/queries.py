@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexitide.llm import html_text, packing, sharding, simhash, substring_dedup, topk, toxicity
+from lexitide.llm import chat_format, decontamination, html_text, packing, sharding, simhash, substring_dedup, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,14 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompt and masked completions of each conversation against its twin with another conversation's last reply."""
+    pairs = chat_format.reply_pairs(chat_format.gather(_table(spark, sf_dir, "conversations"), "conv_id"))
+    out = chat_format.format_pairs(pairs)
+    mask = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x.start.cast("string"), x.end.cast("string"))), ",")
+    return out.select("pair_id", "prompt_turns", "prompt", "chosen", "rejected", mask("chosen_mask").alias("chosen_mask"), mask("rejected_mask").alias("rejected_mask"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document; links join fingerprints that differ in two bits or fewer."""
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), width=3)
@@ -59,6 +67,11 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, with other numbers, names and units too."""
+    return decontamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document in sequences of at most 4096 tokens."""
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -67,14 +80,35 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_chat_format": op4_chat_format,
     "op5_simhash": op5_simhash,
     "op6_sharding": op6_sharding,
     "op7_topk": op7_topk,
     "op8_html_text": op8_html_text,
+    "op9_decontamination": op9_decontamination,
     "op10_packing": op10_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_chat_format": """
+        WITH t AS (
+            SELECT conv_id, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'unknown'), coalesce(text, '')) AS n
+            FROM conversations WHERE conv_id IS NOT NULL
+        ), l AS (
+            SELECT conv_id, max(n) FILTER (WHERE role = 'assistant') AS last FROM t GROUP BY conv_id HAVING count(*) FILTER (WHERE role = 'assistant') > 0
+        ), r AS (SELECT t.conv_id, t.text FROM t JOIN l ON t.conv_id = l.conv_id AND t.n = l.last), p AS (
+            SELECT l.conv_id AS pair_id, l.last, a.text AS good, b.text AS bad FROM l JOIN r a ON a.conv_id = l.conv_id JOIN r b ON b.conv_id = l.conv_id + 1
+        ), h AS (
+            SELECT p.pair_id, coalesce(string_agg('<|' || t.role || '|>' || chr(10) || t.text || '<|end|>' || chr(10), '' ORDER BY t.n), '') AS prompt
+            FROM p LEFT JOIN t ON t.conv_id = p.pair_id AND (t.n < p.last OR t.n = p.last AND p.good = p.bad) GROUP BY p.pair_id
+        )
+        SELECT p.pair_id, CAST(p.last - CASE WHEN good = bad THEN 0 ELSE 1 END AS INTEGER) AS prompt_turns, prompt,
+            CASE WHEN good = bad THEN '' ELSE '<|assistant|>' || chr(10) || good || '<|end|>' || chr(10) END AS chosen,
+            CASE WHEN good = bad THEN '' ELSE '<|assistant|>' || chr(10) || bad || '<|end|>' || chr(10) END AS rejected,
+            CASE WHEN good = bad THEN '' ELSE '14:' || (14 + length(good) + 8) END AS chosen_mask,
+            CASE WHEN good = bad THEN '' ELSE '14:' || (14 + length(bad) + 8) END AS rejected_mask
+        FROM p JOIN h USING (pair_id)
+    """,
     "op7_topk": """
         WITH v AS (
             SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e
