@@ -23,7 +23,7 @@ from lexitide.llm.tables import durable
 MAX_TOKENS, END_ID = 4096, 1
 NEARLY_FULL = 16
 FAN_IN, CARRY = 16, 20_000
-LOCAL_PIECES, CACHED_WORDS = 200_000, 200_000
+LOCAL_PIECES, CACHED_WORDS = 200_000, 300_000
 _PIECE = "doc_id: {id}, piece: int, start: bigint, length: bigint, ids_crc32: bigint"
 _state: dict = {}
 
@@ -34,17 +34,27 @@ def _encoder(path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _state.update(path=path, tokenizer=Tokenizer.from_file(path), known={})
-    return _state["tokenizer"], _state["known"]
+        _state.update(path=path, tokenizer=Tokenizer.from_file(path), known={}, older={})
+    return _state["tokenizer"], _state["known"], _state["older"]
 
 
 def encode(texts: list[bytes | None], path: str) -> list[bytes]:
-    """Little-endian 32-bit ids of each text. The tokenizer cuts at white space, so words are encoded once each."""
-    tokenizer, known = _encoder(path)
+    """Little-endian 32-bit ids of each text. The tokenizer cuts at white space, so words are encoded once each.
+
+    A worker keeps two generations of words it has met; words in use move to the younger one, others are forgotten.
+    """
+    tokenizer, known, older = _encoder(path)
     split = [(t or b"").split() for t in texts]
     if len(known) > CACHED_WORDS:
-        known.clear()
-    new = list({w for own in split for w in own if w not in known})
+        known, older = {}, known
+        _state.update(known=known, older=older)
+    new = []
+    for w in set().union(*split).difference(known):
+        ids = older.get(w)
+        if ids is None:
+            new.append(w)
+        else:
+            known[w] = ids
     for at in range(0, len(new), 10_000):
         part = new[at : at + 10_000]
         for w, e in zip(part, tokenizer.encode_batch_fast([w.decode("utf-8") for w in part], add_special_tokens=False)):
