@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexitide.llm import chat_format, decontamination, html_text, packing, sharding, simhash, substring_dedup, topk, toxicity
+from lexitide.llm import chat_format, decontamination, html_text, lm_scoring, packing, sharding, simhash, substring_dedup, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,13 @@ def _remainder(doc_id: str = "doc_id") -> F.Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model and base scores of every document; those with remainder 1 (by checksum) are never learned from."""
+    docs = _table(spark, sf_dir, "documents")
+    scored = lm_scoring.score(docs, docs.where(_remainder() != 1))
+    return scored.select("doc_id", (_remainder() == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document; labels of every fifth (by checksum) are never seen."""
     docs = _table(spark, sf_dir, "documents")
@@ -78,6 +85,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op2_toxicity": op2_toxicity,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_chat_format": op4_chat_format,
