@@ -15,23 +15,24 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _remainder(doc_id: str = "doc_id") -> F.Column:
+def remainder(doc_id: str = "doc_id") -> F.Column:
+    """Checksum of an id, as text, modulo 5: the fold of a document."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model and base scores of every document; those with remainder 1 (by checksum) are never learned from."""
     docs = _table(spark, sf_dir, "documents")
-    scored = lm_scoring.score(docs, docs.where(_remainder() != 1))
-    return scored.select("doc_id", (_remainder() == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    scored = lm_scoring.score(docs, docs.where(remainder() != 1))
+    return scored.select("doc_id", (remainder() == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document; labels of every fifth (by checksum) are never seen."""
     docs = _table(spark, sf_dir, "documents")
-    model = toxicity.train(*toxicity.sample(docs, _table(spark, sf_dir, "labels").where(_remainder() != 0)))
-    scored = toxicity.score(docs, model)
-    return scored.select("doc_id", (_remainder() == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "spans")
+    model = toxicity.train(*toxicity.sample(docs, _table(spark, sf_dir, "labels").where(remainder() != 0)))
+    scored = toxicity.score(docs, model, keep=["doc_id"])
+    return scored.select("doc_id", (remainder() == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "spans")
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,6 +85,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the corpus pipeline over documents."""
+    import corpus_pipeline  # it imports this module
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_toxicity": op2_toxicity,
@@ -95,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_text": op8_html_text,
     "op9_decontamination": op9_decontamination,
     "op10_packing": op10_packing,
+    "pipeline": pipeline,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from lexitide.llm.words import bucket_of, expand, hashed_ids, joined, pack, squeeze, unpack, windows, words
 
@@ -105,12 +106,12 @@ def _meet(buckets: int, groups: int):
     return run
 
 
-def _cut(width: int):
+def _cut(width: int, keep: list[str]):
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         hashes, ids = _read(answers)
         order = np.argsort(ids, kind="stable")
         hashes, ids = hashes[order], ids[order]
-        out: dict[str, list] = {k: [] for k in ("__row_id", "n_words", "starts", "ends", "kept")}
+        out: dict[str, list] = {k: [] for k in ("n_words", "starts", "ends", "kept")}
         for doc, text in zip(texts["__row_id"].to_pylist(), texts["__row_text"].cast(pa.binary()).to_pylist()):
             own = (text or b"").split()
             a, b = (np.searchsorted(ids, [doc, doc + 1]) if doc is not None and doc < 2**63 - 1 else (np.searchsorted(ids, doc), len(ids)) if doc is not None else (0, 0))
@@ -124,10 +125,10 @@ def _cut(width: int):
                     ends = (cut[np.concatenate((breaks, [len(cut) - 1]))] + width).tolist()
                     edges = [0, *(x for pair in zip(starts, ends) for x in pair), len(own)]
                     kept = [w for i in range(0, len(edges), 2) for w in own[edges[i] : edges[i + 1]]]
-            for k, v in (("__row_id", doc), ("n_words", len(own)), ("starts", starts), ("ends", ends), ("kept", b" ".join(kept if starts else own))):
+            for k, v in (("n_words", len(own)), ("starts", starts), ("ends", ends), ("kept", b" ".join(kept if starts else own))):
                 out[k].append(v)
-        kinds = {"__row_id": pa.int64(), "n_words": pa.int64(), "starts": pa.list_(pa.int64()), "ends": pa.list_(pa.int64())}
-        return pa.table({**{k: pa.array(out[k], t) for k, t in kinds.items()}, "kept": pa.array(out["kept"], pa.binary()).cast(pa.string())})
+        kinds = {"n_words": pa.int64(), "starts": pa.list_(pa.int64()), "ends": pa.list_(pa.int64())}
+        return pa.table({**{c: texts[c] for c in ("__row_id", *keep)}, **{k: pa.array(out[k], t) for k, t in kinds.items()}, "kept": pa.array(out["kept"], pa.binary()).cast(pa.string())})
 
     return run
 
@@ -136,11 +137,11 @@ def _all(hashes: np.ndarray, width: int) -> np.ndarray:
     return windows(hashes, np.array([0, len(hashes)]), width)[1]
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 13) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 13, keep: tuple[str, ...] = ()) -> DataFrame:
     """Remove every word that a window covers whose words also start in a document with a smaller id.
 
-    ``docs`` needs an integer id and a text; other columns are left out. Returns for each row ``id_col``,
-    ``n_words``, ``starts`` and ``ends`` (maximal removed intervals of word positions, end excluded) and ``kept``
+    ``docs`` needs an integer id and a text; other columns are left out but those in ``keep``, whose names must differ
+    from the result's. Returns for each row ``id_col``, these, ``n_words``, ``starts`` and ``ends`` (maximal removed intervals of word positions, end excluded) and ``kept``
     (the words that stay, joined by one space). Null or empty texts, and texts shorter than a window, have no
     windows and lose nothing. A row with a null id is neither smaller nor larger than another: it loses nothing
     and removes nothing. Rows with equal ids do not remove each other's words, but both lose what a smaller id has.
@@ -149,10 +150,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     groups = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = 2 * groups
-    rows = docs.select(F.col(id_col).cast("long").alias("__row_id"), F.col(text_col).cast("string").alias("__row_text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("__row_id"), F.col(text_col).cast("string").alias("__row_text"), *[F.col(f"`{c}`") for c in keep])
     long_enough = rows.where(F.col("__row_id").isNotNull() & (F.octet_length("__row_text") >= 2 * width - 1))
-    sent = long_enough.mapInArrow(_hash_windows(width, buckets, groups), _SENT)
+    sent = long_enough.select("__row_id", "__row_text").mapInArrow(_hash_windows(width, buckets, groups), _SENT)
     answers = sent.groupBy("key").applyInArrow(_meet(buckets, groups), _SENT)
     keyed = rows.withColumn("__group", F.expr(f"cast(pmod(xxhash64(__row_id), {groups}) as int)"))  # as _groups
-    cut = keyed.groupBy("__group").cogroup(answers.groupBy("key")).applyInArrow(_cut(width), "__row_id long, n_words long, starts array<long>, ends array<long>, kept string")
+    kinds = StructType([StructField("__row_id", LongType()), *(docs.schema[c] for c in keep), *StructType.fromDDL("n_words long, starts array<long>, ends array<long>, kept string")])
+    cut = keyed.groupBy("__group").cogroup(answers.groupBy("key")).applyInArrow(_cut(width, list(keep)), kinds)
     return cut.withColumnRenamed("__row_id", id_col)

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexitide.llm.words import _BASE, _BYTE, SLICE, joined, mix, powers
 
@@ -239,18 +240,21 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return list(unlike), np.array(list(unlike.values()), np.int64), known.agg(F.avg("__label")).first()[0]
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, ``score`` (0 to 1) and ``spans``: start and end character offsets of runs of tokens whose marginal is 0.5 or more.
+def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` (all but ``score`` and ``spans`` if not given), ``score`` (0 to 1) and ``spans``: start and end character offsets of runs of tokens whose marginal is 0.5 or more.
 
     Null and empty texts have no token: their score is the curve's value at zero and they have no spans. Every row is
-    returned, repeated ones too; ids, null or not, are passed on. An empty table gives an empty result.
+    returned, repeated ones too; kept columns, null or not, are passed on. An empty table gives an empty result.
     """
+    kept = [f for f in docs.schema.fields if f.name not in ("score", "spans") and (keep is None or f.name in keep)]
+    span = T.ArrayType(T.StructType().add("start", T.LongType()).add("end", T.LongType()))
+    schema = T.StructType([*kept, T.StructField("score", T.DoubleType()), T.StructField("spans", span)])
     bias, curve = model.curve[0], model.curve[1:]
     weights = model.weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary())
+            texts = batch.column(len(kept)).cast(pa.binary())
             scores, spans, at = [], [], 0
             while at < len(texts):
                 end, size = at, 0
@@ -272,7 +276,6 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                     spans.append(found)
                 at = end
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate([np.zeros(0), *scores])), pa.array(spans, kind)], names=["id", "score", "spans"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(np.concatenate([np.zeros(0), *scores])), pa.array(spans, kind)], names=schema.names)
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string")).mapInArrow(run, f"id {kind}, score double, spans array<struct<start: bigint, end: bigint>>").withColumnRenamed("id", id_col)
+    return docs.select(*[F.col(f"`{f.name}`") for f in kept], F.col(text_col).cast("string").alias("__text")).mapInArrow(run, schema)
