@@ -121,23 +121,40 @@ def word_counts(texts: DataFrame, buckets: int) -> DataFrame:
     return texts.mapInArrow(run, _ROW).groupBy("key").applyInArrow(merge, _ROW)
 
 
+def _level(counts: np.ndarray) -> np.ndarray:
+    return np.floor(16 * np.log2(np.maximum(counts, 1))).astype(np.int64)
+
+
 def vocabulary(counts: DataFrame) -> dict:
-    """Totals by form, and the ``HEAD`` most frequent words (ties by hash); sizes do not depend on the corpus."""
+    """Totals by form, and the most frequent words: all down to the lowest level of counts that leaves ``HEAD`` at most."""
 
     def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             _, c, f = _read_counts(batch.to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array(range(-1, FORMS)), pa.array(np.bincount(f + 1, c, FORMS + 1).astype(np.int64)), pa.array(np.bincount(f + 1, minlength=FORMS + 1))], names=["form", "n", "v"])
 
+    def levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            level, n = np.unique(_level(_read_counts(batch.to_pylist())[1]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(level), pa.array(n)], names=["level", "n"])
+
+    above, least = 0, None
+    for level, n in sorted(counts.mapInArrow(levels, "level bigint, n bigint").groupBy("level").agg(F.sum("n")).collect(), reverse=True):
+        if above + n > HEAD:
+            break
+        above, least = above + n, level
+
     def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             h, c, f = _read_counts(batch.to_pylist())
-            top = np.lexsort((h, -c))[:HEAD]
-            yield pa.RecordBatch.from_arrays([pa.array(h[top].view(np.int64)), pa.array(c[top]), pa.array(f[top].astype(np.int32))], names=["h", "c", "f"])
+            keep = _level(c) >= least if least is not None else np.zeros(len(c), bool)
+            yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(c[keep]), pa.array(f[keep].astype(np.int32))], names=["h", "c", "f"])
 
     by_form = {r.form: (r.n, r.v) for r in counts.mapInArrow(totals, "form bigint, n bigint, v bigint").groupBy("form").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()}
-    head = counts.mapInArrow(frequent, "h bigint, c bigint, f int").orderBy(F.desc("c"), "h").limit(HEAD).toPandas()
+    head = counts.mapInArrow(frequent, "h bigint, c bigint, f int").toPandas()  # at most HEAD rows
     h, c, f = head["h"].to_numpy(np.int64).view(np.uint64), head["c"].to_numpy(np.int64), head["f"].to_numpy(np.int64)
+    order = np.lexsort((h, -c))
+    h, c, f = h[order], c[order], f[order]
     tops = np.flatnonzero(h != np.uint64(END))[:TOP]
     n = np.array([by_form.get(k, (0, 0))[0] for k in range(FORMS)]) - np.bincount(f[tops], c[tops], FORMS)
     v = np.array([by_form.get(k, (0, 0))[1] for k in range(FORMS)]) - np.bincount(f[tops], minlength=FORMS)
