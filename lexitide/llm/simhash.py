@@ -23,7 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexitide.llm.graph import components
+from lexitide.llm.substring_dedup import _FIELDS, _SENT, _read, _rows
 from lexitide.llm.tables import durable
+from lexitide.llm.words import bucket_of, mix, window_hashes, words
 
 MAX_BITS = 2
 MIN_MATCHES = 8 - MAX_BITS
@@ -152,3 +154,152 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rooted = entries.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     return rows.join(rooted.join(least, "root").select("fp", "component_id"), "fp").select(id_col, "fp", "component_id")
+
+
+# ---- similarity of word shingles ------------------------------------------------------------------------------------
+
+SEEDS, SHARED, CROWD, LEADERS = 3, 4, 64, 4
+_CHOICES = list(combinations(range(8), SHARED))
+
+
+def _profile(text: bytes | None) -> tuple[int, list[int]]:
+    """A hash of the words, and ``SEEDS`` SimHashes of the distinct word pairs (A-Z lower-cased)."""
+    own = (text or b"").lower().split()
+    whole = xxhash.xxh64_intdigest(b" ".join(own), 7)
+    if not own:
+        return whole, [0] * SEEDS
+    h = np.array([xxhash.xxh64_intdigest(b" ".join(p), 7) for p in set(zip(own, own[1:])) or {(own[0],)}], np.uint64)
+    out = []
+    for seed in range(SEEDS):
+        bits = np.unpackbits(mix(h + np.uint64(seed + 1)).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        out.append(int(np.packbits(2 * bits.sum(0, dtype=np.int64) > len(h), bitorder="little").view(np.int64)[0]))
+    return whole, out
+
+
+def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [_profile(t.as_py()) for t in batch.column(1).cast(pa.binary())]
+        whole = np.array([w for w, _ in found], np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(whole), pa.array([f for _, f in found], pa.list_(pa.int64()))], names=["id", "whole", "fps"])
+
+
+def _posted(hashes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs that meet in a posting; and the entries (hash, id) that go on to meet those of other tasks.
+
+    In a posting of more than ``CROWD`` entries each meets the ``LEADERS`` smallest ids only, and these alone go on.
+    """
+    order = np.lexsort((ids, hashes))
+    hashes, ids = hashes[order], ids[order]
+    cuts = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1]))) if len(hashes) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(cuts, len(hashes)))
+    out, on = [np.zeros((0, 2), np.int64)], np.ones(len(hashes), bool)
+    for n in np.unique(sizes[sizes > 1]).tolist():
+        at = cuts[sizes == n][:, None]
+        if n <= CROWD:
+            a, b = np.triu_indices(n, 1)
+            out.append(np.stack([ids[at + a], ids[at + b]], 2).reshape(-1, 2))
+        else:
+            for k in range(LEADERS):
+                out.append(np.stack([np.broadcast_to(ids[at + k], (len(at), n - k - 1)), ids[at + np.arange(k + 1, n)]], 2).reshape(-1, 2))
+            on[(at + np.arange(LEADERS, n)).ravel()] = False
+    pairs = np.unique(np.concatenate(out), axis=0)
+    return pairs[pairs[:, 0] != pairs[:, 1]], hashes[on], ids[on]
+
+
+_MET = pa.schema([*_FIELDS, ("a", pa.binary()), ("b", pa.binary())])
+_MET_DDL = f"{_SENT}, a binary, b binary"
+
+
+def _met(rows: list[tuple], pairs: np.ndarray) -> pa.RecordBatch:
+    """Packed entries by key; pairs ride along under key -1."""
+    rows = [(*r, None, None) for r in rows]
+    if len(pairs):
+        rows.append((-1 - int(pairs[0, 0] % 64), len(pairs), None, None, 0, None, np.ascontiguousarray(pairs[:, 0]).tobytes(), np.ascontiguousarray(pairs[:, 1]).tobytes()))
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _MET)] if rows else [pa.array([], f.type) for f in _MET], schema=_MET)
+
+
+def _post(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 5000):
+                part = batch.slice(at, 5000)
+                ids = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                fps = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, SEEDS)
+                keys = []
+                for f in range(SEEDS):
+                    raw = np.ascontiguousarray(fps[:, f]).view(np.uint8).reshape(-1, 8).astype(np.uint64)
+                    for k, places in enumerate(_CHOICES):
+                        value = np.full(len(ids), f * len(_CHOICES) + k + 1, np.uint64)
+                        for p in places:
+                            value = value << np.uint64(8) | raw[:, p]
+                        keys.append(mix(value))
+                pairs, h, d = _posted(np.concatenate(keys), np.tile(ids, len(keys)))
+                yield _met(list(_rows(bucket_of(h, buckets), h, d)), pairs)
+
+    return run
+
+
+def _join_posts(key: tuple[pa.Scalar], table: pa.Table) -> pa.Table:
+    if key[0].as_py() < 0:
+        pairs = np.concatenate([np.stack([np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)], 1) for a, b in zip(table["a"].to_pylist(), table["b"].to_pylist())])
+    else:
+        pairs, _, _ = _posted(*_read(table))
+    pairs = np.unique(pairs, axis=0)
+    return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+
+def _shingles(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = []
+            for t in batch.column(1).cast(pa.binary()):
+                _, _, h = words((t.as_py() or b"").lower())
+                # fewer words than a shingle: the whole sequence
+                shingles = window_hashes(h, min(width, max(1, len(h))))
+                sets.append(np.unique(shingles >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "shingles"])
+
+    return run
+
+
+def _alike(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                a, b = (np.frombuffer(v.as_py(), "V5") for v in (x, y))
+                if min(len(a), len(b)) < similarity * max(len(a), len(b)):
+                    keep.append(False)
+                    continue
+                shared = len(a) + len(b) - len(set(a.tolist()) | set(b.tolist()))
+                keep.append(shared >= similarity * (len(a) + len(b) - shared))
+            keep = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+
+    return run
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``id_col`` and ``component_id``: the smallest id reachable over pairs with Jaccard similarity of ``width``-word shingles.
+
+    Candidates come from the byte-position index over ``SEEDS`` SimHashes of distinct word pairs: entries are four
+    positional bytes, so a pair is tallied if its fingerprints share at least four of eight bytes, which holds whenever they
+    differ in four bits or fewer. Every candidate is verified on the shingle sets themselves (40-bit hashes). Equal texts
+    (A-Z lower-cased, words alone) are one entry. In postings of more than ``CROWD`` entries each meets the smallest
+    ``LEADERS`` ids. The index misses some pairs; the README gives the measured share. Texts of fewer words than a shingle
+    are one shingle; blank texts equal each other. Rows with a null id are left out; equal ids are one document.
+    """
+    spark = docs.sparkSession
+    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    known = durable(rows.mapInArrow(_profiles, "id long, whole long, fps array<long>"))
+    entries = durable(known.groupBy("whole").agg(F.min("id").alias("id"), F.any_value("fps").alias("fps")))
+    posted = entries.select("id", "fps").repartition(buckets // 2, "id").mapInArrow(_post(buckets), _MET_DDL)
+    pairs = durable(posted.groupBy("key").applyInArrow(_join_posts, "a long, b long").distinct())
+    asked = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    sets = durable(rows.join(asked, "id", "left_semi").select("id", "text").mapInArrow(_shingles(width), "id long, shingles binary"))
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+    alike = both.select("a", "b", "x", "y").mapInArrow(_alike(similarity), "a long, b long")
+    roots = components(alike)
+    least = entries.select("whole", "id").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("whole", F.coalesce("root", "id").alias("component_id"))
+    return known.join(least, "whole").select(F.col("id").alias(id_col), "component_id")

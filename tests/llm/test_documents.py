@@ -118,6 +118,38 @@ def test_simhash(docs, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
+def test_similar_documents(spark, docs, none):
+    """Copies with a few words changed against the Jaccard similarity of all pairs; a crowd of copies of one text."""
+    texts = [sentence(120, s) for s in range(20)]
+    for k in range(60):
+        w = texts[k % 12].split()
+        for j in np.random.default_rng(k).integers(0, 120, 1 + k % 7):
+            w[j] = f"new{k}x{j}"
+        texts.append(" ".join(w))
+    texts += [texts[0].upper().replace("W", "w"), "", None, " \n", "two words", "two  words"]
+    texts += [texts[1] + f" end{k}" for k in range(90)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    got = dict(simhash.similar_documents(table).collect())
+    sets = [{tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} for w in ((t or "").lower().split() for t in texts)]
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(texts)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                parent[y] = x
+    want = {i: find(i) for i in range(len(texts))}
+    assert all(want[i] == want[c] for i, c in got.items())  # nothing is grouped that is not alike
+    dropped = [i for i in want if want[i] != i]
+    assert sum(got[i] != i for i in dropped) >= 0.9 * len(dropped)
+    assert simhash.similar_documents(docs).count() == len([r for r in rows() if r[0] is not None]) and simhash.similar_documents(none).count() == 0
+
+
 @pytest.mark.parametrize("most", [512, 3])
 def test_links_of_crowded_postings(spark, most):
     base = RNG.integers(0, 2**63, 12).tolist()
