@@ -29,7 +29,7 @@ def tidy(text: Column) -> Column:
 def joined(tokens: Column) -> Column:
     """Caption text of an array of tokens."""
     text = F.array_join(F.filter(F.transform(tokens, lambda t: F.trim(t)), lambda t: t != ""), " ")
-    return F.when(text.rlike(r"\s[,.!?;:%\s-]|(?i)\s(['’]s|n't)\b"), tidy(text)).otherwise(text)  # most texts need no repair
+    return F.when(text.rlike(r"\s[,.!?;:%\s-]|[^\S ]|(?i)\s(['’]s|n't)\b"), tidy(text)).otherwise(text)  # most texts need no repair
 
 
 def replaced(text: Column, pairs: list[tuple[str, str]], ignore_case: bool = True) -> Column:

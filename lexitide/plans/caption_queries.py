@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lexitide.functions import rules
 from lexitide.operators import captions as C
 from lexitide.operators import jobs as J
 from lexitide.operators import lookup as L
@@ -187,7 +188,19 @@ def _chain(text, pairs):
     return text
 
 
+_I = "regexp_replace({}, '(^|[^\\wÀ-ÿ])i($|[^\\wÀ-ÿ])', '\\1I\\2', 'g')"
+_QUOTED = lambda pairs: [("(?i)" + p.replace("'", "''"), r.replace("'", "''")) for p, r in pairs]
+_FIXED = _I.format(_I.format(_chain(_COLLAPSED, _QUOTED(rules.CORRECTIONS))))
+_CUT = "CASE WHEN idx % 3 <> 0 THEN string_split(english_text, ' ')[1] || ' x' ELSE english_text END"
+_SHORT = "(len(string_split_regex(trim(t), '\\s+')) <= 3 OR length(trim(t)) <= 24)"
 ORACLE_SQL = {
+    "prj2_caption_text": f"SELECT conv_id, turn, {X.tidy_sql("regexp_replace(text, '([a-z])([,.])', '\\1 \\2', 'g')")} AS text FROM conversations",
+    "prj4_correct_captions": _w(X.CAPTIONS, f"f AS (SELECT *, {_FIXED} AS t FROM captions)", "g AS (SELECT *, strpos(t, regexp_extract(t, '[A-Za-z]')) AS p FROM f)", "h AS (SELECT *, CASE WHEN regexp_extract(t, '[A-Za-z]') <> '' THEN substr(t, 1, p - 1) || upper(substr(t, p, 1)) || substr(t, p + 1) ELSE t END AS u FROM g)") + "SELECT video_id, idx, u AS english_text, CASE WHEN u = coalesce(english_text, '') THEN chinese_text END AS chinese_text FROM h",
+    "prj5_apply_glossary": _w(X.CAPTIONS) + f"SELECT video_id, idx, {_chain(_COLLAPSED, _QUOTED(rules.GLOSSARY))} AS prepared FROM captions",
+    "win14_merge_fragments": _w(X.CAPTIONS, f"c AS (SELECT * EXCLUDE (english_text), {_CUT} AS t FROM captions)", "n AS (SELECT *, lead(start_ms) OVER v AS ns, lead(end_ms) OVER v AS ne, lead(t) OVER v AS nt, lead(chinese_text) OVER v AS nc, lead(translation_source) OVER v AS nsrc FROM c WINDOW v AS (PARTITION BY video_id ORDER BY idx))",
+        f"a AS (SELECT *, coalesce(ns IS NOT NULL AND trim(t) <> '' AND NOT regexp_matches(trim(t), '[.!?][\"'')\\]]*$') AND ns - end_ms <= 1500 AND length(trim(t)) + 1 + length(trim(nt)) <= 140 AND {_SHORT}, false) AS can FROM n)",
+        "r AS (SELECT *, sum(CASE WHEN can THEN 0 ELSE 1 END) OVER (PARTITION BY video_id ORDER BY idx) AS run FROM a)", "m AS (SELECT *, can AND sum(CASE WHEN can THEN 1 ELSE 0 END) OVER (PARTITION BY video_id, run ORDER BY idx) % 2 = 1 AS g FROM r)", "u AS (SELECT *, coalesce(lag(g) OVER (PARTITION BY video_id ORDER BY idx), false) AS used FROM m)")
+    + "SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY idx) AS idx, start_ms, CASE WHEN g THEN ne ELSE end_ms END AS end_ms, CASE WHEN g THEN trim(rtrim(t) || ' ' || ltrim(nt)) ELSE t END AS english_text, CASE WHEN g THEN nullif(concat_ws(chr(10), nullif(trim(chinese_text), ''), nullif(trim(nc), '')), '') ELSE chinese_text END AS chinese_text, CASE WHEN g THEN CASE WHEN translation_source IS NOT DISTINCT FROM nsrc THEN translation_source END ELSE translation_source END AS translation_source FROM u WHERE NOT used",
     "prj8_clean_captions": _w(X.CAPTIONS) + f"SELECT video_id, idx, {_COLLAPSED} AS english_text FROM captions WHERE {_COLLAPSED} <> ''",
     "prj9_split_bilingual": _w(X.CAPTIONS) + "SELECT video_id, idx, trim(english_text) AS english_text, nullif(trim(concat_ws(chr(10), chinese_text, CASE WHEN idx % 2 = 0 THEN '第二行' END)), '') AS chinese_text FROM captions",
     "prj10_display_text": _w(X.CAPTIONS) + f"SELECT video_id, idx, CASE WHEN {_BLANK} THEN english_text ELSE english_text || chr(10) || chinese_text END AS display FROM captions",
