@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexitide.functions import models as M
+from lexitide.operators import jobs as J
 from lexitide.operators import segmentation as G
 from lexitide.plans import fixtures as X
 from lexitide.sources import files as S
@@ -112,6 +113,38 @@ def _chunks(s, d):
     return rows.unionByName(again)
 
 
+def _streamed(s, rows):
+    """A derived table as a file stream."""
+    path = S.scratch(s)
+    rows.write.parquet(path)
+    return s.readStream.schema(rows.schema).parquet(path)
+
+
+def _finished(writer):
+    """Everything that is there now, then the end of the stream."""
+    writer.trigger(availableNow=True).start().awaitTermination()
+
+
+def str8_stream_wordbook(s, d):
+    out = S.scratch(s)
+    _finished(Z.stream_wordbook(_streamed(s, X.wordbook(s, d)), out, S.scratch(s)))
+    return J.recent_wordbook(s.read.parquet(out), 3).select("user_id", "event_id", "rank")
+
+
+def str9_stream_publish(s, d):
+    out = S.scratch(s)
+    _finished(Z.stream_publish(_streamed(s, X.captions(s, d)), out, S.scratch(s)))
+    return S.load_captions(s, out).select("video_id", "idx", "chinese_text")
+
+
+def str10_without_repeats(s, d):
+    events = X.task_events(s, d).withColumn("ts", F.col("ts").cast("timestamp"))
+    out = S.scratch(s)
+    unlike = Z.without_repeats(_streamed(s, events.unionByName(events)), ["event_id"], late="3650 days")
+    _finished(unlike.writeStream.format("parquet").option("path", out).option("checkpointLocation", S.scratch(s)))
+    return s.read.parquet(out).select("user_id", "event_id", "kind")
+
+
 def stub_translate(texts):
     return ["译:" + t for t in texts]
 
@@ -156,6 +189,9 @@ QUERIES = {
     "str5_throttle_progress": lambda s, d: Z.fold_batch(X.task_events(s, d), Z.PROGRESS),
     "str6_playback_state": lambda s, d: Z.fold_batch(X.playback(s, d), Z.PLAYBACK),
     "str7_stream_captions": lambda s, d: Z.fold_batch(X.words(s, d), Z.CAPTIONS),
+    "str8_stream_wordbook": str8_stream_wordbook,
+    "str9_stream_publish": str9_stream_publish,
+    "str10_without_repeats": str10_without_repeats,
     "str11_status_log": lambda s, d: Z.fold_batch(X.task_events(s, d), Z.CHANGES),
     "udf1_translate": lambda s, d: M.translate(X.captions(s, d), stub_translate).select("video_id", "idx", "chinese_text"),
     "udf2_transcribe": lambda s, d: M.transcribe(_audio(s, d), stub_words),
@@ -181,6 +217,9 @@ ORACLE_SQL = {
     "src9_read_jobs": "SELECT CAST(o_orderkey AS VARCHAR) AS job_id, CASE WHEN o_orderkey % 10 = 3 THEN 'unreadable' ELSE 'queued' END AS status, CASE WHEN o_orderkey % 10 <> 3 THEN CAST(o_orderkey % 100 AS INTEGER) END AS progress, CASE WHEN o_orderkey % 10 <> 3 THEN make_timestamp(CAST(o_orderkey * 1500000 AS BIGINT)) END AS created_at FROM orders",
     "src10_read_wordbook": _w(X.WORDBOOK) + "SELECT date_trunc('milliseconds', time) AS time, term, CASE WHEN event_id % 2 = 0 THEN 'own' ELSE 'first' END AS english_text, event_id AS start_ms, CASE WHEN event_id % 3 = 0 THEN sha256('uri') ELSE 'v' END AS video_id FROM wordbook WHERE event_id % 7 <> 0",
     "src13_publish_captions": _w(X.CAPTIONS, "g AS (SELECT video_id, count(*) FILTER (WHERE chinese_text IS NULL) = 0 AS whole FROM captions GROUP BY 1)") + "SELECT video_id, idx, CASE WHEN CAST(video_id AS INTEGER) % 4 = 0 THEN 'new' WHEN CAST(video_id AS INTEGER) % 2 = 0 AND whole THEN chinese_text ELSE 'old' END AS chinese_text FROM captions JOIN g USING (video_id)",
+    "str8_stream_wordbook": _w(X.WORDBOOK) + "SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY time DESC, event_id DESC) AS INTEGER) AS rank FROM wordbook QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY time DESC, event_id DESC) <= 3",
+    "str9_stream_publish": _w(X.CAPTIONS) + "SELECT video_id, idx, chinese_text FROM captions WHERE video_id NOT IN (SELECT video_id FROM captions WHERE chinese_text IS NULL)",
+    "str10_without_repeats": _w(X.TASK_EVENTS) + "SELECT user_id, event_id, kind FROM task_events",
     "udf3_detect_language": "SELECT CAST(p_partkey AS VARCHAR) AS video_id, CASE WHEN strlen(p_name) % 2 = 1 THEN 'en' ELSE 'fr' END AS language, strlen(p_name) % 2 = 1 AS translates FROM part",
     "udf2_transcribe": "SELECT CAST(p_partkey AS VARCHAR) AS video_id, i - 1 AS idx, 0 AS segment_id, 100 * (i - 1) AS start_ms, 100 * (i - 1) + 80 AS end_ms, t[i] AS text, CAST(0.5 AS DOUBLE) AS probability FROM (SELECT p_partkey, t, unnest(range(1, len(t) + 1)) AS i FROM (SELECT p_partkey, string_split(p_name, ' ') AS t FROM part))",
 }
