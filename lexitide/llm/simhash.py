@@ -263,18 +263,24 @@ def _shingles(width: int):
 
 
 def _alike(similarity: float):
+    """Of verified pairs a forest for each task, which has the same components."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        links = np.zeros((0, 2), np.int64)
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                a, b = (np.frombuffer(v.as_py(), "V5") for v in (x, y))
-                if min(len(a), len(b)) < similarity * max(len(a), len(b)):
-                    keep.append(False)
-                    continue
-                shared = len(a) + len(b) - len(set(a.tolist()) | set(b.tolist()))
-                keep.append(shared >= similarity * (len(a) + len(b) - shared))
-            keep = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+            kept = []
+            for one, other, x, y in zip(*(c.to_pylist() for c in batch.columns)):
+                a, b = np.frombuffer(x, "V5"), np.frombuffer(y, "V5")
+                if min(len(a), len(b)) >= similarity * max(len(a), len(b)):
+                    shared = len(a) + len(b) - len(set(a.tolist()) | set(b.tolist()))
+                    if shared >= similarity * (len(a) + len(b) - shared):
+                        kept.append((one, other))
+            if kept:
+                links = np.concatenate((links, np.array(kept, np.int64)))
+            if len(links) > 1 << 20:
+                links = _spanning(links)
+        links = _spanning(links)
+        yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], names=["a", "b"])
 
     return run
 
