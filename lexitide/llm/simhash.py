@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexitide.llm.graph import components
-from lexitide.llm.substring_dedup import _FIELDS, _SENT, _read, _rows
 from lexitide.llm.tables import durable
-from lexitide.llm.words import bucket_of, mix, window_hashes, words
+from lexitide.llm.words import bucket_of, expand, squeeze, window_hashes, words
 
 MAX_BITS = 2
 MIN_MATCHES = 8 - MAX_BITS
@@ -158,105 +158,151 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 # ---- similarity of word shingles ------------------------------------------------------------------------------------
 
-SEEDS, SHARED, CROWD, LEADERS = 3, 4, 64, 4
-_CHOICES = list(combinations(range(8), SHARED))
+#: Postings of at most ``SMALL`` entries give all their pairs at once; larger ones are decided in two rounds, both exact.
+SMALL = 8
+SKETCH_BITS, SAMPLED = 22, 16
+_SLACK = 1e-9  # a product such as 0.8 n may exceed its whole value by a rounding error
 
 
-def _profile(text: bytes | None) -> tuple[int, list[int]]:
-    """A hash of the words, and ``SEEDS`` SimHashes of the distinct word pairs (A-Z lower-cased)."""
-    own = (text or b"").lower().split()
-    whole = xxhash.xxh64_intdigest(b" ".join(own), 7)
-    if not own:
-        return whole, [0] * SEEDS
-    h = np.array([xxhash.xxh64_intdigest(b" ".join(p), 7) for p in set(zip(own, own[1:])) or {(own[0],)}], np.uint64)
-    out = []
-    for seed in range(SEEDS):
-        bits = np.unpackbits(mix(h + np.uint64(seed + 1)).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        out.append(int(np.packbits(2 * bits.sum(0, dtype=np.int64) > len(h), bitorder="little").view(np.int64)[0]))
-    return whole, out
+def _shingle_set(text: bytes | None, width: int) -> np.ndarray:
+    _, _, h = words((text or b"").lower())
+    # fewer words than a shingle: the whole sequence
+    return np.unique(window_hashes(h, min(width, max(1, len(h)))))
 
 
-def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = [_profile(t.as_py()) for t in batch.column(1).cast(pa.binary())]
-        whole = np.array([w for w, _ in found], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(whole), pa.array([f for _, f in found], pa.list_(pa.int64()))], names=["id", "whole", "fps"])
+def _counts(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << SKETCH_BITS, np.int64)
+        for batch in batches:
+            for t in batch.column(0).cast(pa.binary()):
+                np.add.at(counts, _shingle_set(t.as_py(), width) >> np.uint64(64 - SKETCH_BITS), 1)
+        parts = counts.reshape(64, -1)
+        yield pa.RecordBatch.from_arrays([pa.array(range(64), pa.int32()), pa.array([squeeze(x, np.uint32) for x in parts], pa.binary())], names=["part", "counts"])
 
+    return run
+
+
+def _add_counts(key: tuple[pa.Scalar], table: pa.Table) -> pa.Table:
+    n = (1 << SKETCH_BITS) // 64
+    total = sum(expand(x, n, np.uint32).astype(np.int64) for x in table["counts"].to_pylist())
+    return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([squeeze(np.minimum(total, 65535), np.uint16)], pa.binary())], names=["part", "counts"])
 
-def _posted(hashes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs that meet in a posting; and the entries (hash, id) that go on to meet those of other tasks.
 
-    In a posting of more than ``CROWD`` entries each meets the ``LEADERS`` smallest ids only, and these alone go on.
+def _sketch(rows: DataFrame, width: int) -> bytes:
+    """How often shingles occur, by the leading bits of their hash, in every ``SAMPLED``-th document.
+
+    It only fixes an order of all shingles, common ones last. Any order gives the same result, so a sample will do.
     """
-    order = np.lexsort((ids, hashes))
-    hashes, ids = hashes[order], ids[order]
-    cuts = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1]))) if len(hashes) else np.zeros(0, np.int64)
-    sizes = np.diff(np.append(cuts, len(hashes)))
-    out, on = [np.zeros((0, 2), np.int64)], np.ones(len(hashes), bool)
-    for n in np.unique(sizes[sizes > 1]).tolist():
-        at = cuts[sizes == n][:, None]
-        if n <= CROWD:
-            a, b = np.triu_indices(n, 1)
-            out.append(np.stack([ids[at + a], ids[at + b]], 2).reshape(-1, 2))
-        else:
-            for k in range(LEADERS):
-                out.append(np.stack([np.broadcast_to(ids[at + k], (len(at), n - k - 1)), ids[at + np.arange(k + 1, n)]], 2).reshape(-1, 2))
-            on[(at + np.arange(LEADERS, n)).ravel()] = False
-    pairs = np.unique(np.concatenate(out), axis=0)
-    return pairs[pairs[:, 0] != pairs[:, 1]], hashes[on], ids[on]
-
-
-_MET = pa.schema([*_FIELDS, ("a", pa.binary()), ("b", pa.binary())])
-_MET_DDL = f"{_SENT}, a binary, b binary"
-
-
-def _met(rows: list[tuple], pairs: np.ndarray) -> pa.RecordBatch:
-    """Packed entries by key; pairs ride along under key -1."""
-    rows = [(*r, None, None) for r in rows]
-    if len(pairs):
-        rows.append((-1 - int(pairs[0, 0] % 64), len(pairs), None, None, 0, None, np.ascontiguousarray(pairs[:, 0]).tobytes(), np.ascontiguousarray(pairs[:, 1]).tobytes()))
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _MET)] if rows else [pa.array([], f.type) for f in _MET], schema=_MET)
+    some = rows.where(F.xxhash64("id") % SAMPLED == 0).select("text").mapInArrow(_counts(width), "part int, counts binary")
+    parts = {r.part: bytes(r.counts) for r in some.groupBy("part").applyInArrow(_add_counts, "part int, counts binary").collect()}
+    n = (1 << SKETCH_BITS) // 64
+    return squeeze(np.concatenate([expand(parts[k], n, np.uint16) if k in parts else np.zeros(n, np.uint16) for k in range(64)]), np.uint16)
+
+
+def _profiles(width: int, similarity: float, sketch: bytes):
+    """A hash of the shingle set, its size, and its rarest shingles: two alike sets share one of these at least."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = expand(sketch, 1 << SKETCH_BITS, np.uint16)
+        for batch in batches:
+            whole, sizes, rare = [], [], []
+            for t in batch.column(1).cast(pa.binary()):
+                h = _shingle_set(t.as_py(), width)
+                n = len(h)
+                first = n - ceil(similarity * n - _SLACK) + 1
+                whole.append(xxhash.xxh64_intdigest(h.tobytes(), 7))
+                sizes.append(n)
+                rare.append(h[np.lexsort((h, counts[h >> np.uint64(64 - SKETCH_BITS)]))[:first]].tobytes())
+            kinds = [pa.array(np.array(whole, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(rare, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *kinds], names=["id", "whole", "n", "rare"])
+
+    return run
+
+
+_POST = pa.schema([("key", pa.int32()), ("hashes", pa.binary()), ("ids", pa.binary()), ("sizes", pa.binary()), ("places", pa.binary())])
+_POST_DDL = "key int, hashes binary, ids binary, sizes binary, places binary"
 
 
 def _post(buckets: int):
+    """Postings of the rarest shingles, with set sizes and the shingle's place in its set, by ranges of hashes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 5000):
-                part = batch.slice(at, 5000)
-                ids = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                fps = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, SEEDS)
-                keys = []
-                for f in range(SEEDS):
-                    raw = np.ascontiguousarray(fps[:, f]).view(np.uint8).reshape(-1, 8).astype(np.uint64)
-                    for k, places in enumerate(_CHOICES):
-                        value = np.full(len(ids), f * len(_CHOICES) + k + 1, np.uint64)
-                        for p in places:
-                            value = value << np.uint64(8) | raw[:, p]
-                        keys.append(mix(value))
-                pairs, h, d = _posted(np.concatenate(keys), np.tile(ids, len(keys)))
-                yield _met(list(_rows(bucket_of(h, buckets), h, d)), pairs)
+            raw = [x.as_py() for x in batch.column(2)]
+            each = np.fromiter((len(x) // 8 for x in raw), np.int64, len(raw))
+            h = np.frombuffer(b"".join(raw), np.uint64)
+            if not len(h):
+                continue
+            ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), each)
+            sizes = np.repeat(batch.column(1).to_numpy(zero_copy_only=False).astype(np.int32), each)
+            places = (np.arange(len(h)) - np.repeat(np.cumsum(each) - each, each)).astype(np.int32)
+            order = np.argsort(h, kind="stable")
+            own = bucket_of(h[order], buckets)
+            cuts = np.flatnonzero(np.diff(own, prepend=-1)).tolist()
+            out = [(int(own[i]), *[x[order[i:j]].tobytes() for x in (h, ids, sizes, places)]) for i, j in zip(cuts, [*cuts[1:], len(h)])]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _POST)], schema=_POST)
 
     return run
 
 
-def _join_posts(key: tuple[pa.Scalar], table: pa.Table) -> pa.Table:
-    if key[0].as_py() < 0:
-        pairs = np.concatenate([np.stack([np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)], 1) for a, b in zip(table["a"].to_pylist(), table["b"].to_pylist())])
-    else:
-        pairs, _, _ = _posted(*_read(table))
-    pairs = np.unique(pairs, axis=0)
-    return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+def _may_be_alike(n: np.ndarray, m: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets of ``n`` and ``m`` shingles can be alike if the first they share is at places ``i`` and ``j``."""
+    return np.minimum(n - i, m - j) >= similarity / (1 + similarity) * (n + m) - _SLACK
+
+
+def _join_posts(similarity: float):
+    """Pairs of small postings; of larger ones the pairs with the smallest id, and the entries for the second round."""
+
+    def run(key: tuple[pa.Scalar], table: pa.Table) -> pa.Table:
+        h, ids, sizes, places = (np.frombuffer(b"".join(table[c].to_pylist()), t) for c, t in (("hashes", np.int64), ("ids", np.int64), ("sizes", np.int32), ("places", np.int32)))
+        order = np.lexsort((ids, h))
+        h, ids, sizes, places = h[order], ids[order], sizes[order], places[order]
+        cuts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+        length = np.diff(np.append(cuts, len(h)))
+        pairs, large = [np.zeros((0, 2), np.int64)], np.zeros(len(h), bool)
+        for n in np.unique(length[length > 1]).tolist():
+            at = cuts[length == n][:, None]
+            if n <= SMALL:
+                a, b = np.triu_indices(n, 1)
+            else:
+                a, b = np.zeros(n - 1, np.int64), np.arange(1, n)
+                large[(at + np.arange(n)).ravel()] = True
+            x, y = np.broadcast_to(at + a, (len(at), len(a))).ravel(), (at + b).ravel()
+            x, y = (z[_may_be_alike(sizes[x], sizes[y], places[x], places[y], similarity)] for z in (x, y))
+            pairs.append(np.stack([ids[x], ids[y]], 1))
+        pairs = np.unique(np.concatenate(pairs), axis=0)
+        pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+        no = pa.nulls(len(pairs), pa.int64())
+        out = [pa.concat_arrays([x, pa.array(y)]) for x, y in zip((pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), no), (ids[large], np.zeros(large.sum(), np.int64), h[large]))]
+        more = [pa.concat_arrays([pa.nulls(len(pairs), pa.int32()), pa.array(x[large])]) for x in (sizes, places)]
+        return pa.table([*out, *more], names=["a", "b", "shingle", "n", "place"])
+
+    return run
+
+
+def _cross(similarity: float):
+    """All pairs of a posting that are not yet in one component and can be alike."""
+
+    def run(key: tuple[pa.Scalar], table: pa.Table) -> pa.Table:
+        order = np.argsort(table["n"].to_numpy(), kind="stable")
+        ids, roots, n, place = (table[c].to_numpy()[order] for c in ("id", "root", "n", "place"))
+        ends = np.searchsorted(n, n / similarity + _SLACK, "right")
+        out = [np.zeros((0, 2), np.int64)]
+        for k in range(len(ids) - 1):
+            at = np.arange(k + 1, ends[k])
+            at = at[(roots[at] != roots[k]) & _may_be_alike(n[k], n[at], place[k], place[at], similarity)]
+            if len(at):
+                out.append(np.stack([np.minimum(ids[at], ids[k]), np.maximum(ids[at], ids[k])], 1))
+        pairs = np.unique(np.concatenate(out), axis=0)
+        return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    return run
 
 
 def _shingles(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = []
-            for t in batch.column(1).cast(pa.binary()):
-                _, _, h = words((t.as_py() or b"").lower())
-                # fewer words than a shingle: the whole sequence
-                shingles = window_hashes(h, min(width, max(1, len(h))))
-                sets.append(np.unique(shingles >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes())
+            sets = [np.unique(_shingle_set(t.as_py(), width) >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes() for t in batch.column(1).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "shingles"])
 
     return run
@@ -285,27 +331,40 @@ def _alike(similarity: float):
     return run
 
 
+def _verified(rows: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Links that connect what the alike ones of ``pairs`` connect."""
+    asked = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    sets = durable(rows.join(asked, "id", "left_semi").select("id", "text").mapInArrow(_shingles(width), "id long, shingles binary"))
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+    return durable(both.select("a", "b", "x", "y").mapInArrow(_alike(similarity), "a long, b long"))
+
+
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """``id_col`` and ``component_id``: the smallest id reachable over pairs with Jaccard similarity of ``width``-word shingles.
 
-    Candidates come from the byte-position index over ``SEEDS`` SimHashes of distinct word pairs: entries are four
-    positional bytes, so a pair is tallied if its fingerprints share at least four of eight bytes, which holds whenever they
-    differ in four bits or fewer. Every candidate is verified on the shingle sets themselves (40-bit hashes). Equal texts
-    (A-Z lower-cased, words alone) are one entry. In postings of more than ``CROWD`` entries each meets the smallest
-    ``LEADERS`` ids. The index misses some pairs; the README gives the measured share. Texts of fewer words than a shingle
-    are one shingle; blank texts equal each other. Rows with a null id are left out; equal ids are one document.
+    Equal shingle sets are one entry. Sets of at least this similarity share one of their rarest shingles (so many that
+    the others are too few), in whatever order all shingles are taken, so postings of these miss no pair. In a posting of
+    more than ``SMALL`` entries each first meets the smallest id; then all entries that are not in one component yet meet
+    each other, however many. Pairs whose sizes and places in their sets rule the similarity out are passed over; every
+    other is verified on the shingle sets themselves (40-bit hashes). Texts of fewer words than a shingle are one
+    shingle; blank texts equal each other. Rows with a null id are left out; equal ids are one document.
     """
     spark = docs.sparkSession
     buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    known = durable(rows.mapInArrow(_profiles, "id long, whole long, fps array<long>"))
-    entries = durable(known.groupBy("whole").agg(F.min("id").alias("id"), F.any_value("fps").alias("fps")))
-    posted = entries.select("id", "fps").repartition(buckets // 2, "id").mapInArrow(_post(buckets), _MET_DDL)
-    pairs = durable(posted.groupBy("key").applyInArrow(_join_posts, "a long, b long").distinct())
-    asked = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = durable(rows.join(asked, "id", "left_semi").select("id", "text").mapInArrow(_shingles(width), "id long, shingles binary"))
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-    alike = both.select("a", "b", "x", "y").mapInArrow(_alike(similarity), "a long, b long")
-    roots = components(alike)
+    known = durable(rows.mapInArrow(_profiles(width, similarity, _sketch(rows, width)), "id long, whole long, n int, rare binary"))
+    entries = durable(known.groupBy("whole").agg(F.min("id").alias("id"), F.any_value("n").alias("n"), F.any_value("rare").alias("rare")))
+    posted = entries.select("id", "n", "rare").mapInArrow(_post(buckets), _POST_DDL)
+    met = durable(posted.groupBy("key").applyInArrow(_join_posts(similarity), "a long, b long, shingle long, n int, place int"))
+    pairs = durable(met.where("shingle is null").select("a", "b").distinct())
+    first = _verified(rows, pairs, width, similarity)
+    roots = components(first)
+    large = met.where("shingle is not null").select("shingle", F.col("a").alias("id"), "n", "place")
+    large = large.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    open_ = large.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("shingle")
+    rest = large.join(open_, "shingle").groupBy("shingle").applyInArrow(_cross(similarity), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
+    rest = durable(rest)
+    if not rest.isEmpty():
+        roots = components(first.unionByName(_verified(rows, rest, width, similarity)))
     least = entries.select("whole", "id").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("whole", F.coalesce("root", "id").alias("component_id"))
-    return known.join(least, "whole").select(F.col("id").alias(id_col), "component_id")
+    return known.select("id", "whole").join(least, "whole").select(F.col("id").alias(id_col), "component_id")
