@@ -50,7 +50,7 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The place of every piece of every document in sequences of at most 4096 tokens."""
+    """Every piece of every document with its token ids and its place in sequences of at most 4096 tokens."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

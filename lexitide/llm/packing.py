@@ -2,14 +2,14 @@
 
 Each task tokenises its documents, packs their pieces best-fit in decreasing order, and closes bins that are nearly
 full. Bins that stay underfull become items: nodes of a tree take those of ``FAN_IN`` tasks (then of as many nodes) and
-pack them best-fit again, round after round. Only bin numbers and lengths travel in these rounds; a node passes on at
+pack them best-fit again, round after round. Only bin numbers and lengths travel in these rounds, and the token ids stay
+with the bins of the first; a node passes on at
 most ``CARRY`` bins, the emptiest, and closes the others as they are, so that no task grows with the input.
 """
 
 from __future__ import annotations
 
 import os
-import zlib
 from array import array
 from collections.abc import Iterator
 
@@ -23,8 +23,9 @@ from lexitide.llm.tables import durable
 MAX_TOKENS, END_ID = 4096, 1
 NEARLY_FULL = 16
 FAN_IN, CARRY = 16, 20_000
-LOCAL_PIECES, CACHED_WORDS = 200_000, 300_000
-_PIECE = "doc_id: {id}, piece: int, start: bigint, length: bigint, ids_crc32: bigint"
+LOCAL_PIECES, LOCAL_TOKENS, CACHED_WORDS = 200_000, 16_000_000, 300_000
+BATCH_BINS = 500
+_PIECE = "doc_id: {id}, piece: int, start: bigint, length: bigint, ids: binary, within: bigint"
 _state: dict = {}
 
 
@@ -85,22 +86,28 @@ def best_fit(lengths: list[int], size: int) -> list[list[int]]:
 
 
 def _pack_documents(path: str, size: int, id_type: pa.DataType):
-    piece = pa.struct([("doc_id", id_type), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
+    piece = pa.struct([("doc_id", id_type), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("within", pa.int64())])
     schema = pa.schema([("bin", pa.int64()), ("node", pa.int64()), ("fill", pa.int64()), ("pieces", pa.list_(piece))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        node, made = TaskContext.get().partitionId(), 0
+        node, made, tokens = TaskContext.get().partitionId(), 0, 0
         held: list[tuple] = []
         end = array("I", [END_ID]).tobytes()
 
-        def flush() -> pa.RecordBatch:
-            nonlocal held, made
-            out = []
-            for own in best_fit([p[3] for p in held], size):
-                out.append(((node << 40) + made, node, sum(held[i][3] for i in own), [dict(zip(piece.names, held[i])) for i in own]))
-                made += 1
-            held = []
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal held, made, tokens
+            bins = best_fit([p[3] for p in held], size)
+            for at in range(0, len(bins), BATCH_BINS):
+                out = []
+                for own in bins[at : at + BATCH_BINS]:
+                    pieces, fill = [], 0
+                    for i in own:
+                        pieces.append(dict(zip(piece.names, (*held[i], fill))))
+                        fill += held[i][3]
+                    out.append(((node << 40) + made, node, fill, pieces))
+                    made += 1
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+            held, tokens = [], 0
 
         for batch in batches:
             docs, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())
@@ -109,11 +116,12 @@ def _pack_documents(path: str, size: int, id_type: pa.DataType):
                     ids += end
                     for k, a in enumerate(range(0, len(ids), 4 * size)):
                         part = ids[a : a + 4 * size]
-                        held.append((doc, k, a // 4, len(part) // 4, zlib.crc32(part)))
-            if len(held) >= LOCAL_PIECES:
-                yield flush()
+                        held.append((doc, k, a // 4, len(part) // 4, part))
+                    tokens += len(ids) // 4
+                if len(held) >= LOCAL_PIECES or tokens >= LOCAL_TOKENS:
+                    yield from flush()
         if held:
-            yield flush()
+            yield from flush()
 
     return run
 
@@ -134,7 +142,10 @@ def _pack_bins(size: int):
 
 
 def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", max_tokens: int = MAX_TOKENS) -> DataFrame:
-    """One row a piece: ``id_col``, ``piece``, ``start``, ``length``, ``ids_crc32``, ``sequence_id``, ``offset``.
+    """One row a piece: ``id_col``, ``piece``, ``start``, ``length``, ``ids``, ``ids_crc32``, ``sequence_id``, ``offset``.
+
+    ``ids`` are the piece's token ids, little-endian of 32 bits each; the pieces of a sequence in order of ``offset``,
+    joined, are the sequence. ``ids_crc32`` is their checksum.
 
     A document is its ids and then id 1; only documents above ``max_tokens`` are cut. A null or empty text is the one
     id 1. Repeated rows and rows with a null id are packed like any others. An empty table gives an empty result.
@@ -161,6 +172,6 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
         moved = moved.unionByName(more)
     before = F.expr("transform(sequence(1, size(parts)), i -> struct(parts[i - 1].bin as bin, aggregate(slice(parts, 1, i - 1), 0L, (a, p) -> a + p.fill) as base))")
     moved = moved.select(F.col("bin").alias("sequence_id"), F.explode(before).alias("part")).select("sequence_id", "part.*")
-    placed = bins.join(moved, "bin", "left").select(F.coalesce("sequence_id", "bin").alias("sequence_id"), F.coalesce("base", F.lit(0)).cast("long").alias("base"), F.expr("transform(pieces, (p, i) -> struct(p as p, aggregate(slice(pieces, 1, i), 0L, (a, q) -> a + q.length) as within))").alias("pieces"))
-    one = placed.select("sequence_id", "base", F.explode("pieces").alias("x"))
-    return one.select(F.col("x.p.doc_id").alias(id_col), "x.p.piece", "x.p.start", "x.p.length", "x.p.ids_crc32", "sequence_id", (F.col("base") + F.col("x.within")).alias("offset"))
+    placed = bins.join(moved, "bin", "left").select(F.coalesce("sequence_id", "bin").alias("sequence_id"), F.coalesce("base", F.lit(0)).cast("long").alias("base"), "pieces")
+    one = placed.select("sequence_id", "base", F.explode("pieces").alias("p"))
+    return one.select(F.col("p.doc_id").alias(id_col), "p.piece", "p.start", "p.length", "p.ids", F.crc32("p.ids").alias("ids_crc32"), "sequence_id", (F.col("base") + F.col("p.within")).alias("offset"))

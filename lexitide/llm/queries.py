@@ -59,8 +59,8 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place in 40 shards whose row counts are at most one apart."""
     text = F.coalesce("text", F.lit(""))
-    digest = _table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    return sharding.shard_rows(digest, 40).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    digest = ("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    return sharding.shard_rows(_table(spark, sf_dir, "documents"), 40).select(*digest, F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,8 +81,9 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every piece of every document in sequences of at most 4096 tokens."""
-    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    """Every piece of every document in sequences of at most 4096 tokens, with the checksum of its packed ids."""
+    packed = packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

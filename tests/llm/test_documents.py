@@ -4,6 +4,7 @@ import hashlib
 import math
 import zlib
 from collections import Counter
+from itertools import groupby
 
 import numpy as np
 import public_tokenizers
@@ -224,6 +225,40 @@ def test_packing(docs, none):
     assert packing.pack(none, path).count() == 0
 
 
+def test_packed_sequences_hold_the_ids(docs, monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    monkeypatch.setattr(packing, "LOCAL_TOKENS", 500)
+    monkeypatch.setattr(packing, "BATCH_BINS", 2)
+    out = packing.pack(docs, path).collect()
+    want = Counter(tuple(tokenizer.encode(r[1] or "", add_special_tokens=False).ids + [1]) for r in rows())
+    whole = Counter()
+    for _, own in groupby(sorted(out, key=lambda r: (r.sequence_id, r.offset)), key=lambda r: r.sequence_id):
+        own = list(own)
+        ids = np.frombuffer(b"".join(r.ids for r in own), "<u4").tolist()
+        assert len(ids) <= 4096
+        for r in own:
+            if r.start == 0 and r.length < 4096:
+                whole[tuple(ids[r.offset : r.offset + r.length])] += 1
+    assert whole == Counter({k: n for k, n in want.items() if len(k) < 4096})
+
+
+def test_whole_documents_are_sharded(spark, tmp_path, monkeypatch):
+    """The digest comes from the sharded rows, which hold the texts."""
+    from lexitide.llm import queries
+
+    table = spark.createDataFrame([(i, sentence(30, i), "en", "web", 1) for i in range(90)], "doc_id long, text string, lang string, source string, n_chars int")
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    seen = []
+    shard_rows = sharding.shard_rows
+    monkeypatch.setattr(sharding, "shard_rows", lambda rows, *a: seen.append(rows.columns) or shard_rows(rows, *a))
+    out = queries.op6_sharding(spark, str(tmp_path)).collect()
+    assert seen == [table.columns]
+    assert {r.doc_id: (r.size, r.text_crc32) for r in out} == {r.doc_id: (len(r.text) + 16, zlib.crc32(r.text.encode())) for r in table.collect()}
+
+
 @pytest.mark.parametrize("text", ["it's <|endoftext|>x a<|startoftext|>", "ǅ ΣΑΣ ΟΔΟΣ, I'LL é  nbsp\x1cfs", "日本語 テキスト 12345", "a b"])
 def test_words_encode_like_whole_texts(text):
     from tokenizers import Tokenizer
