@@ -1,65 +1,95 @@
 """Hierarchical residual best-fit packing of tokenised documents into sequences of bounded length.
 
 Each task tokenises its documents, packs their pieces best-fit in decreasing order, and closes bins that are nearly
-full. Bins that stay underfull become items: nodes of a tree take those of ``FAN_IN`` tasks (then of as many nodes) and
-pack them best-fit again, round after round. Only bin numbers and lengths travel in these rounds, and the token ids stay
-with the bins of the first; a node passes on at
-most ``CARRY`` bins, the emptiest, and closes the others as they are, so that no task grows with the input.
+full. Bins that stay underfull become items: in every round a node of a tree takes those of ``FAN_IN`` nodes of the round
+before and packs them best-fit again. A node holds about ``NODE_BINS`` bins: where more are left, a round has more nodes
+and deals the bins out anew, until a single node is left or a round saves hardly any bin. So no bin is given up for the
+size of a table, and no task grows with it. Only bin numbers and fills travel in these rounds; the token ids stay,
+compressed, with the pieces, and meet the result in one join.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from array import array
 from collections.abc import Iterator
+from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexitide.llm.tables import durable
+from lexitide.llm.words import expand, squeeze
 
 MAX_TOKENS, END_ID = 4096, 1
 NEARLY_FULL = 16
-FAN_IN, CARRY = 16, 20_000
+FAN_IN, NODE_BINS = 16, 50_000
+#: Rounds of several nodes end when one saves less than this share of its bins.
+LEAST_SAVING = 0.001
 LOCAL_PIECES, LOCAL_TOKENS, CACHED_WORDS = 200_000, 16_000_000, 300_000
-BATCH_BINS = 500
-_PIECE = "doc_id: {id}, piece: int, start: bigint, length: bigint, ids: binary, within: bigint"
+BATCH_PIECES = 2000
 _state: dict = {}
 
 
-def _encoder(path: str):
-    """The tokenizer and the ids of words met so far, kept by the worker process."""
+#: A word that normalisation leaves as it is and that is one run of letters, and marks after it, which are another run.
+_PLAIN = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([!-/:-@\[-`{-~]*)")
+#: Byte-level vocabularies write a byte that is no printable letter as the next free character from 256 on.
+_LETTERS = {b: chr(256 + b - 94 if b < 161 else 323 if b == 173 else b) for b in range(128, 256)}
+
+
+def _encoder(path: str) -> tuple:
+    """The tokenizer, and the ids of words met so far, kept by the worker process."""
     if _state.get("path") != path:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _state.update(path=path, tokenizer=Tokenizer.from_file(path), known={}, older={})
-    return _state["tokenizer"], _state["known"], _state["older"]
+        tokenizer = Tokenizer.from_file(path)
+        _state.update(path=path, tokenizer=tokenizer, model=tokenizer.model, known={}, older={})
+    return _state["tokenizer"], _state["model"], _state["known"], _state["older"]
+
+
+def _folded(text: bytes | None) -> bytes:
+    """The text with A-Z lower-cased, as the tokenizer does, but not if it may hold combining marks or special tokens."""
+    text = text or b""
+    return text if b"\xcc" in text or b"\xcd" in text or b"<|" in text else text.lower()
 
 
 def encode(texts: list[bytes | None], path: str) -> list[bytes]:
     """Little-endian 32-bit ids of each text. The tokenizer cuts at white space, so words are encoded once each.
 
+    It also cuts letters from marks, so a plain word is its letters, which the model takes as they are, and its marks.
     A worker keeps two generations of words it has met; words in use move to the younger one, others are forgotten.
     """
-    tokenizer, known, older = _encoder(path)
-    split = [(t or b"").split() for t in texts]
+    tokenizer, model, known, older = _encoder(path)
+    split = [_folded(t).split() for t in texts]
     if len(known) > CACHED_WORDS:
         known, older = {}, known
         _state.update(known=known, older=older)
-    new = []
+    rest, plain = [], []
     for w in set().union(*split).difference(known):
         ids = older.get(w)
-        if ids is None:
-            new.append(w)
-        else:
+        if ids is not None:
             known[w] = ids
-    for at in range(0, len(new), 10_000):
-        part = new[at : at + 10_000]
+        elif m := _PLAIN.fullmatch(w):
+            plain.append((w, m[1], m[2]))
+            if m[2] and m[2] not in known:
+                rest.append(m[2])
+        else:
+            rest.append(w)
+    for at in range(0, len(rest), 10_000):
+        part = rest[at : at + 10_000]
         for w, e in zip(part, tokenizer.encode_batch_fast([w.decode("utf-8") for w in part], add_special_tokens=False)):
             known[w] = array("I", e.ids).tobytes()
+    for w, letters, marks in plain:
+        ids = known.get(letters)
+        if ids is None:
+            ids = known[letters] = array("I", [t.id for t in model.tokenize(letters.decode() if letters.isascii() else letters.decode("latin-1").translate(_LETTERS))]).tobytes()
+        if marks:
+            known[w] = ids + known[marks]
     return [b"".join([known[w] for w in own]) for own in split]
 
 
@@ -86,27 +116,24 @@ def best_fit(lengths: list[int], size: int) -> list[list[int]]:
 
 
 def _pack_documents(path: str, size: int, id_type: pa.DataType):
-    piece = pa.struct([("doc_id", id_type), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("within", pa.int64())])
-    schema = pa.schema([("bin", pa.int64()), ("node", pa.int64()), ("fill", pa.int64()), ("pieces", pa.list_(piece))])
+    schema = pa.schema([("doc_id", id_type), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("bin", pa.int64()), ("within", pa.int64()), ("fill", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        node, made, tokens = TaskContext.get().partitionId(), 0, 0
+        first, made, tokens = TaskContext.get().partitionId() << 40, 0, 0
         held: list[tuple] = []
         end = array("I", [END_ID]).tobytes()
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal held, made, tokens
-            bins = best_fit([p[3] for p in held], size)
-            for at in range(0, len(bins), BATCH_BINS):
-                out = []
-                for own in bins[at : at + BATCH_BINS]:
-                    pieces, fill = [], 0
-                    for i in own:
-                        pieces.append(dict(zip(piece.names, (*held[i], fill))))
-                        fill += held[i][3]
-                    out.append(((node << 40) + made, node, fill, pieces))
-                    made += 1
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+            rows = []
+            for own in best_fit([p[3] for p in held], size):
+                within, fill = 0, sum(held[i][3] for i in own)
+                for i in own:
+                    rows.append((*held[i], first + made, within, None if within else fill))
+                    within += held[i][3]
+                made += 1
+            for at in range(0, len(rows), BATCH_PIECES):
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[at : at + BATCH_PIECES]), schema)], schema=schema)
             held, tokens = [], 0
 
         for batch in batches:
@@ -115,8 +142,8 @@ def _pack_documents(path: str, size: int, id_type: pa.DataType):
                 for doc, ids in zip(docs[at : at + 256], encode(texts[at : at + 256].to_pylist(), path)):
                     ids += end
                     for k, a in enumerate(range(0, len(ids), 4 * size)):
-                        part = ids[a : a + 4 * size]
-                        held.append((doc, k, a // 4, len(part) // 4, part))
+                        part = np.frombuffer(ids[a : a + 4 * size], np.uint32)
+                        held.append((doc, k, a // 4, len(part), squeeze(part, np.uint32)))
                     tokens += len(ids) // 4
                 if len(held) >= LOCAL_PIECES or tokens >= LOCAL_TOKENS:
                     yield from flush()
@@ -127,20 +154,30 @@ def _pack_documents(path: str, size: int, id_type: pa.DataType):
 
 
 def _pack_bins(size: int):
-    """A node's underfull bins become items; ``parts`` keeps what a bin consists of, in order."""
+    """A node's underfull bins become items; ``parts`` keeps which first bins a bin consists of and where they begin."""
 
     def run(key: tuple[pa.Scalar], table: pa.Table) -> pa.Table:
-        rows = sorted(zip(table["fill"].to_pylist(), table["parts"].to_pylist(), table["bin"].to_pylist()), key=lambda x: x[2])
-        out = [[rows[own[0]][2], key[0].as_py(), sum(rows[i][0] for i in own), [p for i in own for p in rows[i][1]], False] for own in best_fit([f for f, _, _ in rows], size)]
-        for b in sorted(out, key=lambda b: -b[2])[: max(0, len(out) - CARRY)]:
-            b[4] = True
-        part = pa.struct([("bin", pa.int64()), ("fill", pa.int64())])
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(part), pa.bool_()]
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["bin", "node", "fill", "parts", "closed"])
+        rows = sorted(zip(*(table[c].to_pylist() for c in ("bin", "fill", "parts"))), key=lambda x: x[0])
+        out = []
+        for own in best_fit([fill for _, fill, _ in rows], size):
+            parts, fill = [], 0
+            for i in own:
+                parts += [(p["bin"], p["base"] + fill) for p in rows[i][2]]
+                fill += rows[i][1]
+            out.append((rows[own[0]][0], fill, [{"bin": b, "base": base} for b, base in parts]))
+        kinds = [pa.int64(), pa.int64(), pa.list_(pa.struct([("bin", pa.int64()), ("base", pa.int64())]))]
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["bin", "fill", "parts"])
 
     return run
 
 
+def _expand_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        at = batch.schema.get_field_index("ids")
+        ids = pa.array([expand(x, n, np.uint32).tobytes() for x, n in zip(batch.column(at).to_pylist(), batch.column("length").to_pylist())], pa.binary())
+        yield batch.set_column(at, "ids", ids)
+
+
 def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", max_tokens: int = MAX_TOKENS) -> DataFrame:
     """One row a piece: ``id_col``, ``piece``, ``start``, ``length``, ``ids``, ``ids_crc32``, ``sequence_id``, ``offset``.
 
@@ -150,28 +187,28 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     A document is its ids and then id 1; only documents above ``max_tokens`` are cut. A null or empty text is the one
     id 1. Repeated rows and rows with a null id are packed like any others. An empty table gives an empty result.
     """
-    kind = docs.schema[id_col].dataType
     from pyspark.sql.pandas.types import to_arrow_type
 
-    piece = f"struct<{_PIECE.format(id=kind.simpleString())}>"
-    bins = durable(docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(_pack_documents(tokenizer_path, max_tokens, to_arrow_type(kind)), f"bin long, node long, fill long, pieces array<{piece}>"))
+    kind = docs.schema[id_col].dataType
+    made = f"doc_id {kind.simpleString()}, piece int, start long, length long, ids binary, bin long, within long, fill long"
+    pieces = durable(docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(_pack_documents(tokenizer_path, max_tokens, to_arrow_type(kind)), made))
     is_open = F.col("fill") < max_tokens - NEARLY_FULL
-    level = bins.where(is_open).select("bin", "node", "fill", F.array(F.struct("bin", "fill")).alias("parts"))
-    done = []
-    nodes = (bins.agg(F.max("node")).first()[0] or 0) + 1
-    while True:
-        nodes = -(-nodes // FAN_IN)
-        level = durable(level.withColumn("node", F.expr(f"node div {FAN_IN}")).groupBy("node").applyInArrow(_pack_bins(max_tokens), "bin long, node long, fill long, parts array<struct<bin: bigint, fill: bigint>>, closed boolean"))
-        closed = ~is_open | F.col("closed")
-        done.append(level if nodes == 1 else level.where(closed))
-        if nodes == 1:
+    level = pieces.where(is_open).select("bin", "fill", F.array(F.struct("bin", F.lit(0).cast("long").alias("base"))).alias("parts"))
+    nodes, left = level.agg(F.count_distinct(F.shiftright("bin", 40)), F.count("*")).first()
+    done, turn = [level.where(F.lit(False))], 0
+    while left:
+        turn, nodes = turn + 1, max(-(-nodes // FAN_IN), -(-left // NODE_BINS))
+        dealt = level.withColumn("node", F.pmod(F.xxhash64("bin", F.lit(turn)), F.lit(nodes)))
+        level = durable(dealt.groupBy("node").applyInArrow(_pack_bins(max_tokens), "bin long, fill long, parts array<struct<bin: bigint, base: bigint>>"))
+        now = level.count()
+        last = nodes == 1 or left - now < LEAST_SAVING * left and nodes == -(-left // NODE_BINS)
+        done.append(level if last else level.where(~is_open))
+        if last:
             break
-        level = level.where(~closed).drop("closed")
-    moved = done[0]
-    for more in done[1:]:
-        moved = moved.unionByName(more)
-    before = F.expr("transform(sequence(1, size(parts)), i -> struct(parts[i - 1].bin as bin, aggregate(slice(parts, 1, i - 1), 0L, (a, p) -> a + p.fill) as base))")
-    moved = moved.select(F.col("bin").alias("sequence_id"), F.explode(before).alias("part")).select("sequence_id", "part.*")
-    placed = bins.join(moved, "bin", "left").select(F.coalesce("sequence_id", "bin").alias("sequence_id"), F.coalesce("base", F.lit(0)).cast("long").alias("base"), "pieces")
-    one = placed.select("sequence_id", "base", F.explode("pieces").alias("p"))
-    return one.select(F.col("p.doc_id").alias(id_col), "p.piece", "p.start", "p.length", "p.ids", F.crc32("p.ids").alias("ids_crc32"), "sequence_id", (F.col("base") + F.col("p.within")).alias("offset"))
+        level = level.where(is_open)
+        left = level.count()
+    moved = reduce(DataFrame.unionByName, done).select(F.col("bin").alias("sequence_id"), F.explode("parts").alias("part")).select("sequence_id", "part.*")
+    offset = (F.coalesce("base", F.lit(0).cast("long")) + F.col("within")).alias("offset")
+    placed = pieces.join(moved, "bin", "left").select("doc_id", "piece", "start", "length", "ids", F.coalesce("sequence_id", "bin").alias("sequence_id"), offset)
+    out = placed.mapInArrow(_expand_ids, placed.schema)
+    return out.select(F.col("doc_id").alias(id_col), "piece", "start", "length", "ids", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")

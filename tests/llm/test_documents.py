@@ -230,8 +230,7 @@ def test_packed_sequences_hold_the_ids(docs, monkeypatch):
 
     path = public_tokenizers.path("word_bpe_49k.json")
     tokenizer = Tokenizer.from_file(path)
-    monkeypatch.setattr(packing, "LOCAL_TOKENS", 500)
-    monkeypatch.setattr(packing, "BATCH_BINS", 2)
+    monkeypatch.setattr(packing, "NODE_BINS", 3)
     out = packing.pack(docs, path).collect()
     want = Counter(tuple(tokenizer.encode(r[1] or "", add_special_tokens=False).ids + [1]) for r in rows())
     whole = Counter()
@@ -268,6 +267,28 @@ def test_words_encode_like_whole_texts(text):
     assert np.frombuffer(packing.encode([text.encode()], path)[0], "<u4").tolist() == want
 
 
+def test_packing_in_many_nodes(spark, monkeypatch):
+    """Bins above what a node holds are dealt out again, none is given up: as many sequences as a single node makes, nearly."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    table = spark.createDataFrame([(i, "the " * int(n)) for i, n in enumerate(RNG.integers(300, 3000, 400))], "doc_id long, text string").repartition(40)
+    one = packing.pack(table, path).agg(F.count_distinct("sequence_id"), F.sum("length")).first()
+    monkeypatch.setattr(packing, "NODE_BINS", 40)
+    out = packing.pack(table, path)
+    fills = [r[1] for r in out.groupBy("sequence_id").agg(F.sum("length")).collect()]
+    assert sum(fills) == one[1] and max(fills) <= 4096 and len(fills) <= 1.03 * one[0]
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_random_words_encode_like_whole_texts(seed):
+    from tokenizers import Tokenizer
+
+    rng, path = np.random.default_rng(seed), public_tokenizers.path("word_bpe_49k.json")
+    letters = list("aBcéÉßÑ×÷,.'s!12WΣσςİ» …ÿþÀ=ſK <|>") + ["\u0301", "\u030a", "\u0338", "\u00a0", "<|endoftext|>", "<|ENDOFTEXT|>"]
+    texts = ["".join(rng.choice(letters, rng.integers(0, 14))) for _ in range(300)]
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in packing.encode([t.encode() for t in texts], path)] == want
+
+
 def test_best_fit_fills_bins():
     bins = packing.best_fit([5, 5, 5, 3, 2, 10, 7], 10)
     assert sorted(sum(bins, [])) == list(range(7)) and len(bins) == 4
