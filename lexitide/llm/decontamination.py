@@ -1,8 +1,9 @@
 """Benchmark decontamination by canonical templates.
 
 Texts become templates: numbers, names and units give way to typed placeholders, other words are lower-cased. Windows of
-``WIDTH`` template tokens with at least ``LITERALS`` ordinary words are hash-joined with those of the benchmark, so that a
-question with other numbers and names is found too. Windows that lie on one diagonal (document position less item
+``WIDTH`` template tokens are hash-joined with those of the benchmark, so that a question with other numbers and names is
+found too. A window of fewer than ``LITERALS`` ordinary words would fit anything, so it keeps its numbers, names and units
+as they are. So does an item of fewer than ``WIDTH`` tokens, which is one window of its own length. Windows that lie on one diagonal (document position less item
 position) are one alignment; an alignment counts only if the slots agree: each value of the item stands for one value of
 the document, and the other way round.
 
@@ -19,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexitide.llm.words import _BASE, _BYTE, SLICE, joined, mix, powers, windows
+from lexitide.llm.tables import durable
+from lexitide.llm.words import _BASE, _BYTE, LONG_WORD, SLICE, digest, joined, mix, powers, windows
 
 WIDTH, LITERALS, ENOUGH = 8, 5, 13
 FILTER_BITS = 1 << 23
@@ -35,14 +37,17 @@ _STOP[list(b".!?:\n")] = True
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _NUMBER, _NAME, _UNIT = (np.uint64(x) for x in (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0x9B05688C2B3E6C1F))
-_FOUND = "doc: {id}, at: bigint, hash: bigint, slots: array<string>"
+_FOUND = "doc: {id}, at: bigint, width: int, hash: bigint, slots: array<string>"
 
 
 def _hashes(folded: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     up, down = powers(_BASE, len(folded))
     total = np.zeros(len(folded) + 1, np.uint64)
     np.cumsum(_BYTE[folded] * up[: len(folded)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts])
+    h = mix((total[ends] - total[starts]) * down[starts])
+    for k in np.flatnonzero(ends - starts > LONG_WORD):
+        h[k] = digest(folded[starts[k] : ends[k]].tobytes())
+    return h
 
 
 def _unit_hashes() -> np.ndarray:
@@ -54,8 +59,8 @@ def _unit_hashes() -> np.ndarray:
 _units = _unit_hashes()
 
 
-def template(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of tokens (runs of letters and digits), the hash of each in the template, and which are slots.
+def template(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of tokens (runs of letters and digits), the hash of each in the template and of each as it is, and which are slots.
 
     A token that begins with a digit is a number; one that begins with a capital and does not open a sentence is a name;
     a unit is one of ``UNITS`` after a number. A token longer than a slice of the data is cut.
@@ -80,20 +85,21 @@ def template(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
             unit = np.isin(h, _units)
             unit[1:] &= number[:-1]
             unit[0] = False
-            h = np.where(number, _NUMBER, np.where(unit, _UNIT, np.where(name, _NAME, h)))
-            out.append((s + at, e + at, h, number | name | unit))
+            kind = np.where(number, _NUMBER, np.where(unit, _UNIT, np.where(name, _NAME, h)))
+            out.append((s + at, e + at, kind, h, number | name | unit))
             before = bool(stops[-1] > stops[e[-1]])
         at = end
     if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool)
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def template_windows(rows: DataFrame, id_col: str, text_col: str, width: int, literals: int, allowed: np.ndarray | None = None) -> DataFrame:
-    """``doc``, ``at`` (token number), ``hash``, ``slots`` of the windows of each text with enough ordinary words.
+def template_windows(rows: DataFrame, id_col: str, text_col: str, widths: list[int], literals: int, allowed: np.ndarray | None = None) -> DataFrame:
+    """``doc``, ``at`` (token number), ``width``, ``hash``, ``slots`` of the windows of each text.
 
-    Slots are the texts of all tokens of the window that are placeholders, null for ordinary words. ``allowed`` is a
-    bitmap of hashes.
+    Of a benchmark (``allowed`` not given) a text has windows of the largest width, or the whole of a shorter text is one
+    window. Of documents all windows of all ``widths`` are taken whose hash is in the bitmap ``allowed``. Slots are the
+    texts of all tokens of the window that are placeholders, null for ordinary words.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,18 +111,23 @@ def template_windows(rows: DataFrame, id_col: str, text_col: str, width: int, li
                     size += len(texts[end].as_py() or b"")
                     end += 1
                 data, bounds = joined(texts[at:end].to_pylist())
-                starts, ends, h, slot = template(data)
+                starts, ends, h, own, slot = template(data)
                 first = np.searchsorted(starts, bounds)
-                where, hashes = windows(h, first, width)
-                count = np.concatenate(([0], np.cumsum(~slot)))
-                keep = count[where + width] - count[where] >= literals
-                if allowed is not None:
-                    bit = hashes & np.uint64(FILTER_BITS - 1)
-                    keep &= (allowed[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
-                where, hashes = where[keep], hashes[keep]
-                whose = np.searchsorted(first, where, "right") - 1
-                slots = [[data[starts[k] : ends[k]].decode("utf-8", "replace") if slot[k] else None for k in range(w, w + width)] if slot[w : w + width].any() else [] for w in where.tolist()]
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(whose + at)), pa.array(where - first[whose]), pa.array(hashes.view(np.int64)), pa.array(slots, pa.list_(pa.string()))], names=["doc", "at", "hash", "slots"])
+                ordinary = np.concatenate(([0], np.cumsum(~slot)))
+                for width in widths:
+                    where, hashes = windows(h, first, width)
+                    _, exact = windows(own, first, width)
+                    poor = (ordinary[where + width] - ordinary[where] < literals) | (width < WIDTH)
+                    hashes = mix(np.where(poor, exact ^ _NUMBER, hashes) + np.uint64(width))
+                    whose = np.searchsorted(first, where, "right") - 1
+                    if allowed is not None:
+                        bit = hashes & np.uint64(FILTER_BITS - 1)
+                        keep = (allowed[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
+                    else:
+                        keep = (first[whose + 1] - first[whose] == width) | (width == max(widths))
+                    where, hashes, whose = where[keep], hashes[keep], whose[keep]
+                    slots = [[data[starts[k] : ends[k]].decode("utf-8", "replace") if slot[k] else None for k in range(w, w + width)] if slot[w : w + width].any() else [] for w in where.tolist()]
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(whose + at)), pa.array(where - first[whose]), pa.array(np.full(len(where), width, np.int32)), pa.array(hashes.view(np.int64)), pa.array(slots, pa.list_(pa.string()))], names=["doc", "at", "width", "hash", "slots"])
                 at = end
 
     kind = rows.schema[id_col].dataType.simpleString()
@@ -127,25 +138,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """``id_col``, ``item_col``, ``matched`` and ``item_tokens``, ``first_token`` and ``last_token`` (of the document), ``changed`` (slots differ).
 
     One row for each document and item with a consistent alignment that covers at least 13 tokens of the item, or half
-    of a shorter item's tokens. The best alignment is given. Null and empty texts have no windows; items of fewer than
-    eight tokens are too short to be told from chance and are not searched. Rows with a null id take no part; rows of
-    one id are one document. Empty tables give an empty result.
+    of a shorter item's tokens, or all of an item of fewer than eight tokens. The best alignment is given. Null and empty
+    texts have no windows. Of an item id with several texts each is searched. Rows with a null id take no part; rows of
+    one document id are one document. Empty tables give an empty result.
     """
-    spark = docs.sparkSession
-    items = benchmark.where(F.col(item_col).isNotNull()).groupBy(item_col).agg(F.min(item_text_col).alias("__text"))
-    asked = template_windows(items, item_col, "__text", width, LITERALS)
+    text = F.col(item_text_col).cast("string")
+    items = benchmark.where(F.col(item_col).isNotNull() & text.isNotNull()).select(F.struct(F.col(item_col).alias("item"), F.xxhash64(text).alias("variant")).alias("__id"), text.alias("__text")).dropDuplicates(["__id"])
+    asked = durable(template_windows(items, "__id", "__text", list(range(1, width + 1)), LITERALS))
     bit = F.col("hash").bitwiseAND(FILTER_BITS - 1)
     bits = np.zeros(FILTER_BITS // 64, np.uint64)
-    for word, mask in asked.select(F.shiftright(bit, 6).alias("w"), F.expr(f"shiftleft(1L, cast(hash & 63 as int))").alias("m")).groupBy("w").agg(F.bit_or("m")).collect():  # at most FILTER_BITS / 64 rows
+    for word, mask in asked.select(F.shiftright(bit, 6).alias("w"), F.expr("shiftleft(1L, cast(hash & 63 as int))").alias("m")).groupBy("w").agg(F.bit_or("m")).collect():  # at most FILTER_BITS / 64 rows
         bits[word] = mask & (1 << 64) - 1
-    found = template_windows(docs.where(F.col(id_col).isNotNull()), id_col, text_col, width, LITERALS, bits)
-    total = asked.groupBy("doc").agg((F.max("at") + width).alias("item_tokens"))
-    met = found.join(asked.select(F.col("doc").alias("item"), F.col("at").alias("item_at"), "hash", F.col("slots").alias("asked")), "hash")
-    pairs = met.select("doc", "item", (F.col("at") - F.col("item_at")).alias("diagonal"), "at", F.expr("array_distinct(filter(transform(slots, (s, i) -> struct(asked[i] as old, s as new)), p -> p.new is not null))").alias("pairs"))
-    aligned = pairs.distinct().groupBy("doc", "item", "diagonal").agg(F.array_sort(F.collect_set("at")).alias("ats"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))  # as many windows as an item has
+    widths = sorted(r.width for r in asked.select("width").distinct().collect())  # at most ``width`` rows
+    found = template_windows(docs.where(F.col(id_col).isNotNull()), id_col, text_col, widths, LITERALS, bits)
+    total = asked.groupBy(F.col("doc").alias("item")).agg(F.max(F.col("at") + F.col("width")).alias("item_tokens"))
+    met = found.join(asked.select(F.col("doc").alias("item"), F.col("at").alias("item_at"), "width", "hash", F.col("slots").alias("asked")), ["hash", "width"])
+    pairs = met.select("doc", "item", "width", (F.col("at") - F.col("item_at")).alias("diagonal"), "at", F.expr("array_distinct(filter(transform(slots, (s, i) -> struct(asked[i] as old, s as new)), p -> p.new is not null))").alias("pairs"))
+    aligned = pairs.distinct().groupBy("doc", "item", "width", "diagonal").agg(F.array_sort(F.collect_set("at")).alias("ats"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))  # as many windows as an item has
     agreeing = aligned.where("size(pairs) = size(array_distinct(pairs.old)) and size(pairs) = size(array_distinct(pairs.new))")
-    covered = F.expr(f"aggregate(ats, struct(0L as n, -1L as upto), (a, x) -> struct(a.n + x + {width} - greatest(x, a.upto) as n, x + {width} as upto), a -> a.n)")
-    scored = agreeing.select("doc", "item", covered.alias("matched"), F.element_at("ats", 1).alias("first_token"), (F.element_at("ats", -1) + width - 1).alias("last_token"), F.exists("pairs", lambda p: ~p.old.eqNullSafe(p.new)).alias("changed"))
-    enough = scored.join(total.withColumnRenamed("doc", "item"), "item").where(f"matched >= least({ENOUGH}, item_tokens / 2)")
-    best = enough.groupBy("doc", "item").agg(F.max_by(F.struct("matched", "item_tokens", "first_token", "last_token", "changed"), F.struct("matched", -F.col("first_token"))).alias("x"))
+    covered = F.expr("aggregate(ats, struct(0L as n, -1L as upto), (a, x) -> struct(a.n + x + width - greatest(x, a.upto) as n, x + width as upto), a -> a.n)")
+    scored = agreeing.select("doc", "item", covered.alias("matched"), F.element_at("ats", 1).alias("first_token"), (F.element_at("ats", -1) + F.col("width") - 1).alias("last_token"), F.exists("pairs", lambda p: ~p.old.eqNullSafe(p.new)).alias("changed"))
+    enough = scored.join(total, "item").where(f"matched >= least({ENOUGH}, item_tokens / 2)").withColumn("item", F.col("item.item"))
+    best = enough.groupBy("doc", "item").agg(F.max_by(F.struct("matched", "item_tokens", "first_token", "last_token", "changed"), F.struct("matched", ~F.col("changed"), -F.col("first_token"))).alias("x"))
     return best.select(F.col("doc").alias(id_col), F.col("item").alias(item_col), "x.*")

@@ -44,7 +44,11 @@ def _fingerprint(text: bytes | None, width: int) -> int:
         ends = np.cumsum(np.fromiter(map(len, own), np.int64, len(own)) + 1)
         starts = np.concatenate(([0], ends[:-1]))
         values = [hashed(line[a:b], 42) for a, b in zip(starts[: len(own) - width + 1].tolist(), (ends[width - 1 :] - 1).tolist())]
-    h = np.array(values, np.uint64)
+    return _majority(np.array(values, np.uint64))
+
+
+def _majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     counts = np.zeros(64, np.int64)
     for at in range(0, len(h), 255 * 256):  # sums of 255 rows fit a byte
         part = h[at : at + 255 * 256]
@@ -200,21 +204,22 @@ def _sketch(rows: DataFrame, width: int) -> bytes:
 
 
 def _profiles(width: int, similarity: float, sketch: bytes):
-    """A hash of the shingle set, its size, and its rarest shingles: two alike sets share one of these at least."""
+    """A hash of the shingle set, its fingerprint and size, and its rarest shingles: two alike sets share one of these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = expand(sketch, 1 << SKETCH_BITS, np.uint16)
         for batch in batches:
-            whole, sizes, rare = [], [], []
+            whole, fps, sizes, rare = [], [], [], []
             for t in batch.column(1).cast(pa.binary()):
                 h = _shingle_set(t.as_py(), width)
                 n = len(h)
                 first = n - ceil(similarity * n - _SLACK) + 1
                 whole.append(xxhash.xxh64_intdigest(h.tobytes(), 7))
+                fps.append(_majority(h) if n else 0)
                 sizes.append(n)
                 rare.append(h[np.lexsort((h, counts[h >> np.uint64(64 - SKETCH_BITS)]))[:first]].tobytes())
-            kinds = [pa.array(np.array(whole, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(rare, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *kinds], names=["id", "whole", "n", "rare"])
+            kinds = [*(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (whole, fps)), pa.array(sizes, pa.int32()), pa.array(rare, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *kinds], names=["id", "whole", "fp", "n", "rare"])
 
     return run
 
@@ -339,10 +344,19 @@ def _verified(rows: DataFrame, pairs: DataFrame, width: int, similarity: float)
     return durable(both.select("a", "b", "x", "y").mapInArrow(_alike(similarity), "a long, b long"))
 
 
+def _near_fingerprints(entries: DataFrame) -> DataFrame:
+    """Pairs of ids that connect all entries whose fingerprints differ in at most two bits, by the byte-position index."""
+    first = durable(entries.groupBy("fp").agg(F.min("id").alias("id")))
+    equal = entries.join(first.select("fp", F.col("id").alias("a")), "fp").where("a <> id").select("a", F.col("id").alias("b"))
+    near = links(first.select("fp")).join(first.select(F.col("fp").alias("a"), F.col("id").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("id").alias("y")), "b")
+    return equal.unionByName(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+
+
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """``id_col`` and ``component_id``: the smallest id reachable over pairs with Jaccard similarity of ``width``-word shingles.
 
-    Equal shingle sets are one entry. Sets of at least this similarity share one of their rarest shingles (so many that
+    Equal shingle sets are one entry. Entries whose SimHash fingerprints link by the byte-position index meet first. Two
+    bits are far fewer than alike sets may differ in, so the index alone misses pairs. Sets of at least this similarity share one of their rarest shingles (so many that
     the others are too few), in whatever order all shingles are taken, so postings of these miss no pair. In a posting of
     more than ``SMALL`` entries each first meets the smallest id; then all entries that are not in one component yet meet
     each other, however many. Pairs whose sizes and places in their sets rule the similarity out are passed over; every
@@ -352,11 +366,11 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     spark = docs.sparkSession
     buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    known = durable(rows.mapInArrow(_profiles(width, similarity, _sketch(rows, width)), "id long, whole long, n int, rare binary"))
-    entries = durable(known.groupBy("whole").agg(F.min("id").alias("id"), F.any_value("n").alias("n"), F.any_value("rare").alias("rare")))
+    known = durable(rows.mapInArrow(_profiles(width, similarity, _sketch(rows, width)), "id long, whole long, fp long, n int, rare binary"))
+    entries = durable(known.groupBy("whole").agg(F.min("id").alias("id"), *[F.any_value(c).alias(c) for c in ("fp", "n", "rare")]))
     posted = entries.select("id", "n", "rare").mapInArrow(_post(buckets), _POST_DDL)
     met = durable(posted.groupBy("key").applyInArrow(_join_posts(similarity), "a long, b long, shingle long, n int, place int"))
-    pairs = durable(met.where("shingle is null").select("a", "b").distinct())
+    pairs = durable(met.where("shingle is null").select("a", "b").unionByName(_near_fingerprints(entries.select("fp", "id"))).distinct())
     first = _verified(rows, pairs, width, similarity)
     roots = components(first)
     large = met.where("shingle is not null").select("shingle", F.col("a").alias("id"), "n", "place")

@@ -111,13 +111,13 @@ def _cut(width: int, keep: list[str]):
         hashes, ids = _read(answers)
         order = np.argsort(ids, kind="stable")
         hashes, ids = hashes[order], ids[order]
-        out: dict[str, list] = {k: [] for k in ("n_words", "starts", "ends", "kept")}
+        out: dict[str, list] = {k: [] for k in ("n_words", "starts", "ends", "kept", "rest")}
         for doc, text in zip(texts["__row_id"].to_pylist(), texts["__row_text"].cast(pa.binary()).to_pylist()):
             own = (text or b"").split()
             a, b = (np.searchsorted(ids, [doc, doc + 1]) if doc is not None and doc < 2**63 - 1 else (np.searchsorted(ids, doc), len(ids)) if doc is not None else (0, 0))
-            starts, ends = [], []
+            starts, ends, rest = [], [], None
             if b > a and len(own) >= width:
-                _, _, h = words(text)
+                begin, _, h = words(text)
                 cut = np.flatnonzero(np.isin(_all(h, width), hashes[a:b]))
                 if len(cut):
                     breaks = np.flatnonzero(np.diff(cut) > width)
@@ -125,10 +125,13 @@ def _cut(width: int, keep: list[str]):
                     ends = (cut[np.concatenate((breaks, [len(cut) - 1]))] + width).tolist()
                     edges = [0, *(x for pair in zip(starts, ends) for x in pair), len(own)]
                     kept = [w for i in range(0, len(edges), 2) for w in own[edges[i] : edges[i + 1]]]
-            for k, v in (("n_words", len(own)), ("starts", starts), ("ends", ends), ("kept", b" ".join(kept if starts else own))):
+                    place = np.append(begin, len(text)).tolist()  # words go with the white space after them
+                    bounds = [0, *(place[x] for x in edges[1:-1]), len(text)]
+                    rest = b"".join(text[bounds[i] : bounds[i + 1]] for i in range(0, len(bounds), 2))
+            for k, v in (("n_words", len(own)), ("starts", starts), ("ends", ends), ("kept", b" ".join(kept if starts else own)), ("rest", rest)):
                 out[k].append(v)
         kinds = {"n_words": pa.int64(), "starts": pa.list_(pa.int64()), "ends": pa.list_(pa.int64())}
-        return pa.table({**{c: texts[c] for c in ("__row_id", *keep)}, **{k: pa.array(out[k], t) for k, t in kinds.items()}, "kept": pa.array(out["kept"], pa.binary()).cast(pa.string())})
+        return pa.table({**{c: texts[c] for c in ("__row_id", *keep)}, **{k: pa.array(out[k], t) for k, t in kinds.items()}, **{k: pa.array(out[k], pa.binary()).cast(pa.string()) for k in ("kept", "rest")}})
 
     return run
 
@@ -155,6 +158,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sent = long_enough.select("__row_id", "__row_text").mapInArrow(_hash_windows(width, buckets, groups), _SENT)
     answers = sent.groupBy("key").applyInArrow(_meet(buckets, groups), _SENT)
     keyed = rows.withColumn("__group", F.expr(f"cast(pmod(xxhash64(__row_id), {groups}) as int)"))  # as _groups
-    kinds = StructType([StructField("__row_id", LongType()), *(docs.schema[c] for c in keep), *StructType.fromDDL("n_words long, starts array<long>, ends array<long>, kept string")])
+    kinds = StructType([StructField("__row_id", LongType()), *(docs.schema[c] for c in keep), *StructType.fromDDL("n_words long, starts array<long>, ends array<long>, kept string, rest string")])
     cut = keyed.groupBy("__group").cogroup(answers.groupBy("key")).applyInArrow(_cut(width, list(keep)), kinds)
     return cut.withColumnRenamed("__row_id", id_col)

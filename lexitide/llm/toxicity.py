@@ -1,7 +1,7 @@
 """Toxic spans and document scores from a linear-chain conditional random field.
 
 Learning, on the driver, from a bounded sample of labelled documents (``TOXIC_ROWS`` and ``CLEAN_ROWS``, taken by a hash of
-the id, equal texts once): features (a word, its beginnings, its endings) that separate toxic from clean documents label
+the id, equal texts once, texts of at most ``LEARNED_BYTES``): features (a word, its beginnings, its endings) that separate toxic from clean documents label
 tokens of toxic documents; the field's weights and transitions are then fitted to these labelled tokens by gradient steps
 over forward-backward marginals, and a logistic curve over summaries of the marginals is fitted to the document labels.
 
@@ -22,12 +22,12 @@ from pyspark.sql import types as T
 
 from lexitide.llm.words import _BASE, _BYTE, SLICE, joined, mix, powers
 
-TOXIC_ROWS, CLEAN_ROWS = 500, 1000
+TOXIC_ROWS, CLEAN_ROWS, LEARNED_BYTES = 500, 2000, 1 << 16
 BITS, SEGMENT, STEPS, DECAY = 18, 64, 25, 0.1
 BEGINNINGS, ENDINGS = (3, 4, 5, 6, 7), (3, 4, 5)
 KINDS = 1 + len(BEGINNINGS) + len(ENDINGS)
-#: Least likelihood ratio statistic (twice the log) of a feature that labels tokens; also this share of the number of toxic texts.
-CLEAR, CLEAR_SHARE = 20.0, 0.08
+#: Least likelihood ratio statistic (twice the log) of a feature that labels tokens, whatever the size of the sample.
+CLEAR = 20.0
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
@@ -178,7 +178,7 @@ def _labelled(kinds: np.ndarray, first: np.ndarray, toxic: np.ndarray) -> np.nda
     p, all_of = counts.sum(0) / totals.sum(), counts.sum(0)
     with np.errstate(divide="ignore", invalid="ignore"):
         ratio = 2 * sum(np.nan_to_num(c * np.log(c / (t * p))) + np.nan_to_num((t - c) * np.log((t - c) / (t * (1 - p)))) for c, t in zip(counts, totals))
-    clear = (ratio >= max(CLEAR, CLEAR_SHARE * totals[1])) & (counts[1] / totals[1] > 8 * (counts[0] + 0.5) / (totals[0] + 1)) & (all_of > 0)
+    clear = (ratio >= CLEAR) & (counts[1] / totals[1] > 8 * (counts[0] + 0.5) / (totals[0] + 1)) & (all_of > 0)
     return (clear[kinds].any(1) & (toxic[whose] == 1)).astype(np.float64)
 
 
@@ -221,21 +221,22 @@ def train(texts: list[bytes], toxic: np.ndarray, share: float | None = None, ste
     for _ in range(25):  # Newton's steps with a small ridge
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         w += np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(4), x.T @ (toxic - p) - 0.1 * w)
-    if share and 0 < share < 1 and 0 < toxic.mean() < 1:
+    if share and len(texts) and 0 < share < 1 and 0 < toxic.mean() < 1:
         w[0] += np.log(share / (1 - share)) - np.log(toxic.mean() / (1 - toxic.mean()))
     model.curve[1:] = w
     return model
 
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[list[bytes], np.ndarray, float | None]:
-    """At most TOXIC_ROWS and CLEAN_ROWS labelled documents by a hash of the id; equal texts once, nulls left out.
+    """At most TOXIC_ROWS and CLEAN_ROWS labelled documents by a hash of the id; equal texts once, nulls and texts above
+    LEARNED_BYTES left out, so that what the driver learns from is bounded in bytes too.
 
     Also the share of toxic ones among all labelled ids. An id with several labels is toxic if one of them is.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).alias("__label"))
     ranked = known.orderBy(F.xxhash64(id_col), id_col)
     ids = ranked.where("__label = 1").limit(TOXIC_ROWS).unionByName(ranked.where("__label = 0").limit(CLEAN_ROWS))
-    rows = docs.where(F.col(text_col).isNotNull()).join(F.broadcast(ids), id_col).select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t"), F.col("__label").cast("int").alias("y")).toLocalIterator()  # ids: a bounded number
+    rows = docs.where(F.octet_length(text_col) <= LEARNED_BYTES).join(F.broadcast(ids), id_col).select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t"), F.col("__label").cast("int").alias("y")).toLocalIterator()  # ids: a bounded number
     unlike = {bytes(r.t): r.y for r in sorted(rows, key=lambda r: r.id)}
     return list(unlike), np.array(list(unlike.values()), np.int64), known.agg(F.avg("__label")).first()[0]
 
@@ -271,8 +272,11 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str]
                 for i in range(end - at):
                     own = np.flatnonzero(bad[first[i] : first[i + 1]]) + first[i]
                     found: list[dict] = []
-                    for part in np.split(own, np.flatnonzero(np.diff(own) > 1) + 1) if len(own) else ():
-                        found.append({k: len(data[bounds[i] : x].decode("utf-8", "replace")) for k, x in (("start", starts[part[0]]), ("end", ends[part[-1]]))})
+                    if len(own):
+                        raw = np.frombuffer(data, np.uint8, bounds[i + 1] - bounds[i], bounds[i])
+                        chars = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))  # characters before each byte
+                        for part in np.split(own, np.flatnonzero(np.diff(own) > 1) + 1):
+                            found.append({"start": int(chars[starts[part[0]] - bounds[i]]), "end": int(chars[ends[part[-1]] - bounds[i]])})
                     spans.append(found)
                 at = end
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))

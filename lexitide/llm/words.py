@@ -1,7 +1,8 @@
 """Vectorised words and hashes of many texts at once; small helpers that run inside Spark's Arrow tasks.
 
 A word is a run of bytes outside ``\\x20`` and ``\\x09``-``\\x0D``, which is what ``bytes.split()`` yields.
-Hashes are polynomial (Rabin-Karp) hashes modulo 2**64 over a random byte table, finished with a mixer.
+Hashes are polynomial (Rabin-Karp) hashes modulo 2**64 over a random byte table, finished with a mixer. Modulo a power of
+two there are pairs of long words with equal hashes for every base, so words above ``LONG_WORD`` bytes have a digest instead.
 They do not depend on the process, so a task that is run again gives the same values.
 """
 
@@ -13,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 SLICE = 1 << 20
-LONG_WORD = 4096
+LONG_WORD = 32
 
 _rng = np.random.Generator(np.random.PCG64(20240501))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -75,12 +76,12 @@ def words(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             if begin > at:
                 end = begin
             else:
-                out.append((np.array([at]), np.array([end]), np.array([_digest(data[at:end])], np.uint64)))
+                out.append((np.array([at]), np.array([end]), np.array([digest(data[at:end])], np.uint64)))
                 at = end
                 continue
         s, e, h = _slice_words(data[at:end])
         for k in np.flatnonzero(e - s > LONG_WORD):
-            h[k] = _digest(data[at + s[k] : at + e[k]])
+            h[k] = digest(data[at + s[k] : at + e[k]])
         out.append((s + at, e + at, h))
         at = end
     if not out:
@@ -88,7 +89,7 @@ def words(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def _digest(word: bytes) -> int:
+def digest(word: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import re
 import zlib
 from collections import Counter
 from itertools import groupby
@@ -109,6 +110,20 @@ def rooted(fps):
     return [find(x) for x in range(len(fps))]
 
 
+def test_long_words_with_equal_polynomial_hashes(spark):
+    """Thue-Morse words have equal polynomials modulo powers of two."""
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    texts = [" ".join([*"abcdefghijkl", w]) for w in (one, one.translate(str.maketrans("ab", "ba")), one)]
+    out = {r.doc_id: r.kept for r in substring_dedup.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert out == {0: texts[0], 1: texts[1], 2: ""}
+
+
+def test_what_is_left_of_a_text_keeps_its_lines(spark):
+    passage = sentence(20, 77)
+    table = spark.createDataFrame([(1, passage), (2, f"first line\n\n{passage}\n\nlast  line\n"), (3, f" {passage}"), (4, "a\nb")], "doc_id long, text string")
+    assert {r.doc_id: r.rest for r in substring_dedup.remove_repeats(table).collect()} == {1: None, 2: "first line\n\nlast  line\n", 3: " ", 4: None}
+
+
 def test_simhash(docs, none):
     all_of = listed()
     fps = [fingerprint(t) for _, t in all_of]
@@ -305,6 +320,62 @@ def test_decontamination(spark, none):
     assert decontamination.contaminated(none, bench).count() == 0 and decontamination.contaminated(table, bench.where("false")).count() == 0
 
 
+def test_decontamination_of_odd_items(spark):
+    """Short items, items of numbers only, and each text of an item id."""
+    bench = spark.createDataFrame([(1, "What is left"), (2, "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15"), (3, sentence(30, 1)), (3, sentence(30, 2))], "item_id long, text string")
+    table = spark.createDataFrame([(1, "so what is left of it"), (2, "what was left"), (3, "x 1 2 3 4 5 6 7 8 9 10 11 12 13 14 15"), (4, "9 9 9 9 9 9 9 9 9 9 9 9 9 9 9"), (5, sentence(30, 1)), (6, sentence(30, 2)), (7, sentence(30, 3))], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontamination.contaminated(table, bench).collect()} == {(1, 1), (3, 2), (5, 3), (6, 3)}
+
+
+def leaks(docs, items, width=8, literals=5):
+    """Decontamination by comparing all windows of all pairs of texts."""
+
+    def tokens(text):
+        out, end = [], None
+        for m in re.finditer(r"[0-9A-Za-z\u0080-\U0010ffff]+", text):
+            w, opens = m[0], end is None or any(c in ".!?:\n" for c in text[end : m.start()])
+            kind = "#" if w[0].isdigit() else "%" if out and out[-1][1] == "#" and w.lower() in decontamination.UNITS else "@" if w[0].isupper() and not opens else ""
+            out.append((w, kind))
+            end = m.end()
+        return out
+
+    def window(own):
+        exact = len(own) < width or sum(not k for _, k in own) < literals
+        return exact, tuple(w.lower() if exact or not k else k for w, k in own)
+
+    found = {}
+    for d, text in docs:
+        for i, item in items:
+            a, b = tokens(text or ""), tokens(item or "")
+            n = min(width, len(b))
+            met = {}
+            for x in range(len(a) - n + 1 if n else 0):
+                for y in range(len(b) - n + 1):
+                    if window(a[x : x + n]) == window(b[y : y + n]):
+                        met.setdefault(x - y, []).append((x, y))
+            for places in met.values():
+                pairs = {(b[y + k][0] if b[y + k][1] else None, a[x + k][0]) for x, y in places for k in range(n) if a[x + k][1]}
+                covered = len({x + k for x, _ in places for k in range(n)})
+                if len({o for o, _ in pairs}) == len({v for _, v in pairs}) == len(pairs) and covered >= min(13, len(b) / 2):
+                    key = (covered, not any(o != v for o, v in pairs), -min(x for x, _ in places))
+                    found[d, i] = max(found.get((d, i), key), key)
+    return found
+
+
+def test_decontamination_against_brute_force(spark):
+    rng = np.random.default_rng(11)
+    pool = "the a buys sells has finds . . 3 4 17 Ann Bob Eve km days one two".split()
+    items = [(k % 17, " ".join(rng.choice(pool, rng.integers(1, 26)))) for k in range(25)] + [(30, None), (31, "")]
+    texts = []
+    for k in range(70):
+        own = [*rng.choice(pool, rng.integers(0, 12)), *(items[k % 25][1].split()), *rng.choice(pool, rng.integers(0, 12))]
+        swap = dict(zip(["3", "4", "Ann", "Bob"], rng.permutation(["3", "4", "17", "99"])[:2].tolist() + rng.permutation(["Ann", "Bob", "Tom"])[:2].tolist())) if k % 3 else {}
+        texts.append((k, " ".join(swap.get(w, w) for w in own)))
+    found = decontamination.contaminated(spark.createDataFrame(texts, "doc_id long, text string").repartition(5), spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = {(r.doc_id, r.item_id): (r.matched, not r.changed, -r.first_token) for r in found}
+    assert got == leaks(texts, items) and len(got) > 60
+
+
 def test_language_model(docs, none, spark):
     corpus = spark.createDataFrame([(i, " ".join(("the cat sat on a mat . " if i % 2 else "le chat est sur un tapis , ") for _ in range(5)) + f"name{i}") for i in range(300)], "doc_id long, text string")
     train, held = corpus.where("doc_id % 5 <> 1"), corpus.where("doc_id % 5 = 1")

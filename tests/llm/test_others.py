@@ -118,3 +118,27 @@ def test_pipeline_stages(spark, tmp_path):
     assert not any(b in " ".join((t or "").split()) for b in benchmark for t in after.values())
     placed = corpus_pipeline.run(spark, SF)
     assert placed.select("doc_id").distinct().count() == len(after)
+
+
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    """Nulls, empty, blank and very long texts, ties, repeated rows, and columns with the operators' own names."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    words = lambda n, seed: " ".join(f"w{(k * seed) % 9973}" for k in range(n))
+    texts = [(1, None), (2, ""), (3, " \n"), (4, words(40, 7)), (4, words(40, 7)), (5, words(40, 7) + " tail"), (None, words(40, 7)), (None, None), (6, words(30000, 11)), (7, "one\ntwo"), (8, words(40, 13) + "\n" + words(40, 7))]
+    extra = "score double, spans string, n_words int, starts int, ends int, kept string, rest string, item_id int, hash long, id long, fp long, root long, bin int, ids binary"
+    docs = spark.createDataFrame([(i, t, "en", "web", len(t or ""), 0.9, "s", 1, 2, 3, "k", "r", 4, 5, 6, 7, 8, 9, b"x") for i, t in texts], f"doc_id long, text string, lang string, source string, n_chars int, {extra}")
+    for rows in (docs, docs.where("false")):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, rows, str(tmp_path))
+            assert out.dtypes == docs.dtypes, name
+            kept = out.collect()
+            assert all((r.score, r.spans, r.n_words, r.kept, r.rest, r.id, r.ids) == (0.9, "s", 1, "k", "r", 6, b"x") for r in kept)
+            if rows is docs:
+                want = {"toxicity": {1, 2, 3, 4, 5, 6, 7, 8, None}, "simhash_near_dedup": {1, 4, 6, 7, 8, None}, "substring_dedup": {1, 2, 3, 4, 5, 6, 7, 8, None}, "decontamination": {1, 2, 3, 4, 5, 6, 7, 8, None}}[name]
+                assert {r.doc_id for r in kept} == want and sum(r.doc_id == 4 for r in kept) == 2, name
+                if name == "substring_dedup":
+                    assert {r.doc_id: r.text for r in kept if r.doc_id in (5, 7, 8)} == {5: "tail", 7: "one\ntwo", 8: words(40, 13) + "\n"}
+        packed = corpus_pipeline.STAGES[-1][1](spark, rows, str(tmp_path)).collect()
+        assert sum(r.start == 0 for r in packed) == rows.count()
