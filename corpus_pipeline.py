@@ -20,37 +20,62 @@ from lexitide.llm.tables import shared_folder
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: Whole input rows travel through an operator as one column, so that no name of theirs can clash with its own.
+ROW = "__row"
+
+
+def _packed(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(ROW))
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a toxicity score below 0.5. Labels of documents with checksum 0 modulo 5 are not learned from."""
+    """Documents with a toxicity score below 0.5. Labels of documents with checksum 0 modulo 5 are not learned from.
+
+    Null and empty texts have no toxic token and stay. Repeated rows are judged alike; other columns are passed on,
+    whatever their names. An empty table gives an empty result.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(remainder() != 0)
     model = toxicity.train(*toxicity.sample(docs, labels))
-    return toxicity.score(docs, model).where(F.col("score") < 0.5).select(docs.columns)
+    return toxicity.score(_packed(docs), model, keep=[ROW]).where(F.col("score") < 0.5).select(f"{ROW}.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, similarity 0.8) the smallest id; null ids stay."""
-    found = simhash.similar_documents(docs)
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8) the row of the smallest id; null ids stay.
+
+    Null, empty and blank texts are one group. Rows of the same id and text, and rows of the same id, stay or go
+    together. Other columns are passed on. An empty table gives an empty result.
+    """
+    found = simhash.similar_documents(docs.select("doc_id", "text"))
     return docs.join(found.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the 13-word passages that a document with a smaller id holds; documents of nothing else go."""
-    others = tuple(c for c in docs.columns if c != "doc_id")
-    cut = substring_dedup.remove_repeats(docs, keep=others)
-    cut = cut.where((F.col("n_words") == 0) | (F.col("kept") != ""))
-    text = F.when(F.size("starts") > 0, F.col("kept")).otherwise(F.col("text"))
-    return cut.withColumn("text", text).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    """Texts without the 13-word passages that a document with a smaller id holds; documents of nothing else go.
+
+    What stays of a text keeps its line ends. Null and empty texts, and rows with a null id, stay as they are; rows of one
+    id do not cut each other. Other columns are passed on, whatever their names. An empty table gives an empty result.
+    """
+    cut = substring_dedup.remove_repeats(_packed(docs), keep=(ROW,)).where((F.col("n_words") == 0) | (F.col("kept") != ""))
+    text = F.coalesce("rest", f"{ROW}.text")
+    new = {"text": text, "n_chars": F.when(F.col("rest").isNull(), F.col(f"{ROW}.n_chars")).otherwise(F.length("rest")).cast(docs.schema["n_chars"].dataType)}
+    return cut.select(*[new.get(c, F.col(f"{ROW}.`{c}`")).alias(c) for c in docs.columns])
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item, with the same or other numbers, names and units."""
-    found = decontamination.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    """Documents that hold no benchmark item, with the same or other numbers, names and units.
+
+    Null and empty texts, and rows with a null id, hold none and stay. Rows of one id are one document and go together.
+    Other columns are passed on. An empty table, of documents or of the benchmark, loses nothing.
+    """
+    found = decontamination.contaminated(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every piece of every document with its token ids and its place in sequences of at most 4096 tokens."""
+    """Every piece of every document with its token ids and its place in sequences of at most 4096 tokens.
+
+    Null and empty texts are a piece of one token, the end. Repeated rows and rows with a null id are packed like others.
+    """
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
