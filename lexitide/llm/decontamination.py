@@ -107,7 +107,7 @@ def template_windows(rows: DataFrame, id_col: str, text_col: str, widths: list[i
             ids, texts, at = batch.column(0), batch.column(1).cast(pa.binary()), 0
             while at < len(texts):
                 end, size = at, 0
-                while end < len(texts) and size < 4 << 20:
+                while end < len(texts) and size < 1 << 20:
                     size += len(texts[end].as_py() or b"")
                     end += 1
                 data, bounds = joined(texts[at:end].to_pylist())

@@ -30,7 +30,7 @@ NEARLY_FULL = 16
 FAN_IN, NODE_BINS = 16, 50_000
 #: Rounds of several nodes end when one saves less than this share of its bins.
 LEAST_SAVING = 0.001
-LOCAL_PIECES, LOCAL_TOKENS, CACHED_WORDS = 200_000, 16_000_000, 300_000
+LOCAL_PIECES, LOCAL_TOKENS, CACHED_WORDS = 200_000, 16_000_000, 200_000
 BATCH_PIECES = 2000
 _state: dict = {}
 

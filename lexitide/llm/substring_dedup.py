@@ -21,7 +21,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from lexitide.llm.words import bucket_of, expand, hashed_ids, joined, pack, squeeze, unpack, windows, words
 
-CHUNK_WORDS = 1_500_000
+CHUNK_WORDS = 1_000_000
 _SENT = "key int, n int, hashes binary, owner binary, n_ids int, ids binary"
 _FIELDS = pa.schema([("key", pa.int32()), ("n", pa.int32()), ("hashes", pa.binary()), ("owner", pa.binary()), ("n_ids", pa.int32()), ("ids", pa.binary())])
 
@@ -79,7 +79,7 @@ def _hash_windows(width: int, buckets: int, groups: int):
             at = 0
             while at < len(ids):
                 end, n = at, 0
-                while end < len(ids) and n < 4 << 20:
+                while end < len(ids) and n < 1 << 20:
                     n += len(texts[end].as_py())
                     end += 1
                 data, bounds = joined(texts[at:end].to_pylist())
@@ -106,16 +106,16 @@ def _meet(buckets: int, groups: int):
     return run
 
 
-def _cut(width: int, keep: list[str]):
+def _cut(width: int, keep: list[str], lines: bool):
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         hashes, ids = _read(answers)
         order = np.argsort(ids, kind="stable")
         hashes, ids = hashes[order], ids[order]
-        out: dict[str, list] = {k: [] for k in ("n_words", "starts", "ends", "kept", "rest")}
+        out: dict[str, list] = {k: [] for k in ("n_words", "starts", "ends", "kept")}
         for doc, text in zip(texts["__row_id"].to_pylist(), texts["__row_text"].cast(pa.binary()).to_pylist()):
             own = (text or b"").split()
             a, b = (np.searchsorted(ids, [doc, doc + 1]) if doc is not None and doc < 2**63 - 1 else (np.searchsorted(ids, doc), len(ids)) if doc is not None else (0, 0))
-            starts, ends, rest = [], [], None
+            starts, ends, kept = [], [], text if lines else b" ".join(own)
             if b > a and len(own) >= width:
                 begin, _, h = words(text)
                 cut = np.flatnonzero(np.isin(_all(h, width), hashes[a:b]))
@@ -124,14 +124,16 @@ def _cut(width: int, keep: list[str]):
                     starts = cut[np.concatenate(([0], breaks + 1))].tolist()
                     ends = (cut[np.concatenate((breaks, [len(cut) - 1]))] + width).tolist()
                     edges = [0, *(x for pair in zip(starts, ends) for x in pair), len(own)]
-                    kept = [w for i in range(0, len(edges), 2) for w in own[edges[i] : edges[i + 1]]]
-                    place = np.append(begin, len(text)).tolist()  # words go with the white space after them
-                    bounds = [0, *(place[x] for x in edges[1:-1]), len(text)]
-                    rest = b"".join(text[bounds[i] : bounds[i + 1]] for i in range(0, len(bounds), 2))
-            for k, v in (("n_words", len(own)), ("starts", starts), ("ends", ends), ("kept", b" ".join(kept if starts else own)), ("rest", rest)):
+                    if lines:
+                        place = np.append(begin, len(text)).tolist()  # words go with the white space after them
+                        bounds = [0, *(place[x] for x in edges[1:-1]), len(text)]
+                        kept = b"".join(text[bounds[i] : bounds[i + 1]] for i in range(0, len(bounds), 2))
+                    else:
+                        kept = b" ".join([w for i in range(0, len(edges), 2) for w in own[edges[i] : edges[i + 1]]])
+            for k, v in (("n_words", len(own)), ("starts", starts), ("ends", ends), ("kept", kept)):
                 out[k].append(v)
         kinds = {"n_words": pa.int64(), "starts": pa.list_(pa.int64()), "ends": pa.list_(pa.int64())}
-        return pa.table({**{c: texts[c] for c in ("__row_id", *keep)}, **{k: pa.array(out[k], t) for k, t in kinds.items()}, **{k: pa.array(out[k], pa.binary()).cast(pa.string()) for k in ("kept", "rest")}})
+        return pa.table({**{c: texts[c] for c in ("__row_id", *keep)}, **{k: pa.array(out[k], t) for k, t in kinds.items()}, "kept": pa.array(out["kept"], pa.binary()).cast(pa.string())})
 
     return run
 
@@ -140,7 +142,7 @@ def _all(hashes: np.ndarray, width: int) -> np.ndarray:
     return windows(hashes, np.array([0, len(hashes)]), width)[1]
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 13, keep: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 13, keep: tuple[str, ...] = (), lines: bool = False) -> DataFrame:
     """Remove every word that a window covers whose words also start in a document with a smaller id.
 
     ``docs`` needs an integer id and a text; other columns are left out but those in ``keep``, whose names must differ
@@ -158,6 +160,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sent = long_enough.select("__row_id", "__row_text").mapInArrow(_hash_windows(width, buckets, groups), _SENT)
     answers = sent.groupBy("key").applyInArrow(_meet(buckets, groups), _SENT)
     keyed = rows.withColumn("__group", F.expr(f"cast(pmod(xxhash64(__row_id), {groups}) as int)"))  # as _groups
-    kinds = StructType([StructField("__row_id", LongType()), *(docs.schema[c] for c in keep), *StructType.fromDDL("n_words long, starts array<long>, ends array<long>, kept string, rest string")])
-    cut = keyed.groupBy("__group").cogroup(answers.groupBy("key")).applyInArrow(_cut(width, list(keep)), kinds)
+    kinds = StructType([StructField("__row_id", LongType()), *(docs.schema[c] for c in keep), *StructType.fromDDL("n_words long, starts array<long>, ends array<long>, kept string")])
+    cut = keyed.groupBy("__group").cogroup(answers.groupBy("key")).applyInArrow(_cut(width, list(keep), lines), kinds)
     return cut.withColumnRenamed("__row_id", id_col)

@@ -259,7 +259,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str]
             scores, spans, at = [], [], 0
             while at < len(texts):
                 end, size = at, 0
-                while end < len(texts) and size < 2 << 20:
+                while end < len(texts) and size < 1 << 20:
                     size += len(texts[end].as_py() or b"")
                     end += 1
                 data, bounds = joined(texts[at:end].to_pylist())

@@ -13,7 +13,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 
-SLICE = 1 << 20
+SLICE = 1 << 18
 LONG_WORD = 32
 
 _rng = np.random.Generator(np.random.PCG64(20240501))

@@ -121,7 +121,7 @@ def test_long_words_with_equal_polynomial_hashes(spark):
 def test_what_is_left_of_a_text_keeps_its_lines(spark):
     passage = sentence(20, 77)
     table = spark.createDataFrame([(1, passage), (2, f"first line\n\n{passage}\n\nlast  line\n"), (3, f" {passage}"), (4, "a\nb")], "doc_id long, text string")
-    assert {r.doc_id: r.rest for r in substring_dedup.remove_repeats(table).collect()} == {1: None, 2: "first line\n\nlast  line\n", 3: " ", 4: None}
+    assert {r.doc_id: r.kept for r in substring_dedup.remove_repeats(table, lines=True).collect()} == {1: passage, 2: "first line\n\nlast  line\n", 3: " ", 4: "a\nb"}
 
 
 def test_simhash(docs, none):
