@@ -24,8 +24,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 ROW = "__row"
 
 
-def _packed(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(ROW))
+def _packed(docs: DataFrame, *without: str) -> DataFrame:
+    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in without]).alias(ROW))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,10 +55,11 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     What stays of a text keeps its line ends. Null and empty texts, and rows with a null id, stay as they are; rows of one
     id do not cut each other. Other columns are passed on, whatever their names. An empty table gives an empty result.
     """
-    cut = substring_dedup.remove_repeats(_packed(docs), keep=(ROW,)).where((F.col("n_words") == 0) | (F.col("kept") != ""))
-    text = F.coalesce("rest", f"{ROW}.text")
-    new = {"text": text, "n_chars": F.when(F.col("rest").isNull(), F.col(f"{ROW}.n_chars")).otherwise(F.length("rest")).cast(docs.schema["n_chars"].dataType)}
-    return cut.select(*[new.get(c, F.col(f"{ROW}.`{c}`")).alias(c) for c in docs.columns])
+    cut = substring_dedup.remove_repeats(_packed(docs, "text"), keep=(ROW,), lines=True)
+    removed = F.aggregate(F.zip_with("ends", "starts", lambda e, s: e - s), F.lit(0).cast("long"), lambda a, x: a + x)
+    cut = cut.where((F.col("n_words") == 0) | (removed < F.col("n_words")))
+    new = {"text": F.col("kept"), "n_chars": F.when(F.size("starts") == 0, F.col(f"{ROW}.n_chars")).otherwise(F.length("kept").cast(docs.schema["n_chars"].dataType))}
+    return cut.select(*[(new[c] if c in new else F.col(f"{ROW}.`{c}`")).alias(c) for c in docs.columns])
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
