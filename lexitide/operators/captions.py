@@ -12,7 +12,7 @@ from lexitide.functions import text as X
 def by_video() -> WindowSpec:
     return Window.partitionBy("video_id").orderBy("idx")
 HAS_CJK = "[\\u3400-\\u4DBF\\u4E00-\\u9FFF\\uF900-\\uFAFF]"
-_CAPTION = "struct<start_ms: bigint, end_ms: bigint, text: string>"
+_CAPTION = "struct<start_ms: bigint, end_ms: bigint, text: string, first_idx: bigint, last_idx: bigint>"
 
 
 def correct_captions(captions: DataFrame) -> DataFrame:
@@ -159,20 +159,23 @@ def _fold(rows: DataFrame, island: Column, should: str) -> DataFrame:
     """Ordered fold of each island: the row being built absorbs the next while ``should`` (of ``cur`` and ``nxt``) holds."""
     dealt = rows.withColumn("island", island).groupBy("video_id", "island").agg(F.array_sort(F.collect_list(F.struct("idx", "start_ms", "end_ms", "text"))).alias("rows"))
     join = "concat(rtrim(cur.text), ' ', ltrim(nxt.text))"
-    new = "struct(x.start_ms as start_ms, x.end_ms as end_ms, x.text as text)"
+    new = "struct(x.start_ms as start_ms, x.end_ms as end_ms, x.text as text, x.idx as first_idx, x.idx as last_idx)"
     test = should.replace("cur.", "element_at(a, -1).").replace("nxt.", "x.")
-    merged = f"array_append(slice(a, 1, size(a) - 1), struct(element_at(a, -1).start_ms as start_ms, x.end_ms as end_ms, {join.replace('cur.', 'element_at(a, -1).').replace('nxt.', 'x.')} as text))"
+    merged = f"array_append(slice(a, 1, size(a) - 1), struct(element_at(a, -1).start_ms as start_ms, x.end_ms as end_ms, {join.replace('cur.', 'element_at(a, -1).').replace('nxt.', 'x.')} as text, element_at(a, -1).first_idx as first_idx, x.idx as last_idx))"
     folded = f"aggregate(rows, cast(array() as array<{_CAPTION}>), (a, x) -> if(size(a) > 0 and {test}, {merged}, array_append(a, {new})))"
-    out = dealt.select("video_id", "island", F.posexplode(F.expr(folded)).alias("k", "row")).select("video_id", "island", "k", "row.start_ms", "row.end_ms", X.collapse(F.col("row.text")).alias("text"))
-    return out.withColumn("idx", F.row_number().over(Window.partitionBy("video_id").orderBy("island", "k")).cast("long")).select("video_id", "idx", "start_ms", "end_ms", "text")
+    out = dealt.select("video_id", "island", F.posexplode(F.expr(folded)).alias("k", "row")).select("video_id", "island", "k", "row.start_ms", "row.end_ms", X.collapse(F.col("row.text")).alias("text"), "row.first_idx", "row.last_idx")
+    return out.withColumn("idx", F.row_number().over(Window.partitionBy("video_id").orderBy("island", "k")).cast("long")).select("video_id", "idx", "start_ms", "end_ms", "text", "first_idx", "last_idx")
 
 
 def _sql_list(words: list[str]) -> str:
     return ", ".join(f"'{w}'" for w in words)
 
 
-def merge_incomplete(captions: DataFrame, rules: str = "v2") -> DataFrame:
-    """Unfinished captions absorb what follows within limits. Nothing crosses a finished sentence, so islands end there."""
+def merge_incomplete(captions: DataFrame, rules: str = "v2", ranges: bool = False) -> DataFrame:
+    """Unfinished captions absorb what follows within limits. Nothing crosses a finished sentence, so islands end there.
+
+    With ``ranges`` a row also has ``first_idx`` and ``last_idx`` of the captions that it is made of.
+    """
     done = F.coalesce(F.lag(X.ends_sentence(F.col("text"))).over(by_video()), F.lit(False))
     island = F.sum(F.when(done, 1).otherwise(0)).over(by_video())
     both, cur, nxt = "concat(rtrim(cur.text), ' ', ltrim(nxt.text))", "trim(cur.text)", "trim(nxt.text)"
@@ -187,7 +190,8 @@ def merge_incomplete(captions: DataFrame, rules: str = "v2") -> DataFrame:
         clause = f"({cur} rlike '[,;:][\"\\')\\\\]]*$' and {plain} rlike '^({'|'.join(R.DEPENDENT)}) ')"
         goes_on = f"lower(regexp_replace({nxt}, '^[^A-Za-z]+', '')) in ({_sql_list(R.CONTINUATIONS)})"
         test = f"{open_} and nxt.start_ms - cur.end_ms <= {R.FORCED_GAP_MS} and nxt.end_ms - cur.start_ms <= {R.MAX_MS} and {words(both)} <= {R.MAX_WORDS} and length({both}) <= {R.MAX_CHARS} and ({weak} or {clause} or {goes_on} or {words(nxt)} <= 2)"
-    return _fold(captions, island, test)
+    folded = _fold(captions.withColumn("idx", F.col("idx").cast("long")), island, test)
+    return folded if ranges else folded.drop("first_idx", "last_idx")
 
 
 def merge_sentences(segments: DataFrame) -> DataFrame:
@@ -196,7 +200,7 @@ def merge_sentences(segments: DataFrame) -> DataFrame:
     done = F.coalesce(F.lag(X.ends_sentence(F.col("text"))).over(by_video()), F.lit(False))
     island = F.sum(F.when(done, 1).otherwise(0)).over(by_video())
     goes_on = f"not (cur.text rlike '[.!?][\"\\')\\\\]]*$' or cur.end_ms - cur.start_ms >= {R.MAX_MS} or length(cur.text) >= {R.MAX_CHARS})"
-    return split_overlong(_fold(rows, island, goes_on))
+    return split_overlong(_fold(rows.withColumn("idx", F.col("idx").cast("long")), island, goes_on).drop("first_idx", "last_idx"))
 
 
 def split_overlong(captions: DataFrame) -> DataFrame:

@@ -109,26 +109,29 @@ def lookup_phrases(terms: DataFrame, phrases: DataFrame, dictionary: DataFrame)
     return rows.select("term", F.coalesce("p", "d", F.lit(NO_PHRASE)).alias("meaning"))
 
 
-def annotate_terms(captions: DataFrame, phrases: DataFrame, most_words: int = 6) -> DataFrame:
+def annotate_terms(captions: DataFrame, phrases: DataFrame) -> DataFrame:
     """Spans of phrases (longest first, then leftmost, none over another) and of the words that are left.
 
-    Columns ``video_id, idx, start, end, term, kind``. Captions meet phrases by an equi-join on word sequences of up to
-    ``most_words`` words, so the work does not grow with captions times phrases.
+    Columns ``video_id, idx, start, end, term, kind``. Words meet phrases by the phrase's first word, whatever the
+    phrase's length; only where that word occurs the whole phrase is compared with the text that follows. So neither
+    all word sequences are built nor does the work grow with captions times phrases.
     """
+    # word characters between boundaries; joined again they are the text
+    cut = lambda c: F.split(c, r"(?<=\w)(?!\w)|(?<!\w)(?=\w)")
     lower = F.regexp_replace(F.lower("english_text"), "[‘’‛′]", "'")
-    # word characters between boundaries, with the place of each, found from the text itself
-    marks = F.split(lower, r"(?<=\w)(?!\w)|(?<!\w)(?=\w)")
-    rows = captions.select("video_id", "idx", "english_text", marks.alias("m"))
-    place = F.expr("aggregate(m, cast(array() as array<struct<t: string, s: int>>), (a, x) -> array_append(a, struct(x as t, if(size(a) = 0, 0, element_at(a, -1).s + length(element_at(a, -1).t)) as s)))")
-    rows = rows.withColumn("m", place)
-    size = 2 * most_words
-    grams = rows.select("video_id", "idx", F.posexplode("m").alias("k", "x"), "m").where(F.col("x.t").rlike(r"\w"))
-    grams = grams.select("video_id", "idx", F.col("x.s").alias("start"), F.explode(F.expr(f"transform(sequence(1, {size} - 1, 2), n -> array_join(slice(m, k + 1, n).t, ''))")).alias("phrase")).distinct()
-    hits = grams.join(phrases.select("phrase").distinct(), "phrase").select("video_id", "idx", F.struct((-F.length("phrase")).alias("order"), "start", (F.col("start") + F.length("phrase")).alias("end"), "phrase").alias("span"))
-    found = hits.groupBy("video_id", "idx").agg(F.array_sort(F.collect_list("span")).alias("spans"))  # at most a caption's words times most_words
+    rows = captions.select("video_id", "idx", "english_text", cut(lower).alias("m"))
+    known = phrases.select("phrase").where("phrase rlike '^\\\\w'").distinct().withColumn("w", F.filter(cut(F.col("phrase")), lambda t: t != ""))
+    known = known.select("phrase", F.get("w", F.lit(0)).alias("t"), F.size("w").alias("n"))
+    tokens = rows.select("video_id", "idx", F.posexplode("m").alias("k", "t")).where(F.col("t").rlike(r"^\w"))
+    tried = tokens.join(known, "t").groupBy("video_id", "idx").agg(F.collect_list(F.struct("k", "n", "phrase")).alias("tried"))  # a caption's words times phrases of one first word
+    taken = rows.join(tried, ["video_id", "idx"], "left")
+    hits = "filter(tried, c -> array_join(slice(m, c.k + 1, c.n), '') = c.phrase)"
+    start = "aggregate(slice(m, 1, c.k), 0, (a, t) -> a + length(t))"
+    spans = F.expr(f"array_sort(transform({hits}, c -> struct(-length(c.phrase) as order, {start} as start, {start} + length(c.phrase) as end, c.phrase as phrase)))")
     kept = F.expr("aggregate(spans, slice(spans, 1, 0), (a, x) -> if(exists(a, y -> y.start < x.end and x.start < y.end), a, array_append(a, x)))")
-    taken = captions.select("video_id", "idx", "english_text").join(found.withColumn("kept", kept).drop("spans"), ["video_id", "idx"], "left")
+    taken = taken.withColumn("spans", spans).select("video_id", "idx", "english_text", kept.alias("kept"))
     pieces = F.split(F.col("english_text"), r"(?<![A-Za-z'\-])(?=[A-Za-z])|(?<=[A-Za-z'\-])(?![A-Za-z'\-])")
+    place = F.expr("aggregate(m, cast(array() as array<struct<t: string, s: int>>), (a, x) -> array_append(a, struct(x as t, if(size(a) = 0, 0, element_at(a, -1).s + length(element_at(a, -1).t)) as s)))")
     singles = taken.withColumn("m", pieces).withColumn("m", place).withColumn("x", F.explode("m")).where(F.col("x.t").rlike("^[A-Za-z]"))
     free = F.coalesce(~F.exists("kept", lambda y: (y.start < F.col("x.s") + F.length("x.t")) & (F.col("x.s") < y.end)), F.lit(True))
     one = singles.where(free).select("video_id", "idx", F.col("x.s").alias("start"), (F.col("x.s") + F.length("x.t")).alias("end"), F.col("x.t").alias("term"), F.lit("word").alias("kind"))

@@ -6,8 +6,10 @@ A block (words between silences and sentence ends) is the unit of work: blocks o
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +18,7 @@ from pyspark.sql.window import Window, WindowSpec
 from lexitide.functions import rules as R
 from lexitide.functions import text as X
 
+
 def by_video() -> WindowSpec:
     return Window.partitionBy("video_id").orderBy("idx")
 
@@ -102,17 +105,25 @@ def cost_parts() -> dict[str, Column]:
     }
 
 
+#: Parts that depend on the boundary at the end of a candidate only.
+EDGE_PARTS = ("grammar_protection", "model_reward", "sentence_reward", "silence_reward", "recogniser_reward")
+
+
+def _with_edges(blocks: DataFrame, scores: DataFrame | None) -> DataFrame:
+    """Words with what cost parts need of the boundary after each; ``word_end`` is the number of the next word."""
+    lead = lambda c: F.lead(c).over(by_video())
+    after = blocks.withColumns({"word_end": F.col("idx") + 1, "has_next": lead("idx").isNotNull(), "gap_ms": lead("gap_ms"), "punctuation": lead("punctuation")})
+    if scores is not None:
+        return after.join(scores.select("video_id", F.col("idx").alias("word_end"), "boundary_probability", "protected"), ["video_id", "word_end"], "left")
+    return after.withColumns({"boundary_probability": F.lit(0.0), "protected": F.lit(False)})
+
+
 def candidate_costs(candidates: DataFrame, blocks: DataFrame, scores: DataFrame | None = None) -> DataFrame:
     """Adds the cost parts and their sum ``cost``. Boundary terms hold where a word follows in the video.
 
     ``scores``: optional ``video_id, idx, boundary_probability, protected`` of the boundary before word ``idx``.
     """
-    lead = lambda c: F.lead(c).over(by_video())
-    after = blocks.select("video_id", (F.col("idx") + 1).alias("word_end"), "segment_end", "segment_complete", lead("idx").isNotNull().alias("has_next"), lead("gap_ms").alias("gap_ms"), lead("punctuation").alias("punctuation"))
-    if scores is not None:
-        after = after.join(scores.select("video_id", F.col("idx").alias("word_end"), "boundary_probability", "protected"), ["video_id", "word_end"], "left")
-    else:
-        after = after.withColumns({"boundary_probability": F.lit(0.0), "protected": F.lit(False)})
+    after = _with_edges(blocks, scores).select("video_id", "word_end", "segment_end", "segment_complete", "has_next", "gap_ms", "punctuation", "boundary_probability", "protected")
     rows = candidates.join(after, ["video_id", "word_end"]).withColumns({k: F.coalesce(v, F.lit(0)).cast("long") for k, v in cost_parts().items()})
     names = list(cost_parts())
     return rows.withColumn("cost", sum((F.col(n) for n in names[1:]), F.col(names[0]))).select("video_id", "block_id", "word_start", "word_end", "n_words", "duration_ms", "text", *names, "cost")
@@ -155,6 +166,119 @@ def optimize_segments(costs: DataFrame) -> DataFrame:
     return rows.mapInPandas(_least_cost, "video_id string, block_id long, word_start long, word_end long, cost long")
 
 
+_RUN = re.compile("[a-z']+")
+_REPAIR = re.compile(r"\s[,.!?;:%\s-]|[^\S ]|\s(?:['’]s|n't)\b", re.A | re.I)
+_SPACING = [(re.compile(p, re.A | re.I), r) for p, r in ((r"\s+([,.!?;:%])", r"\1"), (r"\s+-\s*", "-"), (r"\s+(['’]s\b)", r"\1"), (r"\s+n't\b", "n't"), (r"\s+", " "))]
+
+
+def _tidied(tokens: list[str]) -> str:
+    text = " ".join(tokens)
+    for pattern, put in _SPACING:
+        text = pattern.sub(put, text)
+    return text.strip(" ")
+
+
+def _costs_by_length(block: np.ndarray, start: np.ndarray, end: np.ndarray, text: list[str], edge: np.ndarray) -> np.ndarray:
+    """Row n - 1, column j: the cost of the candidate of n words that ends with word j; ``_NONE`` where limits rule it out.
+
+    Lengths come from prefix sums. Only candidates whose text needs its spacing repaired are written out.
+    """
+    n = len(text)
+    at = np.arange(n)
+    chars = np.concatenate(([0], np.cumsum([len(t) for t in text])))
+    runs = [_RUN.findall(t.lower()) for t in text]
+    some = np.array([bool(r) for r in runs])
+    weak = np.array([bool(r) and (r[-1].endswith("ing") or r[-1] in R.FUNCTION_WORDS) for r in runs])
+    goes_on = np.array([bool(r) and r[0] in R.CONTINUATIONS for r in runs])
+    last = np.maximum.accumulate(np.where(some, at, -1))  # the nearest word with letters, back and ahead
+    first = np.minimum.accumulate(np.where(some, at, n)[::-1])[::-1]
+    odd = np.concatenate(([0], np.cumsum([bool(_REPAIR.search(" " + t)) for t in text])))
+    odd_inside = np.array([bool(_REPAIR.search(t)) for t in text])
+    out, latest = np.full((R.MAX_WORDS, n), _NONE), end.copy()
+    for k in range(min(R.MAX_WORDS, n)):
+        j = at[k:]
+        i = j - k
+        latest = np.maximum(latest[1:], end[: n - k]) if k else latest  # of words i to j, by j
+        keep = (block[i] == block[j]) & (latest - start[i] <= R.MAX_MS)
+        length = chars[j + 1] - chars[i] + k
+        weak_end, continued = (last[j] >= i) & weak[last[j]], (first[i] <= j) & goes_on[np.minimum(first[i], n - 1)]
+        for m in np.flatnonzero(keep & (odd_inside[i] | (odd[j + 1] > odd[i + 1]))):
+            t = _tidied(text[i[m] : j[m] + 1])
+            found = _RUN.findall(t.lower())
+            length[m], weak_end[m], continued[m] = len(t), bool(found) and (found[-1].endswith("ing") or found[-1] in R.FUNCTION_WORDS), bool(found) and found[0] in R.CONTINUATIONS
+        d = end[j] - start[i]
+        over = lambda x, limit: np.maximum(x - limit, 0)
+        cost = np.abs(d - R.TARGET_MS) * 16 + over(d, R.PREFERRED_MS) * 20 + max(k + 1 - R.PREFERRED_WORDS, 0) * 4500 + over(length, R.PREFERRED_CHARS) * 1500
+        cost += np.maximum(R.MIN_MS - d, 0) * 240 + {0: 900000, 1: 550000, 2: 160000}.get(k, 0) + weak_end * 550000 + continued * 350000 + edge[j]
+        out[k, k:] = np.where(keep & (length <= R.MAX_CHARS), cost, _NONE)
+    return out
+
+
+_NONE = 1 << 60
+
+
+def _cut_blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Least-cost path of each block from its words, sorted; of equal paths the one whose last segment begins first."""
+    columns = ["video_id", "block_id", "word_start", "word_end", "cost"]
+    kinds = {"video_id": str, "block_id": np.int64, "word_start": np.int64, "word_end": np.int64, "cost": np.int64}
+
+    def cut(rows: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows):
+            return pd.DataFrame({c: pd.Series([], dtype=kinds[c]) for c in columns})
+        key = (rows.video_id.ne(rows.video_id.shift()) | rows.block_id.ne(rows.block_id.shift())).cumsum().to_numpy()
+        start, end, edge, idx = (rows[c].to_numpy(np.int64) for c in ("start_ms", "end_ms", "edge", "idx"))
+        costs = np.ascontiguousarray(_costs_by_length(key, start, end, rows.text.tolist(), edge).T[:, ::-1])  # by first word
+        opens = np.maximum.accumulate(np.where(np.diff(key, prepend=-1) != 0, np.arange(len(key)), 0)).tolist()
+        best, back = np.zeros(len(key) + 1, np.int64), np.zeros(len(key), np.int64)  # best: cost of all before a word
+        for j, o in enumerate(opens):
+            s = max(o, j - R.MAX_WORDS + 1)
+            if o == j:
+                best[j] = 0
+            tried = best[s : j + 1] + costs[j, R.MAX_WORDS - 1 - j + s :]
+            m = int(tried.argmin())
+            best[j + 1], back[j] = min(tried[m], _NONE), s + m
+        out, ends = [], np.flatnonzero(np.diff(key, append=-1) != 0).tolist()
+        for e in ends:
+            # a block with a word that no candidate can hold has no path; a later block starts from zero again
+            if best[e + 1] >= _NONE // 2:
+                out.append((e, -1, -1, 0))
+                continue
+            j = e
+            while j >= opens[e]:
+                out.append((e, int(idx[back[j]]), int(idx[j]) + 1, int(costs[j, R.MAX_WORDS - 1 - j + back[j]])))
+                j = int(back[j]) - 1
+        at = [x[0] for x in out]
+        return pd.DataFrame({"video_id": rows.video_id.to_numpy()[at], "block_id": rows.block_id.to_numpy()[at], "word_start": [x[1] for x in out], "word_end": [x[2] for x in out], "cost": [x[3] for x in out]})
+
+    held: list[pd.DataFrame] = []  # the block that may go on in the next frame, or whole small frames
+    for frame in frames:
+        if not len(frame):
+            continue
+        tail = frame.iloc[-1]
+        more = (frame.video_id.eq(tail.video_id) & frame.block_id.eq(tail.block_id)).to_numpy()
+        done = int(np.argmax(more))
+        if done:
+            yield cut(pd.concat([*held, frame.iloc[:done]], ignore_index=True))
+            held = []
+        elif held and not (held[-1].video_id.iloc[-1] == tail.video_id and held[-1].block_id.iloc[-1] == tail.block_id):
+            yield cut(pd.concat(held, ignore_index=True))
+            held = []
+        held.append(frame.iloc[done:])
+    if held:
+        yield cut(pd.concat(held, ignore_index=True))
+
+
+def least_cost_cuts(blocks: DataFrame, scores: DataFrame | None = None) -> DataFrame:
+    """``optimize_segments`` of all candidates and their costs, without writing them out: one row a word is shuffled.
+
+    A block that cannot be cut within the limits gives one row with -1 for ``word_start`` and ``word_end``.
+    """
+    edge = sum((F.coalesce(cost_parts()[c], F.lit(0)) for c in EDGE_PARTS), F.lit(0)).cast("long")
+    rows = _with_edges(blocks, scores).select("video_id", "block_id", "idx", "start_ms", "end_ms", "text", edge.alias("edge"))
+    dealt = rows.repartition("video_id", "block_id").sortWithinPartitions("video_id", "block_id", "idx")
+    return dealt.mapInPandas(_cut_blocks, "video_id string, block_id long, word_start long, word_end long, cost long")
+
+
 def cut_segments(words: DataFrame, cuts: DataFrame) -> DataFrame:
     """Caption rows of chosen cuts. Every word lies in the last cut that begins at or before it."""
     starts = cuts.select("video_id", F.col("word_start").alias("idx"), F.col("word_start").alias("cut"))
@@ -198,8 +322,6 @@ def cost_report(decisions: DataFrame) -> DataFrame:
 
 def _greedy(simple: bool):
     """Ordered fold over the words of an island (up to a sentence end): cut when limits are passed or a break is due."""
-    import re
-
     sentence, soft = re.compile(X.ENDS_SENTENCE), re.compile(X.ENDS_SOFTLY)
 
     def text_of(words: list) -> str:
@@ -293,25 +415,50 @@ def greedy_segments(words: DataFrame, rules: str = "v2") -> DataFrame:
     return dealt.select("video_id", "idx", "start_ms", "end_ms", "text", "segment_end", "segment_complete", "island").mapInPandas(_greedy(rules == "v1"), "video_id string, word_start long, word_end long")
 
 
-def segment_corpus(words: DataFrame) -> DataFrame:
-    """Captions of each video: the least-cost cut, or the greedy one where limits cannot be kept (``used_fallback``)."""
+def greedy_captions(words: DataFrame) -> DataFrame:
+    """Captions of the greedy cut, after unfinished ones have absorbed what follows: ``video_id, word_start, word_end`` and times, text, probability."""
+    from lexitide.operators.captions import merge_incomplete
+
+    plain = cut_segments(words, greedy_segments(words))
+    merged = merge_incomplete(plain.withColumn("idx", F.col("word_start")), ranges=True)
+    ends = plain.select("video_id", F.col("word_start").alias("last_idx"), "word_end")
+    met = merged.join(ends, ["video_id", "last_idx"]).withColumn("word_start", F.col("first_idx"))
+    parts = plain.select("video_id", F.col("word_start").alias("at"), "probability", "n_words")
+    starts = met.select("video_id", F.col("word_start").alias("at"), F.col("word_start").alias("own"))
+    owned = parts.join(starts, ["video_id", "at"], "left").withColumn("own", F.last("own", ignorenulls=True).over(Window.partitionBy("video_id").orderBy("at")))
+    known = F.when(F.col("probability").isNotNull(), F.col("n_words"))
+    mean = owned.groupBy("video_id", F.col("own").alias("word_start")).agg(F.round(F.sum(F.col("probability") * known) / F.sum(known), 6).alias("probability"))
+    return met.join(mean, ["video_id", "word_start"], "left").select("video_id", "word_start", "word_end", "start_ms", "end_ms", "text", "probability")
+
+
+def segment_corpus(words: DataFrame, scores: DataFrame | None = None) -> DataFrame:
+    """Captions of each video: the least-cost cut, or the greedy one where limits cannot be kept; then corrected and padded.
+
+    ``used_fallback`` and ``error`` (why the least-cost cut has none, else null) are a video's own. ``scores``: optional
+    ``video_id, idx, boundary_probability, protected`` of the boundary before word ``idx``.
+    """
+    from lexitide.operators.captions import pad_captions
+
     blocks = hard_blocks(boundary_features(normalize_words(words)))
-    candidates = segment_candidates(blocks)
-    cuts = optimize_segments(candidate_costs(candidates, blocks))
     # a word that no candidate covers alone breaks the limits: its video falls back
-    alone = blocks.where((F.col("end_ms") - F.col("start_ms") > R.MAX_MS) | (F.length("text") > R.MAX_CHARS)).select("video_id").distinct()
-    chosen = cuts.where("word_start >= 0").join(alone, "video_id", "left_anti")
+    alone = blocks.where((F.col("end_ms") - F.col("start_ms") > R.MAX_MS) | (F.length("text") > R.MAX_CHARS))
+    alone = alone.groupBy("video_id").agg(F.concat(F.lit("no caption within limits holds word "), F.min("idx").cast("string")).alias("error"))
+    chosen = least_cost_cuts(blocks, scores).where("word_start >= 0").join(alone, "video_id", "left_anti")
     kept, _ = merge_orphans(cut_segments(blocks, chosen))
-    failed = blocks.join(alone, "video_id", "left_semi")
-    plain = cut_segments(failed, greedy_segments(failed)).select(kept.columns)
-    return kept.withColumn("used_fallback", F.lit(False)).unionByName(plain.withColumn("used_fallback", F.lit(True)))
+    plain = greedy_captions(blocks.join(alone, "video_id", "left_semi")).join(alone, "video_id")
+    both = kept.withColumns({"used_fallback": F.lit(False), "error": F.lit(None).cast("string")}).unionByName(plain.withColumn("used_fallback", F.lit(True)))
+    return pad_captions(both.withColumns({"text": X.corrected(F.col("text")), "idx": F.col("word_start")})).drop("idx")
 
 
 def segmentation_summary(captions: DataFrame, words: DataFrame, removed: DataFrame) -> DataFrame:
-    """Per video: words, captions, removed orphans."""
+    """Per video: words, captions, removed orphans, and whether its captions are those of the fallback."""
     counts = words.groupBy("video_id").agg(F.count("*").alias("word_count"))
     made, gone = captions.groupBy("video_id").agg(F.count("*").alias("segment_count")), removed.groupBy("video_id").agg(F.count("*").alias("removed_orphans"))
-    return counts.join(made, "video_id", "left").join(gone, "video_id", "left").na.fill(0, ["segment_count", "removed_orphans"])
+    if "used_fallback" in captions.columns:
+        made = captions.groupBy("video_id").agg(F.count("*").alias("segment_count"), F.bool_or("used_fallback").alias("used_fallback"))
+    else:
+        made = made.withColumn("used_fallback", F.lit(False))
+    return counts.join(made, "video_id", "left").join(gone, "video_id", "left").na.fill(0, ["segment_count", "removed_orphans"]).na.fill(False, ["used_fallback"])
 
 
 def protect_boundaries(boundaries: DataFrame, tokens: DataFrame, spans: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ def _written(s, rows):
 
 
 def src1_read_words(s, d):
-    w = X.words(s, d).where("idx < 100")
+    w = X.words(s, d)
     path = _written(s, _by_video(w, [F.col("idx").cast("int").alias("index"), F.col("segment_id").cast("int").alias("segment_id"), _seconds("start_ms").alias("start"), _seconds("end_ms").alias("end"), "text", "probability", "segment_end", "segment_complete"]))
     out = S.read_words(s, path)
     return out.groupBy("segment_id").agg(F.count("*").alias("n"), F.sum("start_ms").alias("starts"), F.sum("end_ms").alias("ends"), F.sum(F.length("text")).cast("long").alias("chars"), F.count_if("segment_complete").alias("complete"))
@@ -93,8 +93,11 @@ def src10_read_wordbook(s, d):
 
 
 def src12_hash_inventory(s, d):
-    """Files of the given tables themselves."""
-    return S.hash_inventory(s, f"{d}/region.parquet").select("audio_hash", "total_bytes", "copies", "extension")
+    """Files derived from captions, one a video, and those of even videos once more."""
+    path, c = S.scratch(s), X.captions(s, d).withColumn("english_text", F.regexp_replace("english_text", r"\s+", " "))
+    S.write_srt(c, f"{path}/copy=1")
+    S.write_srt(c.where("cast(video_id as int) % 2 = 0"), f"{path}/copy=2")
+    return S.hash_inventory(s, path).select("audio_hash", "total_bytes", "copies", "extension")
 
 
 def src13_publish_captions(s, d):
@@ -166,7 +169,7 @@ def _audio(s, d):
 
 
 def _score_chunks(s, d):
-    w = G.analysis_chunks(G.boundary_features(G.normalize_words(X.words(s, d)))).where("idx < 400")
+    w = G.analysis_chunks(G.boundary_features(G.normalize_words(X.words(s, d))))
     text = w.groupBy("video_id", "chunk_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda x: x.text), " ").alias("text"))
     return M.score_boundaries(text, stub_scores).groupBy("video_id", "chunk_id").agg(F.count("*").alias("n"), F.round(F.sum("score"), 3).alias("total"))
 
@@ -206,7 +209,7 @@ def _w(*parts):
 
 _TIME = "printf('%02d:%02d:%02d,%03d', {0} // 3600000, {0} // 60000 % 60, {0} // 1000 % 60, {0} % 1000)"
 ORACLE_SQL = {
-    "src1_read_words": _w(X.WORDS) + "SELECT segment_id, count(*) AS n, CAST(sum(start_ms) AS BIGINT) AS starts, CAST(sum(end_ms) AS BIGINT) AS ends, CAST(sum(length(text)) AS BIGINT) AS chars, count(*) FILTER (WHERE segment_complete) AS complete FROM words WHERE idx < 100 AND text <> '' GROUP BY 1",
+    "src1_read_words": _w(X.WORDS) + "SELECT segment_id, count(*) AS n, CAST(sum(start_ms) AS BIGINT) AS starts, CAST(sum(end_ms) AS BIGINT) AS ends, CAST(sum(length(text)) AS BIGINT) AS chars, count(*) FILTER (WHERE segment_complete) AS complete FROM words WHERE text <> '' GROUP BY 1",
     "src2_read_asr_segments": _w(X.WORDS) + "SELECT CAST(segment_id AS INTEGER) AS id, count(*) AS n, CAST(sum(s) AS BIGINT) AS starts, CAST(sum(e) AS BIGINT) AS ends FROM (SELECT video_id, segment_id, arg_min(start_ms, idx) AS s, arg_max(end_ms, idx) AS e FROM words GROUP BY ALL HAVING max(text) <> '') GROUP BY 1",
     "src3_read_transcripts": _w(X.CAPTIONS, "k AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY idx) AS n FROM captions WHERE idx % 4 <> 0)") + "SELECT n AS idx, start_ms, end_ms, count(*) AS n, count(chinese_text) AS translated, count(chinese_text) AS computer FROM k GROUP BY k.n, start_ms, end_ms",
     "src4_read_srt": _w(X.CAPTIONS) + "SELECT idx, start_ms, end_ms, count(*) AS n, count(chinese_text) AS translated, CAST(sum(length(trim(regexp_replace(english_text, '\\s+', ' ', 'g')))) AS BIGINT) AS chars FROM captions GROUP BY 1, 2, 3",
@@ -216,6 +219,7 @@ ORACLE_SQL = {
     "src8_read_tasks": _w(X.TASKS) + "SELECT CAST(task_id AS VARCHAR) AS id, CASE WHEN task_id % 7 = 0 THEN 'queued' ELSE status END AS status, CAST(least(100, greatest(0, task_id % 250 - 50)) AS INTEGER) AS progress, CAST(CASE WHEN task_id % 2 = 0 THEN greatest(0, task_id % 9 - 3) ELSE 0 END AS INTEGER) AS subtitle_count, created_at, 'generate' AS task_kind FROM tasks",
     "src9_read_jobs": "SELECT CAST(o_orderkey AS VARCHAR) AS job_id, CASE WHEN o_orderkey % 10 = 3 THEN 'unreadable' ELSE 'queued' END AS status, CASE WHEN o_orderkey % 10 <> 3 THEN CAST(o_orderkey % 100 AS INTEGER) END AS progress, CASE WHEN o_orderkey % 10 <> 3 THEN make_timestamp(CAST(o_orderkey * 1500000 AS BIGINT)) END AS created_at FROM orders",
     "src10_read_wordbook": _w(X.WORDBOOK) + "SELECT date_trunc('milliseconds', time) AS time, term, CASE WHEN event_id % 2 = 0 THEN 'own' ELSE 'first' END AS english_text, event_id AS start_ms, CASE WHEN event_id % 3 = 0 THEN sha256('uri') ELSE 'v' END AS video_id FROM wordbook WHERE event_id % 7 <> 0",
+    "src12_hash_inventory": _w(X.CAPTIONS, f"f AS (SELECT video_id, string_agg(idx || chr(10) || {_TIME.format('start_ms')} || ' --> ' || {_TIME.format('end_ms')} || chr(10) || trim(regexp_replace(english_text, '\\s+', ' ', 'g')) || coalesce(chr(10) || chinese_text, '') || chr(10), chr(10) ORDER BY idx) || chr(10) AS c FROM captions GROUP BY 1)", "t AS (SELECT c FROM f UNION ALL SELECT c FROM f WHERE CAST(video_id AS INTEGER) % 2 = 0)") + "SELECT sha256(c) AS audio_hash, min(strlen(c)) AS total_bytes, count(*) AS copies, 'bin' AS extension FROM t GROUP BY 1",
     "src13_publish_captions": _w(X.CAPTIONS, "g AS (SELECT video_id, count(*) FILTER (WHERE chinese_text IS NULL) = 0 AS whole FROM captions GROUP BY 1)") + "SELECT video_id, idx, CASE WHEN CAST(video_id AS INTEGER) % 4 = 0 THEN 'new' WHEN CAST(video_id AS INTEGER) % 2 = 0 AND whole THEN chinese_text ELSE 'old' END AS chinese_text FROM captions JOIN g USING (video_id)",
     "str8_stream_wordbook": _w(X.WORDBOOK) + "SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY time DESC, event_id DESC) AS INTEGER) AS rank FROM wordbook QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY time DESC, event_id DESC) <= 3",
     "str9_stream_publish": _w(X.CAPTIONS) + "SELECT video_id, idx, chinese_text FROM captions WHERE video_id NOT IN (SELECT video_id FROM captions WHERE chinese_text IS NULL)",

@@ -31,7 +31,7 @@ def _by_start(df):
 
 def _protected(s, d):
     """Tags by word length: spans over words 3k to 3k + 2, arcs to the next word but one."""
-    w = S.normalize_words(W(s, d)).where("idx < 200")
+    w = S.normalize_words(W(s, d))
     n = F.length("text")
     ends = F.sum(n + 1).over(S.by_video().rowsBetween(Window.unboundedPreceding, -1)) - 1
     b = w.withColumn("char_end", ends.cast("long")).where("char_end is not null")
@@ -49,9 +49,9 @@ def _char_scores(s, d):
 
 
 def _summary(s, d):
-    cuts = S.optimize_segments(_costed(s, d))
-    kept, gone = S.merge_orphans(S.cut_segments(blocks(s, d), cuts))
-    return S.segmentation_summary(kept, blocks(s, d), gone)
+    cuts = S.least_cost_cuts(blocks(s, d)).where("word_start >= 0")
+    _, gone = S.merge_orphans(S.cut_segments(blocks(s, d), cuts))
+    return S.segmentation_summary(S.segment_corpus(W(s, d)), blocks(s, d), gone)
 
 
 def _orphan_rows(s, d):
@@ -73,10 +73,10 @@ QUERIES = {
     "win4_protect_boundaries": _protected,
     "win5_segment_candidates": lambda s, d: _by_start(S.segment_candidates(blocks(s, d))),
     "win6_candidate_costs": lambda s, d: _by_start(_costed(s, d)),
-    "win7_optimize_segments": lambda s, d: S.optimize_segments(_costed(s, d)),
+    "win7_optimize_segments": lambda s, d: S.least_cost_cuts(blocks(s, d)),
     "win8_merge_orphans": lambda s, d: S.merge_orphans(_orphan_rows(s, d))[0].drop("probability"),
     "win8_removed_orphans": lambda s, d: S.merge_orphans(_orphan_rows(s, d))[1].drop("probability"),
-    "win9_greedy_segments": lambda s, d: S.greedy_segments(S.normalize_words(W(s, d))),
+    "win9_greedy_segments": lambda s, d: S.greedy_captions(S.normalize_words(W(s, d))),
     "win10_greedy_segments_v1": lambda s, d: S.greedy_segments(S.normalize_words(W(s, d)), "v1"),
     "pipe1_segment_corpus": lambda s, d: S.segment_corpus(W(s, d)),
     "agg1_materialize_segments": lambda s, d: S.materialize_segments(blocks(s, d)),
@@ -117,7 +117,7 @@ ORACLE_SQL = {
     "win8_merge_orphans": _with(_AGG, _ORPHANS) + "SELECT video_id, word_start, CASE WHEN merges THEN n_word_end ELSE word_end END AS word_end, start_ms, CASE WHEN merges THEN n_end ELSE end_ms END AS end_ms, CASE WHEN merges THEN both_text ELSE text END AS text FROM o6 WHERE NOT used AND NOT gone",
     "win8_removed_orphans": _with(_AGG, _ORPHANS) + "SELECT video_id, word_start, start_ms, end_ms, text, gap AS next_gap_ms FROM o6 WHERE NOT used AND gone",
     "agg1_materialize_segments": _with(_AGG) + "SELECT video_id, block_id, word_start, word_end, start_ms, end_ms, text, probability, n_words FROM ag",
-    "win4_protect_boundaries": _with("""p0 AS (SELECT video_id, idx, text, length(text) AS n, sum(length(text) + 1) OVER (PARTITION BY video_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 1 AS char_end, ['DET', 'NOUN', 'ADJ', 'VERB', 'ADP'][length(text) % 5 + 1] AS pos FROM nw WHERE idx < 200)""",
+    "win4_protect_boundaries": _with("""p0 AS (SELECT video_id, idx, text, length(text) AS n, sum(length(text) + 1) OVER (PARTITION BY video_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 1 AS char_end, ['DET', 'NOUN', 'ADJ', 'VERB', 'ADP'][length(text) % 5 + 1] AS pos FROM nw)""",
         "b AS (SELECT video_id, idx, CAST(char_end AS BIGINT) AS char_end FROM p0 WHERE char_end IS NOT NULL)",
         "p1 AS (SELECT video_id, char_end - 3 AS a, char_end + 6 AS z FROM b WHERE idx % 3 = 1)",
         f"""hit AS (SELECT b.video_id, b.idx FROM b JOIN p1 ON b.video_id = p1.video_id AND a < char_end AND char_end < z UNION SELECT video_id, unnest(range(idx + 1, idx + idx % 3 + 1)) FROM p0 WHERE n % 2 = 0 AND idx % 3 > 0

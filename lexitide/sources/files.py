@@ -27,8 +27,12 @@ ARTIFACT = re.compile(r"[A-Za-z0-9._-]+\.json")
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new path in the shared folder of the session (a temporary folder where none is set)."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-")
+    """A new path in the shared folder of the session (where none is set, a temporary folder, but never on a cluster)."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not re.fullmatch(r"local(\[[^,]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-")
     return f"{folder}/{uuid.uuid4()}"
 
 

@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.window import Window
 
 from lexitide.functions import rules as R
 
@@ -33,10 +34,11 @@ class Fold:
 
 
 class _Keyed(StatefulProcessor):
-    def __init__(self, fold: Fold, names: list[str]):
-        self.fold, self.names = fold, names
+    def __init__(self, fold: Fold, names: list[str], ts: str | None = None, idle_ms: int = 0):
+        self.fold, self.names, self.ts, self.idle_ms = fold, names, ts, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("state", "value string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -44,8 +46,18 @@ class _Keyed(StatefulProcessor):
         frame = pd.concat(list(rows)).sort_values(list(self.fold.order))
         out = [(key[0], *r) for row in frame.to_dict("records") for r in self.fold.step(state, row)]
         self.state.update((json.dumps(state),))
+        if self.ts:
+            for old in list(self.handle.listTimers()):
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer(_ms(frame[self.ts].max()) + self.idle_ms)
         yield pd.DataFrame(out, columns=self.names)
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """The key has been idle: what is left of it goes out, and its state goes."""
+        state = json.loads(self.state.get()[0]) if self.state.exists() else deepcopy(self.fold.initial)
+        self.state.clear()
+        yield pd.DataFrame([(key[0], *r) for r in self.fold.last(state)], columns=self.names)
+
     def close(self) -> None:
         pass
 
@@ -54,26 +66,34 @@ def _names(ddl: str) -> list[str]:
     return [c.split()[0] for c in ddl.split(", ")]
 
 
-def fold_stream(rows: DataFrame, fold: Fold) -> DataFrame:
-    """The fold over a stream; the state store provider must be RocksDB's."""
-    return rows.groupBy(fold.key).transformWithStateInPandas(_Keyed(fold, _names(fold.output)), outputStructType=fold.output, outputMode="Append", timeMode="None")
+def fold_stream(rows: DataFrame, fold: Fold, ts: str | None = None, late: str = "10 minutes", idle_ms: int = 0) -> DataFrame:
+    """The fold over a stream; the state store provider must be RocksDB's.
+
+    With a timestamp column ``ts`` rows later than ``late`` are dropped, and a key that has had no row for ``idle_ms`` of
+    event time is ended: what is left of it goes out, as at the end of a batch, and its state goes.
+    """
+    if ts is None:
+        return rows.groupBy(fold.key).transformWithStateInPandas(_Keyed(fold, _names(fold.output)), outputStructType=fold.output, outputMode="Append", timeMode="None")
+    keyed = rows.withWatermark(ts, late).groupBy(fold.key)
+    return keyed.transformWithStateInPandas(_Keyed(fold, _names(fold.output), ts, idle_ms), outputStructType=fold.output, outputMode="Append", timeMode="EventTime")
 
 
 def fold_batch(rows: DataFrame, fold: Fold) -> DataFrame:
     """The fold over a table: keys are dealt over tasks, and each task reads its rows in order, one key after another."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, state, names = None, deepcopy(fold.initial), _names(fold.output)
+        begun, key, state, names = False, None, deepcopy(fold.initial), _names(fold.output)
         for frame in frames:
             out: list[tuple] = []
             for row in frame.to_dict("records"):
-                if row[fold.key] != key:
-                    if key is not None:
+                own = None if pd.isna(row[fold.key]) else row[fold.key]  # null keys are one key
+                if not begun or own != key:
+                    if begun:
                         out += [(key, *r) for r in fold.last(state)]
-                    key, state = row[fold.key], deepcopy(fold.initial)
+                    begun, key, state = True, own, deepcopy(fold.initial)
                 out += [(key, *r) for r in fold.step(state, row)]
             yield pd.DataFrame(out, columns=names)
-        yield pd.DataFrame([(key, *r) for r in fold.last(state)] if key is not None else [], columns=names)
+        yield pd.DataFrame([(key, *r) for r in fold.last(state)] if begun else [], columns=names)
 
     return rows.repartition(fold.key).sortWithinPartitions(fold.key, *fold.order).mapInPandas(run, fold.output)
 
@@ -127,7 +147,7 @@ def _task(state: dict, row: dict) -> list[tuple]:
         state.update(status="done", progress=100, failures=0, error=None)
     elif kind == "failure":
         n = state["failures"] + 1
-        state.update(status="queued" if n < 5 else "failed", failures=n, progress=min(99, state["progress"]), error="failure")
+        state.update(status="queued" if n < 5 else "failed", failures=n, progress=min(99, state["progress"]) if n < 5 else state["progress"], error="failure")
     elif kind == "prepared":
         state.update(status="queued", progress=30, error=None)
     elif kind == "submitted":
@@ -218,11 +238,27 @@ def latest_state(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").agg(F.max_by("kind", order).alias("status"), F.max_by("progress", F.when(F.col("progress").isNotNull(), order)).alias("progress"))
 
 
-def stream_publish(captions: DataFrame, path: str, checkpoint: str):
-    """Publish complete videos of each micro-batch; a batch that is run again writes the same partitions."""
+def stream_publish(captions: DataFrame, path: str, checkpoint: str, total: str | None = None):
+    """Publish videos once all their rows have a translation; a batch that is run again gives the same partitions.
+
+    A video's rows may come in several micro-batches: they are kept beside ``path``, and each batch judges all rows so far
+    of the videos it touches, the latest of rows with the same number. With ``total``, a column that has a video's number
+    of captions, a video is published only when all have come.
+    """
     from lexitide.sources.files import publish_captions
 
-    return captions.writeStream.foreachBatch(lambda df, batch: publish_captions(df, path)).option("checkpointLocation", checkpoint)
+    def publish(df: DataFrame, batch: int) -> None:
+        spark, kept = df.sparkSession, f"{path.rstrip('/')}_received"
+        df.write.mode("overwrite").parquet(f"{kept}/batch={batch}")
+        seen = spark.read.schema(df.schema.add("batch", "long")).option("basePath", kept).parquet(f"{kept}/batch=*").where(F.col("batch") <= batch)
+        touched = seen.where(F.col("batch") == batch).select("video_id").distinct()
+        latest = seen.join(touched, "video_id", "left_semi").withColumn("__turn", F.row_number().over(Window.partitionBy("video_id", "idx").orderBy(F.desc("batch")))).where("__turn = 1").drop("__turn", "batch")
+        if total:
+            whole = latest.groupBy("video_id").agg(F.count("*").alias("n"), F.max(total).alias("all")).where("n >= all")
+            latest = latest.join(whole, "video_id", "left_semi")
+        publish_captions(latest, path)
+
+    return captions.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint)
 
 
 def stream_wordbook(entries: DataFrame, path: str, checkpoint: str):

@@ -7,7 +7,6 @@ import pytest
 from lexitide.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"win5_segment_candidates", "win6_candidate_costs", "win7_optimize_segments", "agg5_cost_report", "agg6_segmentation_summary", "pipe1_segment_corpus"}
 
 
 @pytest.fixture(scope="session")
@@ -28,12 +27,12 @@ def normal(df: pd.DataFrame) -> pd.DataFrame:
     return df.sort_values(list(df.columns)).reset_index(drop=True)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.ORACLE_SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
 def test_matches_sql(spark, con, name):
     got, want = normal(catalog.QUERIES[name](spark, SF).toPandas()), normal(con.sql(catalog.ORACLE_SQL[name]).df())
     pd.testing.assert_frame_equal(got, want, check_dtype=False)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL)))
 def test_runs(spark, name):
     assert catalog.QUERIES[name](spark, SF).count() > 0

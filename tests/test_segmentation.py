@@ -108,3 +108,70 @@ def test_corrections(spark, text, want):
 def test_empty_tables(spark):
     none = words(spark, "a").where("false")
     assert S.segment_corpus(none).count() == 0 and S.greedy_segments(none).count() == 0
+
+
+ODD = "We 're going , to the end of a well - known road . do n't stop at 5 % 's IT'S a-b - c walking ! é ñandú -x ok? 'quoted' 1 2 , , ; the".split()
+
+
+def odd_words(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    return words(spark, " ".join(rng.choice(ODD) for _ in range(150)), pauses={k for k in range(150) if rng.random() < 0.1}, step=rng.choice([200, 350, 900]))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_cuts_of_words_equal_cuts_of_costed_candidates(spark, seed):
+    blocks = S.hard_blocks(S.boundary_features(S.normalize_words(odd_words(spark, seed))))
+    scores = blocks.select("video_id", "idx", (F.col("idx") % 7 / 10).alias("boundary_probability"), (F.col("idx") % 5 == 0).alias("protected"))
+    want = S.optimize_segments(S.candidate_costs(S.segment_candidates(blocks), blocks, scores)).collect()
+    assert sorted(map(tuple, S.least_cost_cuts(blocks, scores).collect())) == sorted(map(tuple, want))
+
+
+def test_cuts_are_the_cheapest_of_all(spark):
+    blocks = S.hard_blocks(S.boundary_features(S.normalize_words(odd_words(spark, 9))))
+    costs = {(r.word_start, r.word_end): r.cost for r in S.candidate_costs(S.segment_candidates(blocks), blocks).collect()}
+    bounds = [(r.a, r.b) for r in blocks.groupBy("block_id").agg(F.min("idx").alias("a"), (F.max("idx") + 1).alias("b")).collect()]
+
+    def least(a, b):
+        return 0 if a == b else min((costs[a, c] + least(c, b) for c in range(a + 1, b + 1) if (a, c) in costs), default=10**15)
+
+    got = {}
+    for r in S.least_cost_cuts(blocks).collect():
+        got[r.block_id] = got.get(r.block_id, 0) + r.cost
+    short = [(k, a, b) for k, (a, b) in enumerate(sorted(bounds)) if b - a <= 12]
+    assert len(short) > 10 and all(got[k] == least(a, b) for k, a, b in short)
+
+
+def test_videos_that_break_the_limits_fall_back(spark):
+    good, bad = words(spark, "We walk up the hill. And then we rest."), words(spark, "we go up the hill " + "x" * 170 + " and then of the lake we see all", video="w")
+    out = S.segment_corpus(good.unionByName(bad)).orderBy("video_id", "word_start").collect()
+    own = [r for r in out if r.video_id == "w"]
+    assert {(r.video_id, r.used_fallback, r.error) for r in out} == {("v", False, None), ("w", True, "no caption within limits holds word 5")}
+    assert own[0].word_start == 0 and own[-1].word_end == 14 and [r.word_start for r in own][1:] == [r.word_end for r in own][:-1]
+    assert out[0].text == "We walk up the hill." and own[0].text[0] == "W" and out[0].start_ms == 0 and out[0].end_ms > 4 * 350 + 280
+
+
+def test_phrases_of_any_length_are_found(spark):
+    import re
+
+    from lexitide.operators.lookup import annotate_terms
+
+    pool = "as the crow flies at one point in time it's it’s a well-known so far, so good".split()
+    phrases = ["as the crow flies", "in time", "at one point in time it's a well-known", "it's", "so far, so good", "so far", "absent phrase"]
+    import random
+
+    rng = random.Random(3)
+    rows = [("v", k, " ".join(rng.choice([*pool, *phrases]) for _ in range(12))) for k in range(40)] + [("v", 90, ""), ("v", 91, None)]
+    want = set()
+    for v, k, text in rows:
+        low = re.sub("[‘’‛′]", "'", (text or "").lower())
+        spans = sorted((-len(p), m.start(), m.start() + len(p), p) for p in phrases for m in re.finditer(rf"(?<!\w)(?={re.escape(p)}(?!\w))", low))
+        kept = []
+        for _, a, b, p in spans:
+            if not any(x < b and a < y for x, y, _ in kept):
+                kept.append((a, b, p))
+        want |= {(v, k, a, b, p, "phrase") for a, b, p in kept}
+    got = annotate_terms(spark.createDataFrame(rows, "video_id string, idx long, english_text string"), spark.createDataFrame([(p,) for p in phrases], "phrase string")).where("kind = 'phrase'")
+    got = {tuple(r) for r in got.collect()}
+    assert got == want and len(want) > 60, (sorted(got - want)[:5], sorted(want - got)[:5])

@@ -48,3 +48,42 @@ def test_stream_equals_batch(spark, tmp_path, fold):
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     got = sorted(map(str, spark.read.parquet(str(tmp_path / "out")).collect()))
     assert got == sorted(map(str, Z.fold_batch(table, fold).collect()))
+
+
+ROCKS = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def test_videos_are_published_whole_over_micro_batches(spark, tmp_path):
+    """Rows of a video come in two batches; with a declared number nothing is published before all are there."""
+    rows = [("a", i, 100 * i, 100 * i + 50, f"e{i}", f"c{i}", None, 4) for i in range(4)] + [("b", 0, 0, 50, "e", None, None, 1)]
+    table = spark.createDataFrame(rows, "video_id string, idx long, start_ms long, end_ms long, english_text string, chinese_text string, translation_source string, total long")
+    table.where("idx < 2").coalesce(1).write.parquet(str(tmp_path / "in"))
+    out, seen = str(tmp_path / "out"), []
+    for _ in range(2):
+        stream = spark.readStream.schema(table.schema).parquet(str(tmp_path / "in"))
+        query = Z.stream_publish(stream, out, str(tmp_path / "ckpt"), total="total").trigger(availableNow=True).start()
+        assert query.awaitTermination(120)
+        seen.append(sorted((r.video_id, r.idx) for r in spark.read.schema(table.schema).parquet(out).collect()) if (tmp_path / "out").exists() else [])
+        table.where("idx >= 2").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    assert seen == [[], [("a", i) for i in range(4)]]
+
+
+def test_idle_keys_are_flushed(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    rows = [("v", i, i * 300, i * 300 + 200, w) for i, w in enumerate("One two. Three four".split())] + [("w", 0, 10**7, 10**7 + 100, "Later.")]
+    table = spark.createDataFrame(rows, "video_id string, idx long, start_ms long, end_ms long, text string").withColumn("ts", F.timestamp_millis(F.col("start_ms") + 10**6))
+    table.coalesce(1).write.parquet(str(tmp_path / "in"))
+    spark.conf.set(*ROCKS)
+    try:
+        stream = Z.fold_stream(spark.readStream.schema(table.schema).parquet(str(tmp_path / "in")), Z.CAPTIONS, ts="ts", late="1 minute", idle_ms=60_000)
+        query = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ckpt")).trigger(availableNow=True).start()
+        assert query.awaitTermination(120)
+    finally:
+        spark.conf.unset(ROCKS[0])
+    assert sorted(r.text for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["One two.", "Three four"]  # w is not idle yet
+
+
+def test_null_keys_are_one_key(spark):
+    table = spark.createDataFrame([(None, i, f"2024-01-01 00:00:{i:02d}", "failure", None) for i in range(2)], "user_id long, event_id long, ts string, kind string, progress long").selectExpr("user_id", "event_id", "cast(ts as timestamp) ts", "kind", "progress")
+    assert sorted((r.event_id, r.failures) for r in Z.fold_batch(table, Z.TASKS).collect()) == [(0, 1), (1, 2)]
