@@ -8,9 +8,11 @@ probabilities of all words after a context sum to one.
 Scores are bilinear: s(w, context) = sum_i r(c_i) C_i q(w) + b(w). Products of the small parameter matrices give the
 three tables of r C_i q for all symbols, and one batched product gives the normaliser of every context.
 
-In Spark: (1) counts of all training words, met by hash range; (2) noise-contrastive steps over all training texts,
-task by task from a common start (fitted on at most ``START_ROWS`` texts), and the token-weighted mean of the tasks'
-parameters; (3) one pass over all texts. Counts of the ``HEAD`` most frequent words go to every task; for other words
+In Spark: (1) counts of all training words, met by hash range; (2) all training texts become symbols, a byte a token,
+and are dealt by hash into shards of about ``SHARD_TOKENS`` tokens, in an order of their own, so that the result does not
+depend on how the rows were partitioned; each round takes noise-contrastive steps in every shard from common parameters,
+and ends with their token-weighted mean; a small corpus is gone over until a round has seen ``LEAST_TOKENS``;
+(3) one pass over all texts. Counts of the ``HEAD`` most frequent words go to every task; for other words
 each task sends packed (hash, document, times) to the hash ranges, and the sums come back by task.
 """
 
@@ -27,10 +29,12 @@ from pyspark.sql import functions as F
 from lexitide.llm.tables import durable
 from lexitide.llm.words import bucket_of, expand, joined, mix, pack, squeeze, unpack, words
 
-HEAD, START_ROWS = 50_000, 400
+HEAD = 50_000
 SYMBOLS, FORMS, SPAN, WIDTH = 256, 120, 3, 24
 TOP = SYMBOLS - FORMS - 1
 NOISE, STEP_TOKENS = 5, 20_000
+SHARD_TOKENS, LEAST_TOKENS, MOST_PASSES = 4_000_000, 8_000_000, 20
+RATES = (0.02, 0.004)  # of the rounds
 CHUNK_WORDS = 1_500_000
 END = 0x5851F42D4C957F2D  # the hash that stands for the end of a text
 _ROW = "key bigint, kind int, chunk bigint, n int, a binary, b binary, c binary"
@@ -249,43 +253,61 @@ class Trainer:
             self.step(context[:, now], target[now])
 
 
-def train(texts: DataFrame, vocab: dict, id_col: str = "id", epochs: int = 20) -> dict[str, np.ndarray]:
-    """Parameters from all ``texts`` (id, text): a common start, then one pass in every task, averaged by tokens."""
-    top, shares = vocab["top"], vocab["symbol_counts"]
-    ids = texts.where(F.col(id_col).isNotNull() & F.col("text").isNotNull()).select(id_col).orderBy(F.xxhash64(id_col), id_col).limit(START_ROWS)
-    first_rows = texts.join(F.broadcast(ids.distinct()), id_col).where(F.col("text").isNotNull()).select(id_col, F.col("text").cast("binary").alias("t"))  # ids: START_ROWS at most
-    h, f, first = tokenised([bytes(r.t) for r in sorted(first_rows.toLocalIterator(), key=lambda r: (r[0], bytes(r.t)))])
-    symbol = symbols(h, f, top)
-    start = Trainer(fresh(), shares, 0.02, 2)
-    context = contexts(symbol, first)
-    for _ in range(epochs if len(symbol) else 0):
-        start.learn(context, symbol)
-    begun = start.p
-
+def _encoded(top: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, n = None, 0
         for batch in batches:
-            for _, _, part in _texts(batch):
-                own = own or Trainer(begun, shares, 0.004, TaskContext.get().partitionId())
+            for a, b, part in _texts(batch):
                 h, f, first = tokenised(part)
-                symbol = symbols(h, f, top)
-                own.learn(contexts(symbol, first), symbol)
-                n += len(symbol)
+                own = symbols(h, f, top).astype(np.uint8).tobytes()
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([own[x:y] for x, y in zip(first[:-1].tolist(), first[1:].tolist())], pa.binary())], names=["k", "symbols"])
+
+    return run
+
+
+def _shard(begun: dict[str, np.ndarray], noise: np.ndarray, rate: float, passes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, parts, n = TaskContext.get().partitionId(), [], 0
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            first = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+            cuts = np.unique(np.concatenate((np.searchsorted(first, np.arange(0, first[-1], 10 * STEP_TOKENS)), [len(texts)])))
+            parts += [(np.frombuffer(b"".join(texts[x:y]), np.uint8), first[x : y + 1] - first[x]) for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+            n += int(first[-1])
         if n:
+            own = Trainer(begun, noise, rate, shard)
+            for _ in range(passes):
+                for symbol, first in parts:
+                    symbol = symbol.astype(np.int64)
+                    own.learn(contexts(symbol, first), symbol)
             flat = np.concatenate([own.p[k].ravel() for k in sorted(own.p)] + [np.ones(1)]) * n
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % 64]), pa.array([flat.tolist()], pa.list_(pa.float64()))], names=["g", "p"])
-
-    def total(table: pa.Table) -> pa.Table:
-        return pa.table({"g": table["g"].slice(0, 1), "p": pa.array([np.sum([np.array(x.as_py()) for x in table["p"]], 0).tolist()], pa.list_(pa.float64()))})
-
-    parts = texts.mapInArrow(run, "g bigint, p array<double>").groupBy("g").applyInArrow(total, "g bigint, p array<double>").collect()  # at most 64 rows
-    if not parts:
-        return begun
-    mean, out, at = np.sum([np.array(r.p) for r in parts], 0), {}, 0
-    for k in sorted(begun):
-        out[k] = (mean[at : at + begun[k].size] / mean[-1]).reshape(begun[k].shape)
-        at += begun[k].size
-    return out
+            yield pa.RecordBatch.from_arrays([pa.array([shard % 64]), pa.array([shard]), pa.array([flat.tolist()], pa.list_(pa.float64()))], names=["g", "shard", "p"])
+
+    return run
+
+
+def _total(table: pa.Table) -> pa.Table:
+    table = table.sort_by("shard")  # so that sums come out alike
+    return pa.table({"g": table["g"].slice(0, 1), "p": pa.array([np.sum([np.array(x.as_py()) for x in table["p"]], 0).tolist()], pa.list_(pa.float64()))})
+
+
+def train(texts: DataFrame, vocab: dict) -> dict[str, np.ndarray]:
+    """Parameters from all ``texts`` (id, text), whatever their partitions."""
+    p = fresh()
+    p["b"] = np.log(vocab["symbol_counts"] / vocab["symbol_counts"].sum())
+    if not vocab["tokens"]:
+        return p
+    shards, passes = -(-vocab["tokens"] // SHARD_TOKENS), min(MOST_PASSES, -(-LEAST_TOKENS // vocab["tokens"]))
+    known = durable(texts.select(F.xxhash64("id", "text").alias("k"), "text").mapInArrow(_encoded(vocab["top"]), "k long, symbols binary"))
+    dealt = durable(known.repartition(shards, "k").sortWithinPartitions("k", "symbols"))
+    for rate in RATES:
+        parts = dealt.mapInArrow(_shard(p, vocab["symbol_counts"], rate, passes), "g bigint, shard bigint, p array<double>")
+        sums = [np.array(r.p) for r in parts.groupBy("g").applyInArrow(_total, "g bigint, p array<double>").sort("g").collect()]  # at most 64 rows
+        mean, at, new = np.sum(sums, 0), 0, {}
+        for k in sorted(p):
+            new[k] = (mean[at : at + p[k].size] / mean[-1]).reshape(p[k].shape)
+            at += p[k].size
+        p = new
+    return p
 
 
 # ---- scoring -----------------------------------------------------------------------------------------------------

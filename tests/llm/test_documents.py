@@ -394,6 +394,13 @@ def test_language_model(docs, none, spark):
     assert lm_scoring.score(none, docs).count() == 0 and lm_scoring.score(docs, none).count() == len(rows())
 
 
+def test_scores_do_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "SHARD_TOKENS", 3000)  # several shards
+    table = spark.createDataFrame([(i, sentence(60, i % 40, 50)) for i in range(200)], "doc_id long, text string")
+    one, other = ({r.doc_id: r.score for r in lm_scoring.score(t, t.where("doc_id % 5 <> 1")).collect()} for t in (table.repartition(3), table.repartition(11)))
+    assert all(abs(one[i] - other[i]) < 1e-6 for i in range(200))
+
+
 def test_normalisers_sum_to_one():
     p = lm_scoring.fresh(3)
     p = {k: x * 3 for k, x in p.items()}
