@@ -30,7 +30,7 @@ NEARLY_FULL = 16
 FAN_IN, NODE_BINS = 16, 50_000
 #: Rounds of several nodes end when one saves less than this share of its bins.
 LEAST_SAVING = 0.001
-LOCAL_PIECES, LOCAL_TOKENS, CACHED_WORDS = 200_000, 16_000_000, 200_000
+LOCAL_PIECES, LOCAL_TOKENS, CACHED_WORDS = 200_000, 16_000_000, 250_000
 BATCH_PIECES = 2000
 _state: dict = {}
 
@@ -41,15 +41,33 @@ _PLAIN = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([!-/:-@\[-`{-~]*)")
 _LETTERS = {b: chr(256 + b - 94 if b < 161 else 323 if b == 173 else b) for b in range(128, 256)}
 
 
-def _encoder(path: str) -> tuple:
-    """The tokenizer, and the ids of words met so far, kept by the worker process."""
-    if _state.get("path") != path:
+class _Words(dict):
+    """Ids of words met so far, two generations: words in use move to the younger one, others are forgotten."""
+
+    def __init__(self, path: str):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        _state.update(path=path, tokenizer=tokenizer, model=tokenizer.model, known={}, older={})
-    return _state["tokenizer"], _state["model"], _state["known"], _state["older"]
+        self.tokenizer, self.older = Tokenizer.from_file(path), {}
+        self.model = self.tokenizer.model
+
+    def __missing__(self, w: bytes) -> bytes:
+        ids = self.older.get(w)
+        if ids is None:
+            if (m := _PLAIN.fullmatch(w)) is None:
+                ids = array("I", self.tokenizer.encode(w.decode("utf-8"), add_special_tokens=False).ids).tobytes()
+            elif m[2]:
+                ids = self[m[1]] + self[m[2]]
+            else:
+                ids = array("I", [t.id for t in self.model.tokenize(w.decode() if w.isascii() else w.decode("latin-1").translate(_LETTERS))]).tobytes()
+        self[w] = ids
+        return ids
+
+    def forget(self) -> None:
+        if len(self) > CACHED_WORDS:
+            self.older = dict(self)
+            self.clear()
 
 
 def _folded(text: bytes | None) -> bytes:
@@ -62,35 +80,16 @@ def encode(texts: list[bytes | None], path: str) -> list[bytes]:
     """Little-endian 32-bit ids of each text. The tokenizer cuts at white space, so words are encoded once each.
 
     It also cuts letters from marks, so a plain word is its letters, which the model takes as they are, and its marks.
-    A worker keeps two generations of words it has met; words in use move to the younger one, others are forgotten.
     """
-    tokenizer, model, known, older = _encoder(path)
-    split = [_folded(t).split() for t in texts]
-    if len(known) > CACHED_WORDS:
-        known, older = {}, known
-        _state.update(known=known, older=older)
-    rest, plain = [], []
-    for w in set().union(*split).difference(known):
-        ids = older.get(w)
-        if ids is not None:
-            known[w] = ids
-        elif m := _PLAIN.fullmatch(w):
-            plain.append((w, m[1], m[2]))
-            if m[2] and m[2] not in known:
-                rest.append(m[2])
-        else:
-            rest.append(w)
-    for at in range(0, len(rest), 10_000):
-        part = rest[at : at + 10_000]
-        for w, e in zip(part, tokenizer.encode_batch_fast([w.decode("utf-8") for w in part], add_special_tokens=False)):
-            known[w] = array("I", e.ids).tobytes()
-    for w, letters, marks in plain:
-        ids = known.get(letters)
-        if ids is None:
-            ids = known[letters] = array("I", [t.id for t in model.tokenize(letters.decode() if letters.isascii() else letters.decode("latin-1").translate(_LETTERS))]).tobytes()
-        if marks:
-            known[w] = ids + known[marks]
-    return [b"".join([known[w] for w in own]) for own in split]
+    known = _state.get(path)
+    if known is None:
+        _state.clear()
+        known = _state[path] = _Words(path)
+    out = []
+    for t in texts:
+        out.append(b"".join(map(known.__getitem__, _folded(t).split())))
+        known.forget()
+    return out
 
 
 def best_fit(lengths: list[int], size: int) -> list[list[int]]:
