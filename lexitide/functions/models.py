@@ -54,6 +54,36 @@ def transcribe(audio: DataFrame, model: Callable[[bytes], list[dict]]) -> DataFr
     return audio.select("video_id", "content").mapInPandas(run, "video_id string, idx long, segment_id long, start_ms long, end_ms long, text string, probability double")
 
 
+def transcribe_segments(audio: DataFrame, model: Callable[[bytes], list[dict]]) -> DataFrame:
+    """Word and segment rows of audio rows (``video_id, content``) in one table, told apart by ``kind``.
+
+    The model gives segments: dicts of start, end (ms), text, optionally avg_logprob, no_speech_prob, compression_ratio and
+    temperature, and words: dicts of start, end, text, probability. White space in texts is collapsed. Blank words and
+    blank segments give no row; words are numbered over the whole audio, and a segment has its first word and the one after
+    its last. Rows without audio give none.
+    """
+    measures = ["avg_logprob", "no_speech_prob", "compression_ratio", "temperature"]
+    columns = ["video_id", "kind", "idx", "segment_id", "start_ms", "end_ms", "text", "probability", *measures, "word_start", "word_end"]
+
+    def rows(video: str, segments: list[dict]) -> Iterator[tuple]:
+        n = 0
+        for k, s in enumerate(segments):
+            first = n
+            for w in s.get("words") or []:
+                if text := " ".join(w["text"].split()):
+                    yield (video, "word", n, k, w["start"], w["end"], text, w.get("probability"), None, None, None, None, None, None)
+                    n += 1
+            if text := " ".join(s["text"].split()):
+                yield (video, "segment", k, k, s["start"], s["end"], text, None, *(s.get(m) for m in measures), first, n)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = [r for v, c in zip(frame["video_id"], frame["content"]) if c is not None for r in rows(v, model(bytes(c)))]
+            yield pd.DataFrame(out, columns=columns).astype({"word_start": "Int64", "word_end": "Int64", **{m: "Float64" for m in ["probability", *measures]}})
+
+    return audio.select("video_id", "content").mapInPandas(run, "video_id string, kind string, idx long, segment_id long, start_ms long, end_ms long, text string, probability double, avg_logprob double, no_speech_prob double, compression_ratio double, temperature double, word_start long, word_end long")
+
+
 def detect_language(audio: DataFrame, model: Callable[[bytes], str], force: str | None = None) -> DataFrame:
     """Adds ``language``, from the model or forced, and ``translates``: only English goes on to translation."""
     if force:

@@ -62,3 +62,56 @@ CJK_TERMS = [
     ("让我们这样做", "我们出发吧"),
 ]
 CJK = r"[㐀-鿿]"
+
+# Whole sentences (patterns) and their translation.
+SENTENCES = [
+    (r"\bjoin me and my family today as we go on a camping and hiking\.?$", "今天和我及家人一起去露营徒步吧。"),
+    (r"\btrip to a beautiful glacier lake in canada\.?$", "前往加拿大一座美丽的冰川湖。"),
+    (r"\bso grab your backpack,?\.?$", "所以带上你的背包，"),
+    (r"\ba tent,? your hiking boots,?\.?$", "一顶帐篷和你的徒步靴，"),
+    (r"\band (let['’]s do it|let us go)\.?$", "我们出发吧。"),
+    (r"\byou['’]re also going to need a good, warm winter jacket and sleeping bag\.?$", "你还需要一件保暖的冬季夹克和一个睡袋。"),
+    (r"\boh my\.?$", "天啊。"),
+    (r"\bbut we don't get to go straight (as the crow flies|in a straight line)\.?$", "但我们不能按直线距离直接过去。"),
+    (r"\bthis is the (lost|long) way around africa\.?$", "这就是绕行非洲的漫长路线。"),
+    (r"\bif you're going to cross africa (coast to coast|from one coast to the other coast), you're going to need to do some planning\.?$", "如果你要横穿非洲，从一个海岸到另一个海岸，就得认真规划。"),
+    (r"\bsome serious planning\.?$", "而且是非常认真的规划。"),
+    (r"\byou see, you can't just (google maps it|use google maps to figure it out)\.?$", "你看，这事不能只是打开谷歌地图随便搜一下就出发。"),
+]
+# Sources (patterns) whose translations have these fragments put right.
+GUARDED_FRAGMENTS = [
+    (
+        r"\bbut we don't get to go straight (as the crow flies|in a straight line)\b",
+        [("但是我们不能直走一条直线", "但我们不能按直线距离直接过去"), ("但我们不能直走一条直线", "但我们不能按直线距离直接过去"), ("但我们不能直接走直线", "但我们不能按直线距离直接过去")],
+    ),
+    (
+        r"\bthis is the (lost|long) way around africa\b",
+        [("这是非洲最远的路", "这就是绕行非洲的漫长路线"), ("这是在非洲各地的迷路", "这就是绕行非洲的漫长路线"), ("这是非洲各地的迷路", "这就是绕行非洲的漫长路线")],
+    ),
+    (
+        r"\bif you're going to cross africa (coast to coast|from one coast to the other coast)\b",
+        [
+            ("如果你要从一个海岸穿越非洲到另一个海岸, 你需要做一些计划", "如果你要横穿非洲，从一个海岸到另一个海岸，就得认真规划"),
+            ("如果你要穿越非洲海岸到海岸，你需要做一些规划", "如果你要横穿非洲，从一个海岸到另一个海岸，就得认真规划"),
+        ],
+    ),
+    (
+        r"\byou see, you can't just (google maps it|use google maps to figure it out)\b",
+        [("你不能只用谷歌地图来弄清楚", "你看，这事不能只是打开谷歌地图随便搜一下就出发"), ("你看，你不能只是谷歌地图它", "你看，这事不能只是打开谷歌地图随便搜一下就出发")],
+    ),
+]
+# Fragments put right in every translation, in this order.
+FRAGMENTS = [
+    ("但是我们不能直走一条直线", "但我们不能按直线距离直接过去"),
+    ("但我们不能直走一条直线", "但我们不能按直线距离直接过去"),
+    ("这是非洲最远的路", "这就是绕行非洲的漫长路线"),
+    ("像乌鸦飞来飞去一样直走", "按直线距离直接过去"),
+    ("像乌鸦飞一样直走", "按直线距离直接过去"),
+    ("乌鸦飞", "直线距离"),
+    ("非洲各地的迷路", "绕行非洲的漫长路线"),
+    ("非洲各地的失落之路", "绕行非洲的漫长路线"),
+    ("海岸到海岸", "从一个海岸到另一个海岸"),
+    ("一些严肃的计划", "非常认真的规划"),
+    ("谷歌地图它", "用谷歌地图随便搜一下"),
+    ("谷歌地图一下", "用谷歌地图随便搜一下"),
+]

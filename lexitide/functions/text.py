@@ -83,11 +83,6 @@ def cjk_normalised(text: Column) -> Column:
     return F.when(out.rlike(rules.CJK), reduce(lambda t, r: F.regexp_replace(t, r[0], r[1]), marks, out)).otherwise(out)
 
 
-def clean_term(term: Column) -> Column:
-    """A term for look-up: lower case, straight quotes, only ``a-z'-`` and single spaces."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.translate(F.lower(F.trim(term)), "’‘", "''"), "[^a-z'\\- ]", ""), " +", " "))
-
-
 def clock(ms: Column) -> Column:
     """``mm:ss`` of a time in ms, not below zero."""
     s = F.expr("1000")

@@ -11,6 +11,8 @@ from lexitide.functions import text as X
 
 def by_video() -> WindowSpec:
     return Window.partitionBy("video_id").orderBy("idx")
+#: Rules that a user gives as tables are read once into expressions, this many at most.
+MOST_RULES = 1000
 HAS_CJK = "[\\u3400-\\u4DBF\\u4E00-\\u9FFF\\uF900-\\uFAFF]"
 _CAPTION = "struct<start_ms: bigint, end_ms: bigint, text: string, first_idx: bigint, last_idx: bigint>"
 
@@ -27,19 +29,31 @@ def apply_glossary(captions: DataFrame, style: str = "natural") -> DataFrame:
     return captions.withColumn("prepared", text if style in ("", "raw", "none", "off") else X.replaced(text, R.GLOSSARY))
 
 
-def polish_translations(captions: DataFrame, sentences: DataFrame, fragments: DataFrame) -> DataFrame:
+def polish_translations(captions: DataFrame, sentences: DataFrame | None = None, fragments: DataFrame | None = None, style: str = "natural") -> DataFrame:
     """Translations by rule: a whole-sentence rule gives its text at once, else fragments in order, then Chinese marks.
 
-    ``sentences``: ``pattern, replacement``, and ``fragments``: ``seq, guard, old, new``: small rule tables that are read once
-    into expressions (a user's own rules; null guard: always).
+    The rules are those of ``rules``; a user's own may be given instead. ``sentences``: ``pattern, replacement``, and
+    ``fragments``: ``seq, guard, old, new`` (null guard: always). Each rule becomes an expression, so a table may have
+    at most ``MOST_RULES``. The style raw only collapses white space.
     """
-    source, prepared = F.lower(X.collapse(F.col("english_text"))), F.lower(X.collapse(F.col("prepared")))
-    out = X.collapse(F.col("chinese_text"))
-    for r in fragments.orderBy("seq").collect():
-        hit = F.lit(True) if r.guard is None else source.rlike("(?i)" + r.guard) | prepared.rlike("(?i)" + r.guard)
-        out = F.when(hit, F.replace(out, F.lit(r.old), F.lit(r.new))).otherwise(out)
-    whole = [F.when(source.rlike(f"(?i)^(?:{r.pattern})$") | prepared.rlike(f"(?i)^(?:{r.pattern})$"), F.lit(r.replacement)) for r in sentences.collect()]
-    return captions.withColumn("chinese_text", F.coalesce(*whole, X.cjk_normalised(out)))
+    text = X.collapse(F.col("chinese_text"))
+    if style in ("", "raw", "none", "off"):
+        return captions.withColumn("chinese_text", text)
+    whole = R.SENTENCES if sentences is None else [(r.pattern, r.replacement) for r in _few(sentences)]
+    parts = [(guard, old, new) for guard, pairs in [*R.GUARDED_FRAGMENTS, (None, R.FRAGMENTS)] for old, new in pairs] if fragments is None else [(r.guard, r.old, r.new) for r in sorted(_few(fragments), key=lambda r: r.seq)]
+    rows = captions.withColumns({"__source": F.lower(X.collapse(F.col("english_text"))), "__prepared": F.lower(X.collapse(F.col("prepared")))})
+    either = lambda p: F.col("__source").rlike("(?i)" + p) | F.col("__prepared").rlike("(?i)" + p)
+    for guard, old, new in parts:  # replacing nothing changes nothing
+        text = F.replace(text, F.lit(old) if guard is None else F.when(either(guard), old).otherwise(""), F.lit(new))
+    rows = rows.withColumns({"__mended": text, "__whole": F.coalesce(*[F.when(either(f"^(?:{p})$"), F.lit(new)) for p, new in whole], F.lit(None))})
+    return rows.withColumn("chinese_text", F.coalesce("__whole", X.cjk_normalised(F.col("__mended")))).drop("__source", "__prepared", "__mended", "__whole")
+
+
+def _few(rules: DataFrame) -> list:
+    found = rules.limit(MOST_RULES + 1).collect()
+    if len(found) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
+    return found
 
 
 def normalize_cjk(captions: DataFrame, column: str = "chinese_text") -> DataFrame:

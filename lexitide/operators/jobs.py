@@ -92,6 +92,15 @@ def delete_tasks(tasks: DataFrame, ids: DataFrame) -> DataFrame:
     return tasks.join(ids.select("task_id").distinct(), "task_id", "left_anti")
 
 
+def delete_task_captions(captions: DataFrame, tasks: DataFrame, ids: DataFrame) -> DataFrame:
+    """The cascade of a deletion: captions without those of the deleted tasks' videos, whether or not others share a video.
+
+    ``tasks``: ``task_id, video_id``, as they were before the deletion.
+    """
+    gone = tasks.join(ids.select("task_id").distinct(), "task_id", "left_semi").select("video_id").distinct()
+    return captions.join(gone, "video_id", "left_anti")
+
+
 def merge_updates(jobs: DataFrame, updates: DataFrame, key: str = "task_id") -> DataFrame:
     """Only non-null fields overwrite, so a null error never clears an earlier one."""
     fields = [c for c in updates.columns if c != key]

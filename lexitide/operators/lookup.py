@@ -6,12 +6,63 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Forms that have a base form of their own, as form=base.
-IRREGULAR = (
-    "am=be is=be are=be was=be were=be been=be being=be has=have had=have does=do did=do done=do went=go gone=go made=make took=take taken=take came=come saw=see seen=see got=get gave=give given=give "
-    "found=find thought=think knew=know known=know said=say told=tell felt=feel left=leave kept=keep heard=hear caught=catch bought=buy brought=bring wrote=write written=write spoke=speak spoken=speak "
-    "ran=run ate=eat eaten=eat wore=wear worn=wear chose=choose chosen=choose built=build lost=lose met=meet stood=stand understood=understand"
-).split()
+# Forms that have a base form of their own: form, base form, what the form is.
+IRREGULAR = [
+    ("am", "be", "第一人称单数"),
+    ("is", "be", "第三人称单数"),
+    ("are", "be", "现在时"),
+    ("was", "be", "过去式"),
+    ("were", "be", "过去式"),
+    ("been", "be", "过去分词"),
+    ("being", "be", "现在分词"),
+    ("has", "have", "第三人称单数"),
+    ("had", "have", "过去式或过去分词"),
+    ("does", "do", "第三人称单数"),
+    ("did", "do", "过去式"),
+    ("done", "do", "过去分词"),
+    ("went", "go", "过去式"),
+    ("gone", "go", "过去分词"),
+    ("made", "make", "过去式或过去分词"),
+    ("took", "take", "过去式"),
+    ("taken", "take", "过去分词"),
+    ("came", "come", "过去式"),
+    ("saw", "see", "过去式"),
+    ("seen", "see", "过去分词"),
+    ("got", "get", "过去式或过去分词"),
+    ("gave", "give", "过去式"),
+    ("given", "give", "过去分词"),
+    ("found", "find", "过去式或过去分词"),
+    ("thought", "think", "过去式或过去分词"),
+    ("knew", "know", "过去式"),
+    ("known", "know", "过去分词"),
+    ("said", "say", "过去式或过去分词"),
+    ("told", "tell", "过去式或过去分词"),
+    ("felt", "feel", "过去式或过去分词"),
+    ("left", "leave", "过去式或过去分词"),
+    ("kept", "keep", "过去式或过去分词"),
+    ("heard", "hear", "过去式或过去分词"),
+    ("caught", "catch", "过去式或过去分词"),
+    ("bought", "buy", "过去式或过去分词"),
+    ("brought", "bring", "过去式或过去分词"),
+    ("wrote", "write", "过去式"),
+    ("written", "write", "过去分词"),
+    ("spoke", "speak", "过去式"),
+    ("spoken", "speak", "过去分词"),
+    ("ran", "run", "过去式"),
+    ("ate", "eat", "过去式"),
+    ("eaten", "eat", "过去分词"),
+    ("wore", "wear", "过去式"),
+    ("worn", "wear", "过去分词"),
+    ("chose", "choose", "过去式"),
+    ("chosen", "choose", "过去分词"),
+    ("built", "build", "过去式或过去分词"),
+    ("lost", "lose", "过去式或过去分词"),
+    ("met", "meet", "过去式或过去分词"),
+    ("stood", "stand", "过去式或过去分词"),
+    ("understood", "understand", "过去式或过去分词"),
+]
+# Endings and what such a form is.
+ENDINGS = {"ies": "复数或第三人称单数", "ing": "现在分词或动名词", "ied": "过去式或过去分词", "ed": "过去式或过去分词", "es": "复数或第三人称单数", "s": "复数或第三人称单数"}
 # Words that only look inflected, and consonants that double before an ending.
 NOT_INFLECTED = "news series species physics mathematics this his is was".split()
 DOUBLED = "bdgmnprt"
@@ -55,7 +106,7 @@ def lemma_candidates(term: Column) -> Column:
         twice = (F.length(stem) > 2) & (last == F.substring(F.right(stem, F.lit(2)), 1, 1)) & last.isin(list(DOUBLED))
         return F.when(twice, F.left(stem, F.length(stem) - 1))
 
-    forms = F.create_map(*[F.lit(x) for pair in IRREGULAR for x in pair.split("=")])
+    forms = F.create_map(*[F.lit(x) for form, base, _ in IRREGULAR for x in (form, base)])
     none = F.array().cast("array<string>")
     regular = (
         F.when(ends("ies", 4), F.array(F.concat(cut(3), F.lit("y"))))
@@ -70,6 +121,12 @@ def lemma_candidates(term: Column) -> Column:
     return F.when(known.isNotNull(), F.array(known)).when(term.isin(NOT_INFLECTED), none).otherwise(F.filter(F.array_distinct(regular), lambda c: c.isNotNull() & (c != term)))
 
 
+def inflection(term: Column) -> Column:
+    """What kind of form a term is that has base forms to try."""
+    irregular = F.try_element_at(F.create_map(*[F.lit(x) for form, _, label in IRREGULAR for x in (form, label)]), term)
+    return F.coalesce(irregular, *[F.when(term.endswith(end), label) for end, label in ENDINGS.items()])
+
+
 def guess_lemma(term: Column) -> Column:
     """The one base form that a plain look-up tries: any doubled letter is undone, and no ``e`` is added."""
     cut = lambda n: F.left(term, F.length(term) - n)
@@ -82,6 +139,7 @@ def guess_lemma(term: Column) -> Column:
 def lookup_terms(terms: DataFrame, dictionary: DataFrame) -> DataFrame:
     """One row for each distinct cleaned single word of ``term``: the first base form that the dictionary has, else the word.
 
+    Where a base form answers, ``lemma`` is that form and ``inflection`` says what form of it the term is; else both are null.
     ``dictionary`` comes from ``load_dictionary``. Distinct terms are joined with it by key; Spark chooses the join by size.
     """
     asked = clean_terms(terms).select("term").where("term <> '' and not contains(term, ' ')").distinct()
@@ -99,6 +157,7 @@ def lookup_terms(terms: DataFrame, dictionary: DataFrame) -> DataFrame:
         short(first_lines(F.col("b.meaning"), 5, 360), first_lines(F.col("e.meaning"), 5, 360), F.concat(F.col("g.meaning"), F.lit("\n原形："), F.col("guess")), NO_WORD).alias("meaning"),
         short(first_lines(F.col("b.definition"), 3, 420), first_lines(F.col("e.definition"), 3, 420), F.col("g.definition"), "").alias("definition"),
         F.col("b.lemma").alias("lemma"),
+        F.when(has_b, inflection(F.col("term"))).alias("inflection"),
     )
 
 
@@ -141,4 +200,4 @@ def annotate_terms(captions: DataFrame, phrases: DataFrame) -> DataFrame:
 
 def irregular_forms(spark) -> DataFrame:
     """The irregular forms as a table, for users who join it themselves."""
-    return spark.createDataFrame([tuple(p.split("=")) for p in IRREGULAR], T.StructType().add("form", "string").add("lemma", "string"))
+    return spark.createDataFrame(IRREGULAR, T.StructType().add("form", "string").add("lemma", "string").add("inflection", "string"))

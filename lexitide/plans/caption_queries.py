@@ -26,10 +26,18 @@ def _phrases(s, d):
     return s.createDataFrame([(p, "短语 " + p) for p in pairs], "phrase string, meaning string")
 
 
+# Sources that rules know, and translations that they mend; other captions keep theirs.
+SOURCES = ["Oh my.", "and let's do it", "This is the lost way around Africa", "But we don't get to go straight as the crow flies, he said.", "some  serious planning."]
+DRAFTS = ["这是非洲最远的路", "像乌鸦飞一样直走", "一些严肃的计划", "谷歌地图一下"]
+
+
 def _polish(s, d):
-    fragments = s.createDataFrame([(1, None, "译文 1", "译文 甲"), (2, r"\bthe\b", "译文", "字幕")], "seq int, guard string, old string, new string")
-    sentences = s.createDataFrame([(r"esst be was the\.?", "固定")], "pattern string, replacement string")
-    return C.polish_translations(C.apply_glossary(cap(s, d)), sentences, fragments).select("video_id", "idx", "chinese_text")
+    c = cap(s, d)
+    k = F.col("video_id").cast("long") + F.col("idx")
+    source = F.get(F.array(*map(F.lit, SOURCES)), (k % 9).cast("int"))
+    draft = F.get(F.array(*map(F.lit, DRAFTS)), (k % 7).cast("int"))
+    c = c.withColumns({"english_text": F.coalesce(source, "english_text"), "chinese_text": F.coalesce(draft, "chinese_text")})
+    return C.polish_translations(C.apply_glossary(c)).select("video_id", "idx", "chinese_text")
 
 
 def _bilingual(s, d):
@@ -97,6 +105,12 @@ def _saved(s, d):
     return play(s, d).withColumn("selected_index", F.col("event_id") % 9)
 
 
+def _videos_of_tasks(s, d):
+    """Tasks of videos, two videos to every third task's number, and the ids to delete."""
+    t = tasks(s, d).select("task_id", (F.col("task_id") % 997).cast("string").alias("video_id"))
+    return t, t.where("task_id % 211 = 0")
+
+
 QUERIES = {
     "prj2_caption_text": lambda s, d: _joined_turns(s, d),
     "prj4_correct_captions": lambda s, d: C.correct_captions(cap(s, d)).select("video_id", "idx", "english_text", "chinese_text"),
@@ -148,6 +162,7 @@ QUERIES = {
     "top4_has_pending_upload": lambda s, d: J.has_pending_upload(tasks(s, d)),
     "top5_last_session": lambda s, d: J.last_session(play(s, d)),
     "set1_upsert_tasks": lambda s, d: J.upsert_tasks(tasks(s, d), _task_requests(s, d)),
+    "set2_delete_captions": lambda s, d: J.delete_task_captions(cap(s, d), *_videos_of_tasks(s, d)).select("video_id", "idx"),
     "set2_delete_tasks": lambda s, d: J.delete_tasks(tasks(s, d), tasks(s, d).where("task_id % 5 = 0")).select("task_id"),
     "set3_merge_updates": lambda s, d: J.merge_updates(tasks(s, d).select("task_id", "status", "uploaded_bytes"), tasks(s, d).where("task_id % 2 = 0").select("task_id", F.when(F.col("task_id") % 4 == 0, "done").alias("status"), F.when(F.col("task_id") % 6 == 0, F.lit(5)).cast("long").alias("uploaded_bytes"))),
     "set4_clear_translations": lambda s, d: C.clear_translations(cap(s, d), _ids(s, d, 3)).select("video_id", "idx", "chinese_text"),
@@ -178,7 +193,8 @@ _LOADED = r"""dict AS (SELECT word, coalesce(phonetic, '') AS phonetic, trim(reg
 _LINES = lambda c, n, m: f"left(array_to_string(list_filter(list_transform(string_split({c}, chr(10)), lambda x: trim(x)), lambda x: x <> '')[1:{n}], chr(10)), {m})"
 _DAY = "strftime(time + INTERVAL 8 HOUR, '%Y-%m-%d')"
 _TIER = "CASE WHEN trim(remote_job_id) = '' AND NOT upload_prepared THEN 1 WHEN trim(remote_job_id) = '' THEN 2 ELSE 3 END"
-_IRREGULAR = "MAP {" + ", ".join("'{}': '{}'".format(*p.split("=")) for p in L.IRREGULAR) + "}"
+_FORMS = "MAP {" + ", ".join(f"'{form}': '{label}'" for form, _, label in L.IRREGULAR) + "}"
+_IRREGULAR = "MAP {" + ", ".join(f"'{form}': '{base}'" for form, base, _ in L.IRREGULAR) + "}"
 _SHIFTED = "moved AS (SELECT c.video_id, idx, greatest(start_ms + coalesce(offset_ms, 0), 0) AS start_ms, greatest(end_ms + coalesce(offset_ms, 0), greatest(start_ms + coalesce(offset_ms, 0), 0) + 1) AS end_ms FROM captions c LEFT JOIN offsets o ON o.video_id = c.video_id)"
 
 
@@ -193,6 +209,18 @@ _QUOTED = lambda pairs: [("(?i)" + p.replace("'", "''"), r.replace("'", "''")) f
 _FIXED = _I.format(_I.format(_chain(_COLLAPSED, _QUOTED(rules.CORRECTIONS))))
 _CUT = "CASE WHEN idx % 3 <> 0 THEN string_split(english_text, ' ')[1] || ' x' ELSE english_text END"
 _SHORT = "(len(string_split_regex(trim(t), '\\s+')) <= 3 OR length(trim(t)) <= 24)"
+def _polished_sql() -> str:
+    """Sentence rules, guarded fragments, fragments, and Chinese marks of texts that hold no repeated full-width marks but these."""
+    q = lambda x: x.replace("'", "''")
+    either = lambda p: f"(regexp_matches(source, '{q(p)}') OR regexp_matches(prepared, '{q(p)}'))"
+    text = "chinese"
+    for guard, pairs in [*rules.GUARDED_FRAGMENTS, (None, rules.FRAGMENTS)]:
+        for old, new in pairs:
+            text = f"replace({text}, '{old}', '{new}')" if guard is None else f"CASE WHEN {either(guard)} THEN replace({text}, '{old}', '{new}') ELSE {text} END"
+    whole = " ".join(f"WHEN {either(f'^(?:{p})$')} THEN '{new}'" for p, new in rules.SENTENCES)
+    return f"CASE {whole} ELSE {text} END"
+
+
 ORACLE_SQL = {
     "prj2_caption_text": f"SELECT conv_id, turn, {X.tidy_sql("regexp_replace(text, '([a-z])([,.])', '\\1 \\2', 'g')")} AS text FROM conversations",
     "prj4_correct_captions": _w(X.CAPTIONS, f"f AS (SELECT *, {_FIXED} AS t FROM captions)", "g AS (SELECT *, strpos(t, regexp_extract(t, '[A-Za-z]')) AS p FROM f)", "h AS (SELECT *, CASE WHEN regexp_extract(t, '[A-Za-z]') <> '' THEN substr(t, 1, p - 1) || upper(substr(t, p, 1)) || substr(t, p + 1) ELSE t END AS u FROM g)") + "SELECT video_id, idx, u AS english_text, CASE WHEN u = coalesce(english_text, '') THEN chinese_text END AS chinese_text FROM h",
@@ -202,6 +230,8 @@ ORACLE_SQL = {
         "r AS (SELECT *, sum(CASE WHEN can THEN 0 ELSE 1 END) OVER (PARTITION BY video_id ORDER BY idx) AS run FROM a)", "m AS (SELECT *, can AND sum(CASE WHEN can THEN 1 ELSE 0 END) OVER (PARTITION BY video_id, run ORDER BY idx) % 2 = 1 AS g FROM r)", "u AS (SELECT *, coalesce(lag(g) OVER (PARTITION BY video_id ORDER BY idx), false) AS used FROM m)")
     + "SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY idx) AS idx, start_ms, CASE WHEN g THEN ne ELSE end_ms END AS end_ms, CASE WHEN g THEN trim(rtrim(t) || ' ' || ltrim(nt)) ELSE t END AS english_text, CASE WHEN g THEN nullif(concat_ws(chr(10), nullif(trim(chinese_text), ''), nullif(trim(nc), '')), '') ELSE chinese_text END AS chinese_text, CASE WHEN g THEN CASE WHEN translation_source IS NOT DISTINCT FROM nsrc THEN translation_source END ELSE translation_source END AS translation_source FROM u WHERE NOT used",
     "prj8_clean_captions": _w(X.CAPTIONS) + f"SELECT video_id, idx, {_COLLAPSED} AS english_text FROM captions WHERE {_COLLAPSED} <> ''",
+    "prj6_polish_translations": _w(X.CAPTIONS, f"k AS (SELECT *, CAST(video_id AS BIGINT) + idx AS k FROM captions)", "x AS (SELECT video_id, idx, " + X.collapsed_sql(f"coalesce({X._list_sql([x.replace(chr(39), chr(39) * 2) for x in SOURCES])}[CAST(k % 9 AS INTEGER) + 1], english_text)") + " AS english, " + X.collapsed_sql(f"coalesce({X._list_sql(DRAFTS)}[CAST(k % 7 AS INTEGER) + 1], chinese_text)") + " AS chinese FROM k)", f"y AS (SELECT *, lower(english) AS source, lower({X.glossary_sql('english')}) AS prepared FROM x)")
+    + f"SELECT video_id, idx, {_polished_sql()} AS chinese_text FROM y",
     "prj9_split_bilingual": _w(X.CAPTIONS) + "SELECT video_id, idx, trim(english_text) AS english_text, nullif(trim(concat_ws(chr(10), chinese_text, CASE WHEN idx % 2 = 0 THEN '第二行' END)), '') AS chinese_text FROM captions",
     "prj10_display_text": _w(X.CAPTIONS) + f"SELECT video_id, idx, CASE WHEN {_BLANK} THEN english_text ELSE english_text || chr(10) || chinese_text END AS display FROM captions",
     "prj11_shift_captions": _w(X.CAPTIONS, X.OFFSETS, _SHIFTED) + "SELECT video_id, idx, start_ms, end_ms FROM moved",
@@ -228,7 +258,8 @@ ORACLE_SQL = {
         "tr AS (SELECT term, unnest(cand) AS word, generate_subscripts(cand, 1) AS pos FROM cc)", "b AS (SELECT term, arg_min(word, pos) AS lemma, arg_min(phonetic, pos) AS phonetic, arg_min(meaning, pos) AS meaning, arg_min(definition, pos) AS definition FROM tr JOIN dict USING (word) WHERE word <> term GROUP BY term)")
     + f"""SELECT cc.term, CASE WHEN b.term IS NOT NULL THEN CASE WHEN trim(coalesce(e.phonetic, '')) <> '' THEN e.phonetic ELSE b.phonetic END WHEN e.word IS NOT NULL THEN e.phonetic WHEN g.word IS NOT NULL THEN g.phonetic ELSE '' END AS phonetic,
         CASE WHEN b.term IS NOT NULL THEN {_LINES('b.meaning', 5, 360)} WHEN e.word IS NOT NULL THEN {_LINES('e.meaning', 5, 360)} WHEN g.word IS NOT NULL THEN g.meaning || chr(10) || '原形：' || guess ELSE '本地词典暂未收录。' END AS meaning,
-        CASE WHEN b.term IS NOT NULL THEN {_LINES('b.definition', 3, 420)} WHEN e.word IS NOT NULL THEN {_LINES('e.definition', 3, 420)} WHEN g.word IS NOT NULL THEN g.definition ELSE '' END AS definition, b.lemma
+        CASE WHEN b.term IS NOT NULL THEN {_LINES('b.definition', 3, 420)} WHEN e.word IS NOT NULL THEN {_LINES('e.definition', 3, 420)} WHEN g.word IS NOT NULL THEN g.definition ELSE '' END AS definition, b.lemma,
+        CASE WHEN b.term IS NOT NULL THEN coalesce({_FORMS}[cc.term], CASE WHEN cc.term LIKE '%ing' THEN '现在分词或动名词' WHEN cc.term LIKE '%ed' THEN '过去式或过去分词' ELSE '复数或第三人称单数' END) END AS inflection
         FROM cc LEFT JOIN b ON b.term = cc.term LEFT JOIN dict e ON e.word = cc.term LEFT JOIN dict g ON g.word = cc.guess""",
     "jn2_lookup_phrases": """SELECT term, CASE WHEN term IN ('of the', 'in the', 'to the', 'and the', 'is the', 'the and', 'that the', 'by the') THEN '短语 ' || term ELSE '本地短语库暂未收录。可以尝试点击其中的单词查询。' END AS meaning
         FROM (SELECT DISTINCT trim(array_to_string(string_split_regex(lower(text), '[^a-z]+')[2:3], ' ')) AS term FROM conversations WHERE role = 'user') WHERE contains(term, ' ')""",
@@ -259,6 +290,7 @@ ORACLE_SQL = {
     "top5_last_session": _w(X.PLAYBACK) + "SELECT user_id, video_id, position_ms, ts FROM playback QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
     "set1_upsert_tasks": _w(X.TASKS, "r AS (SELECT o_orderkey + CASE WHEN o_orderkey % 8 = 0 THEN 0 ELSE 10000000 END AS task_id, CAST(o_orderdate AS TIMESTAMP) + to_days(30) AS requested_at, CASE WHEN o_orderkey % 12 = 0 THEN true END AS asked FROM orders WHERE o_orderkey % 4 = 0)")
     + "SELECT coalesce(t.task_id, r.task_id) AS task_id, CASE WHEN r.task_id IS NOT NULL THEN 'queued' ELSE status END AS status, coalesce(created_at, requested_at) AS created_at, CASE WHEN r.task_id IS NOT NULL THEN requested_at ELSE updated_at END AS updated_at, coalesce(uploaded_bytes, 0) AS uploaded_bytes, CASE WHEN r.task_id IS NOT NULL THEN coalesce(asked, coalesce(force, false) OR coalesce(status = 'done', false)) ELSE force END AS force, CASE WHEN r.task_id IS NOT NULL THEN '' ELSE remote_job_id END AS remote_job_id FROM tasks t FULL JOIN r ON t.task_id = r.task_id",
+    "set2_delete_captions": _w(X.CAPTIONS) + "SELECT video_id, idx FROM captions WHERE video_id NOT IN (SELECT CAST(o_orderkey % 997 AS VARCHAR) FROM orders WHERE o_orderkey % 211 = 0)",
     "set2_delete_tasks": "SELECT o_orderkey AS task_id FROM orders WHERE o_orderkey % 5 <> 0",
     "set3_merge_updates": _w(X.TASKS) + "SELECT task_id, CASE WHEN task_id % 4 = 0 THEN 'done' ELSE status END AS status, CASE WHEN task_id % 6 = 0 THEN 5 ELSE uploaded_bytes END AS uploaded_bytes FROM tasks",
     "set4_clear_translations": _w(X.CAPTIONS) + "SELECT video_id, idx, CASE WHEN CAST(video_id AS INTEGER) % 3 <> 0 THEN chinese_text END AS chinese_text FROM captions",

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexitide.functions import rules
+
 # Terms that look-ups ask for in the derived wordbook.
 TERMS = (
     "the of and to in is was running studies boxes stopped making cities tried cats dogs went better leaves hiking "
@@ -118,3 +120,13 @@ def task_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 TASK_EVENTS = """task_events AS (SELECT user_id, event_id, ts, kind, CASE WHEN kind = 'progress' THEN event_id % 101 END AS progress FROM (
     SELECT *, CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'progress' WHEN 'click' THEN 'running' WHEN 'error' THEN 'failure' WHEN 'purchase' THEN 'done' END AS kind FROM events) WHERE kind IS NOT NULL)"""
+
+
+def glossary_sql(text: str) -> str:
+    for pattern, new in rules.GLOSSARY:
+        text = "regexp_replace({}, '{}', '{}', 'gi')".format(text, pattern.replace("'", "''"), new.replace("'", "''"))
+    return text
+
+
+def collapsed_sql(c: str) -> str:
+    return f"trim(regexp_replace(coalesce({c}, ''), '\\s+', ' ', 'g'))"

@@ -8,6 +8,7 @@ from lexitide.functions import models as M
 from lexitide.operators import jobs as J
 from lexitide.operators import segmentation as G
 from lexitide.plans import fixtures as X
+from lexitide.plans.fixtures import collapsed_sql, glossary_sql
 from lexitide.sources import files as S
 from lexitide.streaming import folds as Z
 
@@ -164,6 +165,12 @@ def stub_words(content):
     return [{"start": 100 * i, "end": 100 * i + 80, "text": w, "probability": 0.5} for i, w in enumerate(content.decode("utf-8").split(" "))]
 
 
+def stub_segments(content):
+    """Three words a segment."""
+    words = stub_words(content)
+    return [{"start": w[0]["start"], "end": w[-1]["end"], "text": " ".join(x["text"] for x in w), "avg_logprob": -0.25, "words": w} for w in (words[at : at + 3] for at in range(0, len(words), 3))]
+
+
 def _audio(s, d):
     return X.table(s, d, "part").select(F.col("p_partkey").cast("string").alias("video_id"), F.encode("p_name", "UTF-8").alias("content"))
 
@@ -198,6 +205,7 @@ QUERIES = {
     "str11_status_log": lambda s, d: Z.fold_batch(X.task_events(s, d), Z.CHANGES),
     "udf1_translate": lambda s, d: M.translate(X.captions(s, d), stub_translate).select("video_id", "idx", "chinese_text"),
     "udf2_transcribe": lambda s, d: M.transcribe(_audio(s, d), stub_words),
+    "udf2_transcribe_segments": lambda s, d: M.transcribe_segments(_audio(s, d), stub_segments),
     "udf3_detect_language": lambda s, d: M.detect_language(_audio(s, d), stub_language).drop("content"),
     "udf4_score_boundaries": _score_chunks,
 }
@@ -207,6 +215,36 @@ def _w(*parts):
     return "WITH " + ",\n".join(parts) + "\n"
 
 
+def _steps(key, order, table, begin, change, out):
+    """A fold as recursive SQL: rows of a key are numbered, and each step takes the state and the next row."""
+    state = ", ".join(f"{v} AS {k}" for k, v in begin.items())
+    then = ", ".join(f"{v} AS {k}" for k, v in change.items())
+    return f"""n AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY {order}) AS k FROM {table}),
+        s AS (SELECT {key}, CAST(0 AS BIGINT) AS k, {state} FROM n WHERE k = 1
+            UNION ALL SELECT n.{key}, n.k, {then} FROM s JOIN n ON n.{key} = s.{key} AND n.k = s.k + 1)
+        SELECT s.{key}, {out} FROM s JOIN n ON n.{key} = s.{key} AND n.k = s.k"""
+
+
+def _recursive(*parts):
+    return "WITH RECURSIVE " + ",\n".join(parts)
+
+
+_FAR = "CAST(-1000000000000000 AS BIGINT)"
+_MS = "(SELECT *, epoch_ms(ts) AS ms FROM {})"
+_NEWS = "((kind IS DISTINCT FROM was OR progress IS DISTINCT FROM had) AND (kind IS DISTINCT FROM was OR kind IN ('failure', 'done')) OR ms - sent >= 300 AND (progress IS NOT NULL AND progress IS DISTINCT FROM shown OR ms - sent >= 700))"
+_CHANGED = "(kind IS DISTINCT FROM was OR ms - sent >= 60000)"
+_CHUNKS = """d AS (SELECT CAST(doc_id AS VARCHAR) AS upload_id, n_chars AS total_bytes, unnest(range(0, (n_chars - 1) // 1000 + 1)) AS k FROM documents WHERE n_chars > 0),
+r AS (SELECT upload_id, total_bytes, k * 1000 AS start, least(1000, total_bytes - k * 1000) AS length, k * 2 AS seq FROM d),
+chunks AS (SELECT * FROM r UNION ALL SELECT upload_id, total_bytes, start + 7, length, seq + 1 FROM r WHERE seq % 100 = 98)"""
+
+
+def _marked_sql(text: str) -> str:
+    """Full-width marks in a text that begins with a Chinese character and has no other."""
+    for pattern, put in ((",\\s*", "，"), ("\\.(\\s|$)", "。\\1"), ("\\?", "？"), ("!", "！"), *[(f"{m}+", m) for m in "，。！？；："], ("，([。！？；：])", "\\1")):
+        text = f"regexp_replace({text}, '{pattern}', '{put}', 'g')"
+    return text
+
+
 _TIME = "printf('%02d:%02d:%02d,%03d', {0} // 3600000, {0} // 60000 % 60, {0} // 1000 % 60, {0} % 1000)"
 ORACLE_SQL = {
     "src1_read_words": _w(X.WORDS) + "SELECT segment_id, count(*) AS n, CAST(sum(start_ms) AS BIGINT) AS starts, CAST(sum(end_ms) AS BIGINT) AS ends, CAST(sum(length(text)) AS BIGINT) AS chars, count(*) FILTER (WHERE segment_complete) AS complete FROM words WHERE text <> '' GROUP BY 1",
@@ -224,6 +262,30 @@ ORACLE_SQL = {
     "str8_stream_wordbook": _w(X.WORDBOOK) + "SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY time DESC, event_id DESC) AS INTEGER) AS rank FROM wordbook QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY time DESC, event_id DESC) <= 3",
     "str9_stream_publish": _w(X.CAPTIONS) + "SELECT video_id, idx, chinese_text FROM captions WHERE video_id NOT IN (SELECT video_id FROM captions WHERE chinese_text IS NULL)",
     "str10_without_repeats": _w(X.TASK_EVENTS) + "SELECT user_id, event_id, kind FROM task_events",
+    "udf1_translate": _w(X.CAPTIONS) + "SELECT video_id, idx, " + _marked_sql("'译:' || " + glossary_sql(collapsed_sql("english_text"))) + " AS chinese_text FROM captions",
+    "udf2_transcribe_segments": """WITH p AS (SELECT CAST(p_partkey AS VARCHAR) AS video_id, string_split(p_name, ' ') AS t FROM part), w AS (SELECT video_id, unnest(range(0, len(t))) AS i, unnest(t) AS text, len(t) AS n FROM p), g AS (SELECT video_id, i // 3 AS g, string_agg(text, ' ' ORDER BY i) AS text, min(i) AS a, max(i) AS z FROM w GROUP BY ALL)
+        SELECT video_id, 'word' AS kind, i AS idx, i // 3 AS segment_id, 100 * i AS start_ms, 100 * i + 80 AS end_ms, text, CAST(0.5 AS DOUBLE) AS probability, CAST(NULL AS DOUBLE) AS avg_logprob, CAST(NULL AS DOUBLE) AS no_speech_prob, CAST(NULL AS DOUBLE) AS compression_ratio, CAST(NULL AS DOUBLE) AS temperature, CAST(NULL AS BIGINT) AS word_start, CAST(NULL AS BIGINT) AS word_end FROM w
+        UNION ALL SELECT video_id, 'segment', g, g, 100 * a, 100 * z + 80, text, NULL, -0.25, NULL, NULL, NULL, a, z + 1 FROM g""",
+    "udf4_score_boundaries": _w(X.WORDS, "i1 AS (SELECT *, sum(CASE WHEN forced_silence THEN 1 ELSE 0 END) OVER (PARTITION BY video_id ORDER BY idx) AS island FROM bd)", "i2 AS (SELECT *, (row_number() OVER (PARTITION BY video_id, island ORDER BY idx) - 1) // 180 AS piece FROM i1)", "ch AS (SELECT *, dense_rank() OVER (PARTITION BY video_id ORDER BY island, piece) - 1 AS chunk_id FROM i2)", "ln AS (SELECT video_id, chunk_id, length(string_agg(text, ' ' ORDER BY idx)) AS n FROM ch GROUP BY ALL)")
+    + "SELECT video_id, chunk_id, n, round(n // 10 * 4.5 + (n % 10) * (n % 10 - 1) / 20.0, 3) AS total FROM ln",
+    "str1_track_uploads": _recursive(_CHUNKS, _steps("upload_id", "seq", "chunks",
+        {"place": "CAST(0 AS BIGINT)", "verdict": "''"},
+        {"place": "CASE WHEN length > 0 AND place < total_bytes AND start = place AND start + length <= total_bytes THEN start + length ELSE place END", "verdict": "CASE WHEN length <= 0 THEN 'invalid' WHEN place = total_bytes THEN 'complete' WHEN start <> place THEN 'offset mismatch' WHEN start + length > total_bytes THEN 'too long' WHEN start + length = total_bytes THEN 'complete' ELSE 'accepted' END"},
+        'n.seq, verdict, place AS "offset", place = total_bytes AS complete')),
+    "str3_task_state": _recursive(X.TASK_EVENTS, _steps("user_id", "ts, event_id", "task_events",
+        {"status": "'queued'", "done": "CAST(0 AS BIGINT)", "failures": "CAST(0 AS BIGINT)", "error": "CAST(NULL AS VARCHAR)"},
+        {"status": "CASE kind WHEN 'progress' THEN 'running' WHEN 'failure' THEN CASE WHEN failures < 4 THEN 'queued' ELSE 'failed' END ELSE kind END", "done": "CASE kind WHEN 'running' THEN greatest(1, done) WHEN 'progress' THEN least(100, greatest(0, n.progress)) WHEN 'done' THEN 100 WHEN 'queued' THEN 0 WHEN 'failure' THEN CASE WHEN failures < 4 THEN least(99, done) ELSE done END ELSE done END", "failures": "CASE kind WHEN 'failure' THEN failures + 1 WHEN 'done' THEN 0 WHEN 'queued' THEN 0 ELSE failures END", "error": "CASE kind WHEN 'failure' THEN 'failure' WHEN 'progress' THEN error END"},
+        "n.event_id, status, done AS progress, failures, error")),
+    "str5_throttle_progress": _recursive(X.TASK_EVENTS, _steps("user_id", "ts, event_id", _MS.format("task_events"),
+        {"news": "false", "was": "CAST(NULL AS VARCHAR)", "had": "CAST(NULL AS BIGINT)", "shown": "CAST(NULL AS BIGINT)", "sent": _FAR},
+        {"news": _NEWS, "was": f"CASE WHEN {_NEWS} THEN kind ELSE was END", "had": f"CASE WHEN {_NEWS} THEN progress ELSE had END", "shown": f"CASE WHEN {_NEWS} THEN coalesce(progress, shown) ELSE shown END", "sent": f"CASE WHEN {_NEWS} THEN ms ELSE sent END"},
+        "n.event_id, n.kind, shown AS percent") + " WHERE news"),
+    "str6_playback_state": _recursive(X.PLAYBACK, _steps("video_id", "ts, event_id", _MS.format("playback"),
+        {"news": "false", "sent": _FAR}, {"news": "ms - sent >= 3000", "sent": "CASE WHEN ms - sent >= 3000 THEN ms ELSE sent END"},
+        "n.ts, greatest(0, n.position_ms) AS position_ms") + " WHERE news"),
+    "str11_status_log": _recursive(X.TASK_EVENTS, _steps("user_id", "ts, event_id", _MS.format("task_events"),
+        {"news": "false", "was": "CAST(NULL AS VARCHAR)", "sent": _FAR}, {"news": _CHANGED, "was": f"CASE WHEN {_CHANGED} THEN kind ELSE was END", "sent": f"CASE WHEN {_CHANGED} THEN ms ELSE sent END"},
+        "n.event_id, n.kind") + " WHERE news"),
     "udf3_detect_language": "SELECT CAST(p_partkey AS VARCHAR) AS video_id, CASE WHEN strlen(p_name) % 2 = 1 THEN 'en' ELSE 'fr' END AS language, strlen(p_name) % 2 = 1 AS translates FROM part",
     "udf2_transcribe": "SELECT CAST(p_partkey AS VARCHAR) AS video_id, i - 1 AS idx, 0 AS segment_id, 100 * (i - 1) AS start_ms, 100 * (i - 1) + 80 AS end_ms, t[i] AS text, CAST(0.5 AS DOUBLE) AS probability FROM (SELECT p_partkey, t, unnest(range(1, len(t) + 1)) AS i FROM (SELECT p_partkey, string_split(p_name, ' ') AS t FROM part))",
 }

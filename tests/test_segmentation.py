@@ -175,3 +175,43 @@ def test_phrases_of_any_length_are_found(spark):
     got = annotate_terms(spark.createDataFrame(rows, "video_id string, idx long, english_text string"), spark.createDataFrame([(p,) for p in phrases], "phrase string")).where("kind = 'phrase'")
     got = {tuple(r) for r in got.collect()}
     assert got == want and len(want) > 60, (sorted(got - want)[:5], sorted(want - got)[:5])
+
+
+@pytest.mark.parametrize(
+    "english, chinese, style, want",
+    [
+        ("Oh my.", "哦，我的", "natural", "天啊。"),
+        ("And let’s do it", "做", "natural", "我们出发吧。"),
+        ("This is the lost way around Africa, he said.", "这是在非洲各地的迷路.", "natural", "这就是绕行非洲的漫长路线。"),
+        ("Something else.", "这是在非洲各地的迷路.", "natural", "这是在绕行非洲的漫长路线。"),
+        ("But we don't get to go straight as the crow flies today.", "但我们不能直接走直线, 乌鸦飞", "natural", "但我们不能按直线距离直接过去，直线距离"),
+        ("Oh my.", " 哦  我的 ", "raw", "哦 我的"),
+        ("Oh well.", None, "natural", ""),
+    ],
+)
+def test_polished_translations(spark, english, chinese, style, want):
+    rows = spark.createDataFrame([("v", 1, english, chinese)], "video_id string, idx long, english_text string, chinese_text string")
+    assert C.polish_translations(C.apply_glossary(rows), style=style).first().chinese_text == want
+
+
+def test_own_rules_of_translations(spark):
+    rows = C.apply_glossary(spark.createDataFrame([("v", i, e, z) for i, (e, z) in enumerate([("a cat.", "甲"), ("the dog", "甲乙")])], "video_id string, idx long, english_text string, chinese_text string"))
+    sentences = spark.createDataFrame([(r"a cat\.?", "猫")], "pattern string, replacement string")
+    fragments = spark.createDataFrame([(2, None, "丙", "丁"), (1, r"\bdog\b", "乙", "丙")], "seq int, guard string, old string, new string")
+    assert sorted(r.chinese_text for r in C.polish_translations(rows, sentences, fragments).collect()) == ["猫", "甲丁"]
+
+
+def test_models_that_fail(spark):
+    from lexitide.functions import models as M
+
+    def broken(text):
+        if "x" in text:
+            raise ValueError("no")
+        return [0.5] * len(text)
+
+    chunks = spark.createDataFrame([("v", 0, "ab"), ("v", 1, "x")], "video_id string, chunk_id long, text string")
+    got = sorted(map(tuple, M.score_boundaries(chunks, broken).collect()), key=str)
+    assert got == [("v", 0, 0, 0.5, None), ("v", 0, 1, 0.5, None), ("v", 1, None, 0.0, "ValueError: no")]
+    rows = spark.createDataFrame([("v", i, t, None) for i, t in enumerate(["ab", "x"])], "video_id string, idx long, english_text string, chinese_text string")
+    one = M.translate(rows, lambda texts: ["译" + t for t in texts if broken(t)], batch=1).orderBy("idx").collect()
+    assert [r.chinese_text for r in one] == ["译ab", ""]
