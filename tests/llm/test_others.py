@@ -1,5 +1,8 @@
 """Pages, conversations, vectors and the pipeline: golden rows, brute force, SQL."""
 
+import random
+import time
+
 import duckdb
 import numpy as np
 import pytest
@@ -142,3 +145,43 @@ def test_pipeline_stages_on_odd_rows(spark, tmp_path):
                     assert {r.doc_id: r.text for r in kept if r.doc_id in (5, 7, 8)} == {5: "tail", 7: "one\ntwo", 8: words(40, 13) + "\n"}
         packed = corpus_pipeline.STAGES[-1][1](spark, rows, str(tmp_path)).collect()
         assert sum(r.start == 0 for r in packed) == rows.count()
+
+
+def test_classifier_learns_names(spark):
+    """Names that no list holds are learned from pages that mark their main text, and serve where nothing is marked."""
+    rng = random.Random(3)
+    words = lambda n: " ".join(rng.choice("alpha beta gamma delta epsilon".split()) for _ in range(n))
+    aside = lambda n: f'<div class="zqfeed">{words(n)}</div>'
+    pages = [f"<body>{aside(14)}<article><p>{words(20)}</p><p>{words(5)}</p></article>{aside(9)}</body>" for _ in range(60)]
+    model = html_text.fit(pages)
+    assert model.names["zqfeed"] < -1
+    page = f"<body>{aside(14)}<div><p>the main text of this page has some words</p><p>and more of them here</p></div>{aside(9)}</body>"
+    assert html_text.main_text(page, model) == "the main text of this page has some words\n\nand more of them here"
+    assert html_text.main_text(page) != html_text.main_text(page, model)
+    table = spark.createDataFrame([(i, h) for i, h in enumerate([*pages, page, None, ""])], "page_id long, html string")
+    assert len(html_text.sample(table)) == 60 and html_text.sample(table) == html_text.sample(table.repartition(5))
+    assert html_text.extract(table, model=model).where("page_id >= 60").orderBy("page_id").collect()[0].text == html_text.main_text(page, model)
+
+
+def test_marks_of_boilerplate_outweigh_an_article():
+    long = "a long paragraph of words that goes on and on for more than twenty words so that nothing else is unsure about it"
+    pages = [f'<body><nav><a>x</a></nav><div class="ad">{long}</div><article><h1>Title</h1><p>{long}</p></article><footer>end</footer></body>'] * 100
+    for model in (html_text.Model(), html_text.fit(pages)):
+        for inside in (f'<div class="ad"><p>{long}</p></div>', f'<section class="comments"><p>{long}</p></section>', f"<aside>{long}</aside>"):
+            assert html_text.main_text(f"<article><h1>Title</h1><p>{long}</p>{inside}<p>{long}</p><ul><li>one</li></ul></article>", model) == f"Title\n\n{long}\n\n{long}\n\none"
+
+
+def test_the_cut_turns_single_blocks():
+    """A block that scores as boilerplate among neighbours of one parent that are content stays, and the other way round."""
+    body = "<p>several words that make a paragraph of the text which is long enough</p>"
+    page = f"<div>{body}{body}<div>ok</div>{body}{body}</div>"
+    found = html_text.labelled(page, html_text.Model())
+    assert [s > 0 for _, s, _ in found] == [True, True, False, True, True] and all(kept for *_, kept in found)
+
+
+def test_deep_and_long_pages():
+    deep = "<div>" * 20_000 + "<p>some words of a text</p>" * 1000 + "</section>" * 20_000
+    long = "<article>" + "<div><p>some words of a long page</p></div><p>x</p>" * 10_000 + "</article>"
+    begun = time.time()
+    assert html_text.main_text(deep).count("some words") == 1000 and html_text.main_text(long).count("long page") == 10_000
+    assert time.time() - begun < 20
