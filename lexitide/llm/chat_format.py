@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 OPEN, CLOSE = "<|{role}|>\n", "<|end|>\n"
 TRAINED = "assistant"
@@ -46,13 +47,32 @@ def format_pairs(pairs: DataFrame, id_col: str = "pair_id", chosen_col: str = "c
     return both.select(id_col, F.col("__n").alias("prompt_turns"), *[F.expr(_rendered(t)).alias(c) for t, c in (("__p", "prompt"), ("__c", "chosen"), ("__r", "rejected"))], F.expr(_mask("__c")).alias("chosen_mask"), F.expr(_mask("__r")).alias("rejected_mask"))
 
 
+#: Ids of a range are ordered in one task; what follows a range is found from the smallest id of each.
+ID_RANGE = 100_000
+
+
+def next_ids(rows: DataFrame, id_col: str = "conv_id") -> DataFrame:
+    """``id_col`` and ``next_id``: each distinct id (integer, not null) and the one that follows it; the first follows the last."""
+    ids = rows.select(F.col(id_col).cast("long").alias(id_col)).distinct().withColumn("__range", F.expr(f"{id_col} div {ID_RANGE}"))
+    inside = ids.withColumn("__next", F.lead(id_col).over(Window.partitionBy("__range").orderBy(id_col)))
+    ranges = ids.groupBy("__range").agg(F.min(id_col).alias("__first"))  # a row for each range of ids
+    after = ranges.select("__range", F.coalesce(F.lead("__first").over(Window.orderBy("__first")), F.min("__first").over(Window.partitionBy())).alias("__after"))
+    return inside.join(after, "__range").select(id_col, F.coalesce("__next", "__after").alias("next_id"))
+
+
 def reply_pairs(conversations: DataFrame, id_col: str = "conv_id") -> DataFrame:
-    """Weak preference pairs: a conversation up to its last reply, against the same with the last reply of the next id.
+    """Weak preference pairs ``pair_id, chosen, rejected``: a conversation up to its last reply, and the same with a worse end.
 
-    ``conversations`` comes from ``gather``. Conversations without a reply, or whose next id has none, give no pair.
+    The end comes from the next conversation that has a reply (the first follows the last). With an even id it is that
+    conversation's last reply in the place of the own one. With an odd id the two part in the middle: after half of the
+    turns before the last reply the other conversation goes on in the place of this one, up to its last reply (that reply
+    alone, if it is no longer than that). ``conversations`` comes from ``gather``, with integer ids. Conversations without
+    a reply, and one that is the only one with a reply, give no pair.
     """
     last = F.expr(f"array_max(transform(turns, (t, i) -> if(t.role = '{TRAINED}', i + 1, 0)))")
-    known = conversations.withColumn("__last", last).where("__last > 0")
-    others = known.select((F.col(id_col) - 1).alias(id_col), F.expr("slice(turns, __last, 1)").alias("__other"))
-    met = known.join(others, id_col)
-    return met.select(F.col(id_col).alias("pair_id"), F.expr("slice(turns, 1, __last)").alias("chosen"), F.expr("concat(slice(turns, 1, __last - 1), __other)").alias("rejected"))
+    known = conversations.select(F.col(id_col).cast("long").alias(id_col), "turns").withColumn("__last", last).where("__last > 0")
+    others = known.select(F.col(id_col).alias("next_id"), F.expr("slice(turns, 1, __last)").alias("__other"))
+    met = known.join(next_ids(known, id_col), id_col).where(F.col(id_col) != F.col("next_id")).join(others, "next_id")
+    met = met.withColumn("__kept", F.expr(f"if({id_col} % 2 = 0, __last - 1, (__last - 1) div 2)").cast("int"))
+    end = f"if({id_col} % 2 = 0 or size(__other) <= __kept, slice(__other, -1, 1), slice(__other, __kept + 1, size(__other)))"
+    return met.select(F.col(id_col).alias("pair_id"), F.expr("slice(turns, 1, __last)").alias("chosen"), F.expr(f"concat(slice(turns, 1, __kept), {end})").alias("rejected"))

@@ -43,7 +43,7 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prompt and masked completions of each conversation against its twin with another conversation's last reply."""
+    """Prompt and masked completions of each conversation against its twin with another conversation's end."""
     pairs = chat_format.reply_pairs(chat_format.gather(_table(spark, sf_dir, "conversations"), "conv_id"))
     out = chat_format.format_pairs(pairs)
     mask = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x.start.cast("string"), x.end.cast("string"))), ",")
@@ -113,19 +113,24 @@ ORACLE_SQL: dict[str, str] = {
             SELECT conv_id, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'unknown'), coalesce(text, '')) AS n
             FROM conversations WHERE conv_id IS NOT NULL
         ), l AS (
-            SELECT conv_id, max(n) FILTER (WHERE role = 'assistant') AS last FROM t GROUP BY conv_id HAVING count(*) FILTER (WHERE role = 'assistant') > 0
-        ), r AS (SELECT t.conv_id, t.text FROM t JOIN l ON t.conv_id = l.conv_id AND t.n = l.last), p AS (
-            SELECT l.conv_id AS pair_id, l.last, a.text AS good, b.text AS bad FROM l JOIN r a ON a.conv_id = l.conv_id JOIN r b ON b.conv_id = l.conv_id + 1
-        ), h AS (
-            SELECT p.pair_id, coalesce(string_agg('<|' || t.role || '|>' || chr(10) || t.text || '<|end|>' || chr(10), '' ORDER BY t.n), '') AS prompt
-            FROM p LEFT JOIN t ON t.conv_id = p.pair_id AND (t.n < p.last OR t.n = p.last AND p.good = p.bad) GROUP BY p.pair_id
+            SELECT conv_id, list(struct_pack(role := role, text := text) ORDER BY n) AS turns, max(n) FILTER (WHERE role = 'assistant') AS last FROM t GROUP BY conv_id HAVING count(*) FILTER (WHERE role = 'assistant') > 0
+        ), k AS (
+            SELECT conv_id, turns[1:last] AS c, CASE WHEN conv_id % 2 = 0 THEN last - 1 ELSE (last - 1) // 2 END AS kept, coalesce(lead(conv_id) OVER (ORDER BY conv_id), min(conv_id) OVER ()) AS next_id FROM l
+        ), p AS (
+            SELECT k.conv_id AS pair_id, k.c, list_concat(k.c[1:k.kept], CASE WHEN k.conv_id % 2 = 0 OR len(o.c) <= k.kept THEN o.c[len(o.c):] ELSE o.c[k.kept + 1:] END) AS r
+            FROM k JOIN k o ON o.conv_id = k.next_id WHERE k.conv_id <> k.next_id
+        ), d AS (
+            SELECT *, coalesce(list_min(list_filter(range(1, len(c) + 1), lambda i: i > len(r) OR c[i] <> r[i])) - 1, len(c)) AS n FROM p
+        ), e AS (SELECT pair_id, n, c[1:n] AS p, c[n + 1:] AS c, r[n + 1:] AS r FROM d),
+        s AS (
+            SELECT *, list_transform(p, lambda t: '<|' || t.role || '|>' || chr(10) || t.text || '<|end|>' || chr(10)) AS ps, list_transform(c, lambda t: '<|' || t.role || '|>' || chr(10) || t.text || '<|end|>' || chr(10)) AS cs, list_transform(r, lambda t: '<|' || t.role || '|>' || chr(10) || t.text || '<|end|>' || chr(10)) AS rs FROM e
+        ), m AS (
+            SELECT *, list_transform(range(1, len(c) + 1), lambda i: length(array_to_string(cs[1:i], ''))) AS ce, list_transform(range(1, len(r) + 1), lambda i: length(array_to_string(rs[1:i], ''))) AS re FROM s
         )
-        SELECT p.pair_id, CAST(p.last - CASE WHEN good = bad THEN 0 ELSE 1 END AS INTEGER) AS prompt_turns, prompt,
-            CASE WHEN good = bad THEN '' ELSE '<|assistant|>' || chr(10) || good || '<|end|>' || chr(10) END AS chosen,
-            CASE WHEN good = bad THEN '' ELSE '<|assistant|>' || chr(10) || bad || '<|end|>' || chr(10) END AS rejected,
-            CASE WHEN good = bad THEN '' ELSE '14:' || (14 + length(good) + 8) END AS chosen_mask,
-            CASE WHEN good = bad THEN '' ELSE '14:' || (14 + length(bad) + 8) END AS rejected_mask
-        FROM p JOIN h USING (pair_id)
+        SELECT pair_id, CAST(n AS INTEGER) AS prompt_turns, array_to_string(ps, '') AS prompt, array_to_string(cs, '') AS chosen, array_to_string(rs, '') AS rejected,
+            array_to_string(list_transform(list_filter(range(1, len(c) + 1), lambda i: c[i].role = 'assistant'), lambda i: (ce[i] - length(c[i].text) - 8) || ':' || ce[i]), ',') AS chosen_mask,
+            array_to_string(list_transform(list_filter(range(1, len(r) + 1), lambda i: r[i].role = 'assistant'), lambda i: (re[i] - length(r[i].text) - 8) || ':' || re[i]), ',') AS rejected_mask
+        FROM m
     """,
     "op7_topk": """
         WITH v AS (

@@ -185,3 +185,35 @@ def test_deep_and_long_pages():
     begun = time.time()
     assert html_text.main_text(deep).count("some words") == 1000 and html_text.main_text(long).count("long page") == 10_000
     assert time.time() - begun < 20
+
+
+def test_next_ids(spark, monkeypatch):
+    monkeypatch.setattr(chat_format, "ID_RANGE", 10)
+    ids = [-25, -3, 0, 4, 9, 10, 11, 57, 58, 1000]
+    rows = spark.createDataFrame([(i,) for i in ids + ids[:3]], "conv_id long")
+    assert sorted(map(tuple, chat_format.next_ids(rows).collect())) == list(zip(ids, [*ids[1:], ids[0]]))
+    assert chat_format.next_ids(rows.where("false")).count() == 0
+
+
+def test_reply_pairs(spark):
+    """Ids with gaps, a conversation without a reply, ties, nulls, repeated rows, very long texts and clashing columns."""
+    long = "word " * 200_000
+    talks = {2: ["u a", "a b"], 7: ["u a", "a b", "u c", "a d", "u e"], 8: ["u only"], 40: ["u a", "a b", "u x", "a " + long], 41: ["a "], 42: ["u q", "a q"]}
+    rows = [(i, n, {"u": "user", "a": "assistant"}[t[0]], t[2:], "x", "y") for i, ts in talks.items() for n, t in enumerate(ts)]
+    rows += [(None, 0, "user", "lost", "x", "y"), (42, 1, "assistant", "q", "x", "y"), (42, None, None, None, "x", "y")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, turns string, pair_id string")
+    pairs = {r.pair_id: ([t.text for t in r.chosen], [t.text for t in r.rejected]) for r in chat_format.reply_pairs(chat_format.gather(turns, "conv_id")).collect()}
+    assert pairs == {
+        2: (["a", "b"], ["a", "d"]),
+        7: (["a", "b", "c", "d"], ["a", "b", "x", long]),  # one turn is kept, and the next is alike
+        40: (["a", "b", "x", long], ["a", "b", "x", ""]),
+        41: ([""], ["", "q", "q", "q"]),
+        42: (["", "q", "q", "q"], ["", "q", "q", "b"]),
+    }
+    out = {r.pair_id: r for r in chat_format.format_pairs(chat_format.reply_pairs(chat_format.gather(turns, "conv_id"))).collect()}
+    assert out[7].prompt_turns == 2 and out[7].chosen == "<|user|>\nc<|end|>\n<|assistant|>\nd<|end|>\n"
+    assert [out[7].chosen[m.start : m.end] for m in out[7].chosen_mask] == ["d<|end|>\n"]
+    assert [out[7].rejected[m.start : m.end] for m in out[7].rejected_mask] == [long + "<|end|>\n"]
+    one = turns.where("conv_id = 2")
+    assert chat_format.reply_pairs(chat_format.gather(one, "conv_id")).count() == 0
+    assert chat_format.format_pairs(chat_format.reply_pairs(chat_format.gather(turns.where("false"), "conv_id"))).count() == 0
