@@ -194,10 +194,18 @@ def blocks(html: str, learned: dict[str, float] | None = None, around: list[tupl
 
 
 def sample(pages: DataFrame, html_col: str = "html") -> list[str]:
-    """At most ``SAMPLE_PAGES`` pages of at most ``SAMPLE_BYTES`` bytes that mark their main text, the same under any partitioning."""
+    """At most ``SAMPLE_PAGES`` different pages of at most ``SAMPLE_BYTES`` bytes that mark their main text.
+
+    They are those of the smallest hashes, the same under any partitioning. Only hashes are ordered; the pages of those
+    that were chosen are read in a second scan, so that tasks send the driver no page in vain.
+    """
     html = F.col(html_col).cast("string")
-    marked = pages.select(html.alias("html")).where((F.octet_length("html") <= SAMPLE_BYTES) & F.col("html").rlike(r"(?i)<(article|main)\b"))
-    return [r.html for r in marked.orderBy(F.xxhash64("html"), "html").limit(SAMPLE_PAGES).collect()]
+    marked = pages.select(html.alias("html")).where((F.octet_length("html") <= SAMPLE_BYTES) & F.col("html").rlike(r"(?i)<(article|main)\b")).withColumn("h", F.xxhash64("html"))
+    chosen = [r.h for r in marked.select("h").distinct().orderBy("h").limit(SAMPLE_PAGES).collect()]
+    if not chosen:
+        return []
+    rows = pages.select(html.alias("html")).withColumn("h", F.xxhash64("html")).where(F.col("h").isin(chosen)).groupBy("h").agg(F.min("html").alias("html")).collect()
+    return [r.html for r in sorted(rows, key=lambda r: r.h)]
 
 
 def fit(pages: list[str]) -> Model:
