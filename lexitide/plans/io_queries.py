@@ -129,6 +129,18 @@ def _finished(writer):
     writer.trigger(availableNow=True).start().awaitTermination()
 
 
+def _folded(s, rows, fold):
+    """What a fold makes of a derived table as a stream."""
+    out, store = S.scratch(s), "spark.sql.streaming.stateStore.providerClass"
+    before = s.conf.get(store)
+    s.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        _finished(Z.fold_stream(_streamed(s, rows), fold).writeStream.format("parquet").option("path", out).option("checkpointLocation", S.scratch(s)))
+    finally:
+        s.conf.set(store, before)
+    return s.read.schema(fold.output).parquet(out)
+
+
 def str8_stream_wordbook(s, d):
     out = S.scratch(s)
     _finished(Z.stream_wordbook(_streamed(s, X.wordbook(s, d)), out, S.scratch(s)))
@@ -199,6 +211,11 @@ QUERIES = {
     "str5_throttle_progress": lambda s, d: Z.fold_batch(X.task_events(s, d), Z.PROGRESS),
     "str6_playback_state": lambda s, d: Z.fold_batch(X.playback(s, d), Z.PLAYBACK),
     "str7_stream_captions": lambda s, d: Z.fold_batch(X.words(s, d), Z.CAPTIONS),
+    "str1_stream_uploads": lambda s, d: _folded(s, _chunks(s, d), Z.UPLOADS),
+    "str3_stream_tasks": lambda s, d: _folded(s, X.task_events(s, d), Z.TASKS),
+    "str5_stream_progress": lambda s, d: _folded(s, X.task_events(s, d), Z.PROGRESS),
+    "str6_stream_playback": lambda s, d: _folded(s, X.playback(s, d), Z.PLAYBACK),
+    "str11_stream_status": lambda s, d: _folded(s, X.task_events(s, d), Z.CHANGES),
     "str8_stream_wordbook": str8_stream_wordbook,
     "str9_stream_publish": str9_stream_publish,
     "str10_without_repeats": str10_without_repeats,
@@ -289,3 +306,5 @@ ORACLE_SQL = {
     "udf3_detect_language": "SELECT CAST(p_partkey AS VARCHAR) AS video_id, CASE WHEN strlen(p_name) % 2 = 1 THEN 'en' ELSE 'fr' END AS language, strlen(p_name) % 2 = 1 AS translates FROM part",
     "udf2_transcribe": "SELECT CAST(p_partkey AS VARCHAR) AS video_id, i - 1 AS idx, 0 AS segment_id, 100 * (i - 1) AS start_ms, 100 * (i - 1) + 80 AS end_ms, t[i] AS text, CAST(0.5 AS DOUBLE) AS probability FROM (SELECT p_partkey, t, unnest(range(1, len(t) + 1)) AS i FROM (SELECT p_partkey, string_split(p_name, ' ') AS t FROM part))",
 }
+# a stream gives what the table gives
+ORACLE_SQL |= {stream: ORACLE_SQL[table] for stream, table in (("str1_stream_uploads", "str1_track_uploads"), ("str3_stream_tasks", "str3_task_state"), ("str5_stream_progress", "str5_throttle_progress"), ("str6_stream_playback", "str6_playback_state"), ("str11_stream_status", "str11_status_log"))}

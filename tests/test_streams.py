@@ -33,7 +33,7 @@ def test_words_become_captions(spark):
     assert [r.text for r in out] == ["One two.", "Three four"]
 
 
-@pytest.mark.parametrize("fold", [Z.TASKS, Z.CHANGES], ids=["tasks", "changes"])
+@pytest.mark.parametrize("fold", [Z.TASKS, Z.CHANGES, Z.PROGRESS], ids=["tasks", "changes", "progress"])
 def test_stream_equals_batch(spark, tmp_path, fold):
     kinds = (["running", "progress", "failure", "done", "queued"] * 5)[:23]
     table = events(spark, kinds)
