@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -9,27 +11,54 @@ from pyspark.sql import functions as F
 
 from lexitide.functions import rules
 
+# White space as the recognised texts' source takes it, in a form that Java's and DuckDB's patterns share, and
+# in one for Python; the spacing rules of joined tokens; marks that end a sentence or a clause.
+WHITE = r"[\t-\r\x1C-\x20\x85\p{Z}]"
+PYTHON_WHITE = "[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+SPACING = (("~+([,.!?;:%])", "1"), ("~+-~*", "-"), (r"(?i)~+(['’]s\b)", "1"), (r"(?i)~+n't\b", "n't"))  # ~: white space
 WORD = "[A-Za-z']+"
 ENDS_SENTENCE = r"[.!?][\"')\]]*$"
 ENDS_SOFTLY = r"[,;:][\"')\]]*$"
 
 
+_SPACING = [(re.compile(p.replace("~", PYTHON_WHITE), re.A), r"\1" if put == "1" else put) for p, put in SPACING]
+
+
+def stripped(text: Column) -> Column:
+    """Without white space at the ends; null stays null."""
+    return F.regexp_replace(text, f"^{WHITE}+|{WHITE}+$", "")
+
+
+def is_blank(text: Column) -> Column:
+    """Null, empty, or nothing but white space."""
+    return ~F.coalesce(text, F.lit("")).rlike(WHITE.replace("[", "[^", 1))
+
+
 def collapse(text: Column) -> Column:
     """Runs of white space become one space; ends are trimmed; null is empty."""
-    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), f"{WHITE}+", " "))
 
 
 def tidy(text: Column) -> Column:
     """Spacing of joined tokens: none before ``,.!?;:%`` or around a hyphen, ``'s`` and ``n't`` reattached."""
-    for pattern, put in ((r"\s+([,.!?;:%])", "$1"), (r"\s+-\s*", "-"), (r"(?i)\s+(['’]s\b)", "$1"), (r"(?i)\s+n't\b", "n't")):
-        text = F.regexp_replace(text, pattern, put)
+    for pattern, put in SPACING:
+        text = F.regexp_replace(text, pattern.replace("~", WHITE), "$1" if put == "1" else put)
     return collapse(text)
 
 
+def tidied(tokens: Iterable[str]) -> str:
+    """The text of tokens by the same rules, for folds that see words one at a time."""
+    text = " ".join(t for t in map(str.strip, tokens) if t)
+    for pattern, put in _SPACING:
+        text = pattern.sub(put, text)
+    return " ".join(text.split())
+
+
 def joined(tokens: Column) -> Column:
     """Caption text of an array of tokens."""
     text = F.array_join(F.filter(F.transform(tokens, lambda t: F.trim(t)), lambda t: t != ""), " ")
-    return F.when(text.rlike(r"\s[,.!?;:%\s-]|[^\S ]|(?i)\s(['’]s|n't)\b"), tidy(text)).otherwise(text)  # most texts need no repair
+    odd = rf"{WHITE}[,.!?;:%-]|{WHITE}{WHITE}|^{WHITE}|{WHITE}$|(?! ){WHITE}|(?i){WHITE}(['’]s|n't)\b"
+    return F.when(text.rlike(odd), tidy(text)).otherwise(text)  # most texts need no repair
 
 
 def replaced(text: Column, pairs: list[tuple[str, str]], ignore_case: bool = True) -> Column:
@@ -79,7 +108,7 @@ def cjk_normalised(text: Column) -> Column:
     """Term fixes; in Chinese text also full-width marks, no space between characters, no leading or doubled marks."""
     out = reduce(lambda t, r: F.replace(t, F.lit(r[0]), F.lit(r[1])), rules.CJK_TERMS, collapse(text))
     out = F.regexp_replace(out, "(?<!防)熊喷雾", "防熊喷雾")
-    marks = [(r",\s*", "，"), (r"\.(?=$|\s)", "。"), (r"\?", "？"), ("!", "！"), (rf"(?<={rules.CJK})\s+(?={rules.CJK})", ""), (r"^[，。；：！？\s]+", ""), (r"([，。！？；：])\1+", "$1"), ("，(?=[。！？；：])", "")]
+    marks = [(r",\s*", "，"), (r"\.(?=$|\s)", "。"), (r"\?", "？"), ("!", "！"), (rf"(?<={rules.CJK}){WHITE}+(?={rules.CJK})", ""), (rf"^[，。；：！？{WHITE}]+", ""), (r"([，。！？；：])\1+", "$1"), ("，(?=[。！？；：])", "")]
     return F.when(out.rlike(rules.CJK), reduce(lambda t, r: F.regexp_replace(t, r[0], r[1]), marks, out)).otherwise(out)
 
 

@@ -70,7 +70,7 @@ def split_bilingual(lines: DataFrame, column: str = "lines") -> DataFrame:
 
     If the first line has them it is the English text, as a caption needs one; the rest is the Chinese text.
     """
-    clean = F.filter(F.transform(column, lambda t: F.trim(t)), lambda t: t != "")
+    clean = F.filter(F.transform(column, lambda t: X.stripped(t)), lambda t: t != "")
     first = F.coalesce(F.get(F.filter(F.transform("__l", lambda t, i: F.when(t.rlike(HAS_CJK), i).otherwise(-1)), lambda i: i >= 0), F.lit(0)), F.size("__l"))
     rows = lines.withColumn("__l", clean).withColumn("__at", F.greatest(first, F.lit(1)))
     rest = F.array_join(F.expr("slice(__l, __at + 1, greatest(size(__l), 1))"), "\n")
@@ -79,7 +79,7 @@ def split_bilingual(lines: DataFrame, column: str = "lines") -> DataFrame:
 
 def display_text(captions: DataFrame, mode: str = "bilingual") -> DataFrame:
     """Adds ``display``: ``english``, ``chinese`` (English where there is none) or both on two lines."""
-    both = F.when(F.trim(F.coalesce("chinese_text", F.lit(""))) == "", F.col("english_text")).otherwise(F.concat_ws("\n", "english_text", "chinese_text"))
+    both = F.when(X.is_blank(F.col("chinese_text")), F.col("english_text")).otherwise(F.concat_ws("\n", "english_text", "chinese_text"))
     return captions.withColumn("display", {"english": F.col("english_text"), "chinese": F.coalesce("chinese_text", "english_text"), "bilingual": both}[mode])
 
 
@@ -91,12 +91,13 @@ def shift_captions(captions: DataFrame, offsets: DataFrame) -> DataFrame:
 
 
 def pending_translation(captions: DataFrame) -> DataFrame:
-    return captions.where(F.trim(F.coalesce("chinese_text", F.lit(""))) == "")
+    """Captions with a text and without a translation."""
+    return captions.where(X.is_blank(F.col("chinese_text")) & ~X.is_blank(F.col("english_text")))
 
 
 def completeness(captions: DataFrame) -> DataFrame:
     """Per video: rows, rows without translation, and whether it may be published."""
-    missing = F.count_if(F.trim(F.coalesce("chinese_text", F.lit(""))) == "")
+    missing = F.count_if(X.is_blank(F.col("chinese_text")))
     return captions.groupBy("video_id").agg(F.count("*").alias("n"), missing.alias("missing")).withColumn("publishable", F.col("missing") == 0)
 
 
@@ -125,8 +126,8 @@ def retranslate_source(requests: DataFrame, supplied: DataFrame, cache: DataFram
 
     A request with neither appears once with a null ``idx``.
     """
-    own = supplied.where(F.trim("english_text") != "").join(requests, "video_id", "left_semi")
-    cached = cache.where(F.trim("english_text") != "").join(requests, "video_id", "left_semi").join(own.select("video_id").distinct(), "video_id", "left_anti")
+    own = supplied.where(~X.is_blank(F.col("english_text"))).join(requests, "video_id", "left_semi")
+    cached = cache.where(~X.is_blank(F.col("english_text"))).join(requests, "video_id", "left_semi").join(own.select("video_id").distinct(), "video_id", "left_anti")
     names = ["video_id", "idx", "start_ms", "end_ms", "english_text"]
     rows = own.select(names).unionByName(cached.select(names))
     return requests.select("video_id").join(rows, "video_id", "left").withColumn("chinese_text", F.lit(None).cast("string"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lexitide.functions import text as X
+
 ZONE = "Asia/Shanghai"
 
 
@@ -166,8 +168,6 @@ def local_day(ts: Column) -> Column:
 
 def with_display_times(rows: DataFrame, ts: str, ms: str, size: str) -> DataFrame:
     """Adds local day and minute of ``ts``, ``mm:ss`` and SRT time of ``ms``, megabytes of ``size``."""
-    from lexitide.functions import text as X
-
     return rows.withColumns({"day": local_day(F.col(ts)), "minute": F.date_format(F.from_utc_timestamp(F.col(ts), ZONE), "HH:mm"), "clock": X.clock(F.col(ms)), "srt": X.srt_time(F.col(ms)), "megabytes": F.format_string("%.1f MB", F.col(size).cast("double") / (1024 * 1024))})
 
 
@@ -215,7 +215,7 @@ def relocate_entries(wordbook: DataFrame, captions: DataFrame) -> DataFrame:
     """
     from lexitide.operators.captions import caption_at
 
-    blank = F.trim(F.coalesce("english_text", F.lit(""))) == ""
+    blank = X.is_blank(F.col("english_text"))
     entries = wordbook.withColumns({"blank": blank})
     lines = captions.select("video_id", (F.col("idx") - 1).alias("place"), F.col("start_ms").alias("line_ms"), F.col("english_text").alias("line_text"))
     exact = entries.join(lines.withColumnRenamed("place", "subtitle_index"), ["video_id", "subtitle_index"]).where((F.col("blank")) | (F.col("line_text") == F.col("english_text")) | (F.abs(F.col("line_ms") - F.col("start_ms")) <= 800)).select("event_id", F.col("subtitle_index").alias("exact"))

@@ -167,15 +167,7 @@ def optimize_segments(costs: DataFrame) -> DataFrame:
 
 
 _RUN = re.compile("[a-z']+")
-_REPAIR = re.compile(r"\s[,.!?;:%\s-]|[^\S ]|\s(?:['’]s|n't)\b", re.A | re.I)
-_SPACING = [(re.compile(p, re.A | re.I), r) for p, r in ((r"\s+([,.!?;:%])", r"\1"), (r"\s+-\s*", "-"), (r"\s+(['’]s\b)", r"\1"), (r"\s+n't\b", "n't"), (r"\s+", " "))]
-
-
-def _tidied(tokens: list[str]) -> str:
-    text = " ".join(tokens)
-    for pattern, put in _SPACING:
-        text = pattern.sub(put, text)
-    return text.strip(" ")
+_REPAIR = re.compile(rf"{X.PYTHON_WHITE}(?:[,.!?;:%-]|{X.PYTHON_WHITE}|['’]s\b|n't\b)|(?! ){X.PYTHON_WHITE}", re.A | re.I)
 
 
 def _costs_by_length(block: np.ndarray, start: np.ndarray, end: np.ndarray, text: list[str], edge: np.ndarray) -> np.ndarray:
@@ -203,7 +195,7 @@ def _costs_by_length(block: np.ndarray, start: np.ndarray, end: np.ndarray, text
         length = chars[j + 1] - chars[i] + k
         weak_end, continued = (last[j] >= i) & weak[last[j]], (first[i] <= j) & goes_on[np.minimum(first[i], n - 1)]
         for m in np.flatnonzero(keep & (odd_inside[i] | (odd[j + 1] > odd[i + 1]))):
-            t = _tidied(text[i[m] : j[m] + 1])
+            t = X.tidied(text[i[m] : j[m] + 1])
             found = _RUN.findall(t.lower())
             length[m], weak_end[m], continued[m] = len(t), bool(found) and (found[-1].endswith("ing") or found[-1] in R.FUNCTION_WORDS), bool(found) and found[0] in R.CONTINUATIONS
         d = end[j] - start[i]
@@ -324,11 +316,7 @@ def _greedy(simple: bool):
     """Ordered fold over the words of an island (up to a sentence end): cut when limits are passed or a break is due."""
     sentence, soft = re.compile(X.ENDS_SENTENCE), re.compile(X.ENDS_SOFTLY)
 
-    def text_of(words: list) -> str:
-        t = " ".join(w[4].strip() for w in words)
-        for p, r in ((r"\s+([,.!?;:%])", r"\1"), (r"\s+-\s*", "-"), (r"(?i)\s+(['’]s\b)", r"\1"), (r"(?i)\s+n't\b", "n't")):
-            t = re.sub(p, r, t)
-        return " ".join(t.split())
+    text_of = lambda words: X.tidied(w[4] for w in words)
 
     def unfinished(t: str) -> bool:
         found = re.findall(X.WORD, t.lower())

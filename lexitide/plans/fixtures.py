@@ -122,6 +122,17 @@ TASK_EVENTS = """task_events AS (SELECT user_id, event_id, ts, kind, CASE WHEN k
     SELECT *, CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'progress' WHEN 'click' THEN 'running' WHEN 'error' THEN 'failure' WHEN 'purchase' THEN 'done' END AS kind FROM events) WHERE kind IS NOT NULL)"""
 
 
+def quick_events(spark: SparkSession, sf_dir: str, times: int) -> DataFrame:
+    """Status events at so many times the speed, in whole milliseconds."""
+    begin = 1_704_067_200_000
+    ms = F.unix_millis("ts")
+    return task_events(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")).withColumn("ts", F.timestamp_millis(F.floor((ms - begin) / times) + begin))
+
+
+def quick_sql(times: int) -> str:
+    return f"{TASK_EVENTS}, quick AS (SELECT * REPLACE (make_timestamp(1000 * (1704067200000 + (epoch_us(ts) // 1000 - 1704067200000) // {times})) AS ts) FROM task_events)"
+
+
 def glossary_sql(text: str) -> str:
     for pattern, new in rules.GLOSSARY:
         text = "regexp_replace({}, '{}', '{}', 'gi')".format(text, pattern.replace("'", "''"), new.replace("'", "''"))

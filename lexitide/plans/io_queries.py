@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from lexitide.functions import models as M
 from lexitide.operators import jobs as J
 from lexitide.operators import segmentation as G
+from lexitide.plans import caption_queries
 from lexitide.plans import fixtures as X
-from lexitide.plans.fixtures import collapsed_sql, glossary_sql
+from lexitide.plans.fixtures import collapsed_sql, glossary_sql, tidy_sql
 from lexitide.sources import files as S
+from lexitide.sources.tables import VersionedTable
 from lexitide.streaming import folds as Z
 
 
@@ -129,27 +131,71 @@ def _finished(writer):
     writer.trigger(availableNow=True).start().awaitTermination()
 
 
-def _folded(s, rows, fold):
-    """What a fold makes of a derived table as a stream."""
-    out, store = S.scratch(s), "spark.sql.streaming.stateStore.providerClass"
-    before = s.conf.get(store)
-    s.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        _finished(Z.fold_stream(_streamed(s, rows), fold).writeStream.format("parquet").option("path", out).option("checkpointLocation", S.scratch(s)))
-    finally:
-        s.conf.set(store, before)
-    return s.read.schema(fold.output).parquet(out)
+BATCHES, FILES, LATE = 3, 4, "10 minutes"
+HOUR_MS, YEAR_MS = 3600 * 1000, 365 * 24 * 3600 * 1000
+
+
+def _arriving(s, rows, run, ts=None, spread_ms=300_000, end_ms=0):
+    """``run`` on a file stream of the rows, in ``BATCHES`` micro-batches or a few more, and at the end one row far in the future.
+
+    Rows come in order of ``ts``, but each up to ``spread_ms`` late; without ``ts`` they are dealt by the hash of the row.
+    """
+    path, place = S.scratch(s), F.pmod(F.xxhash64(F.to_json(F.struct("*"))), F.lit(spread_ms if ts else BATCHES))
+    if ts:
+        rows = rows.withColumn(ts, F.col(ts).cast("timestamp"))
+        first, last = (r := rows.agg(F.min(F.unix_millis(ts)), F.max(F.unix_millis(ts))).first())[0], r[1]
+        width = max(1, (last - first + spread_ms) // BATCHES + 1)
+        place = F.floor((F.unix_millis(ts) - first + place) / width)
+    dealt = rows.withColumn("__part", place)
+    for k in range(BATCHES):
+        dealt.where(F.col("__part") == k).drop("__part").repartition(FILES).write.mode("append").parquet(path)
+    if ts:
+        end = s.createDataFrame([(last + end_ms,)], "at long").select(*[F.timestamp_millis("at").alias(f.name) if f.name == ts else F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema])
+        end.write.mode("append").parquet(path)
+    run(s.readStream.schema(rows.schema).option("maxFilesPerTrigger", FILES).parquet(path))
+
+
+def _folded(s, rows, fold, late=LATE, spread_ms=300_000, idle_ms=YEAR_MS):
+    """What a fold makes of a derived table as a stream by event time, in micro-batches whose rows overlap in time."""
+    out, checkpoint = S.scratch(s), S.scratch(s)
+    with Z.rocks(s):
+        _arriving(s, rows, lambda stream: _finished(Z.stream_fold(stream, fold, out, checkpoint, late=late, idle_ms=idle_ms)), "ts", spread_ms, 3 * idle_ms + HOUR_MS)
+    return VersionedTable(s, out, fold.output, fold.key).read()
+
+
+def _timed_chunks(s, d):
+    return _chunks(s, d).withColumn("ts", F.timestamp_seconds(F.col("seq") * 60))
+
+
+def _timed_words(s, d):
+    return X.words(s, d).select("video_id", "idx", "start_ms", "end_ms", "text", F.timestamp_millis("start_ms").alias("ts"))
+
+
+def str2_stream_job_state(s, d):
+    out, checkpoint = S.scratch(s), S.scratch(s)
+    _arriving(s, X.task_events(s, d), lambda stream: _finished(Z.stream_job_state(stream, out, checkpoint)))
+    return Z.job_table(s, out).read().select("user_id", "status", "progress", F.col("status_at.ts").alias("updated_at"))
+
+
+def str4_stream_retries(s, d):
+    out, checkpoint, events = S.scratch(s), S.scratch(s), X.task_events(s, d)
+    with Z.rocks(s):
+        _arriving(s, events, lambda stream: _finished(Z.stream_fold(stream, Z.RETRIES, out, checkpoint, idle_ms=YEAR_MS)), "ts", end_ms=3 * YEAR_MS)
+    return Z.retry_table(s, out).read().select("user_id", "status", "failures", "progress")
 
 
 def str8_stream_wordbook(s, d):
-    out = S.scratch(s)
-    _finished(Z.stream_wordbook(_streamed(s, X.wordbook(s, d)), out, S.scratch(s)))
-    return J.recent_wordbook(s.read.parquet(out), 3).select("user_id", "event_id", "rank")
+    rows, out, checkpoint = X.wordbook(s, d), S.scratch(s), S.scratch(s)
+    _arriving(s, rows, lambda stream: _finished(Z.stream_wordbook(stream, out, checkpoint, most=3)))
+    return J.recent_wordbook(Z.wordbook_table(s, out, rows.schema, 3).read(), 3).select("user_id", "event_id", "rank")
 
 
 def str9_stream_publish(s, d):
-    out = S.scratch(s)
-    _finished(Z.stream_publish(_streamed(s, X.captions(s, d)), out, S.scratch(s)))
+    """Rows of a video come in several micro-batches; it is published once all are there."""
+    captions, out, checkpoint = X.captions(s, d), S.scratch(s), S.scratch(s)
+    rows = captions.join(captions.groupBy("video_id").agg(F.count("*").alias("total")), "video_id")
+    with Z.rocks(s, ("spark.sql.streaming.noDataMicroBatches.enabled", "false")):
+        _arriving(s, rows, lambda stream: _finished(Z.stream_publish(stream, out, checkpoint, total="total")))
     return S.load_captions(s, out).select("video_id", "idx", "chinese_text")
 
 
@@ -211,11 +257,18 @@ QUERIES = {
     "str5_throttle_progress": lambda s, d: Z.fold_batch(X.task_events(s, d), Z.PROGRESS),
     "str6_playback_state": lambda s, d: Z.fold_batch(X.playback(s, d), Z.PLAYBACK),
     "str7_stream_captions": lambda s, d: Z.fold_batch(X.words(s, d), Z.CAPTIONS),
-    "str1_stream_uploads": lambda s, d: _folded(s, _chunks(s, d), Z.UPLOADS),
+    "str1_stream_uploads": lambda s, d: _folded(s, _timed_chunks(s, d), Z.UPLOADS),
     "str3_stream_tasks": lambda s, d: _folded(s, X.task_events(s, d), Z.TASKS),
     "str5_stream_progress": lambda s, d: _folded(s, X.task_events(s, d), Z.PROGRESS),
     "str6_stream_playback": lambda s, d: _folded(s, X.playback(s, d), Z.PLAYBACK),
     "str11_stream_status": lambda s, d: _folded(s, X.task_events(s, d), Z.CHANGES),
+    "str2_stream_job_state": str2_stream_job_state,
+    "str4_stream_retries": str4_stream_retries,
+    "str5_trailing_progress": lambda s, d: Z.fold_batch(X.quick_events(s, d, 50_000), Z.TRAILING, "ts", 10_000),
+    "str5_stream_trailing": lambda s, d: _folded(s, X.quick_events(s, d, 50_000), Z.TRAILING, "2 seconds", 1000, 10_000),
+    "str7_stream_words": lambda s, d: _folded(s, _timed_words(s, d), Z.CAPTIONS),
+    "str11_heartbeat_log": lambda s, d: Z.fold_batch(X.quick_events(s, d, 500), Z.STATUS_LOG, "ts", 150_000),
+    "str11_stream_heartbeat": lambda s, d: _folded(s, X.quick_events(s, d, 500), Z.STATUS_LOG, idle_ms=150_000),
     "str8_stream_wordbook": str8_stream_wordbook,
     "str9_stream_publish": str9_stream_publish,
     "str10_without_repeats": str10_without_repeats,
@@ -303,8 +356,30 @@ ORACLE_SQL = {
     "str11_status_log": _recursive(X.TASK_EVENTS, _steps("user_id", "ts, event_id", _MS.format("task_events"),
         {"news": "false", "was": "CAST(NULL AS VARCHAR)", "sent": _FAR}, {"news": _CHANGED, "was": f"CASE WHEN {_CHANGED} THEN kind ELSE was END", "sent": f"CASE WHEN {_CHANGED} THEN ms ELSE sent END"},
         "n.event_id, n.kind") + " WHERE news"),
+    "str4_stream_retries": _recursive(X.TASK_EVENTS, _steps("user_id", "ts, event_id", "task_events",
+        {"status": "'queued'", "failures": "CAST(0 AS BIGINT)", "done": "CAST(0 AS BIGINT)"},
+        {"status": "CASE kind WHEN 'failure' THEN CASE WHEN failures < 4 THEN 'queued' ELSE 'failed' END ELSE kind END", "failures": "CASE kind WHEN 'failure' THEN failures + 1 WHEN 'done' THEN 0 ELSE failures END", "done": "CASE kind WHEN 'done' THEN 100 WHEN 'failure' THEN CASE WHEN failures < 4 THEN least(99, done) ELSE done END ELSE CASE WHEN n.progress IS NULL THEN done ELSE least(100, greatest(0, n.progress)) END END"},
+        "status, failures, done AS progress") + " QUALIFY row_number() OVER (PARTITION BY s.user_id ORDER BY s.k DESC) = 1"),
+    "str7_stream_captions": _recursive(X.WORDS, """w AS (SELECT *, CAST(sum(CASE WHEN idx = 0 OR regexp_matches(regexp_replace(before, '["'')\\]]+$', ''), '[.!?]$') OR start_ms - before_ms >= 1200 THEN 1 ELSE 0 END) OVER (PARTITION BY video_id ORDER BY idx) AS BIGINT) AS part
+            FROM (SELECT *, lag(text) OVER v AS before, lag(end_ms) OVER v AS before_ms FROM words WINDOW v AS (PARTITION BY video_id ORDER BY idx)))""",
+        "n AS (SELECT *, row_number() OVER (PARTITION BY video_id, part ORDER BY idx) AS k FROM w)",
+        """s AS (SELECT video_id, part, CAST(1 AS BIGINT) AS k, idx AS word_start, idx + 1 AS word_end, start_ms, end_ms, text AS raw, true AS fresh FROM n WHERE k = 1
+            UNION ALL SELECT n.video_id, n.part, n.k, CASE WHEN full_up THEN n.idx ELSE word_start END, n.idx + 1, CASE WHEN full_up THEN n.start_ms ELSE s.start_ms END, n.end_ms, CASE WHEN full_up THEN n.text ELSE raw || ' ' || n.text END, full_up
+            FROM (SELECT s.*, n.end_ms - s.start_ms > 12000 OR s.word_end - s.word_start >= 30 OR length(""" + tidy_sql("s.raw || ' ' || n.text") + """) > 160 AS full_up FROM s JOIN n ON n.video_id = s.video_id AND n.part = s.part AND n.k = s.k + 1) s JOIN n ON n.video_id = s.video_id AND n.part = s.part AND n.k = s.k + 1)""")
+    + " SELECT video_id, word_start, word_end, start_ms, end_ms, " + tidy_sql("raw") + " AS text FROM s QUALIFY coalesce(lead(fresh) OVER (PARTITION BY video_id, part ORDER BY k), true)",
+    "str11_heartbeat_log": _recursive(X.quick_sql(500), "n AS (SELECT *, epoch_ms(ts) AS ms, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM quick)",
+        """s AS (SELECT user_id, k, ms AS sent, ms AS seen, kind AS was, true AS news, CAST(0 AS BIGINT) AS beats, ms AS since, kind AS beat_kind FROM n WHERE k = 1
+            UNION ALL SELECT user_id, k, CASE WHEN fresh THEN ms ELSE sent + 60000 * beats END, ms, CASE WHEN fresh THEN kind ELSE was END, fresh, beats, sent, was
+            FROM (SELECT *, seen + 150000 < ms OR kind <> was OR ms - sent - 60000 * beats >= 60000 AS fresh
+                FROM (SELECT n.user_id, n.k, n.ms, n.kind, s.sent, s.seen, s.was, greatest(0, (least(n.ms, s.seen + 150000) - s.sent - 1) // 60000) AS beats FROM s JOIN n ON n.user_id = s.user_id AND n.k = s.k + 1)))""",
+        "e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY k DESC) AS back FROM s)",
+        """b AS (SELECT user_id, since AS begun, beats, beat_kind FROM s WHERE beats > 0
+            UNION ALL SELECT user_id, sent, greatest(0, (seen + 150000 - sent - 1) // 60000), was FROM e WHERE back = 1)""")
+    + """ SELECT s.user_id, ts, event_id, kind, false AS heartbeat FROM s JOIN n ON n.user_id = s.user_id AND n.k = s.k WHERE news
+        UNION ALL SELECT user_id, make_timestamp(1000 * (begun + 60000 * i)), NULL, beat_kind, true FROM (SELECT *, unnest(range(1, beats + 1)) AS i FROM b)""",
     "udf3_detect_language": "SELECT CAST(p_partkey AS VARCHAR) AS video_id, CASE WHEN strlen(p_name) % 2 = 1 THEN 'en' ELSE 'fr' END AS language, strlen(p_name) % 2 = 1 AS translates FROM part",
     "udf2_transcribe": "SELECT CAST(p_partkey AS VARCHAR) AS video_id, i - 1 AS idx, 0 AS segment_id, 100 * (i - 1) AS start_ms, 100 * (i - 1) + 80 AS end_ms, t[i] AS text, CAST(0.5 AS DOUBLE) AS probability FROM (SELECT p_partkey, t, unnest(range(1, len(t) + 1)) AS i FROM (SELECT p_partkey, string_split(p_name, ' ') AS t FROM part))",
 }
 # a stream gives what the table gives
-ORACLE_SQL |= {stream: ORACLE_SQL[table] for stream, table in (("str1_stream_uploads", "str1_track_uploads"), ("str3_stream_tasks", "str3_task_state"), ("str5_stream_progress", "str5_throttle_progress"), ("str6_stream_playback", "str6_playback_state"), ("str11_stream_status", "str11_status_log"))}
+ORACLE_SQL |= {stream: ORACLE_SQL[table] for stream, table in (("str1_stream_uploads", "str1_track_uploads"), ("str3_stream_tasks", "str3_task_state"), ("str5_stream_progress", "str5_throttle_progress"), ("str6_stream_playback", "str6_playback_state"), ("str11_stream_status", "str11_status_log"), ("str7_stream_words", "str7_stream_captions"), ("str11_stream_heartbeat", "str11_heartbeat_log"))}
+ORACLE_SQL["str2_stream_job_state"] = caption_queries.ORACLE_SQL["str2_job_state"]

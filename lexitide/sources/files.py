@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from lexitide.functions import text as X
 from lexitide.operators.captions import split_bilingual
+from lexitide.sources.tables import VersionedTable, newest_commit
 
 WORD_FILE = "array<struct<index: int, segment_id: int, start: double, end: double, text: string, probability: string, segment_end: boolean, segment_complete: boolean>>"
 SEGMENT_FILE = "id int, start double, end double, text string, avg_logprob double, no_speech_prob double, compression_ratio double, temperature double, word_start int, word_end int"
@@ -50,7 +51,7 @@ def _ms(seconds: Column) -> Column:
 def read_words(spark: SparkSession, path: str) -> DataFrame:
     """Words of JSON arrays, one file a video; blank texts are dropped."""
     rows = spark.read.text(path, wholetext=True).select(_key().alias("video_id"), F.posexplode(F.from_json("value", WORD_FILE)).alias("pos", "w"))
-    out = rows.select("video_id", F.coalesce("w.index", "pos").cast("long").alias("idx"), F.col("w.segment_id").cast("long").alias("segment_id"), _ms(F.col("w.start")).alias("start_ms"), _ms(F.col("w.end")).alias("end_ms"), F.trim("w.text").alias("text"), F.expr("try_cast(w.probability as double)").alias("probability"), F.coalesce("w.segment_end", F.lit(False)).alias("segment_end"), F.coalesce("w.segment_complete", F.lit(False)).alias("segment_complete"))
+    out = rows.select("video_id", F.coalesce("w.index", "pos").cast("long").alias("idx"), F.col("w.segment_id").cast("long").alias("segment_id"), _ms(F.col("w.start")).alias("start_ms"), _ms(F.col("w.end")).alias("end_ms"), X.stripped(F.col("w.text")).alias("text"), F.expr("try_cast(w.probability as double)").alias("probability"), F.coalesce("w.segment_end", F.lit(False)).alias("segment_end"), F.coalesce("w.segment_complete", F.lit(False)).alias("segment_complete"))
     return out.where("text <> ''")
 
 
@@ -58,15 +59,15 @@ def read_asr_segments(spark: SparkSession, path: str) -> DataFrame:
     """Recognised segments of JSON arrays, one file a video, with their quality columns."""
     names = [c.split()[0] for c in SEGMENT_FILE.split(", ")]
     rows = spark.read.schema(SEGMENT_FILE).json(path, multiLine=True).select(_key().alias("video_id"), *names)
-    return rows.withColumns({"start_ms": _ms(F.col("start")), "end_ms": _ms(F.col("end"))}).drop("start", "end").where("trim(text) <> ''")
+    return rows.withColumns({"start_ms": _ms(F.col("start")), "end_ms": _ms(F.col("end"))}).drop("start", "end").where(~X.is_blank(F.col("text")))
 
 
 def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
     """Captions of JSON arrays: rows without times or text go, the rest is numbered from 1 in the order of the file."""
     rows = spark.read.text(path, wholetext=True).select(_key().alias("video_id"), F.posexplode(F.from_json("value", f"array<struct<{TRANSCRIPT_FILE.replace(' double', ': double').replace(' string', ': string')}>>")).alias("pos", "c"))
-    kept = rows.where("c.start is not null and c.end is not null and trim(c.text) <> ''")
-    chinese = F.nullif(F.trim("c.translation"), F.lit(""))
-    return kept.select("video_id", F.row_number().over(Window.partitionBy("video_id").orderBy("pos")).cast("long").alias("idx"), _ms(F.col("c.start")).alias("start_ms"), _ms(F.col("c.end")).alias("end_ms"), F.trim("c.text").alias("english_text"), chinese.alias("chinese_text"), F.when(chinese.isNotNull(), "computer").alias("translation_source"))
+    kept = rows.where("c.start is not null and c.end is not null").where(~X.is_blank(F.col("c.text")))
+    chinese = F.nullif(X.stripped(F.col("c.translation")), F.lit(""))
+    return kept.select("video_id", F.row_number().over(Window.partitionBy("video_id").orderBy("pos")).cast("long").alias("idx"), _ms(F.col("c.start")).alias("start_ms"), _ms(F.col("c.end")).alias("end_ms"), X.stripped(F.col("c.text")).alias("english_text"), chinese.alias("chinese_text"), F.when(chinese.isNotNull(), "computer").alias("translation_source"))
 
 
 def timestamp_ms(value: Column) -> Column:
@@ -97,7 +98,7 @@ def srt_content(captions: DataFrame, bilingual: bool = True) -> DataFrame:
     start = F.greatest(F.col("start_ms"), F.lit(0))
     lines = [n.cast("string"), F.concat(X.srt_time(start), F.lit(" --> "), X.srt_time(F.greatest(F.col("end_ms"), start + 1))), F.trim("english_text")]
     if bilingual:
-        lines.append(F.nullif(F.trim("chinese_text"), F.lit("")))
+        lines.append(F.nullif(X.stripped(F.col("chinese_text")), F.lit("")))
     rows = captions.select("video_id", n.alias("n"), F.concat(F.concat_ws("\n", *lines), F.lit("\n\n")).alias("block"))
     return rows.groupBy("video_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "block"))), lambda x: x.block), "").alias("content"))
 
@@ -113,14 +114,24 @@ def write_srt(captions: DataFrame, path: str, bilingual: bool = True) -> None:
     srt_content(captions, bilingual).select(F.regexp_replace("content", "\n\n$", "\n").alias("value"), "video_id").write.partitionBy("video_id").mode("overwrite").text(path)
 
 
+# The columns of a caption.
+CAPTION = "video_id string, idx long, start_ms long, end_ms long, english_text string, chinese_text string, translation_source string"
+
+
+def caption_table(spark: SparkSession, path: str, schema: T.StructType | str = CAPTION) -> VersionedTable:
+    """Captions in buckets of videos, of which a commit replaces those videos that it has rows of."""
+    return VersionedTable(spark, path, schema, "video_id", newest_commit("video_id"))
+
+
 def save_captions(captions: DataFrame, path: str) -> None:
-    captions.write.partitionBy("video_id").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    """Replaces the captions of the videos that are given, all at once, and leaves those of others."""
+    caption_table(captions.sparkSession, path, captions.schema).commit(captions)
 
 
-def load_captions(spark: SparkSession, path: str) -> DataFrame:
-    """Saved captions numbered from 1; the text ``null`` and blanks are no translation."""
-    rows = spark.read.parquet(path).withColumn("video_id", F.col("video_id").cast("string"))
-    none = lambda c: F.when(~F.trim(c).isin("", "null"), F.col(c))
+def load_captions(spark: SparkSession, path: str, videos: list[str] | None = None) -> DataFrame:
+    """Saved captions numbered from 1; the text ``null`` and blanks are no translation. ``videos`` reads only their buckets."""
+    rows = caption_table(spark, path).read(videos)
+    none = lambda c: F.when(~X.stripped(F.col(c)).isin("", "null"), F.col(c))
     return rows.withColumns({"idx": F.row_number().over(Window.partitionBy("video_id").orderBy("idx")).cast("long"), "chinese_text": none("chinese_text"), "translation_source": none("translation_source")})
 
 
@@ -162,9 +173,9 @@ def read_uploads(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 def read_wordbook(spark: SparkSession, path: str) -> DataFrame:
     """Wordbook entries; the English text falls back to the sentence's first line; blank terms go."""
-    w = spark.read.schema(WORDBOOK_FILE).json(path).where("trim(term) <> ''")
+    w = spark.read.schema(WORDBOOK_FILE).json(path).where(~X.is_blank(F.col("term")))
     english = F.coalesce(F.nullif(F.trim("englishText"), F.lit("")), F.get(F.split("sentence", "\n"), F.lit(0)), F.lit(""))
-    return w.select(F.timestamp_millis("time").alias("time"), F.trim("term").alias("term"), "phonetic", "sentence", "meaning", "definition", english.alias("english_text"), F.col("chineseText").alias("chinese_text"), F.coalesce("subtitleIndex", F.lit(-1)).alias("subtitle_index"), F.col("startMs").alias("start_ms"), F.col("endMs").alias("end_ms"), F.col("videoUri").alias("video_uri"), F.coalesce(F.nullif("videoId", F.lit("")), F.sha2("videoUri", 256)).alias("video_id"))
+    return w.select(F.timestamp_millis("time").alias("time"), X.stripped(F.col("term")).alias("term"), "phonetic", "sentence", "meaning", "definition", english.alias("english_text"), F.col("chineseText").alias("chinese_text"), F.coalesce("subtitleIndex", F.lit(-1)).alias("subtitle_index"), F.col("startMs").alias("start_ms"), F.col("endMs").alias("end_ms"), F.col("videoUri").alias("video_uri"), F.coalesce(F.nullif("videoId", F.lit("")), F.sha2("videoUri", 256)).alias("video_id"))
 
 
 def hash_inventory(spark: SparkSession, path: str) -> DataFrame:
@@ -179,15 +190,15 @@ def hash_inventory(spark: SparkSession, path: str) -> DataFrame:
 def publish_captions(new: DataFrame, path: str) -> DataFrame:
     """Replace the captions of videos whose every row has a translation; others keep what they have.
 
-    Returns ``video_id, n, missing, publishable`` of the new rows. The rows are staged first, so that a failed write
-    leaves the old ones, and only whole partitions of published videos are replaced.
+    Returns ``video_id, n, missing, publishable`` of the new rows. They are staged first, so that the report and what is
+    published are of the same rows; a write that fails leaves the old captions.
     """
     from lexitide.operators.captions import completeness
 
     spark = new.sparkSession
     staged = scratch(spark)
     new.write.parquet(staged)
-    rows = spark.read.parquet(staged)
+    rows = spark.read.schema(new.schema).parquet(staged)
     report = completeness(rows)
-    save_captions(rows.join(report.where("publishable"), "video_id", "left_semi"), path)
+    save_captions(rows.join(report.where("publishable"), "video_id", "left_semi").select(new.columns), path)
     return report

@@ -1,26 +1,36 @@
 """Ordered folds by key, as Structured Streaming operators and as batch jobs over the same step functions.
 
-A fold is an initial state (a dict) and a step ``(state, row) -> rows``; the step changes the state. State stays small
-(counters, the last value, at most a caption's words). In a stream, rows of a micro-batch are taken in the order of
-``order``; an optional watermark drops late rows.
+A fold is an initial state (a dict of numbers, strings and flags, at most one short list) and a step ``(state, row) -> rows``;
+the step changes the state. A fold may also act without a row: ``due`` names the next time at which it wants to, and ``tick``
+is what it does then.
+
+In a stream with event time, rows wait in a list state until the watermark passes them and are then taken in order, so what
+comes out does not depend on how rows are spread over micro-batches. One timer a key wakes it for the next waiting row, the
+next ``due`` time, or its end: a key without rows for ``idle_ms`` gives what is left of it, and nothing of it stays in the
+store. Rows behind the watermark come out as late ones. The batch form runs the same course over a sorted table.
 """
 
 from __future__ import annotations
 
-import json
+import datetime as dt
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from copy import deepcopy
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.window import Window
+from pyspark.sql.types import BooleanType, IntegralType, StructType
 
 from lexitide.functions import rules as R
+from lexitide.functions.text import tidied
 
 LIMIT_BYTES = 2048 * 1024 * 1024
+#: Folded streams need a store with column families.
+ROCKS = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+_NO_TIME = 1 << 62
 
 
 @dataclass(frozen=True)
@@ -28,76 +38,261 @@ class Fold:
     key: str
     order: tuple[str, ...]
     output: str  # DDL, the key first
+    state: str  # DDL of the state's values, in the order of ``initial``
     initial: dict
     step: Callable[[dict, dict], list[tuple]]
-    last: Callable[[dict], list[tuple]] = lambda state: []  # what is left when a batch ends
+    last: Callable[[dict], list[tuple]] = lambda state: []  # what is left when a key ends
+    due: Callable[[dict], int | None] = lambda state: None  # ms
+    tick: Callable[[dict, int], list[tuple]] = lambda state, now: []
+    items: tuple[str, str] | None = None  # name in ``initial`` and DDL of a list of tuples
+
+
+class _Course:
+    """A key's course: rows in order, and what is due between them. A due time goes before a later row, an end before a due time."""
+
+    def __init__(self, fold: Fold, idle_ms: int | None, state: dict | None = None, seen: int = 0):
+        self.fold, self.idle_ms, self.state, self.seen = fold, idle_ms, state, seen
+
+    def wake(self) -> int:
+        """The next time at which something is due."""
+        if self.state is None:
+            return _NO_TIME
+        due = self.fold.due(self.state)
+        return min(_NO_TIME if due is None else due, self.seen + self.idle_ms if self.idle_ms else _NO_TIME)
+
+    def until(self, now: int) -> list[tuple]:
+        out: list[tuple] = []
+        while (at := self.wake()) < now:
+            if self.idle_ms and at == self.seen + self.idle_ms:
+                out += self.fold.last(self.state)
+                self.state = None
+            else:
+                out += self.fold.tick(self.state, at)
+        return out
+
+    def step(self, row: dict, now: int) -> list[tuple]:
+        out = self.until(now)
+        if self.state is None:
+            self.state = deepcopy(self.fold.initial)
+        self.seen = now
+        return out + self.fold.step(self.state, row)
 
 
-class _Keyed(StatefulProcessor):
-    def __init__(self, fold: Fold, names: list[str], ts: str | None = None, idle_ms: int = 0):
-        self.fold, self.names, self.ts, self.idle_ms = fold, names, ts, idle_ms
+def _names(ddl: str) -> list[str]:
+    return [c.split()[0] for c in ddl.split(", ")]
+
+
+class _States:
+    """A fold's state in the store: a row of values, and a list to which is appended where it only grows."""
+
+    def __init__(self, fold: Fold, handle: StatefulProcessorHandle, course: bool):
+        self.fold, self.names = fold, [n for n in fold.initial if not fold.items or n != fold.items[0]]
+        extra = ", seen long, wake long" if course else ""
+        self.values = handle.getValueState("state", (fold.state + extra).removeprefix(", "))
+        self.items = handle.getListState("items", fold.items[1]) if fold.items else None
+
+    def load(self) -> tuple[dict | None, list[int]]:
+        if not self.values.exists():
+            return None, [0, 0]
+        own = list(self.values.get())
+        state = dict(zip(self.names, own))
+        if self.items:
+            state[self.fold.items[0]] = [tuple(x) for x in self.items.get()] if self.items.exists() else []
+        self.loaded = list(state[self.fold.items[0]]) if self.items else []
+        return state, own[len(self.names) :]
+
+    def store(self, state: dict | None, *more: int) -> None:
+        if state is None:
+            self.values.clear()
+            if self.items:
+                self.items.clear()
+            return
+        self.values.update((*(state[n] for n in self.names), *more))
+        if self.items:
+            held, n = state[self.fold.items[0]], len(getattr(self, "loaded", []))
+            if n and held[:n] == self.loaded:
+                if held[n:]:
+                    self.items.appendList(held[n:])
+            elif held:
+                self.items.put(held)
+            else:
+                self.items.clear()
+            self.loaded = []
+
+
+class _Arriving(StatefulProcessor):
+    """Rows in the order of their micro-batches."""
+
+    def __init__(self, fold: Fold):
+        self.fold = fold
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("state", "value string")
+        self.states = _States(self.fold, handle, course=False)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        state = json.loads(self.state.get()[0]) if self.state.exists() else deepcopy(self.fold.initial)
+        state = self.states.load()[0] or deepcopy(self.fold.initial)
         frame = pd.concat(list(rows)).sort_values(list(self.fold.order))
         out = [(key[0], *r) for row in frame.to_dict("records") for r in self.fold.step(state, row)]
-        self.state.update((json.dumps(state),))
-        if self.ts:
-            for old in list(self.handle.listTimers()):
-                self.handle.deleteTimer(old)
-            self.handle.registerTimer(_ms(frame[self.ts].max()) + self.idle_ms)
-        yield pd.DataFrame(out, columns=self.names)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        """The key has been idle: what is left of it goes out, and its state goes."""
-        state = json.loads(self.state.get()[0]) if self.state.exists() else deepcopy(self.fold.initial)
-        self.state.clear()
-        yield pd.DataFrame([(key[0], *r) for r in self.fold.last(state)], columns=self.names)
+        self.states.store(state)
+        yield pd.DataFrame(out, columns=_names(self.fold.output))
 
     def close(self) -> None:
         pass
 
 
-def _names(ddl: str) -> list[str]:
-    return [c.split()[0] for c in ddl.split(", ")]
+class _InOrder(StatefulProcessor):
+    """Rows in the order of event time, whatever micro-batch brought them."""
+
+    def __init__(self, fold: Fold, rows: StructType, ts: str, idle_ms: int):
+        self.fold, self.rows, self.ts, self.idle_ms = fold, rows, ts, idle_ms
+        self.whole = [isinstance(f.dataType, (IntegralType, BooleanType)) for f in rows]
+        self.names = [*_names(fold.output), "late"]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.states = _States(self.fold, handle, course=True)
+        self.waiting = handle.getListState("waiting", ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.rows))
+
+    def _plain(self, value, whole: bool):
+        return None if pd.isna(value) else int(value) if whole and not isinstance(value, bool) else value
+
+    def _wake(self, was: int, at: int) -> int:
+        """One timer a key, at its next time."""
+        if at != was:
+            if was:
+                self.handle.deleteTimer(was)
+            if at < _NO_TIME:
+                self.handle.registerTimer(at)
+        return at if at < _NO_TIME else 0
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        watermark, place = timerValues.getCurrentWatermarkInMs(), self.rows.fieldNames().index(self.ts)
+        passed = watermark * 1000 if watermark else -_NO_TIME  # it is 0 as long as there is none
+        good, late = [], []
+        for frame in rows:
+            for row in frame.itertuples(index=False, name=None):
+                values = tuple(self._plain(v, w) for v, w in zip(row, self.whole))
+                (late if values[place] is None or values[place] <= passed else good).append(values)
+        if good:
+            self.waiting.appendList(good)
+            state, (seen, wake) = self.states.load()
+            first = max(1, -(-min(v[place] for v in good) // 1000))
+            if not wake or first < wake:
+                wake = self._wake(wake, first)
+                self.states.store(deepcopy(self.fold.initial) if state is None else state, -1 if state is None else seen, wake)
+        yield self._out(key, [], [v[place] for v in late])
+
+    def _out(self, key, out: list[tuple], late: list[int | None]) -> pd.DataFrame:
+        none = (None,) * (len(self.names) - 2)
+        times = [(key[0], *none, pd.NaT if us is None else pd.Timestamp(us, unit="us")) for us in late]
+        return pd.DataFrame([(key[0], *r, pd.NaT) for r in out] + times, columns=self.names).astype({"late": "datetime64[us]"}).astype(object)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now, names = timerValues.getCurrentWatermarkInMs(), self.rows.fieldNames()
+        place = names.index(self.ts)
+        state, (seen, _) = self.states.load()
+        course, out, left = _Course(self.fold, self.idle_ms, None if seen < 0 else state, seen), [], []
+        ready = []
+        for values in self.waiting.get() if self.waiting.exists() else ():
+            (ready if values[place] <= now * 1000 else left).append(tuple(values))
+        at = [names.index(c) for c in self.fold.order]
+        for values in sorted(ready, key=lambda v: [v[i] for i in at]):
+            row = dict(zip(names, values))
+            row[self.ts] = pd.Timestamp(row[self.ts], unit="us")
+            out += course.step(row, values[place] // 1000)
+        out += course.until(now)
+        if ready:
+            if left:
+                self.waiting.put(left)
+            else:
+                self.waiting.clear()
+        wake = max(1, min([course.wake() + 1, *(-(-v[place] // 1000) for v in left)]))
+        if wake < _NO_TIME:
+            self.handle.registerTimer(wake)
+            idle = course.state is None  # rows wait, but the state before them has ended
+            self.states.store(deepcopy(self.fold.initial) if idle else course.state, -1 if idle else course.seen, wake)
+        else:
+            self.states.store(None)
+        yield self._out(key, out, [])
+
+    def close(self) -> None:
+        pass
 
 
 def fold_stream(rows: DataFrame, fold: Fold, ts: str | None = None, late: str = "10 minutes", idle_ms: int = 0) -> DataFrame:
-    """The fold over a stream; the state store provider must be RocksDB's.
+    """The fold over a stream; the state store provider must be RocksDB's (``ROCKS``).
 
-    With a timestamp column ``ts`` rows later than ``late`` are dropped, and a key that has had no row for ``idle_ms`` of
-    event time is ended: what is left of it goes out, as at the end of a batch, and its state goes.
+    Without ``ts`` rows count as they arrive. With a timestamp column ``ts`` they count in its order once the watermark, ``late``
+    behind the latest, has passed them; ``ts`` must be the first of ``order``, or agree with it. Column ``late`` is added: the
+    time of a row that came behind the watermark (or has none), whose other columns but the key are null.
     """
     if ts is None:
-        return rows.groupBy(fold.key).transformWithStateInPandas(_Keyed(fold, _names(fold.output)), outputStructType=fold.output, outputMode="Append", timeMode="None")
-    keyed = rows.withWatermark(ts, late).groupBy(fold.key)
-    return keyed.transformWithStateInPandas(_Keyed(fold, _names(fold.output), ts, idle_ms), outputStructType=fold.output, outputMode="Append", timeMode="EventTime")
+        return rows.groupBy(fold.key).transformWithStateInPandas(_Arriving(fold), outputStructType=fold.output, outputMode="Append", timeMode="None")
+    # The time travels as a number, which the engine does not hold against the watermark: late rows reach the processor.
+    timed = rows.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).select(*[F.unix_micros(ts).alias(c) if c == ts else F.col(c) for c in rows.columns])
+    return timed.groupBy(fold.key).transformWithStateInPandas(_InOrder(fold, timed.schema, ts, idle_ms), outputStructType=f"{fold.output}, late timestamp", outputMode="Append", timeMode="EventTime")
 
 
-def fold_batch(rows: DataFrame, fold: Fold) -> DataFrame:
-    """The fold over a table: keys are dealt over tasks, and each task reads its rows in order, one key after another."""
+def stream_fold(rows: DataFrame, fold: Fold, path: str, checkpoint: str, ts: str = "ts", late: str = "10 minutes", idle_ms: int = 24 * 3600 * 1000):
+    """A fold by event time whose rows go to the table ``path``, and its late rows, counted by key and time, to ``path`` + ``_late``.
+
+    Both are committed under the number of the micro-batch, so one that is run again adds nothing.
+    """
+    from lexitide.sources.tables import VersionedTable
+
+    folded = fold_stream(rows, fold, ts, late, idle_ms)
+    lost = StructType([f for f in folded.schema if f.name in (fold.key, "late")]).add("n", "long")
+    kept = StructType([f for f in folded.schema if f.name != "late"])
+
+    def sink(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        batch.persist()
+        VersionedTable(spark, path, kept, fold.key).commit(batch.where("late is null").drop("late"), ("fold", number))
+        counts = batch.where("late is not null").groupBy(fold.key, "late").agg(F.count("*").alias("n"))
+        VersionedTable(spark, f"{path}_late", lost, fold.key).commit(counts, ("fold", number))
+        batch.unpersist()
+
+    return folded.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+
+
+def fold_batch(rows: DataFrame, fold: Fold, ts: str | None = None, idle_ms: int = 0) -> DataFrame:
+    """The fold over a table: keys are dealt over tasks, and each task reads its rows in order, one key after another.
+
+    With ``ts`` the fold also acts between rows, and a key that has no row for ``idle_ms`` ends and begins anew, as in a stream.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        begun, key, state, names = False, None, deepcopy(fold.initial), _names(fold.output)
+        begun, key, names = False, None, _names(fold.output)
+        course = _Course(fold, idle_ms)
+        rest = lambda: course.until(_NO_TIME) if ts and idle_ms else fold.last(course.state)
         for frame in frames:
             out: list[tuple] = []
             for row in frame.to_dict("records"):
                 own = None if pd.isna(row[fold.key]) else row[fold.key]  # null keys are one key
                 if not begun or own != key:
                     if begun:
-                        out += [(key, *r) for r in fold.last(state)]
-                    begun, key, state = True, own, deepcopy(fold.initial)
-                out += [(key, *r) for r in fold.step(state, row)]
+                        out += [(key, *r) for r in rest()]
+                    begun, key, course = True, own, _Course(fold, idle_ms, None if ts else deepcopy(fold.initial))
+                out += [(key, *r) for r in (course.step(row, _ms(row[ts])) if ts else fold.step(course.state, row))]
             yield pd.DataFrame(out, columns=names)
-        yield pd.DataFrame([(key, *r) for r in fold.last(state)] if begun else [], columns=names)
+        yield pd.DataFrame([(key, *r) for r in rest()] if begun else [], columns=names)
 
     return rows.repartition(fold.key).sortWithinPartitions(fold.key, *fold.order).mapInPandas(run, fold.output)
 
 
+@contextmanager
+def rocks(spark: SparkSession, *more: tuple[str, str]) -> Iterator[None]:
+    """Sets the store that folded streams need, and other settings, for as long as the context lasts."""
+    before = {name: spark.conf.get(name) for name, _ in (ROCKS, *more)}
+    for name, value in (ROCKS, *more):
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 def _ms(t) -> int:
     return int(pd.Timestamp(t).value // 1_000_000)
 
@@ -129,7 +324,7 @@ def _upload(state: dict, row: dict) -> list[tuple]:
     return [(int(row["seq"]), verdict, state["offset"], state["complete"])]
 
 
-UPLOADS = Fold("upload_id", ("seq",), "upload_id string, seq long, verdict string, offset long, complete boolean", {"offset": 0, "total": None, "complete": False}, _upload)
+UPLOADS = Fold("upload_id", ("seq",), "upload_id string, seq long, verdict string, offset long, complete boolean", "offset long, total long, complete boolean", {"offset": 0, "total": None, "complete": False}, _upload)
 
 # ---- tasks: status, progress, failures -----------------------------------------------------------------------------
 
@@ -159,7 +354,7 @@ def _task(state: dict, row: dict) -> list[tuple]:
     return [(int(row["event_id"]), state["status"], state["progress"], state["failures"], state["error"])]
 
 
-TASKS = Fold("user_id", ("ts", "event_id"), "user_id long, event_id long, status string, progress long, failures long, error string", {"status": "queued", "progress": 0, "failures": 0, "error": None}, _task)
+TASKS = Fold("user_id", ("ts", "event_id"), "user_id long, event_id long, status string, progress long, failures long, error string", "status string, progress long, failures long, error string", {"status": "queued", "progress": 0, "failures": 0, "error": None}, _task)
 
 # ---- progress: only news -------------------------------------------------------------------------------------------
 
@@ -168,15 +363,49 @@ def _progress(state: dict, row: dict) -> list[tuple]:
     """Out at a change of stage or a failure or success; else only a new percent or after 700 ms, and 300 ms after the last."""
     now, kind, given = _ms(row["ts"]), row["kind"], row.get("progress")
     given = None if given is None or pd.isna(given) else int(given)
-    force = [kind, given] != state["message"] and (kind != state["kind"] or kind in ("failure", "done"))
+    force = (kind, given) != (state["kind"], state["given"]) and (kind != state["kind"] or kind in ("failure", "done"))
     fresh = given is not None and given != state["percent"]
     if not force and (now - state["sent"] < 300 or not fresh and now - state["sent"] < 700):
         return []
-    state.update(kind=kind, message=[kind, given], sent=now, percent=state["percent"] if given is None else given)
+    state.update(kind=kind, given=given, sent=now, percent=state["percent"] if given is None else given)
     return [(int(row["event_id"]), kind, state["percent"])]
 
 
-PROGRESS = Fold("user_id", ("ts", "event_id"), "user_id long, event_id long, kind string, percent long", {"kind": None, "message": None, "percent": None, "sent": -(10**15)}, _progress)
+PROGRESS = Fold("user_id", ("ts", "event_id"), "user_id long, event_id long, kind string, percent long", "kind string, given long, percent long, sent long", {"kind": None, "given": None, "percent": None, "sent": -(10**15)}, _progress)
+
+
+def _held_progress(state: dict, row: dict) -> list[tuple]:
+    """As above, but what is not sent waits, the latest of it, until it may go out."""
+    out = _progress(state, row)
+    given = row.get("progress")
+    if out:
+        state.update(held=None, held_kind=None, held_given=None)
+        return [(row["ts"], *r, False) for r in out]
+    state.update(held=int(row["event_id"]), held_kind=row["kind"], held_given=None if given is None or pd.isna(given) else int(given))
+    return []
+
+
+def _progress_due(state: dict) -> int | None:
+    fresh = state["held_given"] is not None and state["held_given"] != state["percent"]
+    return None if state["held"] is None else state["sent"] + (300 if fresh else 700)
+
+
+def _late_progress(state: dict, now: int) -> list[tuple]:
+    event, kind, given = state["held"], state["held_kind"], state["held_given"]
+    state.update(kind=kind, given=given, sent=now, percent=state["percent"] if given is None else given, held=None, held_kind=None, held_given=None)
+    return [(pd.Timestamp(now, unit="ms"), event, kind, state["percent"], True)]
+
+
+TRAILING = Fold(
+    "user_id",
+    ("ts", "event_id"),
+    "user_id long, ts timestamp, event_id long, kind string, percent long, trailing boolean",
+    "kind string, given long, percent long, sent long, held long, held_kind string, held_given long",
+    {**PROGRESS.initial, "held": None, "held_kind": None, "held_given": None},
+    _held_progress,
+    due=_progress_due,
+    tick=_late_progress,
+)
 
 # ---- playback: a state at most every 3 s ---------------------------------------------------------------------------
 
@@ -189,29 +418,29 @@ def _playback(state: dict, row: dict) -> list[tuple]:
     return [(row["ts"], max(0, int(row["position_ms"])))]
 
 
-PLAYBACK = Fold("video_id", ("ts", "event_id"), "video_id string, ts timestamp, position_ms long", {"saved": -(10**15)}, _playback)
+PLAYBACK = Fold("video_id", ("ts", "event_id"), "video_id string, ts timestamp, position_ms long", "saved long", {"saved": -(10**15)}, _playback)
 
 # ---- captions from words: one word of look-ahead -------------------------------------------------------------------
 
 
 def _words(state: dict, row: dict) -> list[tuple]:
     """A caption goes out at a sentence end, at a long silence, or when the next word would pass a limit."""
-    out, held, word = [], state["held"], [int(row["idx"]), int(row["start_ms"]), int(row["end_ms"]), row["text"]]
+    out, held, word = [], state["held"], (int(row["idx"]), int(row["start_ms"]), int(row["end_ms"]), row["text"])
     if held:
-        text = " ".join(w[3] for w in [*held, word])
+        text = tidied(w[3] for w in [*held, word])
         ended = held[-1][3].rstrip("\"')]")[-1:] in (".", "!", "?")
         if ended or word[1] - held[-1][2] >= R.FORCED_GAP_MS or word[2] - held[0][1] > R.MAX_MS or len(held) >= R.MAX_WORDS or len(text) > R.MAX_CHARS:
             out, held = _left({"held": held}), []
-    state["held"] = [*held, word]
+    state["held"], state["words"] = [*held, word], state["words"] + 1
     return out
 
 
 def _left(state: dict) -> list[tuple]:
     held = state["held"]
-    return [(held[0][0], held[-1][0] + 1, held[0][1], held[-1][2], " ".join(w[3] for w in held))] if held else []
+    return [(held[0][0], held[-1][0] + 1, held[0][1], held[-1][2], tidied(w[3] for w in held))] if held else []
 
 
-CAPTIONS = Fold("video_id", ("idx",), "video_id string, word_start long, word_end long, start_ms long, end_ms long, text string", {"held": []}, _words, _left)
+CAPTIONS = Fold("video_id", ("idx",), "video_id string, word_start long, word_end long, start_ms long, end_ms long, text string", "words long", {"words": 0, "held": []}, _words, _left, items=("held", "idx long, start_ms long, end_ms long, text string"))
 
 # ---- status log: a row when the status changes, or after 60 s without one --------------------------------------------
 
@@ -224,7 +453,43 @@ def _changes(state: dict, row: dict) -> list[tuple]:
     return [(int(row["event_id"]), row["kind"])]
 
 
-CHANGES = Fold("user_id", ("ts", "event_id"), "user_id long, event_id long, kind string", {"kind": None, "sent": -(10**15)}, _changes)
+CHANGES = Fold("user_id", ("ts", "event_id"), "user_id long, event_id long, kind string", "kind string, sent long", {"kind": None, "sent": -(10**15)}, _changes)
+HEARTBEAT_MS = 60_000
+
+
+def _status(state: dict, row: dict) -> list[tuple]:
+    return [(row["ts"], *r, False) for r in _changes(state, row)]
+
+
+def _heartbeat(state: dict, now: int) -> list[tuple]:
+    state["sent"] = now
+    return [(pd.Timestamp(now, unit="ms"), None, state["kind"], True)]
+
+
+#: The status log with the rows that come without an event, one a minute until the key is idle too long.
+STATUS_LOG = Fold("user_id", ("ts", "event_id"), "user_id long, ts timestamp, event_id long, kind string, heartbeat boolean", CHANGES.state, CHANGES.initial, _status, due=lambda state: state["sent"] + HEARTBEAT_MS, tick=_heartbeat)
+
+# ---- retries: failures since the last success ------------------------------------------------------------------------
+
+MOST_FAILURES = 5
+
+
+def _retry(state: dict, row: dict) -> list[tuple]:
+    """A failure queues a task again, at 99 at most, until the last that it may have; a success begins anew."""
+    kind, given = row["kind"], row.get("progress")
+    if given is not None and not pd.isna(given):
+        state["progress"] = max(0, min(100, int(given)))
+    if kind == "failure":
+        n = state["failures"] + 1
+        state.update(failures=n, status="queued" if n < MOST_FAILURES else "failed", progress=min(99, state["progress"]) if n < MOST_FAILURES else state["progress"])
+    else:
+        state["status"] = kind
+        if kind == "done":
+            state.update(failures=0, progress=100)
+    return [(row["ts"], int(row["event_id"]), state["status"], state["failures"], state["progress"])]
+
+
+RETRIES = Fold("user_id", ("ts", "event_id"), "user_id long, ts timestamp, event_id long, status string, failures long, progress long", "status string, failures long, progress long", {"status": "queued", "failures": 0, "progress": 0}, _retry)
 
 
 def without_repeats(events: DataFrame, keys: list[str], ts: str = "ts", late: str = "10 minutes") -> DataFrame:
@@ -232,35 +497,106 @@ def without_repeats(events: DataFrame, keys: list[str], ts: str = "ts", late: st
     return events.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
 
 
-def latest_state(events: DataFrame) -> DataFrame:
-    """A stream's last status and progress by user (update or complete mode)."""
+JOB_STATE = "user_id long, status string, status_at struct<ts: timestamp, event_id: bigint>, progress long, progress_at struct<ts: timestamp, event_id: bigint>"
+
+
+def job_table(spark: SparkSession, path: str):
+    """The table of a job's latest status and progress, each with the event that it is from."""
+    from lexitide.sources.tables import VersionedTable, newest_fields
+
+    return VersionedTable(spark, path, JOB_STATE, "user_id", newest_fields("user_id", {"status": "status_at", "progress": "progress_at"}))
+
+
+def stream_job_state(events: DataFrame, path: str, checkpoint: str):
+    """Events merged into ``job_table``: of each field the latest value that is not null, in whatever order they come.
+
+    A micro-batch is one row a user before it is committed, under its number. The stream keeps no state of its own.
+    """
     order = F.struct("ts", "event_id")
-    return events.groupBy("user_id").agg(F.max_by("kind", order).alias("status"), F.max_by("progress", F.when(F.col("progress").isNotNull(), order)).alias("progress"))
 
+    def merge(batch: DataFrame, number: int) -> None:
+        known = lambda c: F.when(F.col(c).isNotNull(), order)
+        rows = batch.groupBy("user_id").agg(*[x for c, name in (("kind", "status"), ("progress", "progress")) for x in (F.max_by(c, known(c)).alias(name), F.max(known(c)).alias(f"{name}_at"))])
+        job_table(batch.sparkSession, path).commit(rows, ("events", number))
 
-def stream_publish(captions: DataFrame, path: str, checkpoint: str, total: str | None = None):
-    """Publish videos once all their rows have a translation; a batch that is run again gives the same partitions.
+    return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
 
-    A video's rows may come in several micro-batches: they are kept beside ``path``, and each batch judges all rows so far
-    of the videos it touches, the latest of rows with the same number. With ``total``, a column that has a video's number
-    of captions, a video is published only when all have come.
+
+def retry_table(spark: SparkSession, path: str):
+    """The table into which ``stream_fold`` puts ``RETRIES``, read as the latest state of each user."""
+    from lexitide.sources.tables import VersionedTable, newest_rows
+
+    return VersionedTable(spark, path, RETRIES.output, "user_id", newest_rows("user_id", [F.desc("ts"), F.desc("event_id")]))
+
+
+class _Complete(StatefulProcessor):
+    """The rows of unfinished and of lately published videos, by number; a video comes out when all its rows are translated."""
+
+    def __init__(self, schema: StructType, total: str | None, keep_ms: int):
+        self.schema, self.total, self.keep_ms = schema, total, keep_ms
+        self.names = schema.fieldNames()
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.schema)
+        self.rows = handle.getMapState("rows", "idx long", fields, self.keep_ms)
+        self.counts = handle.getValueState("counts", "n long, missing long, total long", self.keep_ms)
+        self.whole = [isinstance(f.dataType, (IntegralType, BooleanType)) for f in self.schema]
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        at, text = self.names.index("idx"), self.names.index("chinese_text")
+        n, missing, total = self.counts.get() if self.counts.exists() else (0, 0, None)
+        blank = lambda values: not (values[text] or "").strip()
+        for frame in rows:
+            for row in frame.itertuples(index=False, name=None):
+                values = tuple(None if pd.isna(v) else int(v) if w and not isinstance(v, bool) else v for v, w in zip(row, self.whole))
+                if self.rows.containsKey((values[at],)):
+                    missing -= blank(tuple(self.rows.getValue((values[at],))))
+                else:
+                    n += 1
+                missing += blank(values)
+                self.rows.updateValue((values[at],), values)
+                if self.total and values[self.names.index(self.total)] is not None:
+                    total = max(total or 0, values[self.names.index(self.total)])
+        self.counts.update((n, missing, total))
+        done = missing == 0 and (self.total is None or total is not None and n >= total)
+        yield pd.DataFrame([tuple(v) for v in self.rows.values()] if done else [], columns=self.names).astype(object)
+
+    def close(self) -> None:
+        pass
+
+
+def stream_publish(captions: DataFrame, path: str, checkpoint: str, total: str | None = None, keep: dt.timedelta = dt.timedelta(days=30)):
+    """Publish videos once all their rows have a translation, into the caption table at ``path``; the store must be RocksDB's.
+
+    A video's rows may come in several micro-batches: they stay in the state, the latest of rows with the same number, so a
+    batch reads the rows of the videos it touches and no others (a stream that ends by itself needs
+    ``spark.sql.streaming.noDataMicroBatches.enabled`` off, as rows could go at any time). With ``total``, a column that has a video's number of
+    captions, a video is published only when all have come. Rows are forgotten ``keep`` after they came. A batch that is
+    run again adds nothing.
     """
-    from lexitide.sources.files import publish_captions
+    from lexitide.sources.files import caption_table
+
+    schema = captions.schema
+    whole = captions.groupBy("video_id").transformWithStateInPandas(_Complete(schema, total, int(keep.total_seconds() * 1000)), outputStructType=schema, outputMode="Append", timeMode="ProcessingTime")
+
+    def publish(batch: DataFrame, number: int) -> None:
+        caption_table(batch.sparkSession, path, schema).commit(batch, ("captions", number))
+
+    return whole.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint)
+
+
+def wordbook_table(spark: SparkSession, path: str, schema: StructType | str, most: int = 1000):
+    """The newest ``most`` entries of each user."""
+    from lexitide.sources.tables import VersionedTable, newest_rows
+
+    return VersionedTable(spark, path, schema, "user_id", newest_rows("user_id", [F.desc("time"), F.desc("event_id")], most))
 
-    def publish(df: DataFrame, batch: int) -> None:
-        spark, kept = df.sparkSession, f"{path.rstrip('/')}_received"
-        df.write.mode("overwrite").parquet(f"{kept}/batch={batch}")
-        seen = spark.read.schema(df.schema.add("batch", "long")).option("basePath", kept).parquet(f"{kept}/batch=*").where(F.col("batch") <= batch)
-        touched = seen.where(F.col("batch") == batch).select("video_id").distinct()
-        latest = seen.join(touched, "video_id", "left_semi").withColumn("__turn", F.row_number().over(Window.partitionBy("video_id", "idx").orderBy(F.desc("batch")))).where("__turn = 1").drop("__turn", "batch")
-        if total:
-            whole = latest.groupBy("video_id").agg(F.count("*").alias("n"), F.max(total).alias("all")).where("n >= all")
-            latest = latest.join(whole, "video_id", "left_semi")
-        publish_captions(latest, path)
 
-    return captions.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint)
+def stream_wordbook(entries: DataFrame, path: str, checkpoint: str, most: int = 1000):
+    """Entries committed to ``wordbook_table``; what a user has beyond the newest ``most`` goes when parts are merged."""
+    schema = entries.schema
 
+    def keep(batch: DataFrame, number: int) -> None:
+        wordbook_table(batch.sparkSession, path, schema, most).commit(batch, ("entries", number))
 
-def stream_wordbook(entries: DataFrame, path: str, checkpoint: str):
-    """Append entries; readers bound the history with ``recent_wordbook``."""
-    return entries.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint)
+    return entries.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint)
