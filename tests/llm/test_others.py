@@ -99,7 +99,7 @@ def test_top_k(spark):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_matches_sql(spark, name):
     con = duckdb.connect()
-    for t in "embeddings conversations".split():
+    for t in "embeddings conversations documents".split():
         con.sql(f"create view {t} as from '{SF}/{t}.parquet'")
     got, want = queries.QUERIES[name](spark, SF).toPandas(), con.sql(queries.ORACLE_SQL[name]).df()
     key = list(got.columns)
