@@ -4,8 +4,8 @@ The kept terms, sorted by range, become minimal acyclic transducers: one a range
 each. A term's ordinal is its place in its range, so (range, ordinal) is in the order of the terms. All texts then pass
 through the transducers a second time and are counted by ordinal. Where all transducers together are no larger than
 ``SHIPPED_BYTES``, every task has them; beyond that terms are counted as they are, added up, and streamed through the
-transducer of their range. Sources are compared in blocks of ordinals of one language, of about ``BLOCK_CELLS`` cells of
-terms by sources, so a language that holds most of the table is many tasks; only sums travel on.
+transducer of their range. Counts travel packed, a row for each source and block of ``BLOCK_TERMS`` ordinals; sources are
+compared in these blocks, so a language that holds most of the table is many tasks; only sums travel on.
 """
 
 from __future__ import annotations
@@ -28,9 +28,9 @@ from lexitide.llm.transducer import CLASS, Builder, Transducer
 from lexitide.llm.words import joined
 
 LEAST_DOCUMENTS, TOP = 10, 10
-RANGE_TERMS, SHIPPED_BYTES, BLOCK_CELLS = 200_000, 32 << 20, 1 << 15
+RANGE_TERMS, SHIPPED_BYTES, BLOCK_TERMS = 200_000, 32 << 20, 1024
 #: Words of a text are taken this many bytes at a time, and counts leave a task when it holds this many.
-SLICE, HELD = 4 << 20, 400_000
+SLICE, HELD, HELD_COUNTS = 4 << 20, 400_000, 8_000_000
 ONE = 1_000_000_000
 _TERM = re.compile(rb"[a-z\x80-\xff]+")
 
@@ -39,7 +39,7 @@ def _documents(docs: DataFrame) -> DataFrame:
     return docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
 
 
-_KINDS = {"lang": pa.string(), "source": pa.string(), "term": pa.binary(), "shard": pa.int32(), "ordinal": pa.int64()}
+_KINDS = {"lang": pa.string(), "source": pa.string(), "term": pa.binary(), "shard": pa.int32()}
 
 
 def _counts(counts: dict[tuple, int], *names: str) -> Iterator[pa.RecordBatch]:
@@ -98,30 +98,80 @@ def vocabulary(docs: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
     return durable(kept.repartitionByRange(ranges, "lang", "term").sortWithinPartitions("lang", "term").mapInArrow(_build, "shard int, lang string, term string, ordinal long, transducer binary"))
 
 
+class _Cells:
+    """Counts of ordinals by group (language and source) and range, until they leave packed by blocks."""
+
+    def __init__(self) -> None:
+        self.groups: dict[tuple[str, str], int] = {}
+        self.held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        self.size = 0
+
+    def group(self, lang: str, source: str) -> int:
+        return self.groups.setdefault((lang, source), len(self.groups))
+
+    def add(self, shard: int, groups: np.ndarray, ordinals: np.ndarray, counts: np.ndarray | None = None) -> None:
+        keys, n = _added((groups.astype(np.int64) << 40) | ordinals, counts)
+        self.held.setdefault(shard, []).append((keys, n))
+        self.size += len(keys)
+
+    def out(self, force: bool = False) -> Iterator[pa.RecordBatch]:
+        if self.size <= HELD_COUNTS and not force:
+            return
+        names, rows = list(self.groups), []
+        for shard, parts in self.held.items():
+            keys, counts = _added(*(np.concatenate(x) for x in zip(*parts)))
+            block = (keys & (1 << 40) - 1) // BLOCK_TERMS
+            cut = [0, *(np.flatnonzero(np.diff(block) | np.diff(keys >> 40)) + 1).tolist(), len(keys)]
+            for a, b in zip(cut, cut[1:]):
+                rows.append((*names[int(keys[a] >> 40)], shard, int(block[a]), int(counts[a:b].sum()), _packed(keys[a:b] & (1 << 40) - 1, counts[a:b])))
+        self.__init__()
+        for at in range(0, len(rows), 5000):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[at : at + 5000]), _CELLS)], schema=_CELLS)
+
+
+def _added(keys: np.ndarray, counts: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, and the sums of their counts (1 each by default)."""
+    if counts is None:
+        return np.unique(keys, return_counts=True)
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.diff(keys, prepend=-1))
+    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
+_CELLS = pa.schema([("lang", pa.string()), ("source", pa.string()), ("shard", pa.int32()), ("block", pa.int64()), ("n", pa.int64()), ("cells", pa.binary())])
+_CELLS_DDL = "lang string, source string, shard int, block long, n long, cells binary"
+
+
+def _packed(ordinals: np.ndarray, counts: np.ndarray) -> bytes:
+    """Places in a block, two bytes each, and then the counts, in as few bytes as the largest needs."""
+    width = np.dtype(f"u{1 << max(0, int(int(counts.max()).bit_length() - 1).bit_length() - 3)}")
+    return bytes([width.itemsize]) + (ordinals % BLOCK_TERMS).astype(np.uint16).tobytes() + counts.astype(width).tobytes()
+
+
+def _unpacked(cells: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = (len(cells) - 1) // (2 + cells[0])
+    return np.frombuffer(cells, np.uint16, n, 1), np.frombuffer(cells, f"u{cells[0]}", n, 1 + 2 * n).astype(np.int64)
+
+
 def _recount(packed, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts pass through all transducers; counts by language, source, shard and ordinal."""
+    """Texts pass through all transducers; their counts by language, source, range and ordinal."""
     shards = [(shard, Transducer.unpack(x)) for shard, x in packed.value]
-    held: dict[tuple[str, str, int], Counter] = {}
+    held = _Cells()
     taken: list[tuple[str, str, bytes]] = []
-    flat = lambda: {(*key, o): n for key, own in held.items() for o, n in own.items()}
 
     def pass_through() -> None:
-        groups: dict[tuple[str, str], int] = {}
         data, bounds = joined([piece for *_, piece in taken])
         raw = CLASS[np.frombuffer(data, np.uint8)]
         edge = np.flatnonzero(np.diff(raw != 0, prepend=False))  # a line end follows every piece
         starts, ends = edge[::2], edge[1::2]
-        group = np.array([groups.setdefault((lang, source), len(groups)) for lang, source, _ in taken])
-        whose = np.searchsorted(bounds, starts, "right") - 1
-        names, left = list(groups), np.arange(len(starts))
+        group = np.array([held.group(lang, source) for lang, source, _ in taken])
+        whose, left = np.searchsorted(bounds, starts, "right") - 1, np.arange(len(starts))
         for shard, one in shards:
             roots = np.array([one.roots.get(lang, (-1, 0)) for lang, *_ in taken])[whose[left]]
             found = one.ordinals(raw, starts[left], ends[left], roots[:, 0], roots[:, 1])
             hit = found >= 0
-            many = int(found.max(initial=0)) + 1
-            keys, counts = np.unique(group[whose[left[hit]]] * many + found[hit], return_counts=True)
-            for g, ordinal, n in zip((keys // many).tolist(), (keys % many).tolist(), counts.tolist()):
-                held.setdefault((*names[g], shard), Counter())[ordinal] += n
+            held.add(shard, group[whose[left[hit]]], found[hit])
             left = left[~hit]
         taken.clear()
 
@@ -134,15 +184,34 @@ def _recount(packed, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
                 if size >= SLICE:
                     pass_through()
                     size = 0
-        if sum(map(len, held.values())) > HELD:
-            yield from _counts(flat(), *_COUNTED[:-1])
-            held = {}
+                    yield from held.out()
     if taken:
         pass_through()
-    yield from _counts(flat(), *_COUNTED[:-1])
+    yield from held.out(force=True)
+
 
+def _sum_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order of their keys, added up: one a source and block. A block's counts are held, and no more."""
+    key, total, done = None, np.zeros(BLOCK_TERMS, np.int64), []
 
-_COUNTED = ["lang", "source", "shard", "ordinal", "n"]
+    def row() -> tuple:
+        at = np.flatnonzero(total)
+        return (*key, int(total.sum()), _packed(at, total[at]))
+
+    for batch in batches:
+        for *own, cells in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 3, 5))):
+            if own != key:
+                if key is not None:
+                    done.append(row())
+                    total[:] = 0
+                key = own
+            at, n = _unpacked(cells)
+            total[at] += n
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done), _CELLS)], schema=_CELLS)
+            done = []
+    if key is not None:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(row()), _CELLS)], schema=_CELLS)
 
 
 def _term_counts(firsts: list[tuple[str, bytes]], shards: list[int], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +231,7 @@ def _term_counts(firsts: list[tuple[str, bytes]], shards: list[int], batches: It
 
 def _through(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of a range: its transducer first, and then the terms that pass through it."""
-    one = None
+    one, held = None, _Cells()
     for batch in batches:
         packed = batch.column(5)
         cuts = [*np.flatnonzero(packed.is_valid().to_numpy(zero_copy_only=False)).tolist(), len(batch)]
@@ -172,28 +241,31 @@ def _through(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 data, bounds = joined(part.column(3).cast(pa.binary()).to_pylist())
                 roots = np.array([one.roots.get(lang, (-1, 0)) for lang in part.column(0).to_pylist()])
                 found = one.ordinals(CLASS[np.frombuffer(data, np.uint8)], bounds[:-1], bounds[1:] - 1, roots[:, 0], roots[:, 1])
-                hit = pa.array(found >= 0)
-                kept = pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(found), part.column(4)], names=_COUNTED)
-                yield kept.filter(hit)
+                hit = found >= 0
+                groups = np.array([held.group(lang, source) for lang, source in zip(part.column(0).to_pylist(), part.column(1).to_pylist())])
+                held.add(part.column(2)[0].as_py(), groups[hit], found[hit], part.column(4).to_numpy()[hit])
+                yield from held.out()
             if end < len(batch):
                 one = Transducer.unpack(packed[end].as_py())
+    yield from held.out(force=True)
 
 
 def recount(docs: DataFrame, terms: DataFrame, shipped: int = SHIPPED_BYTES) -> DataFrame:
-    """``lang, source, shard, ordinal, n``: occurrences of the kept terms, by their ordinals."""
+    """``lang, source, shard, block, n, cells``: occurrences of the kept terms, by blocks of their ordinals."""
     spark, texts = docs.sparkSession, _documents(docs)
     shards = terms.where(F.col("transducer").isNotNull())
     size = shards.agg(F.coalesce(F.sum(F.octet_length("transducer")), F.lit(0))).first()[0]
-    schema = "lang string, source string, shard int, ordinal long, n long"
     if size <= shipped:
         packed = spark.sparkContext.broadcast([(r.shard, bytes(r.transducer)) for r in shards.orderBy("shard").collect()])
-        counted = texts.mapInArrow(partial(_recount, packed), schema)
-        return counted.groupBy("lang", "source", "shard", "ordinal").agg(F.sum("n").alias("n"))
-    firsts = [(r.lang, r.term.encode(), r.shard) for r in shards.select("lang", "term", "shard").orderBy("lang", "term").collect()]
-    words = texts.mapInArrow(partial(_term_counts, [x[:2] for x in firsts], [x[2] for x in firsts]), "lang string, source string, shard int, term string, n long")
-    words = words.groupBy("lang", "source", "shard", "term").agg(F.sum("n").alias("n")).withColumn("transducer", F.lit(None).cast("binary"))
-    both = words.unionByName(shards.select(F.lit("").alias("lang"), F.lit("").alias("source"), "shard", F.lit("").alias("term"), F.lit(0).cast("long").alias("n"), "transducer"))
-    return both.repartition(len(firsts), "shard").sortWithinPartitions("shard", F.col("transducer").isNull()).mapInArrow(_through, schema)
+        found = texts.mapInArrow(partial(_recount, packed), _CELLS_DDL)
+    else:
+        firsts = [(r.lang, r.term.encode(), r.shard) for r in shards.select("lang", "term", "shard").orderBy("lang", "term").collect()]
+        words = texts.mapInArrow(partial(_term_counts, [x[:2] for x in firsts], [x[2] for x in firsts]), "lang string, source string, shard int, term string, n long")
+        words = words.groupBy("lang", "source", "shard", "term").agg(F.sum("n").alias("n")).withColumn("transducer", F.lit(None).cast("binary"))
+        both = words.unionByName(shards.select(F.lit("").alias("lang"), F.lit("").alias("source"), "shard", F.lit("").alias("term"), F.lit(0).cast("long").alias("n"), "transducer"))
+        found = both.repartition(len(firsts), "shard").sortWithinPartitions("shard", F.col("transducer").isNull()).mapInArrow(_through, _CELLS_DDL)
+    keys = ("lang", "source", "shard", "block")
+    return found.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_sum_cells, _CELLS_DDL)
 
 
 def shares(counts: np.ndarray, total: int, terms: int) -> np.ndarray:
@@ -219,9 +291,12 @@ def _compare(top: int):
         rows: list[tuple] = []
         sources, totals, terms = groups["source"].to_pylist(), groups["total"].to_pylist(), groups["terms"][0].as_py() if len(groups) else 0
         place = {s: i for i, s in enumerate(sources)}
-        ordinals, column = np.unique(cells["ordinal"].to_numpy(), return_inverse=True)
-        counts = np.zeros((len(sources), len(ordinals)), np.int64)
-        counts[[place[s] for s in cells["source"].to_pylist()], column] = cells["n"].to_numpy()
+        counts = np.zeros((len(sources), BLOCK_TERMS), np.int64)
+        for source, packed in zip(cells["source"].to_pylist(), cells["cells"].to_pylist()):
+            at, n = _unpacked(packed)
+            counts[place[source], at] = n
+        held = np.flatnonzero(counts.any(0))  # a kept term occurs in some source; a block may begin in another language
+        counts, ordinals = counts[:, held], key[2].as_py() * BLOCK_TERMS + held
         p = np.stack([shares(c, n, terms) for c, n in zip(counts, totals)])
         q = shares(counts.sum(0), sum(totals), terms)
         for i, source in enumerate(sources):
@@ -251,10 +326,8 @@ def audit(docs: DataFrame, least: int = LEAST_DOCUMENTS, top: int = TOP, shipped
     found = _documents(docs).select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(sizes, "lang", "left")
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
     groups = durable(found.select("lang", "source", zero("total"), zero("terms")))
-    width = groups.groupBy("lang").agg(F.greatest(F.lit(1).cast("long"), F.expr(f"{BLOCK_CELLS} div count(*)")).alias("width"))
-    cells = counts.join(width, "lang").withColumn("block", F.expr("ordinal div width")).drop("width")
-    blocks = cells.select("lang", "shard", "block").distinct().join(groups, "lang").toDF("in_lang", "in_shard", "in_block", "source", "total", "terms")
-    met = cells.groupBy("lang", "shard", "block").cogroup(blocks.groupBy("in_lang", "in_shard", "in_block"))
+    blocks = counts.select("lang", "shard", "block").distinct().join(groups, "lang").toDF("in_lang", "in_shard", "in_block", "source", "total", "terms")
+    met = counts.groupBy("lang", "shard", "block").cogroup(blocks.groupBy("in_lang", "in_shard", "in_block"))
     partial_sums = met.applyInArrow(_with_lang(_compare(top)), "lang string, source string, other string, shard int, ordinal long, value long")
     partial_sums = durable(partial_sums)
     others = groups.select("lang", F.col("source").alias("item"))
