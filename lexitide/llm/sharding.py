@@ -66,32 +66,37 @@ def shard_rows(rows: DataFrame, shards: int = SHARDS, seed: int = 7) -> DataFram
 
     Shard sizes are at most one apart, larger ones first. Every arrangement is equally likely up to the quality of
     the 64-bit row hashes that order rows; rows equal in all columns are interchangeable. Nulls are hashed like
-    values. With fewer rows than shards the last shards are empty; an empty table gives an empty result. Columns
-    named ``shard`` or ``slot`` are replaced.
+    values, maps by their text as JSON. With fewer rows than shards the last shards are empty; an empty table gives an empty
+    result. Columns named ``shard`` or ``slot`` are replaced; others may have any name and type.
     """
-    rows = durable(rows.drop("shard", "slot"))  # partitions must hold the same rows when they are counted and cut
-    spark, own = rows.sparkSession, [F.col(f"`{c}`") for c in rows.columns]
+    kept = rows.drop("shard", "slot")
+    own = [F.col(f"`{c}`") for c in kept.columns]
+    plain = [F.to_json(F.struct(c)) if "map<" in t or t == "variant" else c for c, (_, t) in zip(own, kept.dtypes)]  # a map has no hash
+    hashes = [F.xxhash64(F.lit(f"{use} {seed}"), *plain) for use in ("local", "shard", "tie")]
+    # A row travels as one column, so no name of its own can clash. Partitions must hold the same rows when counted and cut.
+    rows = durable(kept.select(F.struct(*own).alias("row"), F.array(*hashes).alias("keys")))
+    spark = rows.sparkSession
     counts = dict(rows.groupBy(F.spark_partition_id().alias("p")).count().collect())
     total = sum(counts.values())
     if not total:
-        return rows.select("*", F.lit(None).cast("int").alias("shard"), F.lit(None).cast("long").alias("slot"))
+        return rows.select("row.*", F.lit(None).cast("int").alias("shard"), F.lit(None).cast("long").alias("slot"))
     sizes = [total // shards + (s < total % shards) for s in range(shards)]
     order = sorted(counts)
     ends = communication_matrix([counts[p] for p in order], sizes, seed).cumsum(1)
-    plan = spark.createDataFrame([(p, e.tolist()) for p, e in zip(order, ends)], "__p int, __ends array<long>")  # a row for each partition
-    mixed = rows.withColumn("__key", F.xxhash64(F.lit(f"local {seed}"), *own)).sortWithinPartitions("__key")
-    placed = mixed.select("*", F.spark_partition_id().alias("__p"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("__at"))
-    placed = placed.join(F.broadcast(plan), "__p").withColumn("shard", F.expr("cast(size(filter(__ends, e -> e <= __at)) as int)"))
+    plan = spark.createDataFrame([(p, e.tolist()) for p, e in zip(order, ends)], "p int, ends array<long>")  # a row for each partition
+    mixed = rows.sortWithinPartitions(F.col("keys")[0], F.col("keys")[2])
+    placed = mixed.select("*", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("at"))
+    placed = placed.join(F.broadcast(plan), "p").withColumn("shard", F.expr("cast(size(filter(ends, e -> e <= at)) as int)"))
 
     cells = max(1, -(-total // (shards * CELL_ROWS)))  # a shard is ordered in parts, ranges of a second random key
-    placed = placed.withColumn("__key", F.xxhash64(F.lit(f"shard {seed}"), *own)).withColumn("__cell", F.expr(f"cast(shiftrightunsigned(__key, 33) * {cells} >> 31 as int)"))
-    by_cell = Window.partitionBy("shard", "__cell").orderBy("__key", *[c for c, (_, t) in zip(own, rows.dtypes) if "map" not in t])
-    ranked = placed.withColumn("__in", F.row_number().over(by_cell))
+    placed = placed.withColumn("cell", F.expr(f"cast(shiftrightunsigned(keys[1], 33) * {cells} >> 31 as int)"))
+    by_cell = Window.partitionBy("shard", "cell").orderBy(F.col("keys")[1], F.col("keys")[2])  # equal rows only are equal in both
+    ranked = placed.withColumn("within", F.row_number().over(by_cell))
     if cells == 1:
-        slotted = ranked.withColumn("slot", F.col("__in").cast("long") - 1)
+        slotted = ranked.withColumn("slot", F.col("within").cast("long") - 1)
     else:
-        in_cells = placed.groupBy("shard", "__cell").count()
-        before = Window.partitionBy("shard").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
-        starts = in_cells.select("shard", "__cell", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__before"))
-        slotted = ranked.join(starts, ["shard", "__cell"]).withColumn("slot", F.col("__before") + F.col("__in") - 1)
-    return slotted.select(*own, "shard", "slot")
+        in_cells = placed.groupBy("shard", "cell").count()
+        before = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+        starts = in_cells.select("shard", "cell", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
+        slotted = ranked.join(starts, ["shard", "cell"]).withColumn("slot", F.col("before") + F.col("within") - 1)
+    return slotted.select("row.*", "shard", "slot")
