@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; only where that is unset (tests on one machine), a temporary folder."""
+    """The folder in ``spark.checkpoint.dir``; only where that is unset, on one machine, a temporary folder."""
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[[^,]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(folder)
