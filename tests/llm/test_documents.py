@@ -206,6 +206,15 @@ def test_sharding(docs, none):
     assert sharding.shard_rows(none, 7).count() == 0
 
 
+def test_sharding_of_any_columns(spark):
+    """Maps, and columns with the operator's own names and with dots."""
+    rows = [(i, {"a": i, "b": None}, i, "k", [i], 7, 1) for i in range(50)] + [(None, None, None, None, None, None, None)] * 3
+    table = spark.createDataFrame(rows, "doc_id long, props map<string,int>, at long, `__at` string, keys array<int>, `a.b` int, p int").repartition(3)
+    out = sharding.shard_rows(table.withColumn("row", F.struct("doc_id", "props")), 4).collect()
+    assert Counter(r.shard for r in out) == {0: 14, 1: 13, 2: 13, 3: 13}
+    assert sorted(map(str, ((r.doc_id, r.props, r.at, r["__at"], r["keys"], r["a.b"], r.p) for r in out))) == sorted(map(str, rows))
+
+
 def test_sharding_in_cells(spark, monkeypatch):
     monkeypatch.setattr(sharding, "CELL_ROWS", 50)
     out = sharding.shard_rows(spark.range(0, 3001, 1, 6), 4).toPandas()
@@ -327,21 +336,26 @@ def test_decontamination_of_odd_items(spark):
     assert {(r.doc_id, r.item_id) for r in decontamination.contaminated(table, bench).collect()} == {(1, 1), (3, 2), (5, 3), (6, 3)}
 
 
-def leaks(docs, items, width=8, literals=5):
-    """Decontamination by comparing all windows of all pairs of texts."""
+def leaks(docs, items, width=8, literals=3):
+    """Decontamination by comparing all windows of all pairs of texts, in both readings of capitals that open a sentence."""
 
     def tokens(text):
         out, end = [], None
         for m in re.finditer(r"[0-9A-Za-z\u0080-\U0010ffff]+", text):
             w, opens = m[0], end is None or any(c in ".!?:\n" for c in text[end : m.start()])
-            kind = "#" if w[0].isdigit() else "%" if out and out[-1][1] == "#" and w.lower() in decontamination.UNITS else "@" if w[0].isupper() and not opens else ""
-            out.append((w, kind))
+            kind = "#" if w[0].isdigit() else "%" if out and not opens and out[-1][1] == "#" and w.lower() in decontamination.UNITS else "@" if w[0].isupper() and not opens else ""
+            out.append((w, kind, "@" if w[0].isupper() and opens else kind))
             end = m.end()
         return out
 
-    def window(own):
-        exact = len(own) < width or sum(not k for _, k in own) < literals
-        return exact, tuple(w.lower() if exact or not k else k for w, k in own)
+    def window(own, reading):
+        kinds = [(t[0], t[1 + reading]) for t in own]
+        exact = sum(not k for _, k in kinds) < literals
+        return exact, tuple(w.lower() if exact or not k else k for w, k in kinds)
+
+    def readings(own):
+        """A window of a document: as it is, and with opening capitals as names where that says something."""
+        return [0, 1] if any(k != m for _, k, m in own) and not window(own, 1)[0] else [0]
 
     found = {}
     for d, text in docs:
@@ -351,20 +365,29 @@ def leaks(docs, items, width=8, literals=5):
             met = {}
             for x in range(len(a) - n + 1 if n else 0):
                 for y in range(len(b) - n + 1):
-                    if window(a[x : x + n]) == window(b[y : y + n]):
-                        met.setdefault(x - y, []).append((x, y))
-            for places in met.values():
-                pairs = {(b[y + k][0] if b[y + k][1] else None, a[x + k][0]) for x, y in places for k in range(n) if a[x + k][1]}
-                covered = len({x + k for x, _ in places for k in range(n)})
+                    for r in (0, 1):
+                        for q in readings(a[x : x + n]):
+                            if window(a[x : x + n], q) == window(b[y : y + n], r):
+                                met.setdefault((x - y, r), []).append((x, y, q))
+            for (_, r), places in met.items():
+                pairs = {(b[y + k][0] if b[y + k][1 + r] else None, a[x + k][0]) for x, y, q in places for k in range(n) if a[x + k][1 + q]}
+                covered = len({x + k for x, *_ in places for k in range(n)})
                 if len({o for o, _ in pairs}) == len({v for _, v in pairs}) == len(pairs) and covered >= min(13, len(b) / 2):
-                    key = (covered, not any(o != v for o, v in pairs), -min(x for x, _ in places))
+                    key = (covered, not any(o != v for o, v in pairs), -min(x for x, *_ in places))
                     found[d, i] = max(found.get((d, i), key), key)
     return found
 
 
+def test_names_that_open_sentences_and_short_items(spark):
+    bench = spark.createDataFrame([(1, "Maria bought 12 red pens. Maria gave 5 pens away. Maria lost 3 pens."), (2, "What is 12 times 7?"), (3, "1 2 3")], "item_id long, text string")
+    texts = ["Julia bought 15 red pens. Julia gave 9 pens away. Julia lost 4 pens.", "So: What is 13 times 9? And then", "Julia bought 15 red pens. Eve gave 9 pens away. Eve lost 4 pens.", "What is 13 plus 9?", "x 1 2 3 y", "4 5 6", "They say that Julia bought 15 red pens. Julia gave 9 pens away."]
+    found = decontamination.contaminated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), bench).collect()
+    assert {(r.doc_id, r.item_id, r.changed) for r in found} == {(0, 1, True), (1, 2, True), (4, 3, False), (6, 1, True)}  # one name of the item cannot be two
+
+
 def test_decontamination_against_brute_force(spark):
     rng = np.random.default_rng(11)
-    pool = "the a buys sells has finds . . 3 4 17 Ann Bob Eve km days one two".split()
+    pool = "the a buys sells has finds . . 3 4 17 Ann Bob Eve The A km days one two".split()
     items = [(k % 17, " ".join(rng.choice(pool, rng.integers(1, 26)))) for k in range(25)] + [(30, None), (31, "")]
     texts = []
     for k in range(70):
