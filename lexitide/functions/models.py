@@ -8,20 +8,21 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexitide.operators.captions import apply_glossary, normalize_cjk
+from lexitide.operators.captions import apply_glossary, polish_translations
 
 BATCH, ATTEMPTS = 16, 3
 
 
-def translate(captions: DataFrame, model: Callable[[list[str]], list[str]], batch: int = BATCH, language: str = "en", provider: str = "local") -> DataFrame:
-    """Captions with ``chinese_text`` from a model: glossary, batches of ``batch`` texts, up to three attempts, Chinese marks.
+def translate(captions: DataFrame, model: Callable[[list[str]], list[str]], batch: int = BATCH, language: str = "en", provider: str = "local", style: str = "natural") -> DataFrame:
+    """Captions with ``chinese_text`` from a model: glossary, batches of ``batch`` texts, up to three attempts, and
+    then the rules by which translations are polished.
 
     Equal texts are translated once. Other languages than English and the provider ``none`` pass through. A batch that
     fails three times leaves its rows without translation.
     """
     if language != "en" or provider in ("", "none", "off"):
         return captions
-    prepared = apply_glossary(captions)
+    prepared = apply_glossary(captions, style)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -39,7 +40,9 @@ def translate(captions: DataFrame, model: Callable[[list[str]], list[str]], batc
             yield pd.DataFrame({"prepared": texts, "chinese_text": out})
 
     unlike = prepared.select("prepared").distinct().mapInPandas(run, "prepared string, chinese_text string")
-    return normalize_cjk(prepared.drop("chinese_text").join(unlike, "prepared", "left")).drop("prepared")
+    translated = prepared.drop("chinese_text").join(unlike, "prepared", "left").withColumn("__none", F.col("chinese_text").isNull())
+    polished = polish_translations(translated, style=style)
+    return polished.withColumn("chinese_text", F.when(~F.col("__none"), F.col("chinese_text"))).drop("prepared", "__none")
 
 
 def transcribe(audio: DataFrame, model: Callable[[bytes], list[dict]]) -> DataFrame:
@@ -113,3 +116,26 @@ def score_boundaries(chunks: DataFrame, model: Callable[[str], list[float]]) ->
             yield out.astype({"position": "Int64"})
 
     return chunks.select("video_id", "chunk_id", "text").mapInPandas(run, "video_id string, chunk_id long, position long, score double, error string")
+
+
+def tag_chunks(chunks: DataFrame, model: Callable[[str], tuple[list[tuple[int, int, str, str]], list[tuple[int, int]]]]) -> DataFrame:
+    """Tokens and spans of chunk texts: ``video_id, chunk_id, token, start, head, dependency, pos, end, error``.
+
+    The model gives tokens (first character, first character of the head, dependency, tag) and spans (first character, end)
+    of a text. A span has null ``token`` and ``head``. A failing model gives one row with its error and nothing else.
+    """
+    columns = ["video_id", "chunk_id", "token", "start", "head", "dependency", "pos", "end", "error"]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows: list[tuple] = []
+            for v, c, t in zip(frame["video_id"], frame["chunk_id"], frame["text"]):
+                try:
+                    tokens, spans = model(t)
+                    own = [(v, c, i, *token, None, None) for i, token in enumerate(tokens)] + [(v, c, None, a, None, None, None, z, None) for a, z in spans]
+                except Exception as e:  # the model is the user's: its failure is a result
+                    own = [(v, c, None, None, None, None, None, None, f"{type(e).__name__}: {e}")]
+                rows += own
+            yield pd.DataFrame(rows, columns=columns).astype({k: "Int64" for k in ("token", "start", "head", "end")})
+
+    return chunks.select("video_id", "chunk_id", "text").mapInPandas(run, "video_id string, chunk_id long, token long, start long, head long, dependency string, pos string, end long, error string")

@@ -97,6 +97,40 @@ def continues(text: Column) -> Column:
     return F.lower(F.regexp_replace(text, "^[^A-Za-z]+", "")).isin(rules.CONTINUATIONS)
 
 
+_SENTENCE_END, _CLAUSE_END, _WORD = re.compile(ENDS_SENTENCE, re.A), re.compile(ENDS_SOFTLY, re.A), re.compile("[a-z']+")
+_WEAK, _GOES_ON = frozenset(rules.WEAK_ENDINGS), frozenset(rules.CONTINUATIONS)
+
+
+def stops(text: str) -> bool:
+    """``ends_sentence`` of one text; this and what follows serve folds, which see texts one at a time."""
+    return bool(_SENTENCE_END.search(text.strip()))
+
+
+def pauses(text: str) -> bool:
+    return bool(_CLAUSE_END.search(text.strip()))
+
+
+def unfinished(text: str) -> bool:
+    """``incomplete`` of one text."""
+    found = _WORD.findall(text.lower())
+    if found and (found[-1].endswith("ing") or found[-1] in _WEAK):
+        return True
+    return pauses(text) and any(found[: len(lead)] == lead and len(found) > len(lead) for lead in _LEADS)
+
+
+_LEADS = [d.split() for d in rules.DEPENDENT]
+
+
+def bare(text: str) -> str:
+    """A text in lower case without what precedes its first letter."""
+    return re.sub("^[^A-Za-z]+", "", text).lower()
+
+
+def goes_on(text: str) -> bool:
+    """``continues`` of one text."""
+    return bare(text) in _GOES_ON
+
+
 def corrected(text: Column) -> Column:
     """Recognised text with known slips mended, ``i`` as ``I`` and a capital first letter."""
     out = F.regexp_replace(replaced(collapse(text), rules.CORRECTIONS), r"\bi\b", "I")

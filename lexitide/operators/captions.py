@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
@@ -14,7 +17,6 @@ def by_video() -> WindowSpec:
 #: Rules that a user gives as tables are read once into expressions, this many at most.
 MOST_RULES = 1000
 HAS_CJK = "[\\u3400-\\u4DBF\\u4E00-\\u9FFF\\uF900-\\uFAFF]"
-_CAPTION = "struct<start_ms: bigint, end_ms: bigint, text: string, first_idx: bigint, last_idx: bigint>"
 
 
 def correct_captions(captions: DataFrame) -> DataFrame:
@@ -170,20 +172,66 @@ def merge_fragments(captions: DataFrame) -> DataFrame:
     return rows.select("video_id", F.row_number().over(by_video()).cast("long").alias("idx"), "start_ms", pick(F.col("nxt.end_ms"), "end_ms").alias("end_ms"), pick(F.trim(F.concat(F.rtrim("english_text"), F.lit(" "), F.ltrim("nxt.english_text"))), "english_text").alias("english_text"), pick(F.nullif(parts, F.lit("")), "chinese_text").alias("chinese_text"), pick(same, "translation_source").alias("translation_source"))
 
 
-def _fold(rows: DataFrame, island: Column, should: str) -> DataFrame:
-    """Ordered fold of each island: the row being built absorbs the next while ``should`` (of ``cur`` and ``nxt``) holds."""
-    dealt = rows.withColumn("island", island).groupBy("video_id", "island").agg(F.array_sort(F.collect_list(F.struct("idx", "start_ms", "end_ms", "text"))).alias("rows"))
-    join = "concat(rtrim(cur.text), ' ', ltrim(nxt.text))"
-    new = "struct(x.start_ms as start_ms, x.end_ms as end_ms, x.text as text, x.idx as first_idx, x.idx as last_idx)"
-    test = should.replace("cur.", "element_at(a, -1).").replace("nxt.", "x.")
-    merged = f"array_append(slice(a, 1, size(a) - 1), struct(element_at(a, -1).start_ms as start_ms, x.end_ms as end_ms, {join.replace('cur.', 'element_at(a, -1).').replace('nxt.', 'x.')} as text, element_at(a, -1).first_idx as first_idx, x.idx as last_idx))"
-    folded = f"aggregate(rows, cast(array() as array<{_CAPTION}>), (a, x) -> if(size(a) > 0 and {test}, {merged}, array_append(a, {new})))"
-    out = dealt.select("video_id", "island", F.posexplode(F.expr(folded)).alias("k", "row")).select("video_id", "island", "k", "row.start_ms", "row.end_ms", X.collapse(F.col("row.text")).alias("text"), "row.first_idx", "row.last_idx")
-    return out.withColumn("idx", F.row_number().over(Window.partitionBy("video_id").orderBy("island", "k")).cast("long")).select("video_id", "idx", "start_ms", "end_ms", "text", "first_idx", "last_idx")
+_FOLDED = [("video_id", pa.string()), ("island", pa.int64()), ("start_ms", pa.int64()), ("end_ms", pa.int64()), ("text", pa.string()), ("first_idx", pa.int64()), ("last_idx", pa.int64())]
+_Row = tuple[int, int, str]  # start, end, text
+
+
+def _fold(rows: DataFrame, island: Column, joins: Callable[[_Row, _Row], bool]) -> DataFrame:
+    """Ordered fold of each island: the row being built absorbs the next while ``joins`` holds. One open row is kept."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_: list | None = None
+        done: list[list] = []
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*done), _FOLDED)], names=[n for n, _ in _FOLDED])
+
+        for batch in batches:
+            for video, part, idx, start, end, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if open_ and (video, part) == (open_[0], open_[1]) and None not in (text, open_[4]) and joins(tuple(open_[2:5]), (start, end, text)):
+                    open_[3:5], open_[6] = [end, f"{open_[4].rstrip()} {text.lstrip()}"], idx
+                else:
+                    if open_:
+                        done.append(open_)
+                    open_ = [video, part, start, end, text, idx, idx]
+            if done:
+                yield out()
+                done = []
+        if open_:
+            done.append(open_)
+            yield out()
+
+    given = rows.select("video_id", island.cast("long").alias("island"), F.col("idx").cast("long"), F.col("start_ms").cast("long"), F.col("end_ms").cast("long"), "text")
+    dealt = given.repartition("video_id", "island").sortWithinPartitions("video_id", "island", "idx")
+    merged = dealt.mapInArrow(run, "video_id string, island long, start_ms long, end_ms long, text string, first_idx long, last_idx long")
+    number = F.row_number().over(Window.partitionBy("video_id").orderBy("first_idx")).cast("long")
+    return merged.select("video_id", number.alias("idx"), "start_ms", "end_ms", X.collapse(F.col("text")).alias("text"), "first_idx", "last_idx")
+
+
+def _both(one: str, two: str) -> str:
+    return f"{one.rstrip()} {two.lstrip()}"
+
+
+def _joins_v1(cur: _Row, nxt: _Row) -> bool:
+    """A short text that is no sentence, and what follows soon."""
+    text, more = cur[2].strip(), nxt[2].strip()
+    short = len(text.split()) <= 3 or len(text) <= 24
+    return bool(text and more) and short and not X.stops(text) and nxt[0] - cur[1] <= 1500 and len(_both(cur[2], nxt[2])) <= 140
+
+
+def _joins_v2(cur: _Row, nxt: _Row) -> bool:
+    """A text that is no sentence and something that belongs to it, within the limits of a caption."""
+    text, more, both = cur[2].strip(), nxt[2].strip(), _both(cur[2], nxt[2])
+    if not text or not more or X.stops(text) or nxt[0] - cur[1] > R.FORCED_GAP_MS:
+        return False
+    if nxt[1] - cur[0] > R.MAX_MS or len(both) > R.MAX_CHARS or len(both.split()) > R.MAX_WORDS:
+        return False
+    return len(more.split()) <= 2 or X.goes_on(more) or X.unfinished(text)
 
 
-def _sql_list(words: list[str]) -> str:
-    return ", ".join(f"'{w}'" for w in words)
+def _joins_sentence(cur: _Row, nxt: _Row) -> bool:
+    """Anything, up to a sentence end or a limit."""
+    return not X.stops(cur[2]) and cur[1] - cur[0] < R.MAX_MS and len(cur[2]) < R.MAX_CHARS
 
 
 def merge_incomplete(captions: DataFrame, rules: str = "v2", ranges: bool = False) -> DataFrame:
@@ -193,29 +241,16 @@ def merge_incomplete(captions: DataFrame, rules: str = "v2", ranges: bool = Fals
     """
     done = F.coalesce(F.lag(X.ends_sentence(F.col("text"))).over(by_video()), F.lit(False))
     island = F.sum(F.when(done, 1).otherwise(0)).over(by_video())
-    both, cur, nxt = "concat(rtrim(cur.text), ' ', ltrim(nxt.text))", "trim(cur.text)", "trim(nxt.text)"
-    open_ = f"{cur} <> '' and {nxt} <> '' and not {cur} rlike '[.!?][\"\\')\\\\]]*$'"
-    words = lambda t: f"size(filter(split({t}, '\\\\s+'), w -> w <> ''))"
-    if rules == "v1":
-        test = f"{open_} and nxt.start_ms - cur.end_ms <= 1500 and length({both}) <= 140 and ({words(cur)} <= 3 or length({cur}) <= 24)"
-    else:
-        last = f"regexp_extract(lower({cur}), '([a-z\\']+)[^a-z\\']*$', 1)"
-        plain = f"array_join(regexp_extract_all(lower({cur}), '([a-z\\']+)'), ' ')"
-        weak = f"({last} <> '' and ({last} like '%ing' or {last} in ({_sql_list(R.WEAK_ENDINGS)})))"
-        clause = f"({cur} rlike '[,;:][\"\\')\\\\]]*$' and {plain} rlike '^({'|'.join(R.DEPENDENT)}) ')"
-        goes_on = f"lower(regexp_replace({nxt}, '^[^A-Za-z]+', '')) in ({_sql_list(R.CONTINUATIONS)})"
-        test = f"{open_} and nxt.start_ms - cur.end_ms <= {R.FORCED_GAP_MS} and nxt.end_ms - cur.start_ms <= {R.MAX_MS} and {words(both)} <= {R.MAX_WORDS} and length({both}) <= {R.MAX_CHARS} and ({weak} or {clause} or {goes_on} or {words(nxt)} <= 2)"
-    folded = _fold(captions.withColumn("idx", F.col("idx").cast("long")), island, test)
+    folded = _fold(captions, island, {"v1": _joins_v1, "v2": _joins_v2}[rules])
     return folded if ranges else folded.drop("first_idx", "last_idx")
 
 
 def merge_sentences(segments: DataFrame) -> DataFrame:
     """Recogniser segments joined up to a sentence end, 12 s or 160 characters, then overlong ones split."""
-    rows = segments.where(F.trim("text") != "").withColumn("text", F.trim("text"))
+    rows = segments.where(~X.is_blank(F.col("text"))).withColumn("text", X.stripped(F.col("text")))
     done = F.coalesce(F.lag(X.ends_sentence(F.col("text"))).over(by_video()), F.lit(False))
     island = F.sum(F.when(done, 1).otherwise(0)).over(by_video())
-    goes_on = f"not (cur.text rlike '[.!?][\"\\')\\\\]]*$' or cur.end_ms - cur.start_ms >= {R.MAX_MS} or length(cur.text) >= {R.MAX_CHARS})"
-    return split_overlong(_fold(rows.withColumn("idx", F.col("idx").cast("long")), island, goes_on).drop("first_idx", "last_idx"))
+    return split_overlong(_fold(rows, island, _joins_sentence).drop("first_idx", "last_idx"))
 
 
 def split_overlong(captions: DataFrame) -> DataFrame:

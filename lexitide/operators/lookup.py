@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable, Iterator
+from functools import partial
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Phrases of more bytes than this do not travel to every task.
+SHIPPED_BYTES = 16 << 20
+_TERM = re.compile(r"[A-Za-z][A-Za-z'\-]*")
+
 # Forms that have a base form of their own: form, base form, what the form is.
 IRREGULAR = [
     ("am", "be", "第一人称单数"),
@@ -168,18 +177,73 @@ def lookup_phrases(terms: DataFrame, phrases: DataFrame, dictionary: DataFrame)
     return rows.select("term", F.coalesce("p", "d", F.lit(NO_PHRASE)).alias("meaning"))
 
 
-def annotate_terms(captions: DataFrame, phrases: DataFrame) -> DataFrame:
+def annotate_terms(captions: DataFrame, phrases: DataFrame, shipped: int = SHIPPED_BYTES) -> DataFrame:
     """Spans of phrases (longest first, then leftmost, none over another) and of the words that are left.
 
-    Columns ``video_id, idx, start, end, term, kind``. Words meet phrases by the phrase's first word, whatever the
-    phrase's length; only where that word occurs the whole phrase is compared with the text that follows. So neither
-    all word sequences are built nor does the work grow with captions times phrases.
+    Columns ``video_id, idx, start, end, term, kind``. A phrase begins with a word and counts between word boundaries. All
+    phrases are found in one pass over a text by an automaton, which every task has while the phrases together have at most
+    ``shipped`` bytes. Above that words meet phrases by the phrase's first word, and only where that word occurs the whole
+    phrase is compared with the text that follows.
     """
+    known = phrases.select("phrase").where("phrase rlike '^\\\\w'").distinct()
+    if known.agg(F.coalesce(F.sum(F.octet_length("phrase")), F.lit(0))).first()[0] > shipped:
+        return _annotated_by_join(captions, known)
+    listed = captions.sparkSession.sparkContext.broadcast(sorted(r.phrase for r in known.collect()))
+    rows = captions.select("video_id", "idx", "english_text", _folded(F.col("english_text")).alias("lower"))
+    return rows.mapInArrow(partial(_annotated, listed), "video_id string, idx long, start int, end int, term string, kind string")
+
+
+def _folded(text: Column) -> Column:
+    return F.regexp_replace(F.lower(text), "[‘’‛′]", "'")
+
+
+def _word(c: str) -> bool:
+    return c.isascii() and (c.isalnum() or c == "_")
+
+
+def _spans(found: Iterable[tuple[int, str]], text: str, lower: str) -> Iterator[tuple[int, int, str, str]]:
+    """Spans of a text, of the phrases that end at these places: those on boundaries, long ones before short ones, then words."""
+    good = []
+    for last, phrase in found:
+        start, end = last + 1 - len(phrase), last + 1
+        if not (start and _word(lower[start - 1])) and (end < len(lower) and _word(lower[end])) != _word(phrase[-1]):
+            good.append((start - end, start, end, phrase))
+    used = bytearray(max(len(text), len(lower)))
+    for _, start, end, phrase in sorted(good):
+        if not any(used[start:end]):
+            used[start:end] = b"\1" * (end - start)
+            yield start, end, phrase, "phrase"
+    for m in _TERM.finditer(text):
+        if not any(used[m.start() : m.end()]):
+            yield m.start(), m.end(), m[0], "word"
+
+
+def _annotated(listed, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import ahocorasick
+
+    automaton = ahocorasick.Automaton()
+    for phrase in listed.value:
+        automaton.add_word(phrase, phrase)
+    automaton.make_automaton()
+    kinds = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string()]
+    names = ["video_id", "idx", "start", "end", "term", "kind"]
+    for batch in batches:
+        out: list[tuple] = []
+        for video, idx, text, lower in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            if text:
+                out += [(video, idx, *x) for x in _spans(automaton.iter(lower) if listed.value else (), text, lower)]
+            if len(out) > 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
+
+
+def _annotated_by_join(captions: DataFrame, phrases: DataFrame) -> DataFrame:
     # word characters between boundaries; joined again they are the text
     cut = lambda c: F.split(c, r"(?<=\w)(?!\w)|(?<!\w)(?=\w)")
-    lower = F.regexp_replace(F.lower("english_text"), "[‘’‛′]", "'")
-    rows = captions.select("video_id", "idx", "english_text", cut(lower).alias("m"))
-    known = phrases.select("phrase").where("phrase rlike '^\\\\w'").distinct().withColumn("w", F.filter(cut(F.col("phrase")), lambda t: t != ""))
+    rows = captions.select("video_id", "idx", "english_text", cut(_folded(F.col("english_text"))).alias("m"))
+    known = phrases.withColumn("w", F.filter(cut(F.col("phrase")), lambda t: t != ""))
     known = known.select("phrase", F.get("w", F.lit(0)).alias("t"), F.size("w").alias("n"))
     tokens = rows.select("video_id", "idx", F.posexplode("m").alias("k", "t")).where(F.col("t").rlike(r"^\w"))
     tried = tokens.join(known, "t").groupBy("video_id", "idx").agg(F.collect_list(F.struct("k", "n", "phrase")).alias("tried"))  # a caption's words times phrases of one first word
@@ -191,9 +255,11 @@ def annotate_terms(captions: DataFrame, phrases: DataFrame) -> DataFrame:
     taken = taken.withColumn("spans", spans).select("video_id", "idx", "english_text", kept.alias("kept"))
     pieces = F.split(F.col("english_text"), r"(?<![A-Za-z'\-])(?=[A-Za-z])|(?<=[A-Za-z'\-])(?![A-Za-z'\-])")
     place = F.expr("aggregate(m, cast(array() as array<struct<t: string, s: int>>), (a, x) -> array_append(a, struct(x as t, if(size(a) = 0, 0, element_at(a, -1).s + length(element_at(a, -1).t)) as s)))")
-    singles = taken.withColumn("m", pieces).withColumn("m", place).withColumn("x", F.explode("m")).where(F.col("x.t").rlike("^[A-Za-z]"))
-    free = F.coalesce(~F.exists("kept", lambda y: (y.start < F.col("x.s") + F.length("x.t")) & (F.col("x.s") < y.end)), F.lit(True))
-    one = singles.where(free).select("video_id", "idx", F.col("x.s").alias("start"), (F.col("x.s") + F.length("x.t")).alias("end"), F.col("x.t").alias("term"), F.lit("word").alias("kind"))
+    singles = taken.withColumn("m", pieces).withColumn("m", place).withColumn("x", F.explode("m"))
+    singles = singles.withColumn("term", F.regexp_extract("x.t", r"([A-Za-z][A-Za-z'\-]*)$", 1)).where("term <> ''")  # marks may stand before it
+    singles = singles.withColumn("end", F.col("x.s") + F.length("x.t")).withColumn("start", F.col("end") - F.length("term"))
+    free = F.coalesce(~F.exists("kept", lambda y: (y.start < F.col("end")) & (F.col("start") < y.end)), F.lit(True))
+    one = singles.where(free).select("video_id", "idx", "start", "end", "term", F.lit("word").alias("kind"))
     many = taken.select("video_id", "idx", F.explode("kept").alias("y")).select("video_id", "idx", "y.start", "y.end", F.col("y.phrase").alias("term"), F.lit("phrase").alias("kind"))
     return many.unionByName(one)
 

@@ -312,82 +312,117 @@ def cost_report(decisions: DataFrame) -> DataFrame:
     return decisions.select(F.explode(parts).alias("part", "value")).where("value <> 0").groupBy("part").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
-def _greedy(simple: bool):
-    """Ordered fold over the words of an island (up to a sentence end): cut when limits are passed or a break is due."""
-    sentence, soft = re.compile(X.ENDS_SENTENCE), re.compile(X.ENDS_SOFTLY)
-
-    text_of = lambda words: X.tidied(w[4] for w in words)
-
-    def unfinished(t: str) -> bool:
-        found = re.findall(X.WORD, t.lower())
-        weak = bool(found) and (found[-1].endswith("ing") or found[-1] in R.WEAK_ENDINGS)
-        return weak or bool(soft.search(t)) and (" ".join(found) + " ").startswith(tuple(d + " " for d in R.DEPENDENT))
+# Thousandths that a cut gains or loses by what holds of it, besides one for each ms that it is off the aim.
+CUT_VALUES = {
+    "left part is unfinished": -30_000,
+    "right part continues": -18_000,
+    "two words or fewer are left": -6_000,
+    "sentence ends": 24_000,
+    "clause ends": 10_000,
+    "forced silence": 14_000,
+    "break": 8_000,
+    "soft silence": 3_000,
+    "clause begins": 3_000,
+    "left part is long": 2_000,
+    "left part is crowded": -2_000,
+}
+# A break is due after a word for which one of these holds: what it needs, least gap, least duration, least words.
+BREAKS = [("whole segment", 0, 0, 0), ("segment", R.SOFT_GAP_MS, R.TARGET_MS, 0), ("any", R.FORCED_GAP_MS, 0, 0), ("clause", 0, R.PREFERRED_MS, 0), ("clause", R.SOFT_GAP_MS, R.TARGET_MS, 0), ("any", R.BREAK_GAP_MS, R.TARGET_MS, 0), ("lead", R.SOFT_GAP_MS, R.TARGET_MS, 6)]
+V1_MS, V1_CHARS = 14_000, 180
+_ISLAND = ("video_id", "island", "idx", "start_ms", "end_ms", "text", "segment_end", "segment_complete")
+
+
+class _Island:
+    """The words of an island as arrays, and the lengths of any run of them."""
+
+    def __init__(self, rows: list[tuple]):
+        *_, idx, start, end, text, whole, complete = zip(*rows)
+        self.idx, self.text, self.n = idx, text, len(rows)
+        self.start, self.end = np.array(start, np.int64), np.array(end, np.int64)
+        self.gap = np.append(self.start[1:] - self.end[:-1], 0)
+        self.stops, self.clause = (np.array([f(t) for t in text], bool) for f in (X.stops, X.pauses))
+        leads = [X.bare(t) for t in text]
+        self.goes_on, self.opens, self.scored = (np.array([w in known for w in leads], bool) for known in (R.CONTINUATIONS, R.CLAUSE_BREAKS, R.CLAUSE_SCORES))
+        self.needs = {"any": np.ones(self.n, bool), "whole segment": np.array(complete, bool), "segment": np.array(whole, bool), "clause": self.clause, "lead": np.append(self.opens[1:], False)}
+        self.chars = np.concatenate(([0], np.cumsum([len(t) + 1 for t in text])))
+        self.odd = np.concatenate(([0], np.cumsum([bool(_REPAIR.search(" " + t + " ")) or t != t.strip() for t in text])))
+
+    def string(self, a: int, b: int) -> str:
+        return X.tidied(self.text[a:b])
+
+    def length(self, a: int, b: int) -> int:
+        return int(self.chars[b] - self.chars[a]) - 1 if self.odd[a] == self.odd[b] else len(self.string(a, b))
+
+    def full(self, a: int, b: int) -> bool:
+        return self.end[b - 1] - self.start[a] > R.MAX_MS or b - a > R.MAX_WORDS or self.length(a, b) > R.MAX_CHARS
+
+    def due(self, a: int, b: int) -> bool:
+        """Whether words a to b - 1 should end here, where a word follows."""
+        lasts, gap = self.end[b - 1] - self.start[a], self.gap[b - 1]
+        if lasts < R.MIN_MS or b - a < 3 or self.goes_on[b]:
+            return False
+        met = any(self.needs[what][b - 1] and gap >= g and lasts >= d and b - a >= n for what, g, d, n in BREAKS)
+        return met and not X.unfinished(self.string(a, b))
+
+    def best(self, a: int, b: int) -> int:
+        """Where words a to b - 1, which are too many, are best cut: the first of the places of highest value."""
+        k = np.arange(a + 3, b)
+        k = k[self.end[k - 1] - self.start[a] >= R.MIN_MS]
+        if b - a < 4 or not len(k):
+            return b - 1
+        lasts, gap = self.end[k - 1] - self.start[a], self.gap[k - 1]
+        sizes = np.array([self.length(a, j) for j in k.tolist()])
+        held = {
+            "left part is unfinished": np.array([X.unfinished(self.string(a, j)) for j in k.tolist()]),
+            "right part continues": self.goes_on[k],
+            "two words or fewer are left": b - k <= 2,
+            "sentence ends": self.stops[k - 1],
+            "clause ends": self.clause[k - 1] & ~self.stops[k - 1],
+            "forced silence": gap >= R.FORCED_GAP_MS,
+            "break": (gap >= R.BREAK_GAP_MS) & (gap < R.FORCED_GAP_MS),
+            "soft silence": (gap >= R.SOFT_GAP_MS) & (gap < R.BREAK_GAP_MS),
+            "clause begins": self.scored[k],
+            "left part is long": lasts > R.PREFERRED_MS,
+            "left part is crowded": (k - a > R.PREFERRED_WORDS) | (sizes > R.PREFERRED_CHARS),
+        }
+        return int(k[np.argmax(sum(value * held[what] for what, value in CUT_VALUES.items()) - np.abs(lasts - R.TARGET_MS))])
+
+    def cuts(self, simple: bool) -> Iterator[tuple[int, int]]:
+        """Runs of words; ``simple``: up to a sentence end or one of two limits."""
+        a = 0
+        for b in range(1, self.n + 1):
+            if simple:
+                ends = b == self.n or self.stops[b - 1] or self.end[b - 1] - self.start[a] >= V1_MS or self.length(a, b) >= V1_CHARS
+            else:
+                while b - a > 1 and self.full(a, b):
+                    k = self.best(a, b)
+                    yield a, k
+                    a = k
+                ends = b == self.n or self.stops[b - 1] or self.due(a, b)
+            if ends:
+                yield a, b
+                a = b
 
-    lead = lambda w: re.sub("^[^A-Za-z]+", "", w[4]).lower()
-    span = lambda words: words[-1][3] - words[0][2]
 
-    def breaks(words: list, nxt: tuple) -> bool:
-        d, gap = span(words), nxt[2] - words[-1][3]
-        if d < R.MIN_MS or len(words) < 3 or unfinished(text_of(words)) or lead(nxt) in R.CONTINUATIONS:
-            return False
-        long_pause = d >= R.TARGET_MS and gap >= R.SOFT_GAP_MS
-        if words[-1][6] or words[-1][5] and long_pause or gap >= R.FORCED_GAP_MS:
-            return True
-        if soft.search(words[-1][4].strip()):
-            return d >= R.PREFERRED_MS or long_pause
-        return gap >= R.BREAK_GAP_MS and d >= R.TARGET_MS or lead(nxt) in R.CLAUSE_BREAKS and len(words) >= 6 and long_pause
-
-    def score(words: list, at: int) -> float:
-        left, nxt = words[:at], words[at]
-        t, gap, d = text_of(left), nxt[2] - left[-1][3], span(left)
-        value = -abs(d - R.TARGET_MS) / 1000
-        value -= 30 * unfinished(t) + 18 * (lead(nxt) in R.CONTINUATIONS) + 6 * (len(words) - at <= 2)
-        value += 24 if sentence.search(left[-1][4].strip()) else 10 if soft.search(left[-1][4].strip()) else 0
-        value += 14 if gap >= R.FORCED_GAP_MS else 8 if gap >= R.BREAK_GAP_MS else 3 if gap >= R.SOFT_GAP_MS else 0
-        value += 3 * (lead(nxt) in R.CLAUSE_SCORES) + 2 * (d > R.PREFERRED_MS)
-        return value - 2 * (len(left) > R.PREFERRED_WORDS or len(t) > R.PREFERRED_CHARS)
-
-    def full(words: list) -> bool:
-        return span(words) > R.MAX_MS or len(words) > R.MAX_WORDS or len(text_of(words)) > R.MAX_CHARS
-
-    def place(words: list) -> int:
-        if len(words) < 4:
-            return len(words) - 1
-        tried = [k for k in range(3, len(words)) if span(words[:k]) >= R.MIN_MS]
-        return max(tried, key=lambda k: score(words, k)) if tried else len(words) - 1  # the first of equal ones
+def _greedy(simple: bool):
+    """Cuts of islands, whose rows come one after another in order."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["video_id", "idx", "start_ms", "end_ms", "text", "segment_end", "segment_complete", "island"]
         held: list[tuple] = []
-        waiting: tuple | None = None
+
+        def cut() -> list[tuple]:
+            island = _Island(held) if held else None
+            return [(held[0][0], island.idx[a], island.idx[b - 1] + 1) for a, b in island.cuts(simple)] if held else []
+
         for frame in frames:
             out: list[tuple] = []
-            for row in zip(*(frame[c].tolist() for c in columns)):
-                if waiting is not None:
-                    held = _take(held, waiting, row if (row[0], row[7]) == (waiting[0], waiting[7]) else None, out)
-                waiting = row
+            for row in zip(*(frame[c].tolist() for c in _ISLAND)):
+                if held and row[:2] != held[0][:2]:
+                    out += cut()
+                    held = []
+                held.append(row)
             yield pd.DataFrame(out, columns=["video_id", "word_start", "word_end"])
-        out = []
-        if waiting is not None:
-            _take(held, waiting, None, out)
-        yield pd.DataFrame(out, columns=["video_id", "word_start", "word_end"])
-
-    def _take(held: list, word: tuple, nxt: tuple | None, out: list) -> list:
-        cut = lambda words: out.append((words[0][0], words[0][1], words[-1][1] + 1))
-        held = [*held, word]
-        if simple:
-            if sentence.search(text_of(held)) or span(held) >= 14_000 or len(text_of(held)) >= 180 or nxt is None:
-                cut(held)
-                return []
-            return held
-        while len(held) > 1 and full(held):
-            k = place(held)
-            cut(held[:k])
-            held = held[k:]
-        if nxt is None or sentence.search(word[4].strip()) or breaks(held, nxt):
-            cut(held)
-            return []
-        return held
+        yield pd.DataFrame(cut(), columns=["video_id", "word_start", "word_end"])
 
     return run
 
@@ -478,3 +513,51 @@ def map_char_scores(words: DataFrame, scores: DataFrame) -> DataFrame:
     met = rows.join(scores, ["video_id", "chunk_id", "position"], "left")
     value = F.when(F.isnan("score"), 0.0).otherwise(F.col("score"))
     return met.select("video_id", "chunk_id", "idx", F.when(F.col("position").isNull(), F.lit(None).cast("double")).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(value, F.lit(0.0))))).alias("boundary_probability"))
+
+
+def chunk_texts(chunks: DataFrame) -> DataFrame:
+    """``video_id, chunk_id, text``: the words of each chunk, joined by one space, as models see them."""
+    ordered = F.array_sort(F.collect_list(F.struct("idx", "text")))
+    return chunks.groupBy("video_id", "chunk_id").agg(ordered.alias("w")).select("video_id", "chunk_id", F.array_join(F.transform("w", lambda x: x.text), " ").alias("text"))
+
+
+def locate_words(words: DataFrame, places: DataFrame) -> DataFrame:
+    """Adds ``word`` to ``places`` (``video_id, chunk_id, position``): the number of the word that a character lies in.
+
+    ``words``: ``video_id, chunk_id, idx, text``. The starts of words and the places are merged in order of position, so
+    each place takes the word that begins last before it, and has none (null) if it lies in the space after that word. The
+    end of the text belongs to the last word.
+    """
+    own = Window.partitionBy("video_id", "chunk_id")
+    begin = F.coalesce(F.sum(F.length("text") + 1).over(own.orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
+    last = F.col("idx") == F.max("idx").over(own)
+    starts = words.select("video_id", "chunk_id", begin.alias("position"), "idx", (begin + F.length("text") + F.when(last, 1).otherwise(0)).alias("end")).withColumn("place", F.lit(None).cast("string"))
+    # A place may come more than once, and with other columns: it travels as it is.
+    asked = places.select("video_id", "chunk_id", "position", F.lit(None).cast("long").alias("idx"), F.lit(None).cast("long").alias("end"), F.struct(*places.columns).alias("row")).where("position is not null")
+    both = starts.drop("place").withColumn("row", F.lit(None).cast(asked.schema["row"].dataType)).unionByName(asked)
+    up_to = own.orderBy("position", F.col("row").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    met = both.withColumns({"word": F.last("idx", ignorenulls=True).over(up_to), "until": F.last("end", ignorenulls=True).over(up_to)}).where("row is not null")
+    return met.select("row.*", F.when(F.col("position") < F.col("until"), F.col("word")).alias("word"))
+
+
+def boundary_scores(words: DataFrame, scores: DataFrame, tags: DataFrame) -> DataFrame:
+    """``video_id, idx, boundary_probability, protected`` of the boundary before each word, from what models say of chunks.
+
+    ``words``: ``video_id, chunk_id, idx, text`` of ``analysis_chunks``; ``scores`` and ``tags``: as from ``score_boundaries`` and
+    ``tag_chunks``. A chunk whose model failed has probability 0, or no protected boundary; no boundary at the beginning of a
+    chunk has either.
+    """
+    key = F.struct("video_id", "chunk_id").alias("video_id")  # offsets and arcs are a chunk's own
+    known = map_char_scores(words, scores.where("error is null").drop("error"))
+    tokens = tags.where("token is not null").select("video_id", "chunk_id", "token", "dependency", "pos", F.col("head").alias("head_at"), F.col("start").alias("position"))
+    placed = locate_words(words, tokens).where("word is not null").drop("position")
+    arcs = locate_words(words, placed.withColumnRenamed("word", "own").withColumnRenamed("head_at", "position")).select(key, F.col("own").alias("word"), F.col("word").alias("head_word"), "dependency", F.lit("").alias("pos"))
+    last = placed.groupBy("video_id", "chunk_id", "word").agg(F.max_by("pos", "token").alias("pos"))  # a word's last token speaks for it
+    tagged = words.select("video_id", "chunk_id", F.col("idx").alias("word")).join(last, ["video_id", "chunk_id", "word"], "left").select(key, "word", F.lit(None).cast("long").alias("head_word"), F.lit("").alias("dependency"), F.coalesce("pos", F.lit("")).alias("pos"))
+    spans = tags.where("token is null and error is null").select(key, F.col("start").alias("start_char"), F.col("end").alias("end_char"))
+    before = F.sum(F.length("text") + 1).over(Window.partitionBy("video_id", "chunk_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)) - 1
+    ends = words.withColumn("char_end", before.cast("long")).where("char_end is not null").select(key, "idx", "char_end")
+    by_span, by_arc, by_pair = (protect_boundaries(ends, t, s).where("protected") for t, s in ((tagged.limit(0), spans), (arcs, spans.limit(0)), (tagged, spans.limit(0))))
+    hit = by_span.unionByName(by_arc).unionByName(by_pair).select("video_id.video_id", "idx").distinct().withColumn("protected", F.lit(True))
+    rows = known.select("video_id", "idx", F.coalesce("boundary_probability", F.lit(0.0)).alias("boundary_probability"))
+    return rows.join(hit, ["video_id", "idx"], "left").withColumn("protected", F.coalesce("protected", F.lit(False)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lexitide.functions import models as M
 from lexitide.functions import rules as R
 from lexitide.operators import segmentation as S
 from lexitide.plans import fixtures as X
@@ -48,6 +49,33 @@ def _char_scores(s, d):
     return S.map_char_scores(w, scores)
 
 
+POS = ("DET", "NOUN", "ADJ", "VERB", "ADP")
+
+
+def stub_characters(text):
+    return [(i * 7 % 10) / 10 for i in range(len(text))]
+
+
+def stub_tagger(text):
+    """Tags by word length, heads up to two words on, a second token in long words; spans over the end of every third word."""
+    words, starts, tokens, spans = text.split(" "), [], [], []
+    for w in words:
+        starts.append(starts[-1] + len(words[len(starts) - 1]) + 1 if starts else 0)
+    for k, (a, w) in enumerate(zip(starts, words)):
+        tokens.append((a, starts[min(k + k % 3, len(words) - 1)], "det" if len(w) % 2 == 0 else "root", POS[len(w) % 5]))
+        if len(w) > 6:
+            tokens.append((a + 3, a, "det", "NOUN"))
+        if k % 3 == 1 and k + 1 < len(words):
+            spans.append((a + 1, starts[k + 1] + 1))
+    return tokens, spans
+
+
+def _boundary_scores(s, d):
+    chunks = S.analysis_chunks(S.boundary_features(S.normalize_words(W(s, d)))).select("video_id", "chunk_id", "idx", "text")
+    texts = S.chunk_texts(chunks)
+    return S.boundary_scores(chunks, M.score_boundaries(texts, stub_characters), M.tag_chunks(texts, stub_tagger))
+
+
 def _summary(s, d):
     cuts = S.least_cost_cuts(blocks(s, d)).where("word_start >= 0")
     _, gone = S.merge_orphans(S.cut_segments(blocks(s, d), cuts))
@@ -79,6 +107,8 @@ QUERIES = {
     "win9_greedy_segments": lambda s, d: S.greedy_captions(S.normalize_words(W(s, d))),
     "win10_greedy_segments_v1": lambda s, d: S.greedy_segments(S.normalize_words(W(s, d)), "v1"),
     "pipe1_segment_corpus": lambda s, d: S.segment_corpus(W(s, d)),
+    "jn11_boundary_scores": _boundary_scores,
+    "pipe1_scored_corpus": lambda s, d: S.segment_corpus(W(s, d), _boundary_scores(s, d)),
     "agg1_materialize_segments": lambda s, d: S.materialize_segments(blocks(s, d)),
     "agg5_cost_report": _cost_report,
     "agg6_segmentation_summary": _summary,
@@ -126,3 +156,18 @@ ORACLE_SQL = {
         "ch AS (SELECT *, dense_rank() OVER (PARTITION BY video_id ORDER BY island, piece) - 1 AS chunk_id FROM i2)", "ps AS (SELECT *, sum(length(text) + 1) OVER w - 2 AS own, lag(idx) OVER w AS before FROM ch WINDOW w AS (PARTITION BY video_id, chunk_id ORDER BY idx))", "pr AS (SELECT *, lag(own) OVER (PARTITION BY video_id, chunk_id ORDER BY idx) AS position FROM ps)")
     + "SELECT video_id, chunk_id, idx, CASE WHEN position IS NULL THEN NULL WHEN position % 4 = 0 THEN 0.0 ELSE greatest(0.0, least(1.0, CAST(before % 13 - 1 AS DOUBLE) / 10)) END AS boundary_probability FROM pr",
 }
+_CHUNKED = (
+    "i1 AS (SELECT *, sum(CASE WHEN forced_silence THEN 1 ELSE 0 END) OVER (PARTITION BY video_id ORDER BY idx) AS island FROM bd)",
+    "i2 AS (SELECT *, (row_number() OVER (PARTITION BY video_id, island ORDER BY idx) - 1) // 180 AS piece FROM i1)",
+    "ch AS (SELECT *, dense_rank() OVER (PARTITION BY video_id ORDER BY island, piece) - 1 AS chunk_id FROM i2)",
+)
+ORACLE_SQL["jn11_boundary_scores"] = (
+    _with(
+        *_CHUNKED,
+        """t AS (SELECT video_id, chunk_id, idx, row_number() OVER w - 1 AS k, count(*) OVER (PARTITION BY video_id, chunk_id) AS n, length(text) AS size, sum(length(text) + 1) OVER w - 2 AS last,
+            CASE WHEN length(text) > 6 THEN 'NOUN' ELSE ['DET', 'NOUN', 'ADJ', 'VERB', 'ADP'][CAST(length(text) % 5 AS INTEGER) + 1] END AS pos FROM ch WINDOW w AS (PARTITION BY video_id, chunk_id ORDER BY idx))""",
+        "u AS (SELECT *, lag(last) OVER w AS place, lag(size) OVER w AS size1, lag(size, 2) OVER w AS size2, lag(pos) OVER w || ' ' || pos AS pair FROM t WINDOW w AS (PARTITION BY video_id, chunk_id ORDER BY k))",
+    )
+    + f"""SELECT video_id, idx, CASE WHEN k = 0 THEN 0.0 ELSE CAST(place * 7 % 10 AS DOUBLE) / 10 END AS boundary_probability,
+        k > 0 AND ((k - 1) % 3 = 1 AND size1 > 1 OR (k - 1) % 3 >= 1 AND size1 % 2 = 0 OR coalesce(k >= 2 AND (k - 2) % 3 = 2 AND size2 % 2 = 0, false) OR pair IN {_IN([" ".join(p) for p in R.PROTECTED_PAIRS])}) AS protected FROM u"""
+)

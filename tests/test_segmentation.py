@@ -152,7 +152,8 @@ def test_videos_that_break_the_limits_fall_back(spark):
     assert out[0].text == "We walk up the hill." and own[0].text[0] == "W" and out[0].start_ms == 0 and out[0].end_ms > 4 * 350 + 280
 
 
-def test_phrases_of_any_length_are_found(spark):
+@pytest.mark.parametrize("shipped", [1 << 20, 0], ids=["automaton", "join"])
+def test_phrases_of_any_length_are_found(spark, shipped):
     import re
 
     from lexitide.operators.lookup import annotate_terms
@@ -162,17 +163,18 @@ def test_phrases_of_any_length_are_found(spark):
     import random
 
     rng = random.Random(3)
-    rows = [("v", k, " ".join(rng.choice([*pool, *phrases]) for _ in range(12))) for k in range(40)] + [("v", 90, ""), ("v", 91, None)]
+    rows = [("v", k, " ".join(rng.choice([*pool, *phrases]) for _ in range(12))) for k in range(40)] + [("v", 90, ""), ("v", 91, None), ("v", 92, "He said 'in time' --'tis so-far, x-ray's-1 In Time_ in time"), ("v", 93, "日本 so far語 so far")]
     want = set()
     for v, k, text in rows:
         low = re.sub("[‘’‛′]", "'", (text or "").lower())
-        spans = sorted((-len(p), m.start(), m.start() + len(p), p) for p in phrases for m in re.finditer(rf"(?<!\w)(?={re.escape(p)}(?!\w))", low))
+        spans = sorted((-len(p), m.start(), m.start() + len(p), p) for p in phrases for m in re.finditer(rf"(?a)(?<!\w)(?={re.escape(p)}(?!\w))", low))
         kept = []
         for _, a, b, p in spans:
             if not any(x < b and a < y for x, y, _ in kept):
                 kept.append((a, b, p))
-        want |= {(v, k, a, b, p, "phrase") for a, b, p in kept}
-    got = annotate_terms(spark.createDataFrame(rows, "video_id string, idx long, english_text string"), spark.createDataFrame([(p,) for p in phrases], "phrase string")).where("kind = 'phrase'")
+        words = [(m.start(), m.end(), m[0], "word") for m in re.finditer("[A-Za-z][A-Za-z'-]*", text or "")]
+        want |= {(v, k, a, b, p, "phrase") for a, b, p in kept} | {(v, k, *w) for w in words if not any(x < w[1] and w[0] < y for x, y, _ in kept)}
+    got = annotate_terms(spark.createDataFrame(rows, "video_id string, idx long, english_text string"), spark.createDataFrame([(p,) for p in phrases], "phrase string"), shipped)
     got = {tuple(r) for r in got.collect()}
     assert got == want and len(want) > 60, (sorted(got - want)[:5], sorted(want - got)[:5])
 
