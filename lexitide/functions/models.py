@@ -42,7 +42,7 @@ def translate(captions: DataFrame, model: Callable[[list[str]], list[str]], batc
     unlike = prepared.select("prepared").distinct().mapInPandas(run, "prepared string, chinese_text string")
     translated = prepared.drop("chinese_text").join(unlike, "prepared", "left").withColumn("__none", F.col("chinese_text").isNull())
     polished = polish_translations(translated, style=style)
-    return polished.withColumn("chinese_text", F.when(~F.col("__none"), F.col("chinese_text"))).drop("prepared", "__none")
+    return polished.withColumn("chinese_text", F.when(F.col("__none"), "").otherwise(F.col("chinese_text"))).drop("prepared", "__none")
 
 
 def transcribe(audio: DataFrame, model: Callable[[bytes], list[dict]]) -> DataFrame:

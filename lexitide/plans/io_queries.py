@@ -69,7 +69,7 @@ def src7_save_artifacts(s, d):
     path = S.scratch(s)
     docs = X.table(s, d, "documents").select(F.concat(F.lit("h"), (F.col("doc_id") % 4).cast("string")).alias("audio_hash"), "doc_id")
     S.save_artifacts({"words.json": docs}, path)
-    return s.read.parquet(f"{path}/words").groupBy("audio_hash").agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"))
+    return S.artifact_table(s, path, "words.json", docs.schema).read().groupBy("audio_hash").agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"))
 
 
 def src8_read_tasks(s, d):

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from urllib.parse import quote
 
+import pyarrow as pa
+from pyarrow.fs import FileSystem, LocalFileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,6 +29,8 @@ JOB_FILE = "job_id string, audio_hash string, mode string, force boolean, status
 UPLOAD_FILE = "upload_id string, audio_hash string, total_bytes long, offset long, mime_type string, extension string, video_title string, complete boolean, created_at double, updated_at double"
 # Task states; any other is read as queued.
 STATES = ("queued", "running", "paused", "canceled", "done", "failed")
+ALGORITHM = "least-cost-cut"
+CHUNK_BYTES = 8 << 20
 ARTIFACT = re.compile(r"[A-Za-z0-9._-]+\.json")
 
 
@@ -136,11 +143,37 @@ def load_captions(spark: SparkSession, path: str, videos: list[str] | None = Non
 
 
 def save_artifacts(tables: dict[str, DataFrame], path: str) -> None:
-    """Diagnostic tables by name (``words.json`` and the like), each partitioned by ``audio_hash``."""
+    """Diagnostic tables by name (``words.json`` and the like); what a table has of an ``audio_hash`` replaces what there was."""
     for name, df in tables.items():
-        if not ARTIFACT.fullmatch(name):
-            raise ValueError(f"unsafe artifact name: {name}")
-        df.write.partitionBy("audio_hash").mode("overwrite").parquet(f"{path}/{name.removesuffix('.json')}")
+        artifact_table(df.sparkSession, path, name, df.schema).commit(df)
+
+
+def artifact_table(spark: SparkSession, path: str, name: str, schema: T.StructType | str) -> VersionedTable:
+    if not ARTIFACT.fullmatch(name):
+        raise ValueError(f"unsafe artifact name: {name}")
+    return VersionedTable(spark, f"{path}/{name.removesuffix('.json')}", schema, "audio_hash", newest_commit("audio_hash"))
+
+
+def run_artifacts(words: DataFrame, segments: DataFrame, scores: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The five tables that a run leaves: recognised words and segments, the captions of both cuts, and how the cut went.
+
+    ``words`` and ``segments`` have ``video_id``, and ``scores`` what models say of boundaries. ``audio_hash`` is that of the video.
+    """
+    from lexitide.operators import segmentation as G
+
+    named = lambda df: df.select(F.sha2("video_id", 256).alias("audio_hash"), "*")
+    clean = G.normalize_words(words)
+    legacy = G.greedy_captions(clean).withColumn("text", X.corrected(F.col("text")))
+    cut = G.segment_corpus(words, scores)
+    debug = cut.groupBy("video_id").agg(F.bool_or("used_fallback").alias("used_fallback"), F.max("error").alias("error"), F.count("*").alias("captions")).withColumn("algorithm", F.lit(ALGORITHM))
+    # The names of the artifacts.
+    return {
+        "whisper_segments.json": named(segments),
+        "whisper_words.json": named(words),
+        "english.legacy.json": named(legacy),
+        "english.semantic-preview.json": named(cut.where("not used_fallback").drop("used_fallback", "error")),
+        "segmentation_debug.json": named(debug),
+    }
 
 
 def read_tasks(spark: SparkSession, path: str) -> DataFrame:
@@ -182,11 +215,48 @@ def hash_inventory(spark: SparkSession, path: str) -> DataFrame:
     """One row for each distinct content of the files in a folder: hash, size, smallest path, extension and number of copies."""
     # Extensions kept as they are; others are bin.
     known = ("wav", "mp3", "m4a", "aac", "ogg", "flac", "mp4", "webm")
-    files = spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("audio_hash"))
+    files = _hashed(spark, path)
     end = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
     return files.groupBy("audio_hash").agg(F.min("length").alias("total_bytes"), F.min("path").alias("path"), F.count("*").alias("copies"), F.min(F.when(end.isin(*known), end).otherwise("bin")).alias("extension"))
 
 
+def _place(path: str) -> tuple[FileSystem, str]:
+    """A file system for Python and the file's name there, of an address as Spark lists it."""
+    if path.startswith("file:/"):
+        return LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    return FileSystem.from_uri(quote(path, safe=":/@"))
+
+
+def _hash_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        hashes = []
+        for path in batch.column(0).to_pylist():
+            system, name = _place(path)
+            digest = hashlib.sha256()
+            with system.open_input_stream(name) as stream:
+                while chunk := stream.read(CHUNK_BYTES):
+                    digest.update(chunk)
+            hashes.append(digest.hexdigest())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hashes, pa.string())], names=["path", "length", "audio_hash"])
+
+
+def _hashed(spark: SparkSession, path: str) -> DataFrame:
+    """``path, length, audio_hash`` of files of any size: Spark lists them, and tasks read them ``CHUNK_BYTES`` at a time.
+
+    Where only Spark knows how to open the address, contents come as cells, which hold 2 GB at most.
+    """
+    files = spark.read.format("binaryFile").load(path)
+    first = files.select("path").first()
+    if first is None:
+        return files.select("path", "length", F.lit("").alias("audio_hash"))
+    try:
+        _place(first.path)
+    except (pa.ArrowInvalid, OSError):
+        return files.select("path", "length", F.sha2("content", 256).alias("audio_hash"))
+    names = files.select("path", "length")  # contents are not read here
+    return names.repartition(F.xxhash64("path")).mapInArrow(_hash_chunks, "path string, length long, audio_hash string")
+
+
 def publish_captions(new: DataFrame, path: str) -> DataFrame:
     """Replace the captions of videos whose every row has a translation; others keep what they have.
 
