@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -209,14 +210,13 @@ def _costs_by_length(block: np.ndarray, start: np.ndarray, end: np.ndarray, text
 _NONE = 1 << 60
 
 
-def _cut_blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Least-cost path of each block from its words, sorted; of equal paths the one whose last segment begins first."""
-    columns = ["video_id", "block_id", "word_start", "word_end", "cost"]
-    kinds = {"video_id": str, "block_id": np.int64, "word_start": np.int64, "word_end": np.int64, "cost": np.int64}
+def _cut_blocks(frames: Iterator[pd.DataFrame], captions: bool = False) -> Iterator[pd.DataFrame]:
+    """Least-cost path of each block from its words, sorted; of equal paths the one whose last segment begins first.
+
+    With ``captions`` a cut has its times, text and probabilities (their sum and number) too, as its words are at hand.
+    """
 
     def cut(rows: pd.DataFrame) -> pd.DataFrame:
-        if not len(rows):
-            return pd.DataFrame({c: pd.Series([], dtype=kinds[c]) for c in columns})
         key = (rows.video_id.ne(rows.video_id.shift()) | rows.block_id.ne(rows.block_id.shift())).cumsum().to_numpy()
         start, end, edge, idx = (rows[c].to_numpy(np.int64) for c in ("start_ms", "end_ms", "edge", "idx"))
         costs = np.ascontiguousarray(_costs_by_length(key, start, end, rows.text.tolist(), edge).T[:, ::-1])  # by first word
@@ -237,10 +237,19 @@ def _cut_blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 continue
             j = e
             while j >= opens[e]:
-                out.append((e, int(idx[back[j]]), int(idx[j]) + 1, int(costs[j, R.MAX_WORDS - 1 - j + back[j]])))
+                out.append((j, int(back[j]), int(idx[j]) + 1, int(costs[j, R.MAX_WORDS - 1 - j + back[j]])))
                 j = int(back[j]) - 1
-        at = [x[0] for x in out]
-        return pd.DataFrame({"video_id": rows.video_id.to_numpy()[at], "block_id": rows.block_id.to_numpy()[at], "word_start": [x[1] for x in out], "word_end": [x[2] for x in out], "cost": [x[3] for x in out]})
+        at, first, until, cost = (np.array(c, np.int64) for c in zip(*out))
+        found = pd.DataFrame({"video_id": rows.video_id.to_numpy()[at], "block_id": rows.block_id.to_numpy()[at], "word_start": np.where(first < 0, -1, idx[first]), "word_end": until, "cost": cost})
+        if not captions:
+            return found
+        text, odd = rows.text.tolist(), np.concatenate(([0], np.cumsum([bool(_REPAIR.search(" " + t)) for t in rows.text])))
+        known, p = rows.probability.notna().to_numpy(), rows.probability.fillna(0.0).tolist()
+        known = np.concatenate(([0], np.cumsum(known)))
+        runs = [(max(a, 0), b + 1) for a, b in zip(first.tolist(), at.tolist())]
+        begin, end_ = (np.array(c) for c in zip(*runs))
+        said = [" ".join(text[a:b]) if odd[a] == odd[b] else X.tidied(text[a:b]) for a, b in runs]
+        return found.assign(start_ms=start[begin], end_ms=end[at], text=said, p_sum=[sum(p[a:b]) for a, b in runs], p_n=known[end_] - known[begin])
 
     held: list[pd.DataFrame] = []  # the block that may go on in the next frame, or whole small frames
     for frame in frames:
@@ -271,6 +280,16 @@ def least_cost_cuts(blocks: DataFrame, scores: DataFrame | None = None) -> DataF
     return dealt.mapInPandas(_cut_blocks, "video_id string, block_id long, word_start long, word_end long, cost long")
 
 
+def least_cost_captions(blocks: DataFrame, scores: DataFrame | None = None) -> DataFrame:
+    """Caption rows of the least-cost cuts, made where the cuts are: ``cut_segments`` of ``least_cost_cuts`` in one shuffle."""
+    edge = sum((F.coalesce(cost_parts()[c], F.lit(0)) for c in EDGE_PARTS), F.lit(0)).cast("long")
+    rows = _with_edges(blocks, scores).select("video_id", "block_id", "idx", "start_ms", "end_ms", "text", "probability", edge.alias("edge"))
+    dealt = rows.repartition("video_id", "block_id").sortWithinPartitions("video_id", "block_id", "idx")
+    cuts = dealt.mapInPandas(partial(_cut_blocks, captions=True), "video_id string, block_id long, word_start long, word_end long, cost long, start_ms long, end_ms long, text string, p_sum double, p_n long")
+    mean = F.when(F.col("p_n") > 0, F.round(F.col("p_sum") / F.col("p_n"), 6)).alias("probability")
+    return cuts.where("word_start >= 0").select("video_id", "word_start", "word_end", "start_ms", "end_ms", "text", mean, (F.col("word_end") - F.col("word_start")).alias("n_words"))
+
+
 def cut_segments(words: DataFrame, cuts: DataFrame) -> DataFrame:
     """Caption rows of chosen cuts. Every word lies in the last cut that begins at or before it."""
     starts = cuts.select("video_id", F.col("word_start").alias("idx"), F.col("word_start").alias("cut"))
@@ -466,8 +485,7 @@ def segment_corpus(words: DataFrame, scores: DataFrame | None = None) -> DataFra
     # a word that no candidate covers alone breaks the limits: its video falls back
     alone = blocks.where((F.col("end_ms") - F.col("start_ms") > R.MAX_MS) | (F.length("text") > R.MAX_CHARS))
     alone = alone.groupBy("video_id").agg(F.concat(F.lit("no caption within limits holds word "), F.min("idx").cast("string")).alias("error"))
-    chosen = least_cost_cuts(blocks, scores).where("word_start >= 0").join(alone, "video_id", "left_anti")
-    kept, _ = merge_orphans(cut_segments(blocks, chosen))
+    kept, _ = merge_orphans(least_cost_captions(blocks, scores).join(alone, "video_id", "left_anti"))
     plain = greedy_captions(blocks.join(alone, "video_id", "left_semi")).join(alone, "video_id")
     both = kept.withColumns({"used_fallback": F.lit(False), "error": F.lit(None).cast("string")}).unionByName(plain.withColumn("used_fallback", F.lit(True)))
     return pad_captions(both.withColumns({"text": X.corrected(F.col("text")), "idx": F.col("word_start")})).drop("idx")
