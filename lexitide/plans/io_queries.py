@@ -131,7 +131,7 @@ def _finished(writer):
     writer.trigger(availableNow=True).start().awaitTermination()
 
 
-BATCHES, FILES, LATE = 3, 4, "10 minutes"
+BATCHES, FILES, LATE = 2, 4, "10 minutes"
 HOUR_MS, YEAR_MS = 3600 * 1000, 365 * 24 * 3600 * 1000
 
 

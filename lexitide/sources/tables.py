@@ -15,7 +15,7 @@ import uuid
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 from pyspark.sql.window import Window
@@ -144,9 +144,10 @@ class VersionedTable:
     def _write(self, rows: DataFrame) -> tuple[str, int]:
         folder = f"data/{uuid.uuid4().hex}"
         # Rows of a bucket go to few tasks, but a bucket of very many rows is split.
-        dealt = rows.withColumn("_bucket", self._bucket(F.col(self.key))).hint("rebalance", "_bucket").sortWithinPartitions("_bucket", self.key)
-        dealt.write.partitionBy("_bucket").parquet(f"{self.path}/{folder}")
-        return folder, self.spark.read.schema(self.stored).parquet(f"{self.path}/{folder}").count()
+        seen = Observation()
+        dealt = rows.withColumn("_bucket", self._bucket(F.col(self.key))).hint("rebalance", "_bucket").observe(seen, F.count(F.lit(1)).alias("n"))
+        dealt.sortWithinPartitions("_bucket", self.key).write.partitionBy("_bucket").parquet(f"{self.path}/{folder}")
+        return folder, seen.get["n"]
 
     def commit(self, rows: DataFrame, batch: tuple[str, int] | None = None) -> int:
         """Adds rows as the next version, which it returns. ``batch``: stream and number of a micro-batch, taken once."""

@@ -249,7 +249,8 @@ def stream_fold(rows: DataFrame, fold: Fold, path: str, checkpoint: str, ts: str
         batch.persist()
         VersionedTable(spark, path, kept, fold.key).commit(batch.where("late is null").drop("late"), ("fold", number))
         counts = batch.where("late is not null").groupBy(fold.key, "late").agg(F.count("*").alias("n"))
-        VersionedTable(spark, f"{path}_late", lost, fold.key).commit(counts, ("fold", number))
+        if not counts.isEmpty():
+            VersionedTable(spark, f"{path}_late", lost, fold.key).commit(counts, ("fold", number))
         batch.unpersist()
 
     return folded.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
