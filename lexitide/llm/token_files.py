@@ -19,7 +19,6 @@ import uuid
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import partial
-from io import BytesIO
 from typing import BinaryIO
 
 import numpy as np
