@@ -117,7 +117,7 @@ def job_state(events: DataFrame) -> DataFrame:
 
 
 def retry_state(events: DataFrame, most: int = 5) -> DataFrame:
-    """Failures since the last success; queued again below ``most``, failed from there; progress capped at 99 on a failure."""
+    """Failures since the last success; queued again below ``most``, failed from there. The fold ``RETRIES`` has the progress, too."""
     order = F.struct("ts", "event_id")
     done = events.groupBy("user_id").agg(F.max(F.when(F.col("kind") == "done", order)).alias("d"))
     rows = events.join(done, "user_id")
