@@ -101,41 +101,66 @@ def detect_language(audio: DataFrame, model: Callable[[bytes], str], force: str
     return rows.withColumn("translates", F.coalesce(F.col("language") == "en", F.lit(False)))
 
 
-def score_boundaries(chunks: DataFrame, model: Callable[[str], list[float]]) -> DataFrame:
-    """Scores of characters: ``video_id, chunk_id, position, score, error``. A failing model gives one row with its error."""
+def score_boundaries(chunks: DataFrame, model: Callable[[str], list[float]], ends_only: bool = False) -> DataFrame:
+    """Scores of characters: ``video_id, chunk_id, position, score, error``. A failing model gives one row with its error.
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows: list[tuple] = []
-            for v, c, t in zip(frame["video_id"], frame["chunk_id"], frame["text"]):
-                try:
-                    rows += [(v, c, i, float(s), None) for i, s in enumerate(model(t))]
-                except Exception as e:  # the model is the user's: its failure is a result
-                    rows.append((v, c, None, 0.0, f"{type(e).__name__}: {e}"))
-            out = pd.DataFrame(rows, columns=["video_id", "chunk_id", "position", "score", "error"])
-            yield out.astype({"position": "Int64"})
+    A chunk's scores are arrays until they are written out. With ``ends_only`` characters that no white space follows are
+    left out, as ``boundary_scores`` asks for last characters of words and for no others, and arrays go to where the words are.
+    """
+
+    def scored(text: str) -> tuple[list[int] | None, list[float] | None, str | None]:
+        try:
+            got = [float(x) for x in model(text)]
+        except Exception as e:  # the model is the user's: its failure is a result
+            return None, None, f"{type(e).__name__}: {e}"
+        if ends_only:
+            at = [i for i in range(min(len(got), len(text) - 1)) if text[i + 1].isspace()]
+            return at, [got[i] for i in at], None
+        return list(range(len(got))), got, None
+
+    @F.pandas_udf("position array<int>, score array<double>, error string")
+    def run(frames: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in frames:
+            yield pd.DataFrame([scored(t) for t in texts], columns=["position", "score", "error"], dtype=object)
 
-    return chunks.select("video_id", "chunk_id", "text").mapInPandas(run, "video_id string, chunk_id long, position long, score double, error string")
+    made = chunks.select("video_id", "chunk_id", run("text").alias("m"))
+    rows = (_by_video(made) if ends_only else made).select("video_id", "chunk_id", "m.error", F.explode_outer(F.arrays_zip("m.position", "m.score")).alias("x")).where("x is not null or error is not null")
+    score = F.when(F.col("error").isNotNull(), 0.0).otherwise(F.coalesce("x.score", F.lit(float("nan"))))  # in an array no number comes as null
+    return rows.select("video_id", "chunk_id", F.col("x.position").cast("long").alias("position"), score.alias("score"), "error")
+
+
+def _by_video(rows: DataFrame) -> DataFrame:
+    """Rows dealt by video, into as many parts as other shuffles have, so that they meet a video's words where these are."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "video_id")
 
 
 def tag_chunks(chunks: DataFrame, model: Callable[[str], tuple[list[tuple[int, int, str, str]], list[tuple[int, int]]]]) -> DataFrame:
     """Tokens and spans of chunk texts: ``video_id, chunk_id, token, start, head, dependency, pos, end, error``.
 
     The model gives tokens (first character, first character of the head, dependency, tag) and spans (first character, end)
-    of a text. A span has null ``token`` and ``head``. A failing model gives one row with its error and nothing else.
+    of a text. A span has null ``token`` and ``head``. A failing model gives one row with its error and nothing else. What the
+    model says of a chunk travels as arrays, once, to where the words are, however often it is read.
     """
-    columns = ["video_id", "chunk_id", "token", "start", "head", "dependency", "pos", "end", "error"]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows: list[tuple] = []
-            for v, c, t in zip(frame["video_id"], frame["chunk_id"], frame["text"]):
-                try:
-                    tokens, spans = model(t)
-                    own = [(v, c, i, *token, None, None) for i, token in enumerate(tokens)] + [(v, c, None, a, None, None, None, z, None) for a, z in spans]
-                except Exception as e:  # the model is the user's: its failure is a result
-                    own = [(v, c, None, None, None, None, None, None, f"{type(e).__name__}: {e}")]
-                rows += own
-            yield pd.DataFrame(rows, columns=columns).astype({k: "Int64" for k in ("token", "start", "head", "end")})
-
-    return chunks.select("video_id", "chunk_id", "text").mapInPandas(run, "video_id string, chunk_id long, token long, start long, head long, dependency string, pos string, end long, error string")
+    names = ["start", "head", "dependency", "pos", "begin", "end", "error"]
+
+    def tagged(text: str) -> tuple:
+        try:
+            tokens, spans = model(text)
+            start, head, dependency, pos = map(list, zip(*tokens)) if tokens else ([], [], [], [])
+            begin, end = map(list, zip(*spans)) if spans else ([], [])
+            return start, head, dependency, pos, begin, end, None
+        except Exception as e:  # the model is the user's: its failure is a result
+            return None, None, None, None, None, None, f"{type(e).__name__}: {e}"
+
+    @F.pandas_udf("start array<int>, head array<int>, dependency array<string>, pos array<string>, begin array<int>, end array<int>, error string")
+    def run(frames: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in frames:
+            yield pd.DataFrame([tagged(t) for t in texts], columns=names, dtype=object)
+
+    m = _by_video(chunks.select("video_id", "chunk_id", run("text").alias("m"))).select("video_id", "chunk_id", "m.*")
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    whole = lambda c, name: F.col(c).cast("long").alias(name)
+    tokens = m.select("video_id", "chunk_id", F.posexplode(F.arrays_zip("start", "head", "dependency", "pos")).alias("at", "x")).select("video_id", "chunk_id", whole("at", "token"), whole("x.start", "start"), whole("x.head", "head"), "x.dependency", "x.pos", none("long", "end"), none("string", "error"))
+    spans = m.select("video_id", "chunk_id", F.explode(F.arrays_zip("begin", "end")).alias("x")).select("video_id", "chunk_id", none("long", "token"), whole("x.begin", "start"), none("long", "head"), none("string", "dependency"), none("string", "pos"), whole("x.end", "end"), none("string", "error"))
+    failed = m.where("error is not null").select("video_id", "chunk_id", *[none("long", c) for c in ("token", "start", "head")], none("string", "dependency"), none("string", "pos"), none("long", "end"), "error")
+    return tokens.unionByName(spans).unionByName(failed)
