@@ -74,3 +74,29 @@ def test_captions_of_some_videos(spark, tmp_path):
     some = [r.video_id for r in rows.select("video_id").distinct().orderBy("video_id").limit(2).collect()]
     assert S.load_captions(spark, str(tmp_path), some).count() == rows.where(F.col("video_id").isin(some)).count()
     assert S.load_captions(spark, str(tmp_path)).count() == rows.count()
+
+
+def test_bundles_hold_what_files_hold(spark, tmp_path):
+    """A row of a bundle is read as the file of a video is."""
+    from pyspark.sql import functions as F
+
+    word = '[{"index": 0, "segment_id": 2, "start": 0.1, "end": 0.29, "text": " a ", "probability": "odd"}, {"start": 1, "end": 2, "text": " "}, {"start": 1.5, "end": 2, "text": "b", "segment_end": true}]'
+    segment = '[{"id": 3, "start": 0.1, "end": 0.29, "text": "a b", "avg_logprob": -0.5}, {"id": 4, "start": 1, "end": 2, "text": " "}]'
+    caption = '[{"start": 1, "text": "x"}, {"start": 0.5, "end": 2, "text": "y", "translation": "z"}]'
+    srt = "1\n00:00:00,100 --> 00:00:01,000\nhello\n你好\n\n2\nno time\nlost\n"
+    empty = "[]"
+    for k, (read, text) in enumerate([(S.read_words, word), (S.read_asr_segments, segment), (S.read_transcripts, caption), (lambda *a, **b: S.read_srt(*a, **b)[0], srt), (lambda *a, **b: S.read_srt(*a, **b)[1], srt)]):
+        files = spark.createDataFrame([("v1", text), ("v2", text), ("v3", empty)], S.BUNDLE)
+        files.coalesce(1).write.partitionBy("video_id").text(f"{tmp_path}/files{k}")
+        S.write_bundle(files, f"{tmp_path}/bundle{k}")
+        one, two = (df.select([F.col(c) for c in sorted(df.columns)]) for df in (read(spark, f"{tmp_path}/files{k}"), read(spark, f"{tmp_path}/bundle{k}", bundle=True)))
+        assert one.schema.simpleString() == two.schema.simpleString()
+        assert sorted(map(str, one.collect())) == sorted(map(str, two.collect())) and two.count() >= 2
+
+
+def test_queries_over_files_do_not_write_one_a_video(spark, tmp_path, monkeypatch):
+    from lexitide.plans import io_queries
+
+    monkeypatch.setattr(S, "scratch", lambda s: f"{tmp_path}/out")
+    assert io_queries.src1_read_words(spark, "/root/testdata/sf0.001").count() > 0
+    assert not list((tmp_path / "out").glob("video_id=*"))
