@@ -37,6 +37,21 @@ def test_words_become_captions(spark):
     assert [r.text for r in out] == ["One two.", "Three four"]
 
 
+def test_captions_of_dealt_words_move_nothing_more(spark):
+    """The fold takes words where they are, and tidies a text only where it could be too long."""
+    words = "it 's - a b , long-winded sentence".split() * 40
+    rows = [("v", i, i * 100, i * 100 + 80, w) for i, w in enumerate(words)]
+    dealt = spark.createDataFrame(rows, "video_id string, idx long, start_ms long, end_ms long, text string").repartition(4, "video_id")
+    out = Z.fold_batch(dealt, Z.CAPTIONS)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    held, want = [], []
+    for w in words:
+        if held and (len(held) >= 30 or len(Z.tidied([*held, w])) > 160):
+            want, held = [*want, Z.tidied(held)], []
+        held.append(w)
+    assert [r.text for r in out.orderBy("word_start").collect()] == [*want, Z.tidied(held)]
+
+
 @pytest.mark.parametrize("fold", [Z.TASKS, Z.CHANGES, Z.PROGRESS], ids=["tasks", "changes", "progress"])
 def test_stream_equals_batch(spark, tmp_path, fold):
     kinds = (["running", "progress", "failure", "done", "queued"] * 5)[:23]
