@@ -244,6 +244,19 @@ def test_a_commit_replaces_its_keys_and_few_folders_hold_many_keys(spark, tmp_pa
     assert "PartitionFilters: [" in plan and "_bucket" in plan
 
 
+def test_rows_that_are_dealt_are_written_where_they_are(spark, tmp_path):
+    table = VersionedTable(spark, str(tmp_path / "t"), "k string, v long", "k", newest_commit("k"), buckets=2)
+    rows = spark.range(900).selectExpr("cast(id % 90 as string) k", "id v").repartition(3, "k")
+    for k in range(2):
+        table.commit(rows.withColumn("v", F.col("v") + k), dealt=True)
+    assert sorted(map(tuple, table.read().collect())) == sorted((str(i % 90), i + 1) for i in range(900))
+    plain = VersionedTable(spark, str(tmp_path / "p"), "k string, v long", "k", newest_commit("k"), buckets=2)
+    for t, folder in ((table, "d"), (plain, "e")):
+        VersionedTable(spark, str(tmp_path / folder), "k string, v long", "k", newest_commit("k"), buckets=2).commit(rows, dealt=t is table)
+    count = lambda folder: len(list((tmp_path / folder).glob("data/*/_bucket=*/part-*")))
+    assert count("d") == 6 and count("e") == 2
+
+
 def test_a_failed_write_leaves_the_old_table(spark, tmp_path):
     table = VersionedTable(spark, str(tmp_path / "t"), "k string, v int", "k", newest_commit("k"))
     table.commit(spark.createDataFrame([("a", 1)], "k string, v int"))
