@@ -41,7 +41,7 @@ def test_captions_of_dealt_words_move_nothing_more(spark):
     """The fold takes words where they are, and tidies a text only where it could be too long."""
     words = "it 's - a b , long-winded sentence".split() * 40
     rows = [("v", i, i * 100, i * 100 + 80, w) for i, w in enumerate(words)]
-    dealt = spark.createDataFrame(rows, "video_id string, idx long, start_ms long, end_ms long, text string").repartition(4, "video_id")
+    dealt = spark.createDataFrame(rows, "video_id string, idx long, start_ms long, end_ms long, text string").repartition(4, "video_id").withColumn("text", F.explode(F.array("text")))
     out = Z.fold_batch(dealt, Z.CAPTIONS)
     assert out._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
     held, want = [], []
