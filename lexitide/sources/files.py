@@ -6,6 +6,7 @@ import hashlib
 import re
 import tempfile
 import uuid
+import zlib
 from collections.abc import Iterator
 from urllib.parse import quote
 
@@ -18,7 +19,7 @@ from pyspark.sql.window import Window
 
 from lexitide.functions import text as X
 from lexitide.operators.captions import split_bilingual
-from lexitide.sources.tables import VersionedTable, newest_commit
+from lexitide.sources.tables import VersionedTable, _Folder, newest_commit
 
 WORD_FILE = "array<struct<index: int, segment_id: int, start: double, end: double, text: string, probability: string, segment_end: boolean, segment_complete: boolean>>"
 SEGMENT_FILE = "id int, start double, end double, text string, avg_logprob double, no_speech_prob double, compression_ratio double, temperature double, word_start int, word_end int"
@@ -31,6 +32,8 @@ UPLOAD_FILE = "upload_id string, audio_hash string, total_bytes long, offset lon
 STATES = ("queued", "running", "paused", "canceled", "done", "failed")
 ALGORITHM = "least-cost-cut"
 CHUNK_BYTES = 8 << 20
+# The folders that one set of files, one a video, is dealt into, so that they are listed side by side.
+FOLDERS = 64
 ARTIFACT = re.compile(r"[A-Za-z0-9._-]+\.json")
 
 
@@ -141,11 +144,54 @@ def safe_name(name: Column) -> Column:
 
 
 def write_srt(captions: DataFrame, path: str, bilingual: bool = True, bundle: bool = False) -> None:
-    """An SRT text in a folder for each video, or in a row of a bundle."""
+    """An SRT file for each video, or a text in a row of a bundle."""
     files = srt_content(captions, bilingual).select(F.regexp_replace("content", "\n\n$", "\n").alias("value"), "video_id")
     if bundle:
         return write_bundle(files, path)
-    files.write.partitionBy("video_id").mode("overwrite").text(path)
+    write_files(files, path, "srt")
+
+
+def _file_name(key: str | None, extension: str) -> str:
+    """A file name of a key, escaped as Spark does for folders; no two keys share one, and none is hidden from Spark."""
+    if not key:
+        return f"{'%none' if key is None else '%empty'}.{extension}"
+    return re.sub(r"""[\x00-\x1f"#%'*/:=?\\\x7f{}\[\]^]|^[._]""", lambda m: f"%{ord(m[0]):02X}", key) + f".{extension}"
+
+
+def write_files(files: DataFrame, path: str, extension: str) -> None:
+    """A file for each row (``video_id, value``), one row a video, with a line end, in place of what was in the folder.
+
+    Tasks write the files of their rows where they belong, under a hidden name until all is written, so a task that runs again
+    replaces its own. Files share ``FOLDERS`` folders: Spark's own writer has a folder a video, and its driver moves each into
+    place. Only where Python cannot open the address are they written so.
+    """
+    folder = _Folder(files.sparkSession, path)
+    root = folder.fs.makeQualified(folder.root).toString()
+    texts = files.select("video_id", F.concat(F.coalesce("value", F.lit("")), F.lit("\n")).alias("value"))
+    try:
+        system, place = _place(root)
+    except (pa.ArrowInvalid, OSError):
+        files.select("value", "video_id").write.partitionBy("video_id").mode("overwrite").text(path)
+        return
+    system.create_dir(place)
+    system.delete_dir_contents(place)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (system, place), made = _place(root), set()
+        for batch in batches:
+            for key, text in zip(batch.column(0), batch.column(1), strict=True):
+                name = _file_name(key.as_py(), extension)
+                at = f"{place}/bucket={zlib.crc32(name.encode()) % FOLDERS}"
+                if at not in made:
+                    system.create_dir(at)
+                    made.add(at)
+                hidden = f"{at}/.{uuid.uuid4().hex}"
+                with system.open_output_stream(hidden) as stream:
+                    stream.write(text.as_buffer())
+                system.move(hidden, f"{at}/{name}")
+            yield batch.slice(0, 0).select(["video_id"])
+
+    texts.mapInArrow(write, "video_id string").write.format("noop").mode("overwrite").save()
 
 
 # The columns of a caption.

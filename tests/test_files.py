@@ -100,3 +100,47 @@ def test_queries_over_files_do_not_write_one_a_video(spark, tmp_path, monkeypatc
     monkeypatch.setattr(S, "scratch", lambda s: f"{tmp_path}/out")
     assert io_queries.src1_read_words(spark, "/root/testdata/sf0.001").count() > 0
     assert not list((tmp_path / "out").glob("video_id=*"))
+
+
+def test_a_file_a_video_has_no_folder_of_its_own(spark, tmp_path, monkeypatch):
+    """The same files come of the writer for addresses that only Spark opens, which has a folder a video."""
+    rows = spark.range(300).selectExpr("cast(id as string) as video_id", "1L as idx", "0L as start_ms", "5L as end_ms", "concat('text ', id % 200) as english_text", "cast(null as string) as chinese_text")
+    hashes = lambda path: sorted(map(tuple, S.hash_inventory(spark, path).drop("path").collect()))
+    path = f"{tmp_path}/copy=1"
+    S.write_srt(rows.where("video_id = '7'").withColumn("english_text", F.lit("replaced")), path)
+    S.write_srt(rows, path)
+    assert len(os.listdir(path)) <= 64 and sum(len(files) for _, _, files in os.walk(path)) == 300
+    want = b"1\n00:00:00,000 --> 00:00:00,005\ntext 7\n\n"
+    assert (hashlib.sha256(want).hexdigest(), len(want), 2, "bin") in hashes(str(tmp_path)) and len(hashes(str(tmp_path))) == 200
+    assert S.read_srt(spark, path)[0].select("video_id").distinct().count() == 300
+
+    def unknown(path):
+        raise OSError("no such scheme")
+
+    new = hashes(path)
+    monkeypatch.setattr(S, "_place", unknown)
+    S.write_srt(rows.where("video_id < '2'"), f"{tmp_path}/other")
+    some = hashes(f"{tmp_path}/other")
+    assert len(os.listdir(f"{tmp_path}/other")) > 64 and {r[0] for r in some} <= {r[0] for r in new}
+
+
+def test_files_of_odd_keys_are_all_seen(spark, tmp_path):
+    """Names that Spark would hide, that name folders, or that are none."""
+    keys = [None, "", "a/b", "../up", "_hidden", ".dot", "%2E", "%none", "%empty", "a b é", "x.srt", "\u5f71" * 70, "_", "=?*[1]:\\\n"]
+    files = spark.createDataFrame([(k, f"text {n}") for n, k in enumerate(keys)] + [("void", None)], S.BUNDLE)
+    S.write_files(files, f"{tmp_path}/in/side", "srt")
+    got = sorted(r.value for r in spark.read.text(f"{tmp_path}/in/side", wholetext=True).collect())
+    assert got == sorted(["\n", *(f"text {n}\n" for n in range(len(keys)))]) and os.listdir(tmp_path) == ["in"]
+    assert S.hash_inventory(spark, f"{tmp_path}/in").count() == len(keys) + 1
+    S.write_files(files.where("false"), f"{tmp_path}/in/side", "srt")
+    assert os.listdir(f"{tmp_path}/in/side") == []
+
+
+def test_inventory_query_makes_no_folder_a_video(spark, tmp_path, monkeypatch):
+    from lexitide.plans import io_queries
+
+    monkeypatch.setattr(S, "scratch", lambda s: f"{tmp_path}/out")
+    rows = io_queries.src12_hash_inventory(spark, SF).collect()
+    videos = X.captions(spark, SF).select("video_id").distinct().count()
+    assert sum(r.copies for r in rows) == videos + videos // 2 == sum(len(files) for _, _, files in os.walk(tmp_path / "out"))
+    assert not list((tmp_path / "out").glob("copy=*/video_id=*"))
