@@ -332,7 +332,8 @@ def _hashed(spark: SparkSession, path: str) -> DataFrame:
         _place(first.path)
     except (pa.ArrowInvalid, OSError):
         return files.select("path", "length", F.sha2("content", 256).alias("audio_hash"))
-    names = files.select("path", "length")  # contents are not read here
+    # Contents are not read here. Spark plans a task for every few files, however short they are.
+    names = files.select("path", "length").coalesce(int(spark.conf.get("spark.sql.shuffle.partitions")))
     return names.repartition(F.xxhash64("path")).mapInArrow(_hash_chunks, "path string, length long, audio_hash string")
 
 
