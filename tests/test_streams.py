@@ -68,6 +68,24 @@ def test_playback_events_of_one_time_and_number_are_no_matter_of_chance(spark, t
     assert [p for _, _, p in got] == [1000 * min(40 - e, 1 + e, 30) for e in range(20)]
 
 
+@pytest.mark.parametrize("name", ["str6_playback_state"])
+def test_playback_counts_milliseconds_as_its_sql(spark, tmp_path, name):
+    """Times are whole microseconds: to the nearest millisecond, 2999.2 ms apart are 3000 and 3000.2 ms are 2999 or 3000."""
+    import duckdb
+
+    from lexitide.plans import io_queries
+
+    times = [(7, 400), (7, 2_999_600), (8, 600), (8, 3_000_400), (9, 499), (9, 3_000_500), (10, 1500), (10, 3_001_499), (11, 0), (11, 2_999_500)]
+    table = spark.createDataFrame([(e, us, u, "view", float(e)) for e, (u, us) in enumerate(times)], "event_id long, us long, user_id long, event_type string, value double")
+    table = table.select("event_id", F.timestamp_micros(F.col("us") + 1_704_067_200_000_000).cast("timestamp_ntz").alias("ts"), "user_id", "event_type", "value")
+    table.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    got = sorted((r.video_id, r.ts, r.position_ms) for r in io_queries.QUERIES[name](spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.sql(f"create view events as from '{tmp_path}/events.parquet/*.parquet'")
+    assert got == sorted(con.sql(io_queries.ORACLE_SQL[name]).fetchall())
+    assert sorted(p // 1000 for v, _, p in got if v in "7 8 11".split()) == [0, 1, 2, 8, 9]
+
+
 @pytest.mark.parametrize("fold", [Z.TASKS, Z.CHANGES, Z.PROGRESS], ids=["tasks", "changes", "progress"])
 def test_stream_equals_batch(spark, tmp_path, fold):
     kinds = (["running", "progress", "failure", "done", "queued"] * 5)[:23]
