@@ -169,3 +169,39 @@ def test_joined_tokens(spark, tokens, text):
 
 def test_white_space_is_the_same_everywhere():
     assert [c for c in map(chr, range(0x3001)) if c.isspace()] == [c for c in map(chr, range(0x3001)) if re.fullmatch(X.PYTHON_WHITE, c)]
+
+def test_words_scored_in_one_step_are_those_of_the_tables(spark):
+    """Of random chunks, models and failures, with gaps in numbers and places outside of words."""
+    import random
+
+    def model(text):
+        rng = random.Random(text)
+        return rng, len(text)
+
+    def scores(text):
+        rng, n = model(text)
+        if rng.random() < 0.2:
+            raise ValueError("no")
+        return [rng.choice([float("nan"), -1.0, 0.25, 0.5, 3.0]) for _ in range(n - rng.randrange(4))]
+
+    def tags(text):
+        rng, n = model(text)
+        if rng.random() < 0.2:
+            raise ValueError("no")
+        at = lambda: rng.choice([None, *range(-1, n + 2)])
+        return [(at(), at(), rng.choice(["det", "root", None]), rng.choice(["DET", "NOUN", "ADJ", None])) for _ in range(rng.randrange(3 * n))], [(at(), at()) for _ in range(rng.randrange(6))]
+
+    rng, rows = random.Random(7), []
+    for v in "abcdefghijklmno":
+        at = 0
+        for chunk in range(3):
+            for _ in range(rng.randrange(1, 9)):
+                at += rng.choice([1, 1, 1, 2, 5])
+                rows.append((v, chunk, at, rng.choice(["a", "bc", "d e", "fghij"]) + v * rng.randrange(2)))
+    words = spark.createDataFrame(rows, "video_id string, chunk_id long, idx long, text string").repartition(3)
+    chunks = G.chunk_texts(words)
+    want = sorted(map(tuple, G.boundary_scores(words, M.score_boundaries(chunks, scores), M.tag_chunks(chunks, tags)).collect()))
+    made = G.scored_words(words.withColumn("more", F.col("idx") * 2), scores, tags)
+    got = sorted(map(tuple, made.select("video_id", "idx", "boundary_probability", "protected").collect()))
+    assert got == want and {r[3] for r in got} == {True, False} and {r[2] for r in got} == {0.0, 0.25, 0.5, 1.0}
+    assert sorted(map(tuple, made.select("video_id", "chunk_id", "idx", "text", "more").collect())) == sorted((*r, 2 * r[2]) for r in rows)

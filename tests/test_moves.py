@@ -26,6 +26,14 @@ def test_no_words_by_block(spark, name):
     assert not [e for e in exchanges(catalog.QUERIES[name](spark, SF)) if "block_id" in e or "island" in e or "idx" in e]
 
 
+@pytest.mark.parametrize("name", ["jn11_boundary_scores", "pipe1_scored_corpus"])
+def test_scored_words_stay_where_their_text_is(spark, name):
+    plan = catalog.QUERIES[name](spark, SF)
+    assert not [e for e in exchanges(plan) if "idx" in e or "chunk_id" in e]
+    if name.startswith("jn11"):
+        assert len(exchanges(plan)) == 1
+
+
 def test_scores_of_last_characters_are_the_same(spark):
     words = spark.createDataFrame([("v", 0, i, t) for i, t in enumerate(["one", "a b", "three"])], "video_id string, chunk_id long, idx long, text string")
     texts, tags = G.chunk_texts(words), spark.createDataFrame([], "video_id string, chunk_id long, token long, start long, head long, dependency string, pos string, end long, error string")
