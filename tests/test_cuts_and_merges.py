@@ -205,3 +205,12 @@ def test_words_scored_in_one_step_are_those_of_the_tables(spark):
     got = sorted(map(tuple, made.select("video_id", "idx", "boundary_probability", "protected").collect()))
     assert got == want and {r[3] for r in got} == {True, False} and {r[2] for r in got} == {0.0, 0.25, 0.5, 1.0}
     assert sorted(map(tuple, made.select("video_id", "chunk_id", "idx", "text", "more").collect())) == sorted((*r, 2 * r[2]) for r in rows)
+
+
+def test_models_on_the_way_cut_as_scores_do(spark):
+    from lexitide.plans import fixtures, segmentation_queries as Q
+
+    w = fixtures.words(spark, "/root/testdata/sf0.001").where("cast(video_id as int) < 60 and idx % 97 <> 5")  # numbers have gaps
+    scores = Q.S.scored_words(G.analysis_chunks(G.boundary_features(G.normalize_words(w))), Q.stub_characters, Q.stub_tagger)
+    one, two = (sorted(map(str, G.segment_corpus(w, **how).collect())) for how in ({"scores": scores}, {"models": (Q.stub_characters, Q.stub_tagger)}))
+    assert one == two and one != sorted(map(str, G.segment_corpus(w).collect()))
