@@ -214,3 +214,32 @@ def test_models_on_the_way_cut_as_scores_do(spark):
     scores = Q.S.scored_words(G.analysis_chunks(G.boundary_features(G.normalize_words(w))), Q.stub_characters, Q.stub_tagger)
     one, two = (sorted(map(str, G.segment_corpus(w, **how).collect())) for how in ({"scores": scores}, {"models": (Q.stub_characters, Q.stub_tagger)}))
     assert one == two and one != sorted(map(str, G.segment_corpus(w).collect()))
+
+
+@pytest.mark.parametrize("scored", [False, True])
+def test_totals_of_candidates_are_those_of_the_written_ones(spark, scored):
+    """Of words with odd spacing, gaps in numbers, ends out of order and blocks of one word."""
+    import random
+
+    rng, rows = random.Random(5), []
+    for v in "abcdef":
+        at = idx = 0
+        for _ in range(rng.randrange(1, 120)):
+            idx, at = idx + rng.choice([1, 1, 1, 3]), at + rng.choice([100, 350, 700, 1900])
+            rows.append((v, idx, at, at + rng.choice([5, 280, 2000, 12500]), rng.choice(["we", "of", "going", ",", "-", "'s", "n't", "a , b", "done.", "x" * 60, "4"]), 0.5, rng.random() < 0.1, rng.random() < 0.1))
+    words = spark.createDataFrame(rows, "video_id string, idx long, start_ms long, end_ms long, text string, probability double, segment_end boolean, segment_complete boolean")
+    blocks = G.hard_blocks(G.boundary_features(G.normalize_words(words)))
+    scores = words.select("video_id", "idx", (F.col("idx") % 10 / 10).alias("boundary_probability"), (F.col("idx") % 3 == 0).alias("protected")) if scored else None
+    each = G.candidate_costs(G.segment_candidates(blocks), blocks, scores)
+    sums = [F.count("*").alias("n"), F.max("word_end").alias("last_end"), F.sum("duration_ms").alias("durations"), F.sum(F.length("text")).alias("chars"), F.sum("cost").alias("cost"), F.min("cost").alias("least")]
+    want = sorted(map(tuple, each.groupBy("video_id", "word_start").agg(*sums).collect()))
+    assert sorted(map(tuple, G.candidate_totals(blocks, scores, costs=True).collect())) == want and len(want) > 100
+    assert sorted(map(tuple, G.candidate_totals(blocks).collect())) == [r[:6] for r in want]
+
+
+@pytest.mark.parametrize("name", ["win5_segment_candidates"])
+def test_no_candidate_is_written_out(spark, name):
+    from lexitide.plans import segmentation_queries as Q
+
+    plan = Q.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate ") == 1 and plan.count("Exchange ") == 1  # a text's words, which stay where it is
