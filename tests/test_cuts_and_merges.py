@@ -237,7 +237,7 @@ def test_totals_of_candidates_are_those_of_the_written_ones(spark, scored):
     assert sorted(map(tuple, G.candidate_totals(blocks).collect())) == [r[:6] for r in want]
 
 
-@pytest.mark.parametrize("name", ["win5_segment_candidates"])
+@pytest.mark.parametrize("name", ["win5_segment_candidates", "win6_candidate_costs"])
 def test_no_candidate_is_written_out(spark, name):
     from lexitide.plans import segmentation_queries as Q
 
