@@ -243,3 +243,22 @@ def test_no_candidate_is_written_out(spark, name):
 
     plan = Q.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Generate ") == 1 and plan.count("Exchange ") == 1  # a text's words, which stay where it is
+
+
+def test_runs_of_an_island_are_judged_by_their_words(monkeypatch):
+    """The same as of the whole text, which is written out only where its spacing is repaired."""
+    import random
+
+    rng, known = random.Random(3), ["even", "though", "if", "we", "the", "going", "lake,", "it;", "4", "\"", "so:\"", "Because", "done", "n't", "-", ",", "a b", "’S", "when)"]
+    for odd in (False, True):
+        for _ in range(200):
+            text = [t for t in (rng.choice(known[: 19 if odd else 13]) for _ in range(rng.randrange(1, 9)))]
+            island = G._Island([("v", 0, i, 400 * i, 400 * i + 300, t, False, False) for i, t in enumerate(text)])
+            for a in range(len(text)):
+                for b in range(a + 1, len(text) + 1):
+                    whole = X.tidied(text[a:b])
+                    assert (island.string(a, b), island.length(a, b), island.unfinished(a, b)) == (whole, len(whole), X.unfinished(whole)), text[a:b]
+    calls = []
+    monkeypatch.setattr(X, "tidied", lambda tokens: calls.append(1) or " ".join(tokens))
+    island = G._Island([("v", 0, i, 300 * i, 300 * i + 200, f"word{i}", False, False) for i in range(400)])
+    assert sum(b - a for a, b in island.cuts(False)) == 400 and not calls
